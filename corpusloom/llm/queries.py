@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.decontaminate import decontamination_report
 from corpusloom.llm.exact_dedup import exact_groups
+from corpusloom.llm.sentencepieces import encode_pieces
 from corpusloom.llm.simhash import near_groups
 from corpusloom.llm.toxicity import fit_toxicity, score_toxicity
 from corpusloom.session import is_train, table
 
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_pieces(docs, PIECES, fields=("n_tokens", "ids_sha256", "decoded_sha256", "n_bytes")).drop("text")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination_report(docs, table(spark, sf_dir, "benchmark")).drop("text_sha256")
@@ -34,6 +44,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
     "op6_exact_dedup": op6_exact_dedup,
