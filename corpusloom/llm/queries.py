@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.decontaminate import decontamination_report
 from corpusloom.llm.exact_dedup import exact_groups
 from corpusloom.llm.sentencepieces import encode_pieces
+from corpusloom.llm.sharding import shard_documents
 from corpusloom.llm.simhash import near_groups
 from corpusloom.llm.toxicity import fit_toxicity, score_toxicity
 from corpusloom.session import is_train, table
@@ -17,6 +18,11 @@ from corpusloom.session import is_train, table
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
+    return sharded.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_pieces(docs, PIECES, fields=("n_tokens", "ids_sha256", "decoded_sha256", "n_bytes")).drop("text")
@@ -44,6 +50,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
