@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.decontaminate import decontamination_report
 from corpusloom.llm.exact_dedup import exact_groups
+from corpusloom.llm.licences import scan_licences
 from corpusloom.llm.sentencepieces import encode_pieces
 from corpusloom.llm.sharding import shard_documents
 from corpusloom.llm.simhash import near_groups
@@ -41,6 +42,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(is_train("doc_id", 5))
@@ -55,6 +60,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_licences": op7_licences,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {
