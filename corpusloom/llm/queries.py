@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.decontaminate import decontamination_report
 from corpusloom.llm.exact_dedup import exact_groups
+from corpusloom.llm.extract import extract_pages
 from corpusloom.llm.licences import scan_licences
 from corpusloom.llm.sentencepieces import encode_pieces
 from corpusloom.llm.sharding import shard_documents
@@ -38,6 +39,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_pages(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -59,6 +65,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
+    "op5_extract": op5_extract,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_licences": op7_licences,
     "op10_toxicity": op10_toxicity,
