@@ -14,6 +14,7 @@ from corpusloom.llm.sentencepieces import encode_pieces
 from corpusloom.llm.sharding import shard_documents
 from corpusloom.llm.simhash import near_groups
 from corpusloom.llm.toxicity import fit_toxicity, score_toxicity
+from corpusloom.llm.warc import audit_report, damaged_replica, lay_out_records
 from corpusloom.session import is_train, table
 
 
@@ -52,6 +53,11 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = lay_out_records(table(spark, sf_dir, "pages"))
+    return audit_report(records, damaged_replica(records))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(is_train("doc_id", 5))
@@ -68,6 +74,7 @@ QUERIES = {
     "op5_extract": op5_extract,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_licences": op7_licences,
+    "op8_warc": op8_warc,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {
