@@ -23,7 +23,6 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,7 +35,7 @@ from corpusloom.session import fresh_name
 META = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: piece types of the model format
 FIELDS = {"ids": "array<int>", "begins": "array<int>", "ends": "array<int>", "decoded": "string", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "n_bytes": "long"}
-REMEMBERED_WORD, REMEMBERED = 64, 500_000  # characters of a word, and words, that a worker remembers
+REMEMBERED_WORD, REMEMBERED = 64, 700_000  # characters of a word, and words, that a worker remembers
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -93,8 +92,8 @@ class CharacterMap:
 
 @dataclass
 class Encoding:
-    ids: list[int]
-    sizes: list[int]  # original bytes of each piece; their running sum gives the spans
+    ids: np.ndarray
+    sizes: np.ndarray  # original bytes of each piece; their running sum gives the spans
 
 
 class SentencePieces:
@@ -128,18 +127,21 @@ class SentencePieces:
         user = sorted((p for p, t in zip(self.pieces, self.types, strict=True) if t == USER_DEFINED), key=len, reverse=True)
         self.user = re.compile("(" + "|".join(map(re.escape, user)) + ")") if user else None
         within = any(self.blank in p.lstrip(self.blank) for p in self.id_of)
-        self.by_word = not within and not user and not any(t == UNUSED for t in self.types)
+        self.by_word = not within and not user and not any(t == UNUSED for t in self.types) and bool(self.bytes_id)
         self.words = re.compile(self._stretches())
         self.plain = not charsmap and not self.squeeze  # every character stands for itself
-        # Every way to make a piece of two others, by its rank: the order of scores, if they differ.
-        longer = sorted((i for p, i in self.id_of.items() if len(p) > 1), key=lambda i: -self.scores[i])
-        self.by_rank = longer if len({self.scores[i] for i in longer}) == len(longer) else []
-        self.pairs = {self.id_of[p[:k]] << 20 | self.id_of[p[k:]]: r for r, i in enumerate(self.by_rank) for p in (self.pieces[i],) for k in range(1, len(p)) if p[:k] in self.id_of and p[k:] in self.id_of}
-        self.own_size = [len(p.encode()) - 2 * p.count(META) for p in self.pieces]  # in a text whose blanks became META
+        # Every way to make a piece of two others: its score's rank, and the piece.
+        order = {x: k for k, x in enumerate(sorted({self.scores[i] for i in self.id_of.values()}, reverse=True))}
+        made = {self.id_of[p[:k]] << 20 | self.id_of[p[k:]]: i for p, i in self.id_of.items() for k in range(1, len(p)) if p[:k] in self.id_of and p[k:] in self.id_of}
+        self.pair_piece, self.pair_rank = made, {key: order[self.scores[i]] for key, i in made.items()}
+        # Original bytes of a piece in a text whose blanks became META; a byte piece has one.
+        self.own_size = np.array([1 if t == BYTE else 0 if t == CONTROL else len(p.encode()) - 2 * p.count(META) for p, t in zip(self.pieces, self.types, strict=True)])
+        self.frame = [np.array([i], dtype="<i4").tobytes() for i in (self.begin, self.end)]
+        self.runs = re.compile(f"{self.blank}+[^{self.blank}]*")
         surface = {CONTROL: lambda i: b"", UNKNOWN: lambda i: " ⁇ ".encode(), BYTE: lambda i: bytes([self.byte_of[i]])}
         self.surface = [surface.get(t, lambda i: self.pieces[i].replace(self.blank, " ").encode())(i) for i, t in enumerate(self.types)]
-        self.known_ids: dict[str, tuple[int, ...]] = {}
-        self.known_sizes: dict[str, tuple[int, ...]] = {}
+        self.known_words: dict[str, bytes] = {}
+        self.known_stretches: dict[str, bytes] = {}
 
     def _stretches(self) -> str:
         """A pattern for stretches of normalised text that no piece reaches across.
@@ -210,19 +212,18 @@ class SentencePieces:
     def _merge_ids(self, text: str) -> list[int]:
         """The same for a few characters, on ids; -1 stands for a character without a piece.
 
-        Looking at all pairs is quicker here than a heap. Ranks are unique, so the best one
-        names the piece that a pair makes.
+        Looking at all pairs is quicker here than a heap; ``index`` finds the leftmost of equals.
         """
-        part, pairs, none = [self.id_of.get(c, -1) for c in text], self.pairs.get, len(self.by_rank)
-        ranks = [pairs(a << 20 | b, none) for a, b in zip(part, part[1:], strict=False)]
+        part, rank, none = [self.id_of.get(c, -1) for c in text], self.pair_rank.get, 1 << 30
+        ranks = [rank(a << 20 | b, none) for a, b in zip(part, part[1:], strict=False)]
         while ranks and (best := min(ranks)) < none:
             i = ranks.index(best)
-            part[i] = new = self.by_rank[best]
+            part[i] = new = self.pair_piece[part[i] << 20 | part[i + 1]]
             del part[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = pairs(part[i - 1] << 20 | new, none)
+                ranks[i - 1] = rank(part[i - 1] << 20 | new, none)
             if i < len(ranks):
-                ranks[i] = pairs(new << 20 | part[i + 1], none)
+                ranks[i] = rank(new << 20 | part[i + 1], none)
         return part
 
     def _word(self, text: str, size: list[int]) -> tuple[list[int], list[int]]:
@@ -253,25 +254,12 @@ class SentencePieces:
         ids, sizes = [self.begin], [0]
         text = text or ""
         if self.plain and self.by_word and self.prefix and self.blank not in text:
-            words = self.words.findall(self.blank + text.replace(" ", self.blank)) if text else []
-            known_ids, known_sizes = self.known_ids, self.known_sizes
-            if len(known_ids) > REMEMBERED:
-                known_ids.clear()
-                known_sizes.clear()
-            long = {w for w in words if len(w) > REMEMBERED_WORD} if len(text) > REMEMBERED_WORD else ()
-            for word in set(words).difference(known_ids):
-                if self.by_rank and len(word) <= REMEMBERED_WORD and -1 not in (pieces := self._merge_ids(word)):
-                    known_ids[word], known_sizes[word] = tuple(pieces), tuple(map(self.own_size.__getitem__, pieces))
-                    continue
-                got = self._word(word, [1 if c == self.blank else len(c.encode()) for c in word])
-                known_ids[word], known_sizes[word] = map(tuple, got)
-            ids += chain.from_iterable(map(known_ids.__getitem__, words))
-            sizes += chain.from_iterable(map(known_sizes.__getitem__, words))
-            for word in long:
-                del known_ids[word], known_sizes[word]
+            ids = self._by_words(text) if text else np.array([self.begin, self.end], dtype="<i4")
+            sizes = self.own_size[ids]
             if text:
                 sizes[1] -= 1  # the dummy prefix, counted as a blank
-        elif text:
+            return Encoding(ids, sizes)
+        if text:
             line, size = self.normalise(text)
             stretches = self.words.findall(line) if self.by_word else self.user.split(line) if self.user else [line]
             at = 0
@@ -280,7 +268,35 @@ class SentencePieces:
                 at += len(word)
                 ids += got[0]
                 sizes += got[1]
-        return Encoding([*ids, self.end], [*sizes, 0])
+        return Encoding(np.array([*ids, self.end], dtype="<i4"), np.array([*sizes, 0]))
+
+    def _by_words(self, text: str) -> np.ndarray:
+        """Ids of a text in which every blank begins a word, from remembered words and stretches."""
+        words, stretches = self.known_words, self.known_stretches
+        parts = text.split(" ") if text[0] != " " and "  " not in text else [w[1:] for w in self.runs.findall(self.blank + text.replace(" ", self.blank))]
+        if len(words) > REMEMBERED:
+            words.clear()
+        if len(stretches) > REMEMBERED:
+            stretches.clear()
+        new = set(parts).difference(words)
+        for part in new:
+            ids = []
+            for s in self.words.findall(self.blank + part):
+                got = stretches.get(s)
+                if got is None:
+                    pieces = self._merge_ids(s) if len(s) <= REMEMBERED_WORD else [-1]
+                    if -1 in pieces:
+                        pieces, _ = self._word(s, [1] * len(s))
+                    got = np.array(pieces, dtype="<i4").tobytes()
+                    if len(s) <= REMEMBERED_WORD:
+                        stretches[s] = got
+                ids.append(got)
+            words[part] = b"".join(ids)
+        ids = b"".join([self.frame[0], *map(words.__getitem__, parts), self.frame[1]])
+        for part in new:
+            if len(part) > REMEMBERED_WORD:
+                del words[part]
+        return np.frombuffer(ids, dtype="<i4")
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes joined where they are UTF-8, the dummy prefix taken off once."""
@@ -343,9 +359,9 @@ def encode_pieces(docs: DataFrame, model_path: str, *, text_col: str = "text", f
 
     def one(codec: SentencePieces, text: str | None) -> dict[str, object]:
         got = codec.encode(text)
-        ends = np.cumsum(np.array(got.sizes, dtype=np.int64)) if {"begins", "ends", "n_bytes"} & {*fields} else None
-        decoded = codec.decode(got.ids) if {"decoded", "decoded_sha256"} & {*fields} else ""
-        value = {"ids": lambda: got.ids, "begins": lambda: ends - got.sizes, "ends": lambda: ends, "decoded": lambda: decoded, "n_tokens": lambda: len(got.ids), "n_bytes": lambda: int(ends[-1]), "ids_sha256": lambda: hashlib.sha256(np.array(got.ids, dtype="<u4").tobytes()).hexdigest(), "decoded_sha256": lambda: hashlib.sha256(decoded.encode()).hexdigest()}
+        ends = np.cumsum(got.sizes)
+        decoded = codec.decode(got.ids.tolist()) if {"decoded", "decoded_sha256"} & {*fields} else ""
+        value = {"ids": lambda: got.ids, "begins": lambda: ends - got.sizes, "ends": lambda: ends, "decoded": lambda: decoded, "n_tokens": lambda: len(got.ids), "n_bytes": lambda: int(ends[-1]), "ids_sha256": lambda: hashlib.sha256(got.ids.astype("<u4").tobytes()).hexdigest(), "decoded_sha256": lambda: hashlib.sha256(decoded.encode()).hexdigest()}
         return {name: value[name]() for name in fields}
 
     @F.pandas_udf(schema)
