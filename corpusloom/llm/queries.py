@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.decontaminate import decontamination_report
 from corpusloom.llm.exact_dedup import exact_groups
 from corpusloom.llm.extract import extract_pages
+from corpusloom.llm.language_model import score_language_model
 from corpusloom.llm.licences import scan_licences
 from corpusloom.llm.sentencepieces import encode_pieces
 from corpusloom.llm.sharding import shard_documents
@@ -58,6 +59,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_report(records, damaged_replica(records))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_language_model(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(is_train("doc_id", 5))
@@ -75,6 +80,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_licences": op7_licences,
     "op8_warc": op8_warc,
+    "op9_language_model": op9_language_model,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {
