@@ -1 +1,285 @@
-"""Placeholder until its operators exist."""
+"""Queries over scalar functions: text, names, lists, dates, numbers."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as T
+from corpusloom.operators.history import history
+from corpusloom.plans.history import HIST
+from corpusloom.plans.registry import query
+from corpusloom.session import table
+
+
+
+def docs(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "text")
+
+
+@query("html_to_text", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'),
+ '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages""")
+def html_to_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
+
+
+MAIL = "'Subject: ' || role || chr(10) || 'From: conv' || conv_id || chr(10) || chr(10) || text"
+
+
+@query("eml_headers", f"SELECT conv_id, turn, regexp_extract(m, '(?im)^Subject:\\s*(.*)$', 1) AS subject, regexp_extract(m, '(?im)^From:\\s*(.*)$', 1) AS sender, substring(m, strpos(m, chr(10) || chr(10)) + 2) AS body FROM (SELECT conv_id, turn, {MAIL} AS m FROM conversations)")
+def eml_headers(spark, sf):
+    m = F.concat(F.lit("Subject: "), "role", F.lit("\nFrom: conv"), F.col("conv_id").cast("string"), F.lit("\n\n"), "text")
+    c = table(spark, sf, "conversations").select("conv_id", "turn", m.alias("m"))
+    head = lambda name: F.regexp_extract("m", rf"(?im)^{name}:\s*(.*)$", 1)
+    return c.select("conv_id", "turn", head("Subject").alias("subject"), head("From").alias("sender"), F.col("m").substr(F.instr("m", "\n\n") + 2, F.length("m")).alias("body"))
+
+
+@query("clean_text", r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\t\x0B\f\r]+', ' ', 'g'), '[ \n]{2,}', ' ', 'g')) AS text FROM documents")
+def clean_text(spark, sf):
+    return docs(spark, sf).select("doc_id", T.clean(F.col("text")).alias("text"))
+
+
+@query("normalize_for_model", r"SELECT doc_id, nullif(substring(trim(regexp_replace(regexp_replace(substring(text, 1, 32000), '[\t\x0B\f\r]+', ' ', 'g'), '[ \n]{2,}', ' ', 'g')), 1, 8000), '') AS text FROM documents")
+def normalize_for_model(spark, sf):
+    return docs(spark, sf).select("doc_id", F.nullif(F.substring(T.clean(F.substring("text", 1, 32000)), 1, 8000), F.lit("")).alias("text"))
+
+
+@query("strip_control", r"SELECT doc_id, regexp_replace(text, '[\x00-\x09\x0B\x0C\x0E-\x1F\x7F]', '', 'g') AS text FROM documents")
+def strip_control(spark, sf):
+    return docs(spark, sf).select("doc_id", T.strip_control(F.col("text")).alias("text"))
+
+
+@query("light_clean", r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\t', ' ', 'g'), ' {2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS text FROM documents")
+def light_clean(spark, sf):
+    return docs(spark, sf).select("doc_id", T.light_clean(F.col("text")).alias("text"))
+
+
+@query("split_words", r"""SELECT doc_id, list_slice(list_filter(string_split_regex(text, '[\s,.;:!?()\[\]{}"''/|-]+'), lambda w: length(w) >= 2), 1, 50) AS words FROM documents""")
+def split_words(spark, sf):
+    return docs(spark, sf).select("doc_id", T.split_words(F.col("text")).alias("words"))
+
+
+@query("preview", "SELECT doc_id, CASE WHEN length(text) <= 100 THEN text ELSE (CASE WHEN strpos(c, ' ') > 0 AND 100 - strpos(reverse(c), ' ') > 70 THEN substring(c, 1, 100 - strpos(reverse(c), ' ')) ELSE c END) || '...' END AS preview FROM (SELECT doc_id, text, substring(text, 1, 100) AS c FROM documents)")
+def preview(spark, sf):
+    return docs(spark, sf).select("doc_id", T.preview(F.col("text")).alias("preview"))
+
+
+@query("normalize_text", r"SELECT doc_id, substring(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')), 1, 500) AS text FROM documents")
+def normalize_text(spark, sf):
+    return docs(spark, sf).select("doc_id", F.substring(F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " ")), 1, 500).alias("text"))
+
+
+@query("normalize_keywords", r"SELECT doc_id, list_slice(list_filter(w, lambda x, i: list_position(list_transform(w, lambda y: lower(y)), lower(x)) = i), 1, 15) AS keywords FROM (SELECT doc_id, list_slice(regexp_extract_all(text, '[A-Za-z]+'), 1, 60) AS w FROM documents)")
+def normalize_keywords(spark, sf):
+    w = F.slice(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1), 1, 60)
+    return docs(spark, sf).select("doc_id", T.distinct_keywords(w).alias("keywords"))
+
+
+@query("normalize_metadata", HIST + "SELECT doc_id, substring(file_name, 1, 255) AS name, substring(category, 1, 100) AS category, substring(text, 1, 200) AS subject, substring(text, 1, 1000) AS summary, list_slice(tags, 1, 15) AS tags FROM h")
+def normalize_metadata(spark, sf):
+    return history(spark, sf).select("doc_id", F.substring("file_name", 1, 255).alias("name"), F.substring("category", 1, 100).alias("category"), F.substring("text", 1, 200).alias("subject"), F.substring("text", 1, 1000).alias("summary"), F.slice("tags", 1, 15).alias("tags"))
+
+
+@query("case_conventions", "WITH w AS (SELECT p_partkey, list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM part), t AS (SELECT p_partkey, w, array_to_string(list_transform(w, lambda x: upper(x[1]) || x[2:]), '') AS pascal FROM w) SELECT p_partkey, array_to_string(w, '-') AS kebab, array_to_string(w, '_') AS snake, pascal, lower(pascal[1]) || pascal[2:] AS camel FROM t")
+def case_conventions(spark, sf):
+    n = F.col("p_name")
+    return table(spark, sf, "part").select("p_partkey", T.kebab(n).alias("kebab"), T.snake(n).alias("snake"), T.pascal(n).alias("pascal"), T.camel(n).alias("camel"))
+
+
+@query("suggested_name", HIST + "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN category || '-' || strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') WHEN 1 THEN strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') || '-' || category WHEN 2 THEN lang || '-' || category ELSE file_name END AS name FROM h")
+def suggested_name(spark, sf):
+    day = F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd")
+    name = F.when(F.col("doc_id") % 4 == 0, F.concat_ws("-", "category", day)).when(F.col("doc_id") % 4 == 1, F.concat_ws("-", day, "category")).when(F.col("doc_id") % 4 == 2, F.concat_ws("-", "lang", "category")).otherwise(F.col("file_name"))
+    return history(spark, sf).select("doc_id", name.alias("name"))
+
+
+@query("strategy_path", HIST + "SELECT doc_id, 'Projects/' || category || '/' || ext || '/' || strftime(make_timestamp(ts * 1000000), '%Y') AS path FROM h")
+def strategy_path(spark, sf):
+    path = F.lit("Projects/{project_name}/{file_type}/{year}")
+    for slot, value in (("project_name", F.col("category")), ("file_type", F.col("ext")), ("year", F.date_format(F.timestamp_seconds("ts"), "yyyy"))):
+        at = F.instr(path, "{" + slot + "}")
+        path = F.overlay(path, value, at, F.lit(len(slot) + 2))
+    return history(spark, sf).select("doc_id", path.alias("path"))
+
+
+@query("file_type_category", HIST + "SELECT doc_id, CASE ext WHEN 'csv' THEN 'Spreadsheets' WHEN 'png' THEN 'Images' ELSE 'Documents' END AS type FROM h")
+def file_type_category(spark, sf):
+    return history(spark, sf).select("doc_id", T.type_group(F.col("ext")).alias("type"))
+
+
+@query("file_name_parts", HIST + "SELECT doc_id, regexp_extract(path, '([^/]+)$', 1) AS name, regexp_extract(path, '([^/]+)\\.[^./]*$', 1) AS stem, regexp_extract(path, '\\.([^./]*)$', 1) AS ext FROM h")
+def file_name_parts(spark, sf):
+    return history(spark, sf).select("doc_id", F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("stem"), F.regexp_extract("path", r"\.([^./]*)$", 1).alias("ext"))
+
+
+@query("classify_error", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'TIMEOUT' WHEN event_id % 5 = 1 THEN 'NETWORK' WHEN event_id % 5 = 2 THEN 'AI_ENGINE_ERROR' ELSE 'UNKNOWN' END AS kind, event_id % 5 < 3 AS retryable FROM events WHERE event_type = 'error'")
+def classify_error(spark, sf):
+    message = F.element_at(F.array(*map(F.lit, ("Request TIMEOUT on network", "network down", "model crashed", "odd", "???"))), (F.col("event_id") % 5 + 1).cast("int"))
+    e = table(spark, sf, "events").where("event_type = 'error'").select("event_id", T.error_kind(message).alias("kind"))
+    return e.withColumn("retryable", F.col("kind").isin("TIMEOUT", "NETWORK", "AI_ENGINE_ERROR"))
+
+
+@query("coerce_list", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN [event_type, 'x'] ELSE [event_type, 'y', 'z'] END AS items FROM events")
+def coerce_list(spark, sf):
+    raw = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('["'), "event_type", F.lit('", " x ", ""]'))).otherwise(F.concat("event_type", F.lit(", y,, z")))
+    return table(spark, sf, "events").select("event_id", T.as_list(raw).alias("items"))
+
+
+@query("validate_analysis", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'document' ELSE event_type END AS category, CASE WHEN value > 100 OR value < 0 THEN 70.0 ELSE value END AS confidence FROM events")
+def validate_analysis(spark, sf):
+    raw = F.to_json(F.struct(F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("category"), F.col("value").alias("confidence")))
+    a = F.from_json(raw, "category string, confidence double")
+    return table(spark, sf, "events").select("event_id", F.coalesce(F.nullif(a["category"], F.lit("")), F.lit("document")).alias("category"), F.when(a["confidence"].between(0, 100), a["confidence"]).otherwise(70.0).alias("confidence"))
+
+
+@query("json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("date_formats", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS ymd, strftime(o_orderdate, '%m-%d-%Y') AS mdy, strftime(o_orderdate, '%d-%m-%Y') AS dmy, strftime(o_orderdate, '%Y%m%d') AS plain FROM orders")
+def date_formats(spark, sf):
+    d = lambda f: F.date_format("o_orderdate", f)
+    return table(spark, sf, "orders").select("o_orderkey", d("yyyy-MM-dd").alias("ymd"), d("MM-dd-yyyy").alias("mdy"), d("dd-MM-yyyy").alias("dmy"), d("yyyyMMdd").alias("plain"))
+
+
+@query("parse_ts", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(floor(epoch_us(ts) / 1000.0) AS BIGINT) END AS ms FROM events")
+def parse_ts(spark, sf):
+    raw = F.when(F.col("event_id") % 7 == 0, F.lit("soon")).otherwise(F.col("ts").cast("string"))
+    return table(spark, sf, "events").select("event_id", F.unix_millis(F.try_to_timestamp(raw)).alias("ms"))
+
+
+@query("effective_date", HIST + "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '2024-03-05' WHEN 1 THEN '2023-11-30' ELSE strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') END AS day FROM h")
+def effective_date(spark, sf):
+    name = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("2024-03-05 "), "file_name")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("scan_20231130_"), "file_name")).otherwise(F.col("category"))
+    dashed = F.nullif(F.regexp_extract(name, r"((?:19|20)\d{2}-\d{2}-\d{2})", 1), F.lit(""))
+    plain = F.regexp_replace(F.nullif(F.regexp_extract(name, r"((?:19|20)\d{6})", 1), F.lit("")), r"(\d{4})(\d{2})(\d{2})", "$1-$2-$3")
+    found = F.coalesce(F.try_to_timestamp(dashed), F.try_to_timestamp(plain), F.timestamp_seconds("ts"))
+    return history(spark, sf).select("doc_id", F.date_format(found, "yyyy-MM-dd").alias("day"))
+
+
+@query("normalize_confidence", "SELECT event_id, greatest(0.0, least(100.0, round(CASE WHEN value <= 1 THEN value * 100 ELSE value END))) AS confidence FROM events")
+def normalize_confidence(spark, sf):
+    return table(spark, sf, "events").select("event_id", T.percent(F.col("value")).alias("confidence"))
+
+
+@query("derived_confidence", HIST + "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN confidence * 1.0 WHEN doc_id % 3 = 1 THEN round(30 + 40 * least(1.0, ms / 400.0), 4) ELSE 35.0 + 5 * len(tags) END AS confidence FROM h")
+def derived_confidence(spark, sf):
+    c = F.when(F.col("doc_id") % 3 == 0, F.col("confidence").cast("double")).when(F.col("doc_id") % 3 == 1, F.round(30 + 40 * F.least(F.lit(1.0), F.col("ms") / 400), 4)).otherwise(35.0 + 5 * F.size("tags"))
+    return history(spark, sf).select("doc_id", c.alias("confidence"))
+
+
+@query("semver_compare", "WITH v AS (SELECT p_partkey, [p_partkey % 3, p_partkey % 11, p_size] AS a, [1, 5, 20] AS b FROM part) SELECT p_partkey, CASE WHEN a[1] <> b[1] THEN sign(a[1] - b[1]) WHEN a[2] <> b[2] THEN sign(a[2] - b[2]) ELSE sign(a[3] - b[3]) END AS cmp FROM v")
+def semver_compare(spark, sf):
+    v = F.concat_ws(".", (F.col("p_partkey") % 3).cast("string"), (F.col("p_partkey") % 11).cast("string"), F.col("p_size").cast("string"))
+    a, b = T.version_key(v), T.version_key(F.lit("1.5.20"))
+    first = F.coalesce(F.get(F.filter(F.zip_with(a, b, lambda x, y: F.signum((x - y).cast("double"))), lambda s: s != 0), F.lit(0)), F.lit(0.0))
+    return table(spark, sf, "part").select("p_partkey", first.cast("int").alias("cmp"))
+
+
+@query("backoff", "SELECT event_id, least(60000.0, 5000.0 * power(2.0, event_id % 6)) AS wait_ms FROM events")
+def backoff(spark, sf):
+    return table(spark, sf, "events").select("event_id", T.backoff(F.col("event_id") % 6 + 1).alias("wait_ms"))
+
+
+@query("jaccard_keywords", "WITH w AS (SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS a, list_distinct(string_split(p_type, ' ')) AS b FROM part) SELECT p_partkey, round(len(list_intersect(a, b)) * 1.0 / len(list_distinct(list_concat(a, b))), 6) AS score FROM w")
+def jaccard_keywords(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.round(T.jaccard(F.split("p_name", " "), F.split("p_type", " ")), 6).alias("score"))
+
+
+@query("word_overlap", "WITH w AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS a, list_distinct(string_split(lower(p_brand || ' ' || p_name), ' ')) AS b FROM part) SELECT p_partkey, round(len(list_intersect(a, b)) * 1.0 / greatest(len(a), len(b)), 6) AS score FROM w")
+def word_overlap(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.round(T.overlap(F.split(F.lower("p_name"), " "), F.split(F.lower(F.concat_ws(" ", "p_brand", "p_name")), " ")), 6).alias("score"))
+
+
+@query("content_hash", HIST + "SELECT doc_id, substring(sha256(path || ':' || size || ':' || ts), 1, 16) AS file_hash, 'folder:' || substring(sha256(category || '|/' || category || '|'), 1, 32) AS folder_id, sha256(text) AS content_hash FROM h")
+def content_hash(spark, sf):
+    return history(spark, sf).select("doc_id", F.substring(F.sha2(F.concat_ws(":", "path", F.col("size").cast("string"), F.col("ts").cast("string")), 256), 1, 16).alias("file_hash"), F.concat(F.lit("folder:"), F.substring(F.sha2(F.concat("category", F.lit("|/"), "category", F.lit("|")), 256), 1, 32)).alias("folder_id"), F.sha2("text", 256).alias("content_hash"))
+
+
+@query("extract_year", "SELECT doc_id, list_extract(y, -1) AS year FROM (SELECT doc_id, regexp_extract_all(text || ' ' || (1990 + doc_id % 40), '\\b((?:19|20)\\d{2})\\b', 1) AS y FROM documents)")
+def extract_year(spark, sf):
+    y = F.regexp_extract_all(F.concat("text", F.lit(" "), (F.lit(1990) + F.col("doc_id") % 40).cast("string")), F.lit(r"\b((?:19|20)\d{2})\b"), 1)
+    return docs(spark, sf).select("doc_id", F.element_at(y, -1).alias("year"))
+
+
+@query("tokenize", r"SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[''’-][\p{L}\p{N}]+)*'), lambda w: length(w) > 1) AS tokens FROM documents")
+def tokenize(spark, sf):
+    t = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*)"), 1)
+    return docs(spark, sf).select("doc_id", F.filter(t, lambda w: F.length(w) > 1).alias("tokens"))
+
+
+VOCAB = "v AS (SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(string_split_regex(p_name || ' ' || p_type, '[^A-Za-z]+')) AS w FROM part) WHERE length(w) BETWEEN 5 AND 19)"
+
+
+def vocabulary_of(spark, sf):
+    w = table(spark, sf, "part").select(F.explode(F.split(F.concat_ws(" ", "p_name", "p_type"), "[^A-Za-z]+")).alias("w"))
+    return w.where(F.length("w").between(5, 19)).select(F.lower("w").alias("word")).distinct()
+
+
+@query("vocabulary", f"WITH {VOCAB} SELECT word FROM v")
+def vocabulary(spark, sf):
+    return vocabulary_of(spark, sf)
+
+
+@query("spell_correct", f"WITH {VOCAB}, t AS (SELECT word, word[1:2] || word[4:] AS typo FROM v), c AS (SELECT t.typo, v.word AS fixed, row_number() OVER (PARTITION BY t.typo ORDER BY v.word) AS rn FROM t JOIN v ON abs(length(v.word) - length(t.typo)) <= 1 AND levenshtein(t.typo, v.word) = 1 WHERE length(t.typo) >= 5) SELECT typo, fixed FROM c WHERE rn = 1")
+def spell_correct(spark, sf):
+    """Words and dictionary meet on what is left when one letter is deleted, so one edit is an equi-join."""
+    v = vocabulary_of(spark, sf)
+    typos = v.select(F.concat(F.substring("word", 1, 2), F.col("word").substr(F.lit(4), F.length("word"))).alias("typo")).distinct().where(F.length("typo") >= 5)
+    cuts = lambda c: F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(c.substr(F.lit(1), i - 1), c.substr(i + 1, F.length(c)))))
+    a = typos.select("typo", F.explode(F.array_distinct(cuts(F.col("typo")))).alias("key"))
+    b = v.select("word", F.explode(F.array_distinct(cuts(F.col("word")))).alias("key"))
+    near = a.join(b, "key").select("typo", F.col("word").alias("fixed")).distinct().where(F.levenshtein("typo", "fixed") == 1)
+    return near.groupBy("typo").agg(F.min("fixed").alias("fixed"))
+
+
+@query("levenshtein_pairs", "SELECT a.n_name AS a, b.n_name AS b, CAST(levenshtein(a.n_name, b.n_name) AS INT) AS distance FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def levenshtein_pairs(spark, sf):
+    n = table(spark, sf, "nation")
+    pairs = n.alias("a").join(n.alias("b"), "n_regionkey").where("a.n_nationkey < b.n_nationkey")
+    return pairs.select(F.col("a.n_name").alias("a"), F.col("b.n_name").alias("b"), F.levenshtein("a.n_name", "b.n_name").alias("distance"))
+
+
+@query("phonetic_code")
+def phonetic_code(spark, sf):
+    return vocabulary_of(spark, sf).select("word", T.phonetic_code("word").alias("code"))
+
+
+@query("phonetic_match")
+def phonetic_match(spark, sf):
+    """Of the words with the same code the one nearest in length, the first of equals."""
+    c = phonetic_code(spark, sf)
+    pairs = c.alias("a").join(c.alias("b"), "code").where("a.word <> b.word").select(F.col("a.word").alias("word"), F.col("b.word").alias("other"))
+    w = W.partitionBy("word").orderBy(F.abs(F.length("word") - F.length("other")), "other")
+    return pairs.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+
+
+@query("semantic_terms", "SELECT doc_id, list_distinct_sorted AS terms FROM (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 4 AND NOT regexp_full_match(w, '[0-9]+') AND NOT list_contains(['that', 'this', 'with', 'from'], w)))) AS list_distinct_sorted FROM documents)")
+def semantic_terms(spark, sf):
+    t = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1)
+    ok = lambda w: (F.length(w) >= 4) & ~w.rlike("^[0-9]+$") & ~w.isin("that", "this", "with", "from")
+    return docs(spark, sf).select("doc_id", F.sort_array(F.array_distinct(F.filter(t, ok))).alias("terms"))
+
+
+@query("token_budget", "SELECT doc_id, CAST(ceil(length(text) / 3.5) AS BIGINT) AS tokens, length(text) / 3.5 > floor(0.85 * 512) AS over, length(substring(text, 1, CAST(floor(floor(0.85 * 512) * 3.5) AS BIGINT))) AS kept FROM documents")
+def token_budget(spark, sf):
+    budget = int(0.85 * 512)
+    return docs(spark, sf).select("doc_id", T.estimated_tokens(F.col("text")).cast("long").alias("tokens"), (F.length("text") / 3.5 > budget).alias("over"), F.length(F.substring("text", 1, int(budget * 3.5))).cast("long").alias("kept"))
+
+
+@query("query_intent", r"SELECT conv_id, turn, length(text) <= 100 AND regexp_matches(lower(text), '^(hi|hello|thanks|the|is)\b') AS conversational, length(text) <= 300 AND regexp_matches(lower(text), '\b(compare|versus|vs|than|differ)\b') AS comparison, length(text) <= 300 AND regexp_matches(lower(text), '\b(missing|gap|lack)') AS gap FROM conversations")
+def query_intent(spark, sf):
+    t, n = F.lower("text"), F.length("text")
+    return table(spark, sf, "conversations").select("conv_id", "turn", ((n <= 100) & t.rlike(r"^(hi|hello|thanks|the|is)\b")).alias("conversational"), ((n <= 300) & t.rlike(r"\b(compare|versus|vs|than|differ)\b")).alias("comparison"), ((n <= 300) & t.rlike(r"\b(missing|gap|lack)")).alias("gap"))
+
+
+@query("embedding_summary", HIST + "SELECT doc_id, substring(concat_ws(chr(10), category, array_to_string(tags, ', '), file_name, substring(text, 1, 2000)), 1, 4000) AS summary FROM h")
+def embedding_summary(spark, sf):
+    return history(spark, sf).select("doc_id", F.substring(F.concat_ws("\n", "category", F.array_join("tags", ", "), "file_name", F.substring("text", 1, 2000)), 1, 4000).alias("summary"))
+
+
+@query("extension_concept_score", HIST + ", m AS (SELECT * FROM (VALUES ('pdf', 'document'), ('docx', 'document'), ('csv', 'table'), ('png', 'picture'), ('txt', 'text')) t(ext, concept)) SELECT doc_id, concept, least(20, 10 + length(concept)) AS score FROM h JOIN m USING (ext)")
+def extension_concept_score(spark, sf):
+    m = spark.createDataFrame([("pdf", "document"), ("docx", "document"), ("csv", "table"), ("png", "picture"), ("txt", "text")], "ext string, concept string")
+    return history(spark, sf).join(F.broadcast(m), "ext").select("doc_id", "concept", F.least(F.lit(20), 10 + F.length("concept")).cast("long").alias("score"))

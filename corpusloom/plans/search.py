@@ -1 +1,200 @@
-"""Placeholder until its operators exist."""
+"""Search queries: benchmark items are the query texts, vectors of ids divisible by 50 the query vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from corpusloom.operators import graph as G
+from corpusloom.operators import search as S
+from corpusloom.operators import vectors as V
+from corpusloom.operators.history import history
+from corpusloom.plans.graphs import GRAPH, concepts
+from corpusloom.plans.history import HIST
+from corpusloom.plans.registry import query
+from corpusloom.plans.vectors import COS, queries, six
+from corpusloom.session import table
+
+FIELDS = {"text": 2.5, "source": 1.5, "lang": 1.2}
+TOK = "regexp_extract_all(lower({}), '[a-z0-9]{{2,}}')"
+BM = (
+    "q AS (SELECT DISTINCT item_id AS query, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS term FROM benchmark WHERE item_id % 5 = 0), "
+    "w AS (SELECT 'text' AS field, 2.5 AS boost, doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS w FROM documents UNION ALL SELECT 'source', 1.5, doc_id, regexp_extract_all(lower(source), '[a-z0-9]{2,}') FROM documents UNION ALL SELECT 'lang', 1.2, doc_id, regexp_extract_all(lower(lang), '[a-z0-9]{2,}') FROM documents), "
+    "st AS (SELECT field, count(*) AS docs, avg(len(w)) AS mean FROM w GROUP BY 1), "
+    "p AS (SELECT field, boost, id, term, len, count(*) AS tf FROM (SELECT field, boost, id, len(w) AS len, unnest(w) AS term FROM w) WHERE term IN (SELECT term FROM q) GROUP BY ALL), "
+    "df AS (SELECT field, term, count(*) AS df FROM p GROUP BY 1, 2), "
+    "sc AS (SELECT id, term, boost * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)) AS s FROM p JOIN df USING (field, term) JOIN st USING (field)), "
+    "b0 AS (SELECT query, id, round(sum(s), 9) AS score FROM q JOIN sc USING (term) GROUP BY 1, 2), "
+    "b AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM b0) "
+)
+#: Vector results for the same queries: the vector of the query's id.
+VEC = f"v0 AS (SELECT b.vec_id AS query, a.vec_id AS id, {COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id IN (SELECT item_id FROM benchmark WHERE item_id % 5 = 0)), v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM v0) WHERE rank <= 60) "
+NORM = "CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE greatest(0, least(1, score)) END"
+
+
+def texts(spark, sf):
+    return table(spark, sf, "benchmark").where("item_id % 5 = 0").select(F.col("item_id").alias("query"), "text")
+
+
+def keyword(spark, sf, k=60):
+    return S.bm25(table(spark, sf, "documents"), texts(spark, sf), FIELDS, k=k)
+
+
+def vector(spark, sf, k=60):
+    q = table(spark, sf, "embeddings").join(texts(spark, sf).select(F.col("query").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query"), "embedding")
+    return V.top_k(table(spark, sf, "embeddings"), q, k).select("query", F.col("vec_id").alias("id"), "score", "rank")
+
+
+@query("bm25_index_terms", "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1")
+def bm25_index_terms(spark, sf):
+    return S.postings(table(spark, sf, "documents"), {"text": 1.0}).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query("bm25_topk", f"WITH {BM} SELECT query, id, round(score, 6) AS score, rank FROM b WHERE rank <= 20")
+def bm25_topk(spark, sf):
+    return keyword(spark, sf, 20).select("query", "id", six("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("search_mode_bm25", f"WITH {BM} SELECT query, id, round(score, 5) AS score FROM (SELECT query, id, {NORM} AS score FROM b WHERE rank <= 60 WINDOW w AS (PARTITION BY query)) WHERE score >= 0.15")
+def search_mode_bm25(spark, sf):
+    return S.normalised(keyword(spark, sf)).where("score >= 0.15").select("query", "id", F.round("score", 5).alias("score"))
+
+
+@query("search_mode_vector", f"WITH {VEC} SELECT query, id, round(score, 5) AS score FROM (SELECT query, id, {NORM} AS score FROM v WINDOW w AS (PARTITION BY query)) WHERE score >= 0.15")
+def search_mode_vector(spark, sf):
+    return S.normalised(vector(spark, sf)).where("score >= 0.15").select("query", "id", F.round("score", 5).alias("score"))
+
+
+CH = "ch AS (SELECT query, floor(id / 4) * 4 AS id, max(score) AS score FROM v0 GROUP BY 1, 2), chr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM ch) WHERE rank <= 60) "
+
+
+def chunk(spark, sf):
+    """Vectors in fours are the chunks of one file; the best one speaks for it."""
+    q = table(spark, sf, "embeddings").join(texts(spark, sf).select(F.col("query").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query"), "embedding")
+    files = V.top_k(table(spark, sf, "embeddings"), q, 1 << 31).groupBy("query", (F.floor(F.col("vec_id") / 4) * 4).alias("id")).agg(F.max("score").alias("score"))
+    return files.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))).where("rank <= 60")
+
+
+PARTS = f"nb AS (SELECT query, id, {NORM} AS score FROM b WHERE rank <= 60 WINDOW w AS (PARTITION BY query)), nv AS (SELECT query, id, {NORM} AS score FROM v WINDOW w AS (PARTITION BY query)), nc AS (SELECT query, id, {NORM} AS score FROM chr WINDOW w AS (PARTITION BY query)) "
+HYBRID = f"WITH {BM}, {VEC}, {CH}, {PARTS}, f AS (SELECT query, id, round(sum(score), 9) AS score FROM (SELECT query, id, 0.25 * score AS score FROM nb UNION ALL SELECT query, id, 0.375 * score FROM nv UNION ALL SELECT query, CAST(id AS BIGINT), 0.375 * score FROM nc) GROUP BY 1, 2), hy AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 30 AND score >= 0.15) "
+
+
+def hybrid_results(spark, sf):
+    return S.hybrid(keyword(spark, sf), vector(spark, sf), chunk(spark, sf))
+
+
+@query("hybrid_search", HYBRID + "SELECT query, id, round(score, 5) AS score, rank FROM hy")
+def hybrid_search(spark, sf):
+    return hybrid_results(spark, sf).select("query", "id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("rrf_fusion", f"WITH {BM}, {VEC}, {CH}, {PARTS}, r AS (SELECT query, id, 1.0 / (60 + rank) AS r, s.score FROM b JOIN nb s USING (query, id) UNION ALL SELECT query, id, 1.0 / (60 + rank), s.score FROM v JOIN nv s USING (query, id)), g AS (SELECT query, id, sum(r) AS r, max(score) AS best FROM r GROUP BY 1, 2) SELECT query, id, round(0.7 * r / greatest(max(r) OVER (PARTITION BY query), 0.001) + 0.3 * best, 5) AS score FROM g")
+def rrf_fusion(spark, sf):
+    return S.reciprocal_rank_fusion([keyword(spark, sf), vector(spark, sf)]).select("query", "id", F.round("score", 5).alias("score"))
+
+
+@query("weighted_rrf", f"WITH {BM}, {VEC} SELECT query, id, round(round(sum(s), 9), 8) AS score FROM (SELECT query, id, 0.7 / (60 + rank + 1) AS s FROM v UNION ALL SELECT query, id, 0.3 / (60 + rank + 1) FROM b WHERE rank <= 60) GROUP BY 1, 2")
+def weighted_rrf(spark, sf):
+    part = lambda df, w: df.select("query", "id", (1.0 / (S.RRF + F.col("rank") + 1)).alias("score"))
+    return S.fuse({"v": (part(vector(spark, sf), 0.7), 0.7), "b": (part(keyword(spark, sf), 0.3), 0.3)}).select("query", "id", F.round("score", 8).alias("score"))
+
+
+@query("rerank_merge", HYBRID + ", pp AS (SELECT *, CASE WHEN rank <= 10 THEN (id % 11) / 10.0 END AS points FROM hy) SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY points IS NULL, points DESC, rank) AS new_rank FROM pp")
+def rerank_merge(spark, sf):
+    """A stand-in scorer gives id modulo 11 points; a model's scores take its place."""
+    return S.rerank(hybrid_results(spark, sf), (F.col("id") % 11).cast("double")).select("query", "id", F.col("new_rank").cast("long").alias("new_rank"))
+
+
+@query("graph_expansion", GRAPH.rstrip() + f", {BM}, s AS (SELECT query, id, score FROM b WHERE rank <= 15), bo AS (SELECT source AS id, target AS other, weight FROM g2 UNION ALL SELECT target, source, weight FROM g2), n AS (SELECT s.query, bo.other AS id, max(s.score * least(1.0, bo.weight * 1.0 / (SELECT max(weight) FROM g2)) * 0.6) AS n FROM s JOIN bo ON bo.id = s.id WHERE NOT EXISTS (SELECT 1 FROM s x WHERE x.query = s.query AND x.id = bo.other) GROUP BY 1, 2), n2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n DESC, id) AS k FROM n) WHERE k <= 120) SELECT query, id, round(sum(score), 5) AS score FROM (SELECT query, id, score FROM b WHERE rank <= 60 UNION ALL SELECT query, id, n * 0.2 FROM n2) GROUP BY 1, 2")
+def graph_expansion(spark, sf):
+    return S.graph_expand(keyword(spark, sf), G.concept_edges(concepts(spark, sf))).select("query", "id", F.round("score", 5).alias("score"))
+
+
+@query("enrich_left_join", "SELECT e.vec_id, coalesce(d.source, 'label' || e.label) AS folder FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id")
+def enrich_left_join(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "source")
+    return table(spark, sf, "embeddings").join(d, "vec_id", "left").select("vec_id", F.coalesce("source", F.concat(F.lit("label"), F.col("label").cast("string"))).alias("folder"))
+
+
+@query("chunk_parent_join", "SELECT e.vec_id, coalesce(d.lang, '') AS lang, CASE WHEN d.doc_id IS NULL THEN 'document' ELSE d.source END AS kind FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id * 2")
+def chunk_parent_join(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source")
+    e = table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") * 2).alias("doc_id")).join(d, "doc_id", "left")
+    return e.select("vec_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("document")).alias("kind"))
+
+
+@query("orphan_chunks", "SELECT conv_id, turn FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = c.conv_id)")
+def orphan_chunks(spark, sf):
+    known = table(spark, sf, "labels").select(F.col("doc_id").alias("conv_id"))
+    return table(spark, sf, "conversations").select("conv_id", "turn").join(known, "conv_id", "left_anti")
+
+
+CHUNKS = """cc AS (SELECT doc_id AS id, at, substring(text, CAST(at + 1 AS BIGINT), 1000) AS raw FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(CAST(ceil((length(text) - 1000) / 800.0) AS BIGINT), 0) * 800, 800)) AS at FROM documents WHERE length(text) > 0)),
+ ct AS (SELECT id, at + length(raw) - length(regexp_replace(raw, '^[ \\t\\r\\n]+', '')) AS start, regexp_replace(regexp_replace(raw, '^[ \\t\\r\\n]+', ''), '[ \\t\\r\\n]+$', '') AS chunk FROM cc),
+ ci AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY start) - 1 AS index, start, start + length(chunk) AS "end", chunk FROM ct WHERE chunk <> '') """.replace(" at,", " pos,").replace("(at ", "(pos ").replace("AS at ", "AS pos ").replace(" at + ", " pos + ")
+
+
+@query("chunk_text", f'WITH {CHUNKS} SELECT id, index, start, "end", chunk FROM ci WHERE index < 80')
+def chunk_text(spark, sf):
+    return S.chunks(table(spark, sf, "documents")).select("id", F.col("index").cast("long").alias("index"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "chunk")
+
+
+@query("chunk_context", f"WITH {CHUNKS}, h AS (SELECT id, index FROM ci WHERE index < 80 AND index % 3 = 1) SELECT h.id, h.index, substring(trim(string_agg(c.chunk, chr(10) ORDER BY c.index)), 1, 2000) AS context FROM h JOIN ci c ON c.id = h.id AND abs(c.index - h.index) <= 1 AND c.index < 80 GROUP BY 1, 2")
+def chunk_context(spark, sf):
+    parts = S.chunks(table(spark, sf, "documents"))
+    return S.chunk_context(parts.where("index % 3 = 1"), parts).select("id", F.col("index").cast("long").alias("index"), "context")
+
+
+@query("match_details", f"WITH {BM} SELECT query, id, list_sort(list(DISTINCT term)) AS terms FROM b JOIN q USING (query) JOIN documents d ON d.doc_id = id WHERE rank <= 10 AND contains(lower(d.text), term) GROUP BY 1, 2")
+def match_details(spark, sf):
+    q = texts(spark, sf).select("query", F.explode(F.array_distinct(S.tokens(F.col("text")))).alias("term"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("t"))
+    return keyword(spark, sf, 10).join(d, "id").join(q, "query").where(F.contains("t", "term")).groupBy("query", "id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+
+
+@query("weighted_keyword_search", HIST + """, s AS (SELECT doc_id, ts, CASE WHEN contains(lower(file_name), 'doc1') THEN 10 ELSE 0 END + CASE WHEN contains(category, 'src1') THEN 5 ELSE 0 END + CASE WHEN len(list_filter(tags, lambda t: contains(t, 'tag1'))) > 0 THEN 4 ELSE 0 END AS base, lower(text) AS t FROM h),
+ r AS (SELECT doc_id, ts, base + CASE WHEN base = 0 AND contains(t, 'there') THEN 3 ELSE 0 END AS score FROM s) SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, ts DESC) AS rank FROM r WHERE score > 0 ORDER BY rank LIMIT 100""")
+def weighted_keyword_search(spark, sf):
+    """Bonuses by field; the text counts only where nothing else did."""
+    has = lambda c, x, points: F.when(F.contains(c, F.lit(x)), points).otherwise(0)
+    h = history(spark, sf)
+    base = has(F.lower("file_name"), "doc1", 10) + has(F.col("category"), "src1", 5) + F.when(F.exists("tags", lambda t: F.contains(t, F.lit("tag1"))), 4).otherwise(0)
+    r = h.select("doc_id", "ts", base.alias("base"), F.lower("text").alias("t"))
+    r = r.select("doc_id", "ts", (F.col("base") + F.when((F.col("base") == 0) & F.contains("t", F.lit("there")), 3).otherwise(0)).alias("score")).where("score > 0")
+    top = r.orderBy(F.desc("score"), F.desc("ts"), "doc_id").limit(100)  # a hundred rows are ranked
+    return top.select("doc_id", "score", F.row_number().over(W.orderBy(F.desc("score"), F.desc("ts"))).cast("long").alias("rank"))
+
+
+@query("autocomplete", "SELECT name, score FROM (SELECT DISTINCT p_type AS name, 1.0 AS score FROM part WHERE p_type ILIKE '%st%' UNION SELECT DISTINCT p_brand, 0.9 FROM part WHERE p_brand ILIKE '%2%') ORDER BY score DESC, name LIMIT 8")
+def autocomplete(spark, sf):
+    p = table(spark, sf, "part")
+    a = p.where(F.col("p_type").ilike("%st%")).select(F.col("p_type").alias("name"), F.lit(1.0).alias("score"))
+    return a.union(p.where(F.col("p_brand").ilike("%2%")).select("p_brand", F.lit(0.9))).distinct().orderBy(F.desc("score"), "name").limit(8)
+
+
+@query("highlight", "SELECT doc_id, regexp_replace(text, '(the|that)', '[\\1]', 'gi') AS marked FROM documents")
+def highlight(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "(?i)(the|that)", "[$1]").alias("marked"))
+
+
+@query("context_first_union", "SELECT doc_id, min(priority) AS priority FROM (SELECT doc_id, 0 AS priority FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 1 FROM documents WHERE lang = 'es') GROUP BY 1")
+def context_first_union(spark, sf):
+    first = table(spark, sf, "labels").where("quality = 1").select("doc_id").distinct()
+    rest = table(spark, sf, "documents").where("lang = 'es'").select("doc_id").join(first, "doc_id", "left_anti")
+    return first.withColumn("priority", F.lit(0)).unionByName(rest.withColumn("priority", F.lit(1)))
+
+
+@query("rag_sources", HYBRID + "SELECT hy.query, hy.id, substring(d.text, 1, 240) AS snippet FROM hy JOIN v USING (query, id) JOIN documents d ON d.doc_id = hy.id WHERE v.score >= 0.25")
+def rag_sources(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 240).alias("snippet"))
+    strong = vector(spark, sf).where("score >= 0.25").select("query", "id")
+    return hybrid_results(spark, sf).join(strong, ["query", "id"]).join(d, "id").select("query", "id", "snippet")
+
+
+@query("search_diagnostics", "SELECT 'HISTORY_WITHOUT_EMBEDDINGS' AS issue, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) HAVING count(*) > 0 UNION ALL SELECT 'DIMENSION_MISMATCH', count(*) FROM embeddings WHERE len(embedding) <> 64 HAVING count(*) > 0 UNION ALL SELECT 'EMPTY_FILE_COLLECTION', 0 FROM (SELECT count(*) AS c FROM embeddings) WHERE c = 0")
+def search_diagnostics(spark, sf):
+    e, d = table(spark, sf, "embeddings"), table(spark, sf, "documents")
+    issue = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("issue"), "n").where("n > 0")
+    lost = d.select(F.col("doc_id").alias("vec_id")).join(e.select("vec_id"), "vec_id", "left_anti")
+    none = e.agg(F.count("*").alias("c")).where("c = 0").select(F.lit("EMPTY_FILE_COLLECTION").alias("issue"), F.lit(0).cast("long").alias("n"))
+    return issue("HISTORY_WITHOUT_EMBEDDINGS", lost).unionByName(issue("DIMENSION_MISMATCH", e.where(F.size("embedding") != 64))).unionByName(none)
