@@ -1 +1,286 @@
-"""Placeholder until its operators exist."""
+"""Queries over folder suggestions, joins of catalogues, feedback and audits."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as T
+from corpusloom.operators import recommend as R
+from corpusloom.operators.history import history, latest_per_key
+from corpusloom.plans.history import HIST
+from corpusloom.plans.registry import query
+from corpusloom.session import table
+
+CAND = HIST + """, cand AS (SELECT doc_id AS file, category AS folder, confidence / 100.0 AS score, confidence / 100.0 AS confidence, 'semantic' AS source FROM h UNION ALL SELECT doc_id, upper(category), 0.5, 0.6, 'user_pattern' FROM h WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, lang, 0.4, 0.45, 'llm' FROM h),
+ g AS (SELECT file, lower(trim(folder)) AS key, min(folder) AS folder, round(max(score * CASE source WHEN 'llm' THEN 1.5 WHEN 'user_pattern' THEN 1.2 ELSE 1.1 END), 6) AS score, max(confidence) AS c, max(struct_pack(confidence := confidence, source := source)).source AS source, count(DISTINCT source) AS sources, max(CASE WHEN source = 'user_pattern' THEN 1 ELSE 0 END) AS u FROM cand GROUP BY 1, 2),
+ r AS (SELECT file, folder, score, round(least(1.0, c * CASE WHEN sources > 1 THEN 1.2 ELSE 1.0 END * CASE WHEN u = 1 THEN 1.3 ELSE 1.0 END), 2) AS confidence, source, sources FROM g) """
+
+
+def candidates(spark, sf):
+    h = history(spark, sf)
+    c = (F.col("confidence") / 100).alias("score")
+    a = h.select(F.col("doc_id").alias("file"), F.col("category").alias("folder"), c, c.alias("confidence"), F.lit("semantic").alias("source"))
+    b = h.where("doc_id % 3 = 0").select(F.col("doc_id").alias("file"), F.upper("category").alias("folder"), F.lit(0.5).alias("score"), F.lit(0.6).alias("confidence"), F.lit("user_pattern").alias("source"))
+    return a.unionByName(b).unionByName(h.select(F.col("doc_id").alias("file"), F.col("lang").alias("folder"), F.lit(0.4).alias("score"), F.lit(0.45).alias("confidence"), F.lit("llm").alias("source")))
+
+
+@query("combine_sources", CAND + "SELECT source, count(*) AS n FROM cand GROUP BY 1")
+def combine_sources(spark, sf):
+    return candidates(spark, sf).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("rank_suggestions", CAND + "SELECT file, folder, score, source, row_number() OVER (PARTITION BY file ORDER BY score DESC, confidence DESC, folder) AS rank FROM r")
+def rank_suggestions(spark, sf):
+    return R.ranked(candidates(spark, sf)).select("file", "folder", "score", "source", F.col("rank").cast("long").alias("rank"))
+
+
+@query("suggestion_confidence", CAND + "SELECT file, folder, confidence, sources FROM r")
+def suggestion_confidence(spark, sf):
+    return R.ranked(candidates(spark, sf)).select("file", "folder", "confidence", "sources")
+
+
+@query("cluster_boost", CAND + "SELECT file, folder, round(score * CASE WHEN e.label % 2 = 0 THEN 1.3 ELSE 1.0 END, 5) AS score FROM r LEFT JOIN embeddings e ON e.vec_id = file")
+def cluster_boost(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("file"), "label")
+    return R.ranked(candidates(spark, sf)).join(e, "file", "left").select("file", "folder", F.round(F.col("score") * F.when(F.col("label") % 2 == 0, 1.3).otherwise(1.0), 5).alias("score"))
+
+
+@query("memory_adjustment", CAND + ", m AS (SELECT ext, max_by(folder, ts) AS rule FROM (SELECT ext, category AS folder, ts FROM h) GROUP BY 1) SELECT file, r.folder, round(greatest(0.0, least(1.0, score + CASE WHEN lower(r.folder) = lower(m.rule) THEN 0.2 ELSE -0.1 END)), 5) AS score FROM r JOIN h ON h.doc_id = file JOIN m USING (ext)")
+def memory_adjustment(spark, sf):
+    h = history(spark, sf)
+    m = h.groupBy("ext").agg(F.max_by("category", "ts").alias("rule"))
+    r = R.ranked(candidates(spark, sf)).join(h.select(F.col("doc_id").alias("file"), "ext"), "file").join(m, "ext")
+    change = F.when(F.lower("folder") == F.lower("rule"), 0.2).otherwise(-0.1)
+    return r.select("file", "folder", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") + change)), 5).alias("score"))
+
+
+@query("latest_rule", HIST + "SELECT ext, max_by(category, ts) AS folder, max(ts) AS ts FROM h GROUP BY 1")
+def latest_rule(spark, sf):
+    return history(spark, sf).groupBy("ext").agg(F.max_by("category", "ts").alias("folder"), F.max("ts").alias("ts"))
+
+
+@query("unresolved_penalty", CAND + "SELECT file, folder, CASE WHEN lower(folder) LIKE 'src%' THEN score ELSE least(0.2, score) END AS score FROM r")
+def unresolved_penalty(spark, sf):
+    known = table(spark, sf, "documents").select(F.col("source").alias("folder")).distinct()
+    return R.penalised(R.ranked(candidates(spark, sf)), known).select("file", "folder", "score")
+
+
+@query("move_detection", """WITH d AS (SELECT event_id, user_id, epoch(ts) AS s FROM events WHERE event_type = 'error'), a AS (SELECT event_id, user_id, epoch(ts) AS s FROM events WHERE event_type = 'signup'),
+ p AS (SELECT d.event_id AS deleted, a.event_id AS added, abs(a.s - d.s) AS gap FROM d JOIN a USING (user_id) WHERE abs(a.s - d.s) <= 3600) SELECT deleted, added FROM (SELECT *, count(*) OVER (PARTITION BY deleted) AS n FROM p) WHERE n = 1""")
+def move_detection(spark, sf):
+    """A delete and an add of one key within the tolerance are a move; with several adds there is none.
+
+    Time is cut into tolerance-wide buckets, so the range join is an equi-join on three buckets.
+    """
+    width = 3600.0
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"))
+    bucket = F.floor(F.col("s") / width)
+    d = e.where("event_type = 'error'").select(F.col("event_id").alias("deleted"), "user_id", F.col("s").alias("s1"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("b"))
+    a = e.where("event_type = 'signup'").select(F.col("event_id").alias("added"), "user_id", F.col("s").alias("s2"), bucket.alias("b"))
+    p = d.join(a, ["user_id", "b"]).where(F.abs(F.col("s2") - F.col("s1")) <= width)
+    return p.withColumn("n", F.count("*").over(W.partitionBy("deleted"))).where("n = 1").select("deleted", "added")
+
+
+@query("pattern_match_top3", "WITH f AS (SELECT p_partkey, string_split(p_type, ' ') AS a FROM part), pt AS (SELECT DISTINCT p_type AS pattern, string_split(p_type, ' ') AS b FROM part), s AS (SELECT p_partkey, pattern, (CASE WHEN a[1] = b[1] THEN 1 ELSE 0 END + CASE WHEN a[2] = b[2] THEN 1 ELSE 0 END) / 2.0 AS score FROM f, pt WHERE a[1] = b[1] OR a[2] = b[2]) SELECT p_partkey, pattern FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, pattern) AS rn FROM s WHERE score >= 0.5) WHERE rn <= 3")
+def pattern_match_top3(spark, sf):
+    """Types that share a segment at its place; patterns and files meet on (place, segment)."""
+    p = table(spark, sf, "part")
+    f = p.select("p_partkey", F.posexplode(F.split("p_type", " ")).alias("at", "seg"))
+    pt = p.select(F.col("p_type").alias("pattern")).distinct().select("pattern", F.posexplode(F.split("pattern", " ")).alias("at", "seg"))
+    s = f.join(pt, ["at", "seg"]).groupBy("p_partkey", "pattern").agg((F.count("*") / 2).alias("score")).where("score >= 0.5")
+    return latest_per_key(s, "p_partkey", F.desc("score"), F.asc("pattern")).select("p_partkey", "pattern")
+
+
+@query("folder_match_cascade", "WITH w AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN CAST(c_nationkey AS VARCHAR) WHEN 1 THEN n_name ELSE lower(n_name) END AS wanted FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT c_custkey, coalesce((SELECT n_nationkey FROM nation WHERE CAST(n_nationkey AS VARCHAR) = wanted), (SELECT n_nationkey FROM nation WHERE n_name = wanted), (SELECT n_nationkey FROM nation WHERE lower(n_name) = lower(wanted))) AS folder FROM w")
+def folder_match_cascade(spark, sf):
+    n = table(spark, sf, "nation")
+    w = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_nationkey").cast("string")).when(F.col("c_custkey") % 3 == 1, F.col("n_name")).otherwise(F.lower("n_name")).alias("wanted"))
+    by = lambda key, name: n.select(key.alias("wanted" if name != "low" else "lw"), F.col("n_nationkey").alias(name))
+    j = w.join(by(F.col("n_nationkey").cast("string"), "id"), "wanted", "left").join(by(F.col("n_name"), "path"), "wanted", "left").join(by(F.lower("n_name"), "low"), F.lower("wanted") == F.col("lw"), "left")
+    return j.select("c_custkey", F.coalesce("id", "path", "low").alias("folder"))
+
+
+PAIRS = "w AS (SELECT DISTINCT p_type, string_split(p_type, ' ') AS w FROM part), o AS (SELECT a.p_type AS a, b.p_type AS b, len(list_intersect(list_distinct(a.w), list_distinct(b.w))) * 1.0 / greatest(len(list_distinct(a.w)), len(list_distinct(b.w))) AS score FROM w a, w b WHERE a.p_type < b.p_type AND list_has_any(a.w, b.w))"
+
+
+@query("folder_overlaps", f"WITH {PAIRS} SELECT a, b, round(score, 6) AS score FROM o WHERE score >= 0.5 ORDER BY score DESC, a, b LIMIT 100")
+def folder_overlaps(spark, sf):
+    """Names that share a word are the candidates: an equi-join on words instead of all pairs."""
+    t = table(spark, sf, "part").select("p_type", F.split("p_type", " ").alias("w")).distinct()
+    e = t.select("p_type", "w", F.explode(F.array_distinct("w")).alias("word"))
+    pairs = e.alias("x").join(e.alias("y"), "word").where("x.p_type < y.p_type").select(F.col("x.p_type").alias("a"), F.col("y.p_type").alias("b"), F.col("x.w").alias("wa"), F.col("y.w").alias("wb")).distinct()
+    s = pairs.select("a", "b", F.round(T.overlap(F.col("wa"), F.col("wb")), 6).alias("score")).where("score >= 0.5")
+    return s.orderBy(F.desc("score"), "a", "b").limit(100)
+
+
+@query("contradictions", HIST + ", t AS (SELECT doc_id, size AS topic, lang, ts FROM h) SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.topic = b.topic AND a.doc_id < b.doc_id WHERE a.lang <> b.lang ORDER BY 1, 2 LIMIT 5")
+def contradictions(spark, sf):
+    """Documents of one topic (here: equal size) with different entities (languages), the first five.
+
+    A topic's documents are counted by language first, so topics of one language never make pairs.
+    """
+    h = history(spark, sf).select("doc_id", F.col("size").alias("topic"), "lang")
+    mixed = h.groupBy("topic").agg(F.count_distinct("lang").alias("n")).where("n > 1").select("topic")
+    h = h.join(mixed, "topic", "left_semi")
+    p = h.alias("x").join(h.alias("y"), "topic").where("x.doc_id < y.doc_id AND x.lang <> y.lang")
+    return p.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).orderBy("a", "b").limit(5)
+
+
+@query("strategy_scores", HIST + "SELECT doc_id, least(1.0, CASE WHEN category IS NOT NULL THEN 0.3 ELSE 0 END + CASE WHEN ext <> 'txt' THEN 0.3 ELSE 0 END + CASE WHEN contains('projects reports data', category) OR contains('reports pdf docs', ext) THEN 0.4 ELSE 0 END) AS score FROM h")
+def strategy_scores(spark, sf):
+    s = F.when(F.col("category").isNotNull(), 0.3).otherwise(0.0) + F.when(F.col("ext") != "txt", 0.3).otherwise(0.0) + F.when(F.contains(F.lit("projects reports data"), "category") | F.contains(F.lit("reports pdf docs"), "ext"), 0.4).otherwise(0.0)
+    return history(spark, sf).select("doc_id", F.least(F.lit(1.0), s).alias("score"))
+
+
+@query("best_strategy", HIST + "SELECT category, CASE WHEN count(DISTINCT lang) = 1 THEN 'project' WHEN count(DISTINCT ext) > 4 THEN 'type' ELSE 'adaptive' END AS strategy, round(0.75 + least(0.15, 0.005 * count(*)), 6) AS score FROM h GROUP BY 1")
+def best_strategy(spark, sf):
+    s = F.when(F.count_distinct("lang") == 1, "project").when(F.count_distinct("ext") > 4, "type").otherwise("adaptive")
+    return history(spark, sf).groupBy("category").agg(s.alias("strategy"), F.round(0.75 + F.least(F.lit(0.15), 0.005 * F.count("*")), 6).alias("score"))
+
+
+@query("parse_rules", "SELECT n_nationkey, lower(regexp_extract(t, '(?i)^(\\w+) files go to ([\\w ]+)$', 1)) AS extension, regexp_extract(t, '(?i)^(\\w+) files go to ([\\w ]+)$', 2) AS folder FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'PDF files go to ' || n_name ELSE 'nothing here' END AS t FROM nation)")
+def parse_rules(spark, sf):
+    t = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("PDF files go to "), "n_name")).otherwise("nothing here")
+    part = lambda k: F.regexp_extract(t, r"(?i)^(\w+) files go to ([\w ]+)$", k)
+    return table(spark, sf, "nation").select("n_nationkey", F.lower(part(1)).alias("extension"), part(2).alias("folder"))
+
+
+def feedback(spark, sf):
+    return table(spark, sf, "events").where("event_type IN ('click', 'error')").select(F.concat_ws(":", "event_type", (F.col("user_id") % 20).cast("string")).alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), (F.col("event_id") % 3 != 0).alias("accepted"))
+
+
+@query("pattern_learning")
+def pattern_learning(spark, sf):
+    return R.learned_patterns(feedback(spark, sf))
+
+
+@query("pattern_prune", "WITH p AS (SELECT user_id AS key, count(*) AS n, max(epoch(ts)) AS last FROM events GROUP BY 1), s AS (SELECT key, n * 0.8 / (1 + ((SELECT max(last) FROM p) - last) / 2592000.0) AS score FROM p) SELECT key FROM (SELECT key, row_number() OVER (ORDER BY round(score, 6), key) AS rn FROM s) WHERE rn <= (SELECT CAST(ceil(0.1 * count(*)) AS BIGINT) FROM s)")
+def pattern_prune(spark, sf):
+    """The tenth of patterns with the lowest count over age."""
+    p = table(spark, sf, "events").groupBy(F.col("user_id").alias("key")).agg(F.count("*").alias("n"), F.max(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("last"))
+    newest, n = p.agg(F.max("last"), F.count("*")).first()
+    s = p.select("key", F.round(F.col("n") * 0.8 / (1 + (F.lit(newest) - F.col("last")) / 2592000.0), 6).alias("score"))
+    return s.orderBy("score", "key").limit(-(-n // 10)).select("key")
+
+
+@query("feedback_retention", "SELECT event_id FROM (SELECT event_id, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY ORDER BY ts DESC, event_id DESC LIMIT 1000)")
+def feedback_retention(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "ts")
+    newest = e.select(F.max("ts")).scalar()
+    return e.where(F.col("ts") >= newest - F.expr("INTERVAL 10 DAYS")).orderBy(F.desc("ts"), F.desc("event_id")).limit(1000).select("event_id")
+
+
+@query("feedback_weights", "SELECT event_type, round(CAST(sum(CASE event_type WHEN 'click' THEN 1.0 WHEN 'view' THEN 1.0 WHEN 'purchase' THEN 0.9 WHEN 'signup' THEN 0.6 ELSE 0.4 END * 0.85) AS DOUBLE), 4) AS weight FROM events GROUP BY 1")
+def feedback_weights(spark, sf):
+    weight = F.lit(0.4)
+    for name, w in (("click", 1.0), ("view", 1.0), ("purchase", 0.9), ("signup", 0.6)):
+        weight = F.when(F.col("event_type") == name, w).otherwise(weight)
+    return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.sum(weight * 0.85), 4).alias("weight"))
+
+
+@query("folder_fit", "WITH w AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS a, list_distinct(string_split(lower(p_type), ' ')) AS b, p_brand FROM part) SELECT p_partkey, round(0.6 * len(list_intersect(a, b)) / greatest(len(a), len(b)) + 0.2 * len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS fit FROM w")
+def folder_fit(spark, sf):
+    a, b = F.split(F.lower("p_name"), " "), F.split(F.lower("p_type"), " ")
+    return table(spark, sf, "part").select("p_partkey", F.round(R.folder_fit(a, b, a, b, F.col("p_brand"), a, b), 6).alias("fit"))
+
+
+@query("missing_categories", "SELECT c AS category FROM (SELECT unnest(['STANDARD', 'SMALL', 'MEDIUM', 'LARGE', 'ECONOMY', 'PROMO', 'Invoices']) AS c) WHERE NOT EXISTS (SELECT 1 FROM part WHERE contains(p_type, c))")
+def missing_categories(spark, sf):
+    names = ("STANDARD", "SMALL", "MEDIUM", "LARGE", "ECONOMY", "PROMO", "Invoices")
+    seen = table(spark, sf, "part").agg(*(F.max(F.contains("p_type", F.lit(n))).alias(n) for n in names))
+    rows = seen.select(F.explode(F.array(*(F.struct(F.lit(n).alias("category"), F.coalesce(n, F.lit(False)).alias("seen")) for n in names))).alias("r")).select("r.*")
+    return rows.where("NOT seen").select("category")
+
+
+@query("category_override", HIST + "SELECT doc_id, CASE WHEN ms / 500.0 >= 0.65 AND ms / 500.0 > confidence / 100.0 THEN lang ELSE category END AS category FROM h")
+def category_override(spark, sf):
+    s, own = F.col("ms") / 500, F.col("confidence") / 100
+    return history(spark, sf).select("doc_id", F.when((s >= 0.65) & (s > own), F.col("lang")).otherwise(F.col("category")).alias("category"))
+
+
+@query("auto_organize_decision", HIST + "SELECT doc_id, CASE WHEN confidence >= 75 AND doc_id % 4 <> 0 THEN 'organise' WHEN confidence >= 75 THEN 'review' WHEN doc_id % 2 = 0 THEN 'low-confidence-default' ELSE 'review' END AS decision FROM h")
+def auto_organize_decision(spark, sf):
+    sure, resolved = F.col("confidence") >= 75, F.col("doc_id") % 4 != 0
+    d = F.when(sure & resolved, "organise").when(sure, "review").when(F.col("doc_id") % 2 == 0, "low-confidence-default").otherwise("review")
+    return history(spark, sf).select("doc_id", d.alias("decision"))
+
+
+@query("batch_recommendations", HIST + ", g AS (SELECT category, count(DISTINCT lang) AS langs, max(ts) - min(ts) AS span, count(*) AS n FROM h GROUP BY 1) SELECT category, 'project' AS kind, 0.9 AS confidence FROM g WHERE langs = 1 UNION ALL SELECT category, 'temporal', 0.7 FROM g WHERE span < 86400 * 400 UNION ALL SELECT category, 'groups', 0.6 FROM g WHERE n > 5")
+def batch_recommendations(spark, sf):
+    g = history(spark, sf).groupBy("category").agg(F.count_distinct("lang").alias("langs"), (F.max("ts") - F.min("ts")).alias("span"), F.count("*").alias("n"))
+    rules = (("project", 0.9, F.col("langs") == 1), ("temporal", 0.7, F.col("span") < 86400 * 400), ("groups", 0.6, F.col("n") > 5))
+    rows = F.array(*(F.when(c, F.struct(F.lit(k).alias("kind"), F.lit(x).alias("confidence"))) for k, x, c in rules))
+    return g.select("category", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("category", "r.kind", "r.confidence")
+
+
+@query("cluster_batch", HIST + "SELECT coalesce(CAST(e.label AS VARCHAR), 'unclustered') AS grp, count(*) AS n FROM h LEFT JOIN embeddings e ON e.vec_id = h.doc_id GROUP BY 1")
+def cluster_batch(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    return history(spark, sf).join(e, "doc_id", "left").groupBy(F.coalesce(F.col("label").cast("string"), F.lit("unclustered")).alias("grp")).agg(F.count("*").alias("n"))
+
+
+@query("rule_category", HIST + "SELECT doc_id, CASE WHEN contains(lower(text), 'license') THEN 'Legal' WHEN contains(lower(text), 'token') THEN 'Secrets' WHEN ext = 'csv' THEN 'Tables' WHEN ext = 'png' THEN 'Pictures' ELSE 'Documents' END AS category FROM h")
+def rule_category(spark, sf):
+    """Keyword scores (a keyword counts its length), then the extension."""
+    keywords = {"Legal": ("license",), "Secrets": ("token",)}
+    t = F.lower("text")
+    scores = {k: sum((F.when(F.contains(t, F.lit(w)), len(w)).otherwise(0) for w in ws), F.lit(0)) for k, ws in keywords.items()}
+    best = F.greatest(*scores.values())
+    out = F.when(F.col("ext") == "csv", "Tables").when(F.col("ext") == "png", "Pictures").otherwise("Documents")
+    for k, s in reversed(scores.items()):
+        out = F.when((best > 0) & (s == best), k).otherwise(out)
+    return history(spark, sf).select("doc_id", out.alias("category"))
+
+
+@query("rule_keywords", HIST + "SELECT doc_id, list_slice([category, lang, ext, 'tag' || (doc_id % 7)], 1, 10) AS keywords FROM h")
+def rule_keywords(spark, sf):
+    return history(spark, sf).select("doc_id", F.slice(F.array_union(F.array("category", "lang", "ext"), "tags"), 1, 10).alias("keywords"))
+
+
+@query("category_to_folder", "WITH w AS (SELECT DISTINCT p_type, lower(split_part(p_type, ' ', 1)) AS name FROM part), f AS (SELECT unnest(['standard', 'smal', 'mediun', 'large', 'economi', 'promo']) AS folder), m AS (SELECT p_type, folder, levenshtein(name, folder) AS d, row_number() OVER (PARTITION BY p_type ORDER BY levenshtein(name, folder), folder) AS rn FROM w, f) SELECT p_type, CASE WHEN d <= 2 THEN folder ELSE 'Uncategorized' END AS folder FROM m WHERE rn = 1")
+def category_to_folder(spark, sf):
+    """The nearest of a few folder names by edit distance, if near enough; names are a literal list."""
+    folders = ("economi", "large", "mediun", "promo", "smal", "standard")
+    name = F.lower(F.split("p_type", " ")[0])
+    best = F.array_min(F.array(*(F.struct(F.levenshtein(name, F.lit(f)).alias("d"), F.lit(f).alias("folder")) for f in folders)))
+    return table(spark, sf, "part").select("p_type").distinct().select("p_type", F.when(best["d"] <= 2, best["folder"]).otherwise("Uncategorized").alias("folder"))
+
+
+@query("model_category_suggestion", HIST + "SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN category ELSE '' END, ''), lang) AS folder, CASE WHEN doc_id % 2 = 0 THEN greatest(confidence / 100.0, 0.95) ELSE confidence / 100.0 END AS score FROM h")
+def model_category_suggestion(spark, sf):
+    given = F.when(F.col("doc_id") % 2 == 0, F.col("category")).otherwise("")
+    folder = F.coalesce(F.nullif(given, F.lit("")), F.col("lang"))
+    c = F.col("confidence") / 100
+    good = F.levenshtein(folder, F.col("category")) == 0
+    return history(spark, sf).select("doc_id", folder.alias("folder"), F.when(good, F.greatest(c, F.lit(0.95))).otherwise(c).alias("score"))
+
+
+@query("improvement_suggestions", "WITH w AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS a, list_distinct(string_split(lower(p_type), ' ')) AS b FROM part), f AS (SELECT p_partkey, round(0.6 * len(list_intersect(a, b)) / greatest(len(a), len(b)) + 0.2 * len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS fit FROM w) SELECT p_partkey, CASE WHEN fit > 0.3 AND fit < 0.7 THEN round(fit + 0.2, 6) ELSE 0.6 END AS score, NOT (fit > 0.3 AND fit < 0.7) AS new_folder FROM f")
+def improvement_suggestions(spark, sf):
+    f = folder_fit(spark, sf)
+    some = (F.col("fit") > 0.3) & (F.col("fit") < 0.7)
+    return f.select("p_partkey", F.when(some, F.round(F.col("fit") + 0.2, 6)).otherwise(0.6).alias("score"), (~some).alias("new_folder"))
+
+
+@query("cluster_folder", "WITH m AS (SELECT e.label, d.source, count(*) AS n FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id GROUP BY 1, 2), b AS (SELECT label, source, n, row_number() OVER (PARTITION BY label ORDER BY n DESC, source) AS rn FROM m) SELECT label, source AS folder, CASE WHEN n >= 5 THEN 0.85 ELSE 0.6 END AS score FROM b WHERE rn = 1")
+def cluster_folder(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "source")
+    m = table(spark, sf, "embeddings").select("vec_id", "label").join(d, "vec_id").groupBy("label", "source").agg(F.count("*").alias("n"))
+    return latest_per_key(m, "label", F.desc("n"), F.asc("source")).select("label", F.col("source").alias("folder"), F.when(F.col("n") >= 5, 0.85).otherwise(0.6).alias("score"))
+
+
+@query("folder_word_overlap", "SELECT item_id, n_name, len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]+')), lambda w: contains(lower(n_name), w))) AS hits FROM benchmark, nation WHERE len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]+')), lambda w: contains(lower(n_name), w))) > 0")
+def folder_word_overlap(spark, sf):
+    """Folder names are few: each becomes the list of its own parts, met by the words of the texts."""
+    w = table(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1))).alias("w"))
+    n = table(spark, sf, "nation").select("n_name", F.lower("n_name").alias("l"))
+    cuts = F.flatten(F.transform(F.sequence(F.lit(1), F.length("l")), lambda i: F.transform(F.sequence(F.lit(1), F.length("l") - i + 1), lambda k: F.col("l").substr(i, k))))
+    parts = n.select("n_name", F.explode(F.array_distinct(cuts)).alias("w"))
+    return w.join(parts, "w").groupBy("item_id", "n_name").agg(F.count("*").alias("hits"))
+
+
+@query("unique_names")
+def unique_names(spark, sf):
+    e = table(spark, sf, "events").select((F.col("user_id") % 40).cast("string").alias("dir"), F.concat("event_type", F.lit(".txt")).alias("name"), "event_id")
+    return R.unique_names(e, dir_col="dir", name_col="name", order_col="event_id")

@@ -93,10 +93,10 @@ def rrf_fusion(spark, sf):
     return S.reciprocal_rank_fusion([keyword(spark, sf), vector(spark, sf)]).select("query", "id", F.round("score", 5).alias("score"))
 
 
-@query("weighted_rrf", f"WITH {BM}, {VEC} SELECT query, id, round(round(sum(s), 9), 8) AS score FROM (SELECT query, id, 0.7 / (60 + rank + 1) AS s FROM v UNION ALL SELECT query, id, 0.3 / (60 + rank + 1) FROM b WHERE rank <= 60) GROUP BY 1, 2")
+@query("weighted_rrf", f"WITH {BM}, {VEC} SELECT query, id, round(round(sum(s), 9), 7) AS score FROM (SELECT query, id, 0.7 / (60 + rank + 1) AS s FROM v UNION ALL SELECT query, id, 0.3 / (60 + rank + 1) FROM b WHERE rank <= 60) GROUP BY 1, 2")
 def weighted_rrf(spark, sf):
     part = lambda df, w: df.select("query", "id", (1.0 / (S.RRF + F.col("rank") + 1)).alias("score"))
-    return S.fuse({"v": (part(vector(spark, sf), 0.7), 0.7), "b": (part(keyword(spark, sf), 0.3), 0.3)}).select("query", "id", F.round("score", 8).alias("score"))
+    return S.fuse({"v": (part(vector(spark, sf), 0.7), 0.7), "b": (part(keyword(spark, sf), 0.3), 0.3)}).select("query", "id", F.round("score", 7).alias("score"))
 
 
 @query("rerank_merge", HYBRID + ", pp AS (SELECT *, CASE WHEN rank <= 10 THEN (id % 11) / 10.0 END AS points FROM hy) SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY points IS NULL, points DESC, rank) AS new_rank FROM pp")
