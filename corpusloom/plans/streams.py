@@ -1 +1,153 @@
-"""Placeholder until its operators exist."""
+"""Queries over events: batch twins of the streaming operators, and windows of event time."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from corpusloom.plans.registry import query
+from corpusloom.session import table
+from corpusloom.streaming import events as E
+
+
+def events(spark, sf):
+    return table(spark, sf, "events")
+
+
+def us(c):
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
+@query("stream_filter", "SELECT event_id, user_id FROM events WHERE event_type <> 'error' AND value IS NOT NULL")
+def stream_filter(spark, sf):
+    return E.wanted(events(spark, sf)).select("event_id", "user_id")
+
+
+@query("debounce_sessions", """WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 3600000000 OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+ s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 3600000000 AS end_us, count(*) AS n, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS last_id FROM s GROUP BY user_id, k""")
+def debounce_sessions(spark, sf):
+    s = E.debounced(events(spark, sf))
+    return s.select("user_id", us("start").alias("start_us"), us("end").alias("end_us"), "n", "last_id")
+
+
+@query("tumbling_window", "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def tumbling_window(spark, sf):
+    return E.windowed(events(spark, sf)).select(us("start").alias("start_us"), "event_type", "n", "total")
+
+
+@query("sliding_window", "SELECT s AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT event_type, value, (epoch_us(ts) // 1800000000 - k) * 1800000000 AS s FROM events, (SELECT unnest([0, 1]) AS k)) GROUP BY 1, 2")
+def sliding_window(spark, sf):
+    return E.windowed(events(spark, sf), "1 hour", "30 minutes").select(us("start").alias("start_us"), "event_type", "n", "total")
+
+
+@query("latest_event_per_key", "SELECT user_id, max_by(event_type, struct_pack(t := ts, e := event_id)) AS event_type, max(event_id) AS newest FROM events GROUP BY 1")
+def latest_event_per_key(spark, sf):
+    return events(spark, sf).groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.max("event_id").alias("newest"))
+
+
+@query("needs_analysis", "SELECT d.doc_id, l.doc_id IS NULL OR d.n_chars > 4000 OR d.doc_id % 10 = 0 AS needs FROM documents d LEFT JOIN labels l USING (doc_id)")
+def needs_analysis(spark, sf):
+    known = table(spark, sf, "labels").select("doc_id", F.lit(True).alias("seen")).distinct()
+    d = table(spark, sf, "documents").join(known, "doc_id", "left")
+    return d.select("doc_id", (F.col("seen").isNull() | (F.col("n_chars") > 4000) | (F.col("doc_id") % 10 == 0)).alias("needs"))
+
+
+@query("retry_outcome", """WITH r AS (SELECT *, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events), f AS (SELECT user_id, run, count(*) FILTER (event_type = 'error') AS failures FROM r GROUP BY 1, 2), m AS (SELECT user_id, max_by(failures, run) AS failures FROM f GROUP BY 1)
+ SELECT user_id, failures, CASE WHEN failures = 0 THEN 'ok' WHEN failures <= 3 THEN 'retry' ELSE 'notify' END AS outcome FROM m""")
+def retry_outcome(spark, sf):
+    return E.retry_counts(events(spark, sf))
+
+
+@query("dead_letter", "WITH f AS (SELECT user_id, count(*) AS n, max(epoch_us(ts)) AS last_us FROM events WHERE event_type = 'error' GROUP BY 1) SELECT user_id, n, CASE WHEN n > 3 OR user_id % 17 = 0 THEN NULL ELSE last_us + CAST(least(60000.0, 5000.0 * power(2.0, n - 1)) * 1000 AS BIGINT) END AS retry_us, n > 3 OR user_id % 17 = 0 AS dead FROM f")
+def dead_letter(spark, sf):
+    """Back-off up to three failures; more, or a mismatch that no retry mends, is a dead letter."""
+    f = events(spark, sf).where("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("n"), F.max(us("ts")).alias("last_us"))
+    dead = (F.col("n") > 3) | (F.col("user_id") % 17 == 0)
+    wait = (F.least(F.lit(60000.0), F.lit(5000.0) * F.pow(F.lit(2.0), F.col("n") - 1)) * 1000).cast("long")
+    return f.select("user_id", "n", F.when(~dead, F.col("last_us") + wait).alias("retry_us"), dead.alias("dead"))
+
+
+@query("ttl_sweep", "WITH m AS (SELECT max(ts) AS now FROM events) SELECT event_id FROM events, m WHERE ts >= now - CASE event_type WHEN 'error' THEN INTERVAL 2 HOUR WHEN 'view' THEN INTERVAL 30 MINUTE ELSE INTERVAL 14 DAY END")
+def ttl_sweep(spark, sf):
+    e = events(spark, sf).select("event_id", "event_type", us("ts").alias("us"))
+    now = e.select(F.max("us")).scalar()
+    ttl = F.when(F.col("event_type") == "error", 7200).when(F.col("event_type") == "view", 1800).otherwise(14 * 86400).cast("long") * 1_000_000
+    return e.where(F.col("us") >= now - ttl).select("event_id")
+
+
+@query("dedupe_window")
+def dedupe_window(spark, sf):
+    return E.accepted_after_gap(events(spark, sf), 3600.0)
+
+
+@query("undo_log")
+def undo_log(spark, sf):
+    kind = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "view", "redo").otherwise("do")
+    return E.undo_log(events(spark, sf).select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), kind.alias("kind")))
+
+
+@query("circuit_state")
+def circuit_state(spark, sf):
+    return E.circuit_states(events(spark, sf), failures=2, open_s=7200.0)
+
+
+# Relational extras over the generic tables.
+
+
+@query("grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
+def grouping_sets(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return li.groupingSets([["l_returnflag", "l_linestatus"], ["l_returnflag"], []], "l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def cube(spark, sf):
+    return table(spark, sf, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def rollup(spark, sf):
+    return table(spark, sf, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("pivot", "SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view FROM events GROUP BY 1")
+def pivot(spark, sf):
+    return events(spark, sf).groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.count("event_id")).fillna(0)
+
+
+@query("approx_count_distinct")
+def approx_count_distinct(spark, sf):
+    return table(spark, sf, "lineitem").agg(F.approx_count_distinct("l_partkey").alias("parts"))
+
+
+@query("rank_functions", "SELECT o_orderkey, row_number() OVER (w, o_orderkey) AS rn FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC)".replace("(w, o_orderkey)", "(PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)").replace(" WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC)", ""))
+def rank_functions(spark, sf):
+    w = W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return table(spark, sf, "orders").select("o_orderkey", F.row_number().over(w).cast("long").alias("rn"))
+
+
+@query("running_sum", "SELECT l_orderkey, l_linenumber, round(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING), 2) AS total FROM lineitem")
+def running_sum(spark, sf):
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").rowsBetween(W.unboundedPreceding, 0)
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.sum("l_quantity").over(w), 2).alias("total"))
+
+
+@query("asof_join", "SELECT a.event_id, b.event_id AS click_id FROM events a ASOF JOIN (SELECT user_id, ts, event_id FROM events WHERE event_type = 'click') b ON a.user_id = b.user_id AND a.ts > b.ts WHERE a.event_type = 'purchase'")
+def asof_join(spark, sf):
+    """The last click before each purchase: both kinds in one ordered window, so there is no range join."""
+    w = W.partitionBy("user_id").orderBy("ts").rangeBetween(W.unboundedPreceding, -1)
+    e = events(spark, sf).where("event_type IN ('click', 'purchase')").select("event_id", "user_id", "event_type", us("ts").alias("ts"))
+    click = F.last(F.when(F.col("event_type") == "click", F.col("event_id")), ignorenulls=True).over(w)
+    return e.withColumn("click_id", click).where("event_type = 'purchase' AND click_id IS NOT NULL").select("event_id", "click_id")
+
+
+@query("full_outer", "SELECT coalesce(c.c_nationkey, s.s_nationkey) AS nation, coalesce(nc, 0) AS customers, coalesce(ns, 0) AS suppliers FROM (SELECT c_nationkey, count(*) AS nc FROM customer GROUP BY 1) c FULL JOIN (SELECT s_nationkey, count(*) AS ns FROM supplier GROUP BY 1) s ON c_nationkey = s_nationkey")
+def full_outer(spark, sf):
+    c = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers"))
+    s = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("suppliers"))
+    return c.join(s, "nation", "full").fillna(0, ["customers", "suppliers"])
+
+
+@query("except_all", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+def except_all(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, sf, "orders").select("o_custkey"))
