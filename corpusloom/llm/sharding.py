@@ -110,19 +110,28 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
 
 
 def smallest_capacity(sizes: list[int], n_bins: int) -> list[int]:
-    """Bins of items in falling order, under about the least capacity for which ``n_bins`` do."""
-    if not sizes:
-        return []
-    low, high = max(sizes[0], -(-sum(sizes) // n_bins)), max(2 * -(-sum(sizes) // n_bins), sizes[0]) + 1
-    best = best_fit_decreasing(sizes, high)
-    while high - low > max(low >> 14, 0):
+    """Bins of items in falling order, under about the least capacity for which ``n_bins`` do.
+
+    Items above the mean of what is left have a bin to themselves first.
+    """
+    alone, total = 0, sum(sizes)
+    while alone < min(n_bins - 1, len(sizes)) and sizes[alone] * (n_bins - alone) > total:
+        total -= sizes[alone]
+        alone += 1
+    rest, bins = sizes[alone:], n_bins - alone
+    if not rest:
+        return list(range(alone))
+    low = max(rest[0], -(-total // bins))
+    high = 2 * low
+    best = best_fit_decreasing(rest, high)
+    while high - low > low >> 14:
         mid = (low + high) // 2
-        got = best_fit_decreasing(sizes, mid)
-        if max(got) < n_bins:
+        got = best_fit_decreasing(rest, mid)
+        if max(got) < bins:
             best, high = got, mid
         else:
             low = mid + 1
-    return best
+    return [*range(alone), *(alone + b for b in best)]
 
 
 def _fill_pallets(capacity: int):
