@@ -60,7 +60,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_language_model(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_language_model(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
