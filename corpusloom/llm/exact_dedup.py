@@ -125,18 +125,20 @@ def recipes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, keep_id, group_size, kept, text_sha256.
 
-    Rows are summed by (recipe, id) before and by recipe after the shuffle, and joined
-    back on the recipe; a group of any size is one row on the other side of that join, so
-    that Spark can split its documents over tasks.
+    Groups are summed before the shuffle and written; documents then meet their group in a
+    plain join on the recipe, where Spark can split a group of any size over tasks. Only
+    rows that may stay (one a group, or repeated ones) are counted once more.
     """
     rows = cut_lineage(recipes(docs, id_col=id_col, text_col=text_col))
-    same_row = rows.groupBy("recipe", "_id", "text_sha256").agg(F.count("*").alias("_n"))
-    groups = rows.groupBy("recipe").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size"))
-    joined = same_row.join(groups, "recipe")
-    one = F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_copy")
-    return joined.select(F.col("_id").alias(id_col), "keep_id", "group_size", one, "text_sha256").select(
-        id_col, "keep_id", "group_size", (F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)).alias("kept"), "text_sha256"
-    )
+    groups = cut_lineage(rows.groupBy("recipe").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size")))
+    joined = cut_lineage(rows.join(groups, "recipe").select("_id", "keep_id", "group_size", "text_sha256"))
+    may_stay = F.col("_id").eqNullSafe(F.col("keep_id"))
+    gone = joined.where(~may_stay).select("_id", "keep_id", "group_size", F.lit(False).alias("kept"), "text_sha256")
+    # Repeated rows are equal in all columns here: count them, keep the first of each.
+    same = joined.where(may_stay).groupBy("_id", "keep_id", "group_size", "text_sha256").agg(F.count("*").alias("_n"))
+    nth = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_nth")
+    stay = same.select("_id", "keep_id", "group_size", nth, "text_sha256").select("_id", "keep_id", "group_size", (F.col("_nth") == 1).alias("kept"), "text_sha256")
+    return gone.unionByName(stay).withColumnRenamed("_id", id_col)
 
 
 def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
