@@ -69,7 +69,7 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, *, id_col: str
     covered = ends.select("sha", F.greatest(F.col("end") - F.greatest("at", before), F.lit(0)).alias("new")).groupBy("sha").agg(F.sum("new").cast("long").alias("n_hit"))
     named = hits.select("sha", "window").distinct().join(windows, "window").select("sha", F.col("item").cast("string").alias("item")).distinct()
     items = named.groupBy("sha").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    by_text = covered.join(items, "sha", "left")
+    by_text = cut_lineage(covered.join(items, "sha", "left"))  # written, so that Spark can split the copies of a hit text
     rows = docs.select(F.col(id_col).alias(id_col), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("sha"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
     out = rows.join(by_text, "sha", "left")
     names = F.coalesce("items", F.array().cast("array<string>"))
