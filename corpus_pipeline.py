@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.decontaminate import drop_contaminated
 from corpusloom.llm.exact_dedup import drop_exact_copies
 from corpusloom.llm.sentencepieces import encode_pieces
+from corpusloom.llm.shingles import similar_groups
 from corpusloom.llm.simhash import keep_one_of_each
 from corpusloom.llm.toxicity import fit_toxicity, score_toxicity
 from corpusloom.session import is_train, shared_folder, table
@@ -35,8 +36,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return keep_one_of_each(docs)
+    """Of each group of texts linked by five-word Jaccard similarities of 0.8 or more the smallest id stays."""
+    return keep_one_of_each(docs, grouped=similar_groups)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,121 @@
+"""Near copies by exact Jaccard similarity of five-word shingles.
+
+MinHash bands propose pairs and the exact similarity of the two shingle sets decides. Two
+texts of similarity 0.8 miss all 32 bands of 4 values with probability (1 - 0.8^4)^32,
+5 in 100 million. Equal sets are one node. Each bucket first offers the pairs with its
+smallest node, then in ``ROUNDS`` rounds those of a node drawn by hash with nodes of other
+components. Buckets that still have several components offer all pairs between them. So a
+large linked group costs some stars a bucket, but texts that meet without being linked cost
+all their pairs.
+
+Defined results: words as in ``simhash``; a text of one to four words is one shingle; texts
+without words (nulls too) are copies of each other and of nothing else.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom.llm.scan import small_batches
+from corpusloom.llm.simhash import components
+from corpusloom.session import cut_lineage
+
+SHINGLE, SIMILARITY = 5, 0.8
+BANDS, BAND_ROWS = 32, 4
+ROUNDS = 3  # stars around other nodes before all pairs
+_RNG = np.random.default_rng(42)
+_XOR = _RNG.integers(0, 1 << 64, BANDS * BAND_ROWS, dtype=np.uint64)
+_MUL = _RNG.integers(0, 1 << 64, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles."""
+    words = (text or "").encode().lower().split()
+    n = max(len(words) - SHINGLE + 1, 1) if words else 0
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+    starts = np.concatenate([[0], ends])[:n].tolist()
+    ends = (ends[SHINGLE - 1 :] - 1).tolist() if len(words) >= SHINGLE else [len(line)]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(line[a:b]) for a, b in zip(starts, ends[:n], strict=False)), dtype=np.uint64, count=n))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key a band; none for an empty set."""
+    if not len(hashes):
+        return np.zeros(0, dtype=np.int64)
+    low = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
+    for a in range(0, len(hashes), 2_048):
+        np.minimum(low, ((hashes[None, a : a + 2_048] ^ _XOR[:, None]) * _MUL[:, None]).min(axis=1), out=low)
+    rows = low.reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], dtype=np.uint64).view(np.int64)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
+
+    @F.pandas_udf("boolean")
+    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(left, right, strict=True):
+            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            shared = 0
+            if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(shared >= similarity * (len(x) + len(y) - shared))
+        return pd.Series(out, dtype=bool)
+
+    left, right = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"s{c}")) for c in "ab")
+    return cut_lineage(pairs.join(left, "a").join(right, "b").where(alike("sa", "sb")).select("a", "b"))
+
+
+def similar_groups(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
+    """(_id, sha, fp, root, component_id) of every row, as ``simhash._grouped`` gives them."""
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("fp long, bands array<long>")
+    def described(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(x) for x in texts]
+        nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+        return pd.DataFrame({"fp": nodes, "bands": [band_keys(s) for s in sets]})
+
+    @F.pandas_udf("binary")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(x).astype("<u8").tobytes() for x in texts], dtype=object)
+
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    rows = docs.select(F.col(id_col).alias("_id"), sha.alias("sha"), described(F.col(text_col)).alias("d"))
+    rows = cut_lineage(rows.select("_id", "sha", "d.*"))
+    nodes = rows.groupBy("fp").agg(F.min("_id").alias("first"), F.min("sha").alias("sha"), F.first("bands").alias("bands"))
+    keyed = nodes.select(F.col("fp").alias("node"), F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last").select("key", "centre")
+    met = cut_lineage(keyed.join(shared, "key"))
+    wanted = nodes.select("fp", "sha").join(met.select(F.col("node").alias("fp")).distinct(), "fp", "left_semi")
+    texts = docs.select(sha.alias("sha"), F.col(text_col).alias("_text")).join(wanted, "sha").dropDuplicates(["fp"])
+    sets = cut_lineage(texts.select(F.col("fp").alias("node"), hashes("_text").alias("hashes")))
+
+    edges = _verified(met.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), sets, similarity)
+    for k in range(ROUNDS + 1):
+        roots = components(edges)
+        named = met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        middle = F.min_by("node", F.xxhash64("node", F.lit(k))).alias("a")
+        split = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), middle).where("low < high").select("key", "a")
+        left = cut_lineage(named.join(split, "key"))
+        if left.isEmpty():
+            break
+        if k < ROUNDS:
+            roots_of = left.where("node = a").select("key", F.col("root").alias("ra"))
+            rest = left.join(roots_of, "key").where("root <> ra").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+        else:
+            b = left.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
+            rest = left.select("key", F.col("node").alias("a"), F.col("root").alias("ra")).join(b, "key").where("ra < rb").select("a", "b")
+        edges = edges.unionByName(_verified(rest.distinct(), sets, similarity))
+    else:
+        roots = components(edges)
+    member = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = member.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.drop("bands").join(member.join(least, "root").select("fp", "root", "component_id"), "fp")

@@ -19,7 +19,7 @@ there is none. Repeated rows get one result each; other columns are carried alon
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -206,11 +206,11 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return rows.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", grouped: Callable[[DataFrame, str, str], DataFrame] = _grouped) -> DataFrame:
     """``docs`` with one row of each component: the smallest id, nulls last, then the smallest text hash."""
     sha, key, nth = fresh_name(docs, "_sha"), fresh_name(docs, "_key"), fresh_name(docs, "_nth")
     whole_id = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
-    first = _grouped(docs, id_col, text_col).groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "sha")).alias("s"))
+    first = grouped(docs, id_col, text_col).groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "sha")).alias("s"))
     stays = first.select(whole_id(F.col("s._id")).alias(key), F.col("s.sha").alias(sha))
     rows = docs.withColumns({key: whole_id(F.col(id_col)), sha: F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)})
     left = rows.join(stays, [key, sha], "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(key, sha).orderBy(key)))

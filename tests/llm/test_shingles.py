@@ -1,0 +1,45 @@
+from collections import defaultdict
+
+import corpus_pipeline
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+
+def brute(rows):
+    """Ids that stay: the smallest of each component of similarity 0.8 or more."""
+    sets = {i: shingles(t) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    holders = defaultdict(list)
+    for i, s in sets.items():
+        for x in s or {None}:
+            holders[x].append(i)
+    for a, s in sets.items():
+        for b in {b for x in s or {None} for b in holders[x] if b > a}:
+            both = len(s & sets[b])
+            if not s or both >= 0.8 * (len(s) + len(sets[b]) - both):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {i for i in sets if root(i) == i}
+
+
+def test_stage_finds_every_near_copy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    words = [f"w{i}" for i in range(100)]
+    chain = [" ".join(f"x{i}" if i in range(k * 20, k * 20 + 3) else w for i, w in enumerate(words)) for k in range(5)]
+    chain.append(" ".join(words))
+    short = ["a b c", "A  b\nc", "a b d", "", None, "é"]
+    extra = spark.createDataFrame([(10_000_000 + i, t) for i, t in enumerate(chain + short)], "doc_id long, text string")
+    docs = docs.unionByName(extra)
+    rows = [tuple(r) for r in docs.collect()]
+    got = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(got) == sorted(brute(rows))
+    assert len([i for i in got if i >= 10_000_000]) < len(chain + short)
