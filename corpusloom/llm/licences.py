@@ -57,48 +57,62 @@ _TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+:-]*")
 
 def parse_expression(text: str) -> list[str] | None:
     """Postfix order of a licence expression; None if it is malformed."""
+    text = text.lower()
+    return read_expression(text, 0, len(text))[0]
+
+
+def read_expression(lower: str, start: int, stop: int) -> tuple[list[str] | None, set[str]]:
+    """Postfix order (None if malformed) and all identifiers of the expression at ``start``, up to where prose begins.
+
+    Prose begins with a name or an opening parenthesis behind a name, or a closing one too many.
+    """
     out: list[str] = []
     stack: list[str] = []
-    wants_name = True
-    for token in _TOKEN.findall(text.lower()):
+    names: set[str] = set()
+    wants_name = good = True
+    for found in _TOKEN.finditer(lower, start, stop):
+        token = found[0]
         if token in PRECEDENCE:
-            if wants_name:
-                return None
+            good &= not wants_name
             while stack and stack[-1] != "(" and PRECEDENCE[stack[-1]] >= PRECEDENCE[token]:
                 out.append(stack.pop())
             stack.append(token)
             wants_name = True
         elif token == "(":
             if not wants_name:
-                return None
+                good = False
+                break
             stack.append(token)
         elif token == ")":
             while stack and stack[-1] != "(":
                 out.append(stack.pop())
-            if not stack or wants_name:
-                return None
+            if not stack:
+                good = False
+                break
+            good &= not wants_name
+            wants_name = False
             stack.pop()
         elif not wants_name:
             break  # prose after the expression
         else:
             out.append(token)
+            names.add(token)
             wants_name = False
-    if wants_name or "(" in stack:
-        return None
-    return out + stack[::-1]
+    if not good or wants_name or "(" in stack:
+        return None, names
+    return out + stack[::-1], names
 
 
 def evaluate(postfix: list[str]) -> tuple[set[str], bool]:
     """Identifiers of an expression, and whether it can be used permissively."""
-    values: list[tuple[set[str], bool]] = []
+    values: list[bool] = []
     for token in postfix:
         if token in PRECEDENCE:
             b, a = values.pop(), values.pop()
-            verdict = a[1] or b[1] if token == "or" else a[1] and b[1] if token == "and" else a[1]
-            values.append((a[0] | b[0], verdict))
+            values.append(a or b if token == "or" else a and b if token == "and" else a)
         else:
-            values.append(({token}, token.startswith(PERMISSIVE)))
-    return values[0]
+            values.append(token.startswith(PERMISSIVE))
+    return {t for t in postfix if t not in PRECEDENCE}, values[0]
 
 
 @lru_cache(maxsize=1)
@@ -126,13 +140,10 @@ def scan_text(text: str | None) -> dict[str, object]:
             weights[notice] = max(weights.get(notice, 0), 0.7)
     lower = (text or "").lower()
     for end, _ in tags.iter(lower):
-        rest = lower[end + 1 :].split("\n", 1)[0] if len(lower) - end < 300 else lower[end + 1 : end + 300].split("\n", 1)[0]
-        postfix = parse_expression(rest)
+        stop = lower.find("\n", end + 1)
+        postfix, names = read_expression(lower, end + 1, len(lower) if stop < 0 else stop)
         if postfix:
-            names, verdict = evaluate(postfix)
-            verdicts.append(verdict)
-        else:
-            names = {t for t in _TOKEN.findall(rest)[:1] if t not in PRECEDENCE and t not in "()"}
+            verdicts.append(evaluate(postfix)[1])
         for name in names:
             weights[name] = 0.9
     count = (lambda at: line.count(" ", 0, at))

@@ -40,3 +40,15 @@ def test_empty_table_and_extra_columns(spark):
     (r,) = scan_licences(df).collect()
     assert r["_licence"] == "mine" and r["score"] == 0.5
     assert scan_licences(df.limit(0)).count() == 0
+
+
+def test_whole_line_is_read():
+    names = [f"lib-{i}-licence" for i in range(150)]
+    line = "SPDX-License-Identifier: (" + " AND ".join(names) + ") OR MIT"
+    assert len(line) > 2_000
+    got = scan_text(f"{line}\nGPL-2.0")
+    assert {*got["labels"].split(",")} == {*names, "mit"} and got["permissive"] is True
+    got = scan_text(line.replace(")", "") + " see the file")
+    assert {*got["labels"].split(",")} == {*names, "mit"} and got["permissive"] is None
+    assert scan_text("(SPDX-License-Identifier: MIT) and then")["labels"] == "mit"
+    assert scan_text("@license MIT (see the file)")["labels"] == "mit"
