@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.scan import small_batches
+from corpusloom.llm.scan import bounded_batches
 from corpusloom.session import cut_lineage, fresh_name
 
 WINDOW = 32  # bytes the rolling hash sees; a power of two
@@ -110,7 +110,7 @@ def recipes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     Should an identifier ever stand for different bytes, texts that hold it get their bytes
     as their recipe, which compares them exactly as well.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     bad = [bytes(r["id"]) for r in collided_identifiers(rows, "_text").limit(1_000).collect()]
     if len(bad) == 1_000:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.scan import small_batches
+from corpusloom.llm.scan import bounded_batches
 
 N_LABELLED = 300
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -327,7 +327,7 @@ def main_text(page: str | None, weights: tuple[np.ndarray, np.ndarray]) -> str:
 
 def extract_pages(pages: DataFrame, *, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """``pages`` with the main text of each; the model is trained once and sent along."""
-    small_batches(pages.sparkSession, 64)
+    bounded_batches(pages.sparkSession)
     weights = pages.sparkSession.sparkContext.broadcast(train())  # a few hundred numbers
 
     @F.pandas_udf("string")

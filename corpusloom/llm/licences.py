@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.scan import automaton, line_of, places, small_batches, words_of
+from corpusloom.llm.scan import automaton, line_of, places, bounded_batches, words_of
 from corpusloom.session import fresh_name
 
 #: Phrases of the contract.
@@ -158,7 +158,7 @@ FIELDS = {"n_words": "long", "n_base": "long", "first_word": "long", "last_word"
 
 def scan_licences(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with the columns of ``FIELDS``, which replace columns of those names."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf(", ".join(f"{k} {v}" for k, v in FIELDS.items()))
     def scanned(texts: pd.Series) -> pd.DataFrame:

@@ -11,9 +11,9 @@ WORD_BYTES = bytes(
 )
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Texts can be very long, so Python workers get few rows at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Texts can be very long, so what Python workers get at a time is bounded in bytes; short rows go on in large batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def words_of(text: str | None, table: bytes = WORD_BYTES) -> list[bytes]:

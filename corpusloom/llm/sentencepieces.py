@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.scan import small_batches
+from corpusloom.llm.scan import bounded_batches
 from corpusloom.session import fresh_name
 
 META = "▁"
@@ -352,7 +352,7 @@ def encode_pieces(docs: DataFrame, model_path: str, *, text_col: str = "text", f
     ids (little-endian unsigned 32-bit) and of the decoded text. The model file is read on the
     driver and sent once to each executor; its size doesn't grow with the data.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = ", ".join(f"{name} {FIELDS[name]}" for name in fields)

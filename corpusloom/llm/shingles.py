@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.scan import small_batches
+from corpusloom.llm.scan import bounded_batches
 from corpusloom.llm.simhash import components
 from corpusloom.session import cut_lineage
 
@@ -75,7 +75,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 def similar_groups(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
     """(_id, sha, fp, root, component_id) of every row, as ``simhash._grouped`` gives them."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("fp long, bands array<long>")
     def described(texts: pd.Series) -> pd.DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.scan import small_batches
+from corpusloom.llm.scan import bounded_batches
 from corpusloom.session import cut_lineage, fresh_name
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -189,7 +189,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, sha, fp, root, component_id) of every row."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     text = F.col("_text")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     rows = cut_lineage(rows.select("_id", F.sha2(F.coalesce(text, F.lit("")), 256).alias("sha"), fingerprint_column(text).alias("fp")))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.scan import WORD_BYTES, automaton, line_of, places, small_batches
+from corpusloom.llm.scan import WORD_BYTES, automaton, line_of, places, bounded_batches
 from corpusloom.session import fresh_name
 
 #: Letters of other scripts that look like Latin ones.
@@ -105,7 +105,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     log-odds reach ``min_log_odds``; copies of one text make ordinary words look telling,
     but hardly ever that much. Its weight is what it has above ``min_log_odds - 1``.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     sample = labelled_sample(labels, id_col, label_col, max_labelled)
     train = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id").select("_text", "_label")
 
@@ -170,7 +170,7 @@ def _fit_logistic(rows: list[tuple[float, int, int]], ridge: float = 1e-3) -> tu
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", score_col: str = "score", hits_col: str = "n_hits") -> DataFrame:
     """``docs`` with a score from 0 to 1 and the number of lexicon hits that count."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("score double, hits long")
     def scored(texts: pd.Series) -> pd.DataFrame:
