@@ -15,8 +15,8 @@ from corpusloom.llm.sentencepieces import encode_pieces
 from corpusloom.llm.sharding import shard_documents
 from corpusloom.llm.simhash import near_groups
 from corpusloom.llm.toxicity import fit_toxicity, score_toxicity
-from corpusloom.llm.warc import audit_report, damaged_replica, lay_out_records
-from corpusloom.session import is_train, table
+from corpusloom.llm.warc import fixity_drill
+from corpusloom.session import cut_lineage, is_train, scratch, table
 
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -55,8 +55,8 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = lay_out_records(table(spark, sf_dir, "pages"))
-    return audit_report(records, damaged_replica(records))
+    with scratch(spark, "warc") as folder:
+        return cut_lineage(fixity_drill(table(spark, sf_dir, "pages"), folder))
 
 
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

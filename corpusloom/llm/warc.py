@@ -1,30 +1,43 @@
-"""WARC records and a Merkle fixity audit of replicas.
-
-Pages become WARC response records, dealt to files of bounded size; a record's place is its
-offset in its file. The audit hashes records (with their offsets and lengths) into leaves,
-every ``FANOUT`` leaves in offset order into a node, and so on up to one root a file. Roots
-of two replicas are compared first, and only below nodes that differ are the children
-compared, down to the records.
-
-Defined results: a null url or body is written as empty; an empty table has no files. Rows
-that repeat become records of their own, in a fixed order. A record that one replica lacks,
-or has in another place, is reported as missing there. Other columns are not written.
+"""WARC files and a Merkle fixity audit of replicas.
+
+Pages become WARC response records, dealt to files of bounded size by a hash; in a file they
+stand in order of ids, urls and digests, so that layout and files say the same. ``write_records``
+stores the files, ``read_records`` gives the pages back, and ``stored_ranges`` reads a stored
+replica's bytes and hashes every record's range of offsets. The audit hashes ranges (offset,
+length, digest) into leaves, every ``FANOUT`` leaves in offset order into a node, and so on up
+to one root a file. Roots of two replicas are compared first, and only below nodes that differ
+are the children compared, down to the records.
+
+Defined results: a null url or body is written as empty, line ends in a url percent-encoded;
+an empty table has no files. Rows that repeat become records of their own, in a fixed order.
+A reader that meets a broken header goes on at the next record's mark, so that damage stays
+where it is; the lost stretch is one range. A record that one replica lacks, or has in another
+place, is reported as missing there. Other columns are not written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm.scan import bounded_batches
 from corpusloom.session import cut_lineage
 
 FANOUT = 16
 FILE_BYTES = 64 << 20
+MARK, END = b"WARC/1.1\r\n", b"\r\n\r\n"
+_LENGTH = re.compile(rb"\r\nContent-Length: (\d+)\r\n\r\n")
 
 
 def record_column(page_id: Column, url: Column, body: Column) -> Column:
     """A WARC/1.1 response record; the date is fixed, so that a record depends on its page alone."""
     body, url = F.coalesce(body, F.lit("")), F.coalesce(url, F.lit(""))
+    url = F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body)
     head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "), url, F.lit("\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: "), F.octet_length(http).cast("string"), F.lit("\r\n\r\n"))
     return F.concat(head, http, F.lit("\r\n\r\n"))
@@ -40,18 +53,82 @@ def lay_out_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str =
     record = record_column(F.col(id_col), F.col(url_col), F.col(html_col))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest"))
     rows = cut_lineage(rows)
-    total = rows.agg(F.sum("length")).first()[0] or 0
-    files = max(1, -(-int(total) // file_bytes))
-    rows = rows.withColumn("file", F.pmod(F.xxhash64("page_id", "url", "digest"), F.lit(files)).cast("int"))
+    rows = rows.withColumn("file", _file(n_files(rows, file_bytes)))
     order = Window.partitionBy("file").orderBy("page_id", "url", "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return cut_lineage(rows.withColumn("offset", F.sum("length").over(order) - F.col("length")).select("page_id", "url", "file", "offset", "length", "digest"))
 
 
-def write_records(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", n_parts: int = 8) -> None:
-    """The records themselves as text files of concatenated WARC records, one a task."""
+def n_files(records: DataFrame, file_bytes: int = FILE_BYTES) -> int:
+    total = records.agg(F.sum("length")).first()[0] or 0
+    return max(1, -(-int(total) // file_bytes))
+
+
+def _file(files: int) -> Column:
+    return F.pmod(F.xxhash64("page_id", "url", "digest"), F.lit(files)).cast("int")
+
+
+def write_records(pages: DataFrame, path: str, files: int, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damage: Column | None = None) -> None:
+    """The records as files of concatenated WARC records, ``path``/file=n/, each as the layout with ``files`` files has it.
+
+    ``damage`` is for drills: where it holds, one stored byte of the record is another one.
+    """
     record = record_column(F.col(id_col), F.col(url_col), F.col(html_col))
-    all_but_last_line_end = record.substr(F.lit(1), F.length(record) - 2)
-    pages.select(all_but_last_line_end.alias("value")).repartition(n_parts).write.option("lineSep", "\r\n").text(path)
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), record.alias("record"), F.sha2(record, 256).alias("digest"), (F.lit(False) if damage is None else damage).alias("hit"))
+    stored = F.when(F.col("hit"), F.regexp_replace("record", r"^(WARC/1\.1\r\nWARC-Type: )r", "$1R")).otherwise(F.col("record"))
+    all_but_last_line_end = stored.substr(F.lit(1), F.length("record") - 2)
+    placed = rows.withColumn("file", _file(files)).repartition("file").sortWithinPartitions("file", "page_id", "url", "digest")
+    placed.select("file", all_but_last_line_end.alias("value")).write.partitionBy("file").option("lineSep", "\r\n").text(path)
+
+
+def ranges_of(data: bytes) -> Iterator[tuple[int, int]]:
+    """(offset, end) of the records of a file; a stretch that is none, or whose length leads nowhere, goes up to the next mark."""
+    at, n = 0, len(data)
+    while at < n:
+        end = None
+        if data.startswith(MARK, at) and (found := _LENGTH.search(data, at, min(n, at + 65_536))):
+            end = found.end() + int(found[1]) + len(END)
+        if end is None or end > n or not (end == n or data.startswith(MARK, end) or data.startswith(END, end - len(END))):
+            end = data.find(END + MARK, at)
+            end = n if end < 0 else end + len(END)
+        yield at, end
+        at = end
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, content): a file is a row, and about ``FILE_BYTES`` at most."""
+    bounded_batches(spark)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.regexp_extract("path", r"/file=(\d+)/", 1).cast("int").alias("file"), "content")
+
+
+def stored_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """(file, offset, length, digest) of the record ranges in the bytes of a stored replica."""
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, content in zip(batch["file"], batch["content"], strict=True):
+                data = memoryview(content)
+                got = [(a, b - a, hashlib.sha256(data[a:b]).hexdigest()) for a, b in ranges_of(content)]
+                yield pd.DataFrame(got, columns=["offset", "length", "digest"]).assign(file=file)[["file", "offset", "length", "digest"]]
+
+    return _files(spark, path).mapInPandas(hashed, "file int, offset long, length long, digest string")
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, offset, length, page_id, url, html) of the whole records of stored files; an empty id is null."""
+
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, content in zip(batch["file"], batch["content"], strict=True):
+                rows = []
+                for a, b in ranges_of(content):
+                    parts = content[a:b].split(END, 2)
+                    fields = dict(line.split(b": ", 1) for line in parts[0].split(b"\r\n")[1:] if b": " in line)
+                    if len(parts) == 3 and fields.get(b"WARC-Type") == b"response":
+                        name = fields.get(b"WARC-Record-ID", b"").removeprefix(b"<urn:page:").removesuffix(b">")
+                        rows.append((file, a, b - a, name.decode() or None, fields.get(b"WARC-Target-URI", b"").decode(), parts[2][: -len(END)].decode()))
+                yield pd.DataFrame(rows, columns=["file", "offset", "length", "page_id", "url", "html"])
+
+    return _files(spark, path).mapInPandas(parsed, "file int, offset long, length long, page_id string, url string, html string")
 
 
 def leaf_table(records: DataFrame) -> DataFrame:
@@ -81,9 +158,9 @@ def tree_levels(leaves: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
 
 
 def audit(ours: DataFrame, theirs: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """(file, offset, length, state) of records that differ between replicas.
+    """(file, offset, length, state) of ranges that differ between replicas.
 
-    state: 'corrupt' if both have a record at the place, else 'missing' (theirs lacks it) or
+    state: 'corrupt' if both have a range at the place, else 'missing' (theirs lacks it) or
     'surplus' (ours does). Only children of nodes that differ are joined at each level.
     """
     a, b = tree_levels(leaf_table(ours), fanout), tree_levels(leaf_table(theirs), fanout)
@@ -106,13 +183,18 @@ def audit(ours: DataFrame, theirs: DataFrame, fanout: int = FANOUT) -> DataFrame
     return both.where(~F.col("h1").eqNullSafe(F.col("h2"))).select("file", "offset", F.coalesce("length", "l2").alias("length"), state.alias("state"))
 
 
-def damaged_replica(records: DataFrame, every: int = 97) -> DataFrame:
-    """A replica in which the record of every ``every``-th id has another digest: a stated drill."""
-    hit = F.col("page_id") % every == 0
-    return records.withColumn("digest", F.when(hit, F.sha2(F.concat(F.lit("damaged "), "digest"), 256)).otherwise(F.col("digest")))
+def audit_report(records: DataFrame, ours: DataFrame, theirs: DataFrame, fanout: int = FANOUT) -> DataFrame:
+    """Every record of the layout with its place, digest and state ('intact' where the replicas' bytes agree)."""
+    found = audit(ours, theirs, fanout).where("state <> 'surplus'").select("file", "offset", "state")
+    return records.join(found, ["file", "offset"], "left").select("page_id", "url", "file", "offset", "length", F.col("digest").alias("record_sha256"), F.coalesce("state", F.lit("intact")).alias("state"))
 
 
-def audit_report(records: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """Every record with its place, digest and state ('intact' where the replicas agree)."""
-    found = audit(records, replica, fanout).where("state <> 'surplus'").select("file", "offset", "state")
-    return records.join(found, ["file", "offset"], "left").select("page_id", "url", "file", "offset", "length", F.col("digest").alias("record_sha256"), F.coalesce("state", F.lit("intact")).alias("state"))
+def fixity_drill(pages: DataFrame, folder: str, *, every: int = 97, file_bytes: int = FILE_BYTES, fanout: int = FANOUT) -> DataFrame:
+    """Writes two replicas of the pages' records under ``folder``, the second with one byte of the record of
+    every ``every``-th id changed, reads both back and audits their bytes: a report of every record."""
+    records = lay_out_records(pages, file_bytes=file_bytes)
+    files = n_files(records, file_bytes)
+    write_records(pages, f"{folder}/first", files)
+    write_records(pages, f"{folder}/second", files, damage=F.coalesce(F.col("page_id") % every == 0, F.lit(False)))
+    ours, theirs = (cut_lineage(stored_ranges(pages.sparkSession, f"{folder}/{name}")) for name in ("first", "second"))
+    return audit_report(records, ours, theirs, fanout)

@@ -1,8 +1,9 @@
 import hashlib
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm.warc import audit, audit_report, damaged_replica, lay_out_records, leaf_table, record_column, tree_levels, write_records
+from corpusloom.llm.warc import audit, audit_report, fixity_drill, lay_out_records, leaf_table, n_files, ranges_of, read_records, record_column, stored_ranges, tree_levels, write_records
 
 
 def pages(spark, n=700):
@@ -10,10 +11,11 @@ def pages(spark, n=700):
 
 
 def test_records_are_valid(spark):
-    r = spark.createDataFrame([(1, None, "<p>é")], "page_id long, url string, html string").select(record_column(F.col("page_id"), F.col("url"), F.col("html")).alias("r")).first()["r"].encode()
+    r = spark.createDataFrame([(1, "a\r\nb", "<p>é")], "page_id long, url string, html string").select(record_column(F.col("page_id"), F.col("url"), F.col("html")).alias("r")).first()["r"].encode()
     head, rest = r.split(b"\r\n\r\n", 1)
-    n = int(dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])[b"Content-Length"])
-    assert rest[n:] == b"\r\n\r\n" and rest[:n].endswith("<p>é".encode())
+    fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+    n = int(fields[b"Content-Length"])
+    assert rest[n:] == b"\r\n\r\n" and rest[:n].endswith("<p>é".encode()) and fields[b"WARC-Target-URI"] == b"a%0D%0Ab"
 
 
 def test_layout_and_tree_against_brute_force(spark):
@@ -23,7 +25,8 @@ def test_layout_and_tree_against_brute_force(spark):
     for r in sorted(rows, key=lambda r: (r["file"], r["page_id"])):
         files.setdefault(r["file"], []).append(r)
     assert len(files) > 3
-    roots = {r["file"]: r["hash"] for r in tree_levels(leaf_table(records), 4)[-1].collect()}
+    levels = tree_levels(leaf_table(records), 4)
+    roots = {r["file"]: r["hash"] for r in levels[-1].collect()}
     for f, rs in files.items():
         at = 0
         level = []
@@ -31,34 +34,71 @@ def test_layout_and_tree_against_brute_force(spark):
             assert r["offset"] == at
             level.append((hashlib.sha256(f"{at}:{r['length']}:{r['digest']}".encode()).hexdigest(), at, at + r["length"]))
             at += r["length"]
-        depth = len(tree_levels(leaf_table(records), 4)) - 1 if f == min(files) else depth
-        for _ in range(depth):
+        for _ in levels[1:]:
             level = [(hashlib.sha256(("".join(h for h, _, _ in c) + f"{c[0][1]}:{c[-1][2]}").encode()).hexdigest(), c[0][1], c[-1][2]) for c in (level[i : i + 4] for i in range(0, len(level), 4))]
         assert len(level) == 1 and roots[f] == level[0][0]
 
 
-def test_audit_finds_exactly_the_damage(spark):
-    records = lay_out_records(pages(spark), file_bytes=20_000)
-    report = audit_report(records, damaged_replica(records, 50)).collect()
+def test_files_hold_what_the_layout_says(spark, tmp_path):
+    odd = spark.createDataFrame([(None, None, None), (None, None, None), (3, "u\r\nWARC/1.1", "x\r\n\r\nWARC/1.1\r\n" * 9), (3, "u", "y" * 30_000)], "page_id long, url string, html string")
+    both = pages(spark, 90).unionByName(odd)
+    records = lay_out_records(both, file_bytes=20_000)
+    write_records(both, str(tmp_path / "w"), n_files(records, 20_000))
+    place = {(r["file"], r["offset"], r["length"], r["digest"]) for r in records.collect()}
+    for f, at, size, digest in place:
+        (path,) = (tmp_path / "w" / f"file={f}").glob("part-*")
+        assert hashlib.sha256(path.read_bytes()[at : at + size]).hexdigest() == digest
+    got = stored_ranges(spark, str(tmp_path / "w")).collect()
+    assert len(got) == 94 and {tuple(r) for r in got} == place
+    back = sorted((r["page_id"] or "", r["url"], r["html"]) for r in read_records(spark, str(tmp_path / "w")).collect())
+    clean = lambda u: (u or "").replace("\r", "%0D").replace("\n", "%0A")
+    assert back == sorted((str(r["page_id"]) if r["page_id"] is not None else "", clean(r["url"]), r["html"] or "") for r in both.collect())
+
+
+def test_one_byte_is_found_alone(spark, tmp_path):
+    df = pages(spark)
+    records = lay_out_records(df, file_bytes=20_000)
+    files = n_files(records, 20_000)
+    for name in ("a", "b"):
+        write_records(df, str(tmp_path / name), files)
+    ours = lambda: stored_ranges(spark, str(tmp_path / "a"))
+    theirs = lambda: stored_ranges(spark, str(tmp_path / "b"))
+    assert audit(ours(), theirs()).count() == 0
+    hit = records.where("page_id = 333").first()
+    (path,) = (tmp_path / "b" / f"file={hit['file']}").glob("part-*")
+    for place in (5, 140, 200, hit["length"] - 1):  # in the mark, a header, the body, the end
+        data = bytearray(path.read_bytes())
+        data[hit["offset"] + place] ^= 1
+        _rewrite(path, data)
+        bad = audit_report(records, ours(), theirs(), 4).where("state <> 'intact'").collect()
+        assert [r["page_id"] for r in bad] == [333], place
+        data[hit["offset"] + place] ^= 1
+        _rewrite(path, data)
+    _rewrite(path, data[:-1])  # a lost byte at the end of a file
+    last = records.where(F.col("file") == hit["file"]).orderBy(F.desc("offset")).first()
+    assert [r["page_id"] for r in audit_report(records, ours(), theirs()).where("state <> 'intact'").collect()] == [last["page_id"]]
+
+
+def _rewrite(path: Path, data: bytes):
+    path.write_bytes(data)
+    (path.parent / f".{path.name}.crc").unlink(missing_ok=True)
+
+
+def test_drill_finds_exactly_the_damage(spark, tmp_path):
+    report = fixity_drill(pages(spark), str(tmp_path), every=50, file_bytes=20_000).collect()
     assert len(report) == 700
     assert {r["page_id"] for r in report if r["state"] == "corrupt"} == set(range(0, 700, 50))
     assert {r["state"] for r in report} == {"corrupt", "intact"}
-    assert audit(records, records).count() == 0
 
 
-def test_lost_record_and_edges(spark):
+def test_lost_record_and_edges(spark, tmp_path):
     records = lay_out_records(pages(spark, 40))
     lost = records.where("page_id <> 7")
     states = {(r["offset"], r["state"]) for r in audit(records, lost, 4).collect()}
     at7 = records.where("page_id = 7").first()["offset"]
     assert (at7, "missing") in states
     odd = spark.createDataFrame([(None, None, None, 1), (None, None, None, 2), (3, "u", "x" * 300_000, 3)], "page_id long, url string, html string, digest int")
-    got = audit_report(lay_out_records(odd), lay_out_records(odd)).collect()
+    got = fixity_drill(odd, str(tmp_path / "odd")).collect()
     assert len(got) == 3 and {r["state"] for r in got} == {"intact"}
-    assert audit_report(lay_out_records(odd.limit(0)), lay_out_records(odd.limit(0))).count() == 0
-
-
-def test_written_files(spark, tmp_path):
-    write_records(pages(spark, 9), str(tmp_path / "w"), n_parts=2)
-    data = b"".join(p.read_bytes() for p in (tmp_path / "w").glob("part-*"))
-    assert data.count(b"WARC/1.1\r\n") == 9 and data.endswith(b"\r\n\r\n") and not data.endswith(b"\r\n\r\n\r\n")
+    assert fixity_drill(odd.limit(0), str(tmp_path / "none")).count() == 0
+    assert list(ranges_of(b"")) == [] and list(ranges_of(b"junk")) == [(0, 4)]
