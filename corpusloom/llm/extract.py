@@ -13,7 +13,9 @@ grammar of usual page furniture; none come from the data.
 Defined results: a null or empty page has an empty text. Unclosed elements end as in HTML:
 a new block ends an open paragraph, the end of the page ends all. A page without any
 content node has an empty text. White space includes the no-break space. Repeated rows are
-extracted one by one; other columns are carried along.
+extracted one by one; other columns are carried along, but for one of the output's name,
+which is replaced. A quote that is never closed, or a sign that begins no tag, is text. Work
+grows with a page's length alone.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ import html
 import math
 import random
 import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,18 +41,20 @@ RAW = frozenset("script style textarea title noscript template svg iframe".split
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table article section div main aside nav header footer body form blockquote".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_PLAIN = re.compile(r"[^>\"']*")
+MAX_DEPTH = 512  # deeper elements hang on the last one; no text is lost by it
 _NAMES = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 #: Parts of class and id names, by what they usually name.
 NAME_GROUPS = {
     "body": ("article", "content", "main", "post", "entry", "story", "body", "text"),
-    "menu": ("nav", "menu", "breadcrumb", "tabs", "toc", "pagination"),
+    "menu": ("nav", "navbar", "navigation", "menu", "breadcrumb", "tabs", "toc", "pagination", "pager"),
     "edge": ("footer", "header", "masthead", "banner", "copyright", "legal"),
-    "side": ("side", "aside", "widget", "related", "recommend", "popular", "share", "social", "tags", "author-bio"),
-    "ad": ("ad", "ads", "advert", "sponsor", "promo", "promoted"),
-    "notice": ("cookie", "consent", "notice", "popup", "modal", "alert", "newsletter", "subscribe", "gdpr"),
-    "talk": ("comment", "comments", "reply", "disqus", "discussion", "respond"),
+    "side": ("side", "sidebar", "aside", "widget", "related", "recommend", "popular", "share", "social", "tags", "author-bio"),
+    "ad": ("ad", "ads", "advert", "adbox", "banner-ad", "sponsor", "promo", "promoted"),
+    "notice": ("cookie", "consent", "notice", "popup", "modal", "alert", "newsletter", "subscribe", "gdpr", "signup"),
+    "talk": ("comment", "comments", "reply", "disqus", "discussion", "respond", "replies"),
 }
 TAG_GROUPS = {
     "article": ("article", "main"), "nav": ("nav", "menu"), "header": ("header",), "footer": ("footer",), "aside": ("aside", "dialog"),
@@ -59,9 +65,9 @@ TAG_GROUPS = {
 _TAG_OF = {tag: k for k, tags in enumerate(TAG_GROUPS.values()) for tag in tags}
 _NAME_OF = {name: k for k, names in enumerate(NAME_GROUPS.values()) for name in names}
 N_TAGS, N_NAMES = len(TAG_GROUPS) + 1, len(NAME_GROUPS)
-N_NODE = N_TAGS + N_NAMES + 6
-#: Kinds of edges: by the child's tag group, apart for children that are named or hidden.
-N_EDGE = N_TAGS + 1
+N_NODE = N_TAGS + N_NAMES + 10
+#: Kinds of edges: by the child's tag group, apart for children that are named or hidden and for headers of articles.
+N_EDGE = N_TAGS + 2
 
 
 class Tree:
@@ -81,75 +87,147 @@ class Tree:
         return len(self.tag) - 1
 
 
-def parse(page: str | None) -> Tree:
-    """The element tree of a page, texts as nodes of their own, raw elements without theirs."""
-    page = page or ""
-    tree, open_ = Tree(), [0]
-    at = 0
-    while at < len(page):
-        m = _TOKEN.search(page, at)
-        end = m.start() if m else len(page)
-        if end > at:
-            tree.add("#text", "", open_[-1], page[at:end])
-        if not m:
-            break
-        at = max(m.end(), m.start() + 1)
-        tag = (m.group(2) or "").lower()
+def _tag_end(page: str, at: int, last_quote: dict[str, int]) -> int:
+    """The place of the > that ends a tag, or the page's end; a quote that is never closed is none."""
+    while True:
+        at = _PLAIN.match(page, at).end()
+        if at >= len(page) or page[at] == ">":
+            return at
+        quote = page[at]
+        if at >= last_quote[quote]:
+            at = page.find(">", at)
+            return len(page) if at < 0 else at
+        at = page.index(quote, at + 1) + 1
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str, int]]:
+    """(kind, name, attributes or text, end) of what a page consists of, each character looked at once.
+
+    Kinds are "text", "open" and "close"; comments and declarations are passed over. Elements
+    with raw text are passed over to their end.
+    """
+    last_quote = {quote: page.rfind(quote) for quote in "\"'"}
+    at, begin = 0, 0
+    while (found := page.find("<", at)) >= 0:
+        tag = _TAG.match(page, found)
+        if not tag and page[found + 1 : found + 2] not in ("!", "?"):
+            at = found + 1  # a mere sign, part of the text
+            continue
+        if found > begin:
+            yield "text", "", page[begin:found], found
         if not tag:
+            mark = "-->" if page.startswith("<!--", found) else ">"
+            end = page.find(mark, found + 2)
+            at = begin = len(page) if end < 0 else end + len(mark)
             continue
-        if m.group(1):
-            for k in range(len(open_) - 1, 0, -1):
+        end = _tag_end(page, tag.end(), last_quote)
+        name, attrs = tag[1].lower(), page[tag.end() : end]
+        at = begin = min(end + 1, len(page))
+        if page[found + 1] == "/":
+            yield "close", name, "", at
+            continue
+        yield "open", name, attrs, at
+        if name in RAW:
+            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at = begin = close.end() if close else len(page)
+    if begin < len(page):
+        yield "text", "", page[begin:], len(page)
+
+
+def parse(page: str | None) -> Tree:
+    """The element tree of a page, texts as nodes of their own, raw elements without theirs."""
+    tree, open_, names = Tree(), [0], Counter()
+
+    def end(k: int) -> None:
+        names.subtract(tree.tag[i] for i in open_[k:])
+        del open_[k:]
+
+    for kind, tag, rest, _ in tokens(page or ""):
+        if kind == "text":
+            tree.add("#text", "", open_[-1], rest)
+        elif kind == "close":
+            for k in range(len(open_) - 1, 0, -1) if names[tag] else ():
                 if tree.tag[open_[k]] == tag:
-                    del open_[k:]
+                    end(k)
                     break
                 if tag in ("b", "i", "em", "strong", "span", "a", "p", "li") and tree.tag[open_[k]] in SCOPE:
                     break
-            continue
-        ends = CLOSES.get(tag, {"p"} if tag in BLOCK else set())
-        for k in range(len(open_) - 1, 0, -1):
-            name = tree.tag[open_[k]]
-            if name in ends:
-                del open_[k:]
-                break
-            if name in SCOPE:
-                break
-        node = tree.add(tag, m.group(3) or "", open_[-1])
-        if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
-        elif tag not in VOID and not (m.group(3) or "").endswith("/"):
-            open_.append(node)
+        else:
+            ends = CLOSES.get(tag, {"p"} if tag in BLOCK else set())
+            for k in range(len(open_) - 1, 0, -1) if any(names[x] for x in ends) else ():
+                name = tree.tag[open_[k]]
+                if name in ends:
+                    end(k)
+                    break
+                if name in SCOPE:
+                    break
+            node = tree.add(tag, rest, open_[-1])
+            if tag not in RAW and tag not in VOID and not rest.endswith("/") and len(open_) < MAX_DEPTH:
+                open_.append(node)
+                names[tag] += 1
     return tree
 
 
+@lru_cache(maxsize=8_192)
+def named_groups(attrs: str) -> frozenset[int]:
+    """What class, id and role say: whole parts of names, or parts that begin or end with a longer name."""
+    out = set()
+    for names in _NAMES.findall(attrs):
+        for part in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", names):
+            part = part.lower()
+            for one in (part, part.rstrip("s")):
+                if one in _NAME_OF:
+                    out.add(_NAME_OF[one])
+                    break
+            else:
+                fits = [n for n in _NAME_OF if len(n) > 3 and (part.startswith(n) or part.endswith(n))]
+                if fits:
+                    out.add(_NAME_OF[max(fits, key=len)])
+    return frozenset(out)
+
+
 def features(tree: Tree) -> tuple[np.ndarray, np.ndarray]:
     """Node features (n x N_NODE) and the kind of each node's edge to its parent."""
     n = len(tree.tag)
     x = np.zeros((n, N_NODE))
     kind = np.zeros(n, dtype=np.int64)
     length, linked = np.zeros(n), np.zeros(n)
-    in_link = np.zeros(n, dtype=bool)
+    in_link, in_article, in_furniture = (np.zeros(n, dtype=bool) for _ in range(3))
+    titled = np.zeros(n, dtype=bool)
+    article, furniture = _TAG_OF["article"], {_TAG_OF[t] for t in ("nav", "footer", "aside", "form")}
     for i in range(n):
         tag, parent = tree.tag[i], tree.parent[i]
         group = _TAG_OF.get(tag, N_TAGS - 1)
         x[i, group] = 1
         kind[i] = group
-        if i and in_link[parent] or tag == "a":
-            in_link[i] = True
+        if i:
+            in_link[i], in_article[i], in_furniture[i] = in_link[parent], in_article[parent], in_furniture[parent]
+        if tag == "h1":
+            titled[i] = True
         if tree.attrs[i]:
-            named = {k for names in _NAMES.findall(tree.attrs[i]) for part in re.split(r"[^a-z]+", names.lower()) if (k := _NAME_OF.get(part, _NAME_OF.get(part.rstrip("s")))) is not None}
+            named = named_groups(tree.attrs[i])
             for k in named:
                 x[i, N_TAGS + k] = 1
             if _HIDDEN.search(tree.attrs[i]):
                 x[i, N_TAGS + N_NAMES] = 1
             if (named and named != {0}) or x[i, N_TAGS + N_NAMES]:
                 kind[i] = N_TAGS
+                in_furniture[i] |= 0 not in named or len(named) > 1
+        if tag == "header" and in_article[i]:
+            kind[i] = N_TAGS + 1
+        x[i, -9:-7] = in_article[i], in_furniture[i]
+        in_link[i] |= tag == "a"
+        in_article[i] |= group == article
+        in_furniture[i] |= group in furniture
         if tag == "#text":
             length[i] = len(tree.text[i].strip())
             linked[i] = length[i] if in_link[i] else 0
     for i in range(n - 1, 0, -1):
         length[tree.parent[i]] += length[i]
         linked[tree.parent[i]] += linked[i]
+        titled[tree.parent[i]] |= titled[i]
+    x[:, -7] = titled
+    x[:, -6] = (kind == N_TAGS + 1) & titled
     x[:, -5] = np.minimum(np.log1p(length) / 8, 1)
     x[:, -4] = linked / np.maximum(length, 1)
     x[:, -3] = length < 25
@@ -229,8 +307,24 @@ def labelled_page(rng: random.Random) -> Tree:
         tree.add("input", "", f)
         text(tree.add("button", "", f), words(1, 2), False)
 
+    def remarks(parent: int) -> None:
+        """Reader comments, as lists or boxes."""
+        if rng.random() < 0.5:
+            text(tree.add(rng.choice(("h2", "h3")), "", parent), words(1, 3), False)
+        listed = rng.random() < 0.5
+        box = tree.add(rng.choice(("ul", "ol")), rng.choice((' class="commentlist"', ' class="comment-list"', ' id="commentsList"', "")), parent) if listed else parent
+        for _ in range(rng.randint(1, 5)):
+            one = tree.add("li" if listed else rng.choice(("div", "article")), rng.choice((' class="comment"', "", ' class="reply"')), box)
+            text(tree.add("p", "", one) if rng.random() < 0.7 else one, words(2, 40), False)
+
     def prose(parent: int) -> None:
-        text(tree.add("h1", "", parent), words(2, 12), True)
+        if rng.random() < 0.25:
+            head = tree.add("header", rng.choice(("", ' class="entry-header"', ' class="post-header"')), parent)
+            text(tree.add("h1", "", head), words(2, 12), True)
+        else:
+            text(tree.add("h1", "", parent), words(2, 12), True)
+        if rng.random() < 0.2:
+            parent = tree.add(rng.choice(("div", "section")), rng.choice(("", ' class="entry-content"', ' class="articleBody"', ' itemprop="articleBody"')), parent)
         for _ in range(rng.randint(1, 12)):
             kind = rng.random()
             if kind < 0.7:
@@ -246,30 +340,52 @@ def labelled_page(rng: random.Random) -> Tree:
                 for _ in range(rng.randint(1, 5)):
                     text(tree.add("li", "", ul), words(1, 20), True)
             elif kind < 0.92:
-                text(tree.add("blockquote", "", parent), words(3, 40), True)
-            elif kind < 0.95:
+                text(tree.add(rng.choice(("blockquote", "pre", "blockquote")), "", parent), words(3, 40), True)
+            elif kind < 0.93:
+                text(tree.add("figcaption", "", tree.add("figure", "", parent)), words(2, 12), True)
+            elif kind < 0.94:
+                table = tree.add("table", "", parent)
+                for _ in range(rng.randint(1, 3)):
+                    row = tree.add("tr", "", table)
+                    for _ in range(rng.randint(1, 3)):
+                        text(tree.add(rng.choice(("td", "th")), "", row), words(1, 6), True)
+            elif kind < 0.96:
                 tree.add(rng.choice(("script", "style")), "", parent)
             else:
-                junk(parent, rng.choice(("div", "aside")), rng.choice((' class="ad"', ' class="share"', ' class="related"', ' class="promo"')))
+                junk(parent, rng.choice(("div", "aside")), rng.choice((' class="ad"', ' class="share"', ' class="related"', ' class="promo"', ' class="adbox"', ' style="display:none"')))
+        if rng.random() < 0.15:
+            junk(parent, "footer", rng.choice(("", ' class="entry-footer"')))
 
     def before() -> None:
         if rng.random() < 0.5:
             text(tree.add("h2", "", tree.add("header", rng.choice(("", ' class="masthead"')), body)), words(1, 5), False)
         if rng.random() < 0.8:
-            menu(body, *rng.choice((("nav", ""), ("div", ' class="menu"'), ("div", ' id="nav"'))))
+            menu(body, *rng.choice((("nav", ""), ("div", ' class="menu"'), ("div", ' id="nav"'), ("div", ' class="navbar"'), ("div", ' id="mainMenu"'))))
         if rng.random() < 0.3:
-            junk(body, "div", rng.choice((' class="cookie-notice"', ' id="consent"', ' class="alert"')))
+            junk(body, rng.choice(("div", "div", "section", "aside")), rng.choice((' class="cookie-notice"', ' id="consent"', ' class="alert"', ' class="cookiebar"', ' id="cookieBanner"', ' class="gdpr-popup"')))
         if rng.random() < 0.6:
             junk(body, "div", rng.choice((' class="ad"', ' class="advert"', ' class="ads"', ' id="sponsor"')))
 
     before()
     where = rng.choice((("article", ""), ("article", ""), ("main", ""), ("div", ' class="content"'), ("div", ' id="main"'), ("div", ' class="post"')))
     outer = body if rng.random() < 0.7 else tree.add("div", rng.choice(("", ' class="wrapper"')), body)
+    if rng.random() < 0.15:
+        outer = tree.add("main", "", outer)
     prose(tree.add(*where, outer))
     if rng.random() < 0.4:
         junk(body, rng.choice(("section", "div")), rng.choice((' class="comments"', ' id="comments"', ' class="comment"')))
+    if rng.random() < 0.3:
+        remarks(tree.add(rng.choice(("section", "div")), rng.choice((' class="comments"', ' id="comments"', ' id="respond"', ' class="discussion"')), body))
+    elif rng.random() < 0.1:
+        remarks(body)
     if rng.random() < 0.5:
-        junk(body, *rng.choice((("aside", ""), ("div", ' class="sidebar"'), ("div", ' class="related"'))))
+        side = rng.choice((("aside", ""), ("div", ' class="sidebar"'), ("div", ' id="sidebar"'), ("div", ' class="related"'), ("aside", ' class="widgets"')))
+        if rng.random() < 0.5:
+            junk(body, *side)
+        else:  # what would be content elsewhere
+            box = tree.add(*side, body)
+            for _ in range(rng.randint(1, 2)):
+                junk(box, rng.choice(("div", "section", "article")), rng.choice((' class="content"', ' class="text"', ' class="post"', "")))
     if rng.random() < 0.3:
         form(body)
     if rng.random() < 0.8:

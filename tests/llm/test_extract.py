@@ -2,11 +2,12 @@ import html
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 
-from corpusloom.llm.extract import N_EDGE, extract_pages, features, labelled_page, main_text, marginals, parse, train
+from corpusloom.llm.extract import N_EDGE, extract_pages, features, labelled_page, main_text, marginals, parse, tokens, train
 
 
 @pytest.fixture(scope="module")
@@ -66,6 +67,40 @@ def test_odd_pages(page, weights):
     main_text(page, weights)
 
 
+ARTICLE = "<h1>Title of this page</h1><p>Long first paragraph with some text in it.</p><p>Second paragraph of text follows here.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<nav><a href=x>Home</a></nav><article>{ARTICLE}</article><ul class='commentlist'><li>Great post, thank you so much for it<li>I do not agree with this at all</ul><footer>us</footer>",
+        f"<div class='cookiebar'>We use cookies to make this site better for you. <a href=x>Accept</a></div><article>{ARTICLE}</article>",
+        f"<article>{ARTICLE}</article><div id='sidebar'><div class='content'><p>About the author and other matters of this site</p></div></div>",
+        f"<header><h2>The Site</h2></header><article>{ARTICLE.replace('<h1>', '<header><h1>').replace('</h1>', '</h1></header>')}</article>",
+        f"<main><article>{ARTICLE}<footer>Posted in things</footer></article></main><section id=commentsList><h3>2 comments</h3><div class=comment><p>I do not agree with this at all</p></div></section>",
+        f"<div id=mainMenu><ul><li><a href=x>Home</a></ul></div><div class=post>{ARTICLE}<div class=adbox><p>Buy two of these today</p></div></div><div class='sidebar-left'><p>More of our pages that you may like to read</p></div>",
+    ],
+)
+def test_ordinary_pages(page, weights):
+    assert main_text(f"<body>{page}</body>", weights).split("\n\n") == ["Title of this page", "Long first paragraph with some text in it.", "Second paragraph of text follows here."]
+
+
+@pytest.mark.parametrize("part", ["<a b='", "<a b=\"x' ", "<", "<a b='x'", "<!--", "<p", "<a b=\"'>"])
+def test_a_megabyte_of_broken_markup_takes_no_second(part, weights):
+    page = part * (1_000_000 // len(part))
+    began = time.process_time()
+    list(tokens(page))
+    assert time.process_time() - began < 1.5
+
+
+def test_deep_and_unmatched_elements(weights):
+    for page in ("<div>" * 20_000 + "</section>" * 20_000, "<b>" + "<x>" * 30_000 + "</b>" * 30_000):
+        began = time.process_time()
+        parse(page)
+        assert time.process_time() - began < 3
+    assert "inner text" in "".join(parse("<div>" * 3_000 + "inner text").text)
+
+
 def test_parse_ends():
     t = parse("<p><b>x<p>y</p></div>z")
     assert [(t.tag[i], t.tag[t.parent[i]]) for i in range(1, len(t.tag))] == [("p", "#root"), ("b", "p"), ("#text", "b"), ("p", "#root"), ("#text", "p"), ("#text", "#root")]
