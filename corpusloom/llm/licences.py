@@ -1,7 +1,7 @@
 """Licence scans: Aho-Corasick for tags and notice phrases, shunting-yard for expressions.
 
-Notice phrases are found among a text's words, identifier tags in the lower-cased text. The
-rest of a tag's line is read as a licence expression: identifiers joined by OR, AND and
+Notice phrases are found among a text's words, identifier tags in the lower-cased text (names
+that begin with LicenseRef- are their own tag). The rest of a tag's line is read as a licence expression: identifiers joined by OR, AND and
 WITH (which binds closest), in parentheses if wanted. It is brought into postfix order with
 an operator stack and evaluated: OR needs one permissive side, AND both, WITH keeps the
 licence's own answer and adds the exception's name.
@@ -12,7 +12,8 @@ labels, of what each leaves open (a tag 0.1, a notice 0.3, a base phrase 0.5); 0
 
 Defined results: null and empty texts have no words and no labels, so score 0 and null
 places; a malformed expression gives the identifiers that it has and no verdict; repeated
-rows are scanned one by one; other columns are carried along whatever their names.
+rows are scanned one by one; other columns are carried along, but for those of the output's
+names, which are replaced.
 """
 
 from __future__ import annotations
@@ -49,10 +50,10 @@ NOTICES = {
     "cc0 1 0": "cc0-1.0",
     "public domain": "public-domain",
 }
-TAGS = ("spdx-license-identifier:", "licenseref:", "@license")
+TAGS = ("spdx-license-identifier:", "@license", "licenseref-")  # the last one is part of an identifier itself
 PERMISSIVE = ("mit", "apache", "bsd", "isc", "cc0", "cc-by-4.0", "cc-by-3.0", "unlicense", "zlib", "public-domain")
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
-_TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+:-]*")
+_TOKEN = re.compile(r"[()]|[a-z0-9](?:[a-z0-9.+:-]*[a-z0-9+])?")
 
 
 def parse_expression(text: str) -> list[str] | None:
@@ -138,10 +139,14 @@ def scan_text(text: str | None) -> dict[str, object]:
             weights[label] = max(weights.get(label, 0), 0.5)
         if notice:
             weights[notice] = max(weights.get(notice, 0), 0.7)
-    lower = (text or "").lower()
-    for end, _ in tags.iter(lower):
+    lower, read = (text or "").lower(), 0
+    for end, tag in tags.iter(lower):
+        start = end + 1 - (len(tag) if tag == TAGS[-1] else 0)
+        if start < read:
+            continue  # inside an expression that has been read
         stop = lower.find("\n", end + 1)
-        postfix, names = read_expression(lower, end + 1, len(lower) if stop < 0 else stop)
+        read = len(lower) if stop < 0 else stop
+        postfix, names = read_expression(lower, start, read)
         if postfix:
             verdicts.append(evaluate(postfix)[1])
         for name in names:
