@@ -69,7 +69,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(is_train("doc_id", 5))
     model = fit_toxicity(docs, labels)
     scored = score_toxicity(docs, model)
-    return scored.select("doc_id", (~is_train("doc_id", 5)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits")
+    return scored.select("doc_id", F.coalesce(~is_train("doc_id", 5), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits")
 
 
 QUERIES = {
