@@ -117,32 +117,35 @@ def _divided(fps: np.ndarray, left: int, shift: int) -> list[tuple[int, int]]:
 
 
 def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Spanning links of each bucket; rows come sorted by (shift, key)."""
-    rest = None
-    while True:
-        batch = next(batches, None)
-        now = batch if rest is None else rest if batch is None else pd.concat([rest, batch], ignore_index=True)
-        if now is None or not len(now):
-            if batch is None:
-                return
+    """Spanning links of each bucket; rows come sorted by (shift, key), and a bucket may span batches."""
+    open_: list[np.ndarray] = []  # what there is of the last bucket
+    bucket: tuple[int, int] | None = None
+
+    def closed(pieces: list[np.ndarray], shift: int) -> list[tuple[int, int]]:
+        group = np.unique(pieces[0] if len(pieces) == 1 else np.concatenate(pieces))
+        return _forest(group, int(_ALL), shift) if len(group) > 1 else []
+
+    for batch in batches:
+        if not len(batch):
             continue
-        shift, key = now["shift"].to_numpy(), now["key"].to_numpy()
-        new = np.flatnonzero((np.diff(key) != 0) | (np.diff(shift) != 0)) + 1
-        end = len(now) if batch is None else (int(new[-1]) if len(new) else 0)
-        rest = None if batch is None else now.iloc[end:]
-        starts = np.concatenate([[0], new])
-        starts = starts[starts < end]
-        sizes = np.diff(np.concatenate([starts, [end]]))
-        fps = now["fp"].to_numpy().view(np.uint64)
+        shift, key, fps = batch["shift"].to_numpy(), batch["key"].to_numpy(), batch["fp"].to_numpy().view(np.uint64)
+        edges = [0, *(np.flatnonzero((np.diff(key) != 0) | (np.diff(shift) != 0)) + 1).tolist(), len(key)]
         out = []
-        for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-            group = np.unique(fps[s : s + n])
-            if len(group) > 1:
-                out += _forest(group, int(_ALL), int(shift[s]))
+        for a, b in zip(edges, edges[1:], strict=False):
+            now = (int(shift[a]), int(key[a]))
+            if now != bucket:
+                if open_:
+                    out += closed(open_, bucket[0])
+                bucket, open_ = now, []
+            open_.append(fps[a:b])
         if out:
-            yield pd.DataFrame(np.array(out, dtype=np.uint64).view(np.int64).reshape(-1, 2), columns=["a", "b"])
-        if batch is None:
-            return
+            yield _pairs(out)
+    if open_ and (out := closed(open_, bucket[0])):
+        yield _pairs(out)
+
+
+def _pairs(out: list[tuple[int, int]]) -> pd.DataFrame:
+    return pd.DataFrame(np.array(out, dtype=np.uint64).view(np.int64).reshape(-1, 2), columns=["a", "b"])
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -161,7 +164,10 @@ def links(fps: DataFrame) -> DataFrame:
         rings.append(F.struct(F.lit(i).alias("shift"), segment(i).alias("first"), segment(i + 1).alias("second"), turned.alias("turned")))
     rows = fps.select("fp", F.explode(F.array(*rings)).alias("r")).select("fp", "r.*").select("fp", "shift", "first", "second", F.explode("turned").alias("turn"))
     keyed = rows.select(F.col("shift").cast("byte").alias("shift"), F.shiftleft("first", WIDTH).bitwiseOR(F.col("second").bitwiseXOR(F.col("turn"))).alias("key"), "fp")
-    dealt = keyed.repartition("shift", "key").sortWithinPartitions("shift", "key")
+    # A fingerprint alone in its bucket has no link: neighbours in order tell, in the same partitioning.
+    order = Window.partitionBy("shift", "key").orderBy("fp")
+    alone = F.lag("fp").over(order).isNull() & F.lead("fp").over(order).isNull()
+    dealt = keyed.repartition("shift", "key").withColumn("alone", alone).where(~F.col("alone")).drop("alone").sortWithinPartitions("shift", "key")
     return dealt.mapInPandas(_links, "a long, b long").distinct()
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import xxhash
 
 from corpusloom.llm import simhash
@@ -67,6 +68,23 @@ def test_links_against_brute_force(spark):
     check(spark, planted())
 
 
+def test_buckets_that_span_batches():
+    rng = np.random.default_rng(7)
+    centre = rng.integers(0, 1 << 62, 40).astype(np.uint64)
+    rows = []
+    for k, c in enumerate(centre):
+        near = {int(c ^ np.uint64(1 << b)) for b in range(rng.integers(0, 6))} | {int(c)}
+        rows += [(k % 4, k // 4, f) for f in sorted(near)]
+    rows.sort()
+    whole = pd.DataFrame(rows, columns=["shift", "key", "fp"])
+    whole["fp"] = whole["fp"].to_numpy(dtype=np.uint64).view(np.int64)
+    want = [tuple(r) for d in simhash._links(iter([whole])) for r in d.to_numpy()]
+    for size in (1, 2, 7):
+        parts = [whole.iloc[a : a + size] for a in range(0, len(whole), size)] + [whole.iloc[:0]]
+        assert [tuple(r) for d in simhash._links(iter(parts)) for r in d.to_numpy()] == want
+    assert len(want) > 40
+
+
 def test_divided_buckets_lose_no_link(monkeypatch):
     fps = planted(2)
     arr = np.array(sorted(fps), dtype=np.uint64)
