@@ -2,8 +2,8 @@
 
 Pages become WARC response records, dealt to files of bounded size by a hash; in a file they
 stand in order of ids, urls and digests, so that layout and files say the same. ``write_records``
-stores the files, ``read_records`` gives the pages back, and ``stored_ranges`` reads a stored
-replica's bytes and hashes every record's range of offsets. The audit hashes ranges (offset,
+stores the files, ``copy_files`` makes a replica, ``read_records`` gives the pages back, and
+``stored_ranges`` reads a replica's bytes and hashes every record's range of offsets. The audit hashes ranges (offset,
 length, digest) into leaves, every ``FANOUT`` leaves in offset order into a node, and so on up
 to one root a file. Roots of two replicas are compared first, and only below nodes that differ
 are the children compared, down to the records.
@@ -29,7 +29,7 @@ from corpusloom.llm.scan import bounded_batches
 from corpusloom.session import cut_lineage
 
 FANOUT = 16
-FILE_BYTES = 64 << 20
+FILE_BYTES = 32 << 20
 MARK, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 _LENGTH = re.compile(rb"\r\nContent-Length: (\d+)\r\n\r\n")
 
@@ -67,17 +67,29 @@ def _file(files: int) -> Column:
     return F.pmod(F.xxhash64("page_id", "url", "digest"), F.lit(files)).cast("int")
 
 
-def write_records(pages: DataFrame, path: str, files: int, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damage: Column | None = None) -> None:
-    """The records as files of concatenated WARC records, ``path``/file=n/, each as the layout with ``files`` files has it.
-
-    ``damage`` is for drills: where it holds, one stored byte of the record is another one.
-    """
+def write_records(pages: DataFrame, path: str, files: int, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+    """The records as files of concatenated WARC records, ``path``/file=n/, each as the layout with ``files`` files has it."""
     record = record_column(F.col(id_col), F.col(url_col), F.col(html_col))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), record.alias("record"), F.sha2(record, 256).alias("digest"), (F.lit(False) if damage is None else damage).alias("hit"))
-    stored = F.when(F.col("hit"), F.regexp_replace("record", r"^(WARC/1\.1\r\nWARC-Type: )r", "$1R")).otherwise(F.col("record"))
-    all_but_last_line_end = stored.substr(F.lit(1), F.length("record") - 2)
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), record.alias("record"), F.sha2(record, 256).alias("digest"))
     placed = rows.withColumn("file", _file(files)).repartition("file").sortWithinPartitions("file", "page_id", "url", "digest")
-    placed.select("file", all_but_last_line_end.alias("value")).write.partitionBy("file").option("lineSep", "\r\n").text(path)
+    _write(placed, "record", path)
+
+
+def _write(rows: DataFrame, column: str, path: str) -> None:
+    """Texts that end in a line end, one after the other in the file that they name."""
+    all_but_last_line_end = F.col(column).substr(F.lit(1), F.length(column) - 2)
+    rows.select("file", all_but_last_line_end.alias("value")).write.partitionBy("file").option("lineSep", "\r\n").text(path)
+
+
+def copy_files(spark: SparkSession, path: str, to: str, damaged_ids: str | None = None) -> None:
+    """A replica of stored files, each read and written as a whole.
+
+    For drills: in records whose id matches the pattern ``damaged_ids`` one stored byte becomes another.
+    """
+    rows = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"/file=(\d+)/", 1).cast("int").alias("file"), "value")
+    if damaged_ids:
+        rows = rows.withColumn("value", F.regexp_replace("value", rf"(WARC/1\.1\r\nWARC-Type: )r(?=esponse\r\nWARC-Record-ID: <urn:page:{damaged_ids}>)", "$1R"))
+    _write(rows, "value", to)
 
 
 def ranges_of(data: bytes) -> Iterator[tuple[int, int]]:
@@ -189,12 +201,11 @@ def audit_report(records: DataFrame, ours: DataFrame, theirs: DataFrame, fanout:
     return records.join(found, ["file", "offset"], "left").select("page_id", "url", "file", "offset", "length", F.col("digest").alias("record_sha256"), F.coalesce("state", F.lit("intact")).alias("state"))
 
 
-def fixity_drill(pages: DataFrame, folder: str, *, every: int = 97, file_bytes: int = FILE_BYTES, fanout: int = FANOUT) -> DataFrame:
-    """Writes two replicas of the pages' records under ``folder``, the second with one byte of the record of
-    every ``every``-th id changed, reads both back and audits their bytes: a report of every record."""
+def fixity_drill(pages: DataFrame, folder: str, *, damaged_ids: str = r"\d*00", file_bytes: int = FILE_BYTES, fanout: int = FANOUT) -> DataFrame:
+    """Writes the pages' records under ``folder``, copies the files with one byte changed in records whose id
+    ends in 00, reads both replicas back and audits their bytes: a report of every record."""
     records = lay_out_records(pages, file_bytes=file_bytes)
-    files = n_files(records, file_bytes)
-    write_records(pages, f"{folder}/first", files)
-    write_records(pages, f"{folder}/second", files, damage=F.coalesce(F.col("page_id") % every == 0, F.lit(False)))
+    write_records(pages, f"{folder}/first", n_files(records, file_bytes))
+    copy_files(pages.sparkSession, f"{folder}/first", f"{folder}/second", damaged_ids)
     ours, theirs = (cut_lineage(stored_ranges(pages.sparkSession, f"{folder}/{name}")) for name in ("first", "second"))
     return audit_report(records, ours, theirs, fanout)
