@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from corpusloom.session import cut_lineage
 
 PALLETS = 256  # of a shard's capacity
-MAX_BUCKETS = 4_096
+BUCKET_GROUPS, PART_ROWS = 20_000, 2_000  # in one bucket of small groups, in one part of a shard's slots
 _NONE = None
 
 
@@ -162,7 +162,7 @@ def assign_shards(groups: DataFrame, n_shards: int) -> DataFrame:
     if not n:
         return groups.select("grp", F.lit(0).alias("shard")).limit(0)
     capacity = max(int(total) // n_shards // PALLETS, 1)
-    buckets = max(1, min(MAX_BUCKETS, int(n) // 20_000))
+    buckets = max(1, int(n) // BUCKET_GROUPS)
     small = groups.where(F.col("size") < capacity).withColumn("bucket", F.pmod(F.xxhash64("grp"), F.lit(buckets)))
     dealt = small.select("bucket", "grp", "size").repartition("bucket").sortWithinPartitions("bucket", F.desc("size"), "grp")
     pallets = cut_lineage(dealt.mapInPandas(_fill_pallets(capacity), "bucket long, grp string, size long, pallet long"))
@@ -197,7 +197,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, *, id_col: str = "doc_i
     of_hot = told.where("_hot").join(F.broadcast(shards.join(F.broadcast(large), "grp", "left_semi")), "grp")
     others = told.where("_hot IS NULL").join(shards, "grp")
     placed = cut_lineage(of_hot.unionByName(others).select("_id", "size", "text_crc32", "grp", "shard"))
-    part = F.pmod(F.xxhash64("_id", "grp"), F.lit(max(1, min(MAX_BUCKETS, placed.count() // n_shards // 2_000))))
+    part = F.pmod(F.xxhash64("_id", "grp"), F.lit(max(1, placed.count() // n_shards // PART_ROWS)))
     counts = placed.groupBy("shard", part.alias("part")).agg(F.count("*").alias("n"))
     first = counts.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("first"))
     nth = F.row_number().over(Window.partitionBy("shard", "part").orderBy("_id", "grp", "size")) - 1
