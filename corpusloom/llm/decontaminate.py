@@ -2,8 +2,9 @@
 
 The distinct word windows of the benchmark become a hash relation keyed by a 64-bit hash.
 Each document's word positions are scanned once for every window length in use; a position
-whose hash is in the relation is verified word by word. The relation is broadcast up to
-``max_broadcast_windows``; beyond that the same join is shuffled.
+whose hash is in the relation is verified word by word. The relation is broadcast if its
+windows' words have at most ``max_broadcast_bytes`` in all, which is counted first; beyond
+that the same join is shuffled.
 
 Hits are kept by the text's SHA-256, so copies of a text share one set of hits. Covered
 words are the union of the verified windows.
@@ -40,13 +41,14 @@ def benchmark_windows(benchmark: DataFrame, *, item_col: str = "item_id", text_c
     return w.select("item", "w", F.explode(starts).alias("at")).select("item", F.slice("w", F.col("at"), window).alias("window")).distinct()
 
 
-def window_hits(docs: DataFrame, windows: DataFrame, *, text_col: str = "text", max_broadcast_windows: int = 500_000) -> DataFrame:
+def window_hits(docs: DataFrame, windows: DataFrame, *, text_col: str = "text", max_broadcast_bytes: int = 64 << 20) -> DataFrame:
     """(sha, at, window): verified occurrences, once for each distinct text."""
     known = windows.select("window").distinct().select("window", F.size("window").alias("n"), F.xxhash64("window").alias("h"))
-    per_length = {r["n"]: r["c"] for r in known.groupBy("n").agg(F.count("*").alias("c")).collect()}  # a row for each length up to the window's
+    size = F.sum(F.octet_length(F.array_join("window", " ")) + 16 * F.col("n") + 64)
+    per_length = {r["n"]: r["size"] for r in known.groupBy("n").agg(size.alias("size")).collect()}  # a row for each length up to the window's
     if not per_length:
         return known.select(F.lit("").alias("sha"), F.lit(0).alias("at"), "window")
-    if sum(per_length.values()) <= max_broadcast_windows:
+    if sum(per_length.values()) <= max_broadcast_bytes:
         known = F.broadcast(known)
     text = docs.select(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("sha"), words(F.col(text_col)).alias("w"))
     found = None
@@ -94,12 +96,22 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     outside the removed words (case, punctuation, line breaks) stays as it was.
     """
     windows = cut_lineage(benchmark_windows(benchmark, item_col=item_col, text_col=item_text_col, window=window))
-    hits = window_hits(docs, windows, text_col=text_col)
-    sha, at = fresh_name(docs, "_sha"), fresh_name(docs, "_at")
-    spans = hits.groupBy(F.col("sha").alias(sha)).agg(F.collect_set(F.struct("at", (F.col("at") + F.size("window")).alias("end"))).alias(at))
-    rows = docs.withColumn(sha, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).join(spans, sha, "left")
+    ends = window_hits(docs, windows, text_col=text_col).select("sha", "at", (F.col("at") + F.size("window")).alias("end")).distinct()
+    # Spans that overlap or touch become one, so that the stretches between them are walked once.
+    by_place = Window.partitionBy("sha").orderBy("at", "end")
+    reached = F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    merged = ends.withColumn("reached", reached).withColumn("island", F.sum((F.col("reached").isNull() | (F.col("at") > F.col("reached"))).cast("int")).over(by_place)).groupBy("sha", "island").agg(F.min("at").alias("at"), F.max("end").alias("end"))
+    sha, spans = fresh_name(docs, "_sha"), fresh_name(docs, "_spans")
+    listed = merged.groupBy(F.col("sha").alias(sha)).agg(F.sort_array(F.collect_list(F.struct("at", "end"))).alias(spans))
+    rows = docs.withColumn(sha, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).join(listed, sha, "left")
     pieces = F.split(F.regexp_replace(F.col(text_col), r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)", "\u0000$1\u0000"), "\u0000")
-    # Of the pieces, those at even places (from 1) are the words in order.
-    inside = lambda k: F.exists(F.col(at), lambda s: (s["at"] <= k) & (k < s["end"]))
-    kept = F.transform(pieces, lambda x, i: F.when((i % 2 == 1) & inside((F.lit(1) + i) / 2), F.lit("")).otherwise(x))
-    return rows.withColumn(text_col, F.when(F.col(at).isNull(), F.col(text_col)).otherwise(F.array_join(kept, ""))).select(*docs.columns)
+    # Of the pieces, counted from 1, those at even places are the words in order. Each span gives the
+    # stretch before it and the gaps between its words; what follows the last span comes after.
+    part = fresh_name(docs, "_pieces")
+    after = lambda i: F.when(i == 0, 1).otherwise(2 * F.get(F.col(spans), i - 1)["end"] - 1)
+    before = lambda x, i: F.slice(part, after(i), 2 * x["at"] - after(i))
+    gaps = lambda x: F.filter(F.slice(part, 2 * x["at"], 2 * (x["end"] - x["at"]) - 1), lambda _, k: k % 2 == 1)
+    kept = F.array_join(F.transform(spans, lambda x, i: F.array_join(F.concat(before(x, i), gaps(x)), "")), "")
+    tail = F.array_join(F.slice(part, after(F.size(spans)), F.greatest(F.size(part) - after(F.size(spans)) + 1, F.lit(0))), "")
+    touched = rows.withColumn(part, pieces)
+    return touched.withColumn(text_col, F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(F.concat(kept, tail))).select(*docs.columns)

@@ -52,3 +52,24 @@ def test_dropping_and_removing(spark):
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [2, 3, 4, 8]
     cleaned = {r["doc_id"]: r["text"] for r in remove_spans(docs.where("doc_id IN (1, 5, 8)"), items).collect()}
     assert cleaned[8] == "clean" and words(cleaned[1]) == ["x", "y"] and words(cleaned[5]) == ["a"] and cleaned[1].endswith("! y")
+
+
+def test_removed_spans_against_brute_force(spark):
+    rows = DOCS + [(20, "short item one short item"), (21, "One two three four five six seven eight nine ten eleven twelve. b? one two THREE four five six seven eight nine ten"), (22, " - short: item - ")]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
+    wins = {tuple(w[i : i + 10]) for _, t in ITEMS if (w := words(t)) for i in range(max(len(w) - 9, 1))}
+
+    def without(text):
+        if text is None:
+            return None
+        found = [*re.finditer("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text)]
+        w = words(text)
+        hit = {k for n in {len(x) for x in wins} for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in wins for k in range(i, i + n)}
+        out, last = [], 0
+        for k, m in enumerate(found):
+            out += [text[last : m.start()], "" if k in hit else m[0]]
+            last = m.end()
+        return "".join(out) + text[last:]
+
+    got = sorted(((r["doc_id"], r["text"]) for r in remove_spans(docs, items).collect()), key=str)
+    assert got == sorted(((i, without(t)) for i, t in rows), key=str)
