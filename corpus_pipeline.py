@@ -3,13 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept.
 All but the last return the columns of ``documents``. ``run`` writes each stage's rows as
 Parquet under the shared checkpoint folder and reads them back, so that a lost executor
-never costs more than the stage at hand.
+never costs more than the stage at hand; the folder is deleted at the end.
+
+Rows with nulls, empty texts and repeated rows go through every stage as the operators'
+docstrings say: of equal texts, null among them, one row is left after exact dedup.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +18,9 @@ from pyspark.sql import functions as F
 from corpusloom.llm.decontaminate import drop_contaminated
 from corpusloom.llm.exact_dedup import drop_exact_copies
 from corpusloom.llm.sentencepieces import encode_pieces
-from corpusloom.llm.shingles import similar_groups
 from corpusloom.llm.simhash import keep_one_of_each
 from corpusloom.llm.toxicity import fit_toxicity, score_toxicity
-from corpusloom.session import is_train, shared_folder, table
+from corpusloom.session import cut_lineage, is_train, scratch, stored, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by five-word Jaccard similarities of 0.8 or more the smallest id stays."""
-    return keep_one_of_each(docs, grouped=similar_groups)
+    """Of each group of linked fingerprints (operator 4, as its contract defines them) the smallest id stays."""
+    return keep_one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,10 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}-{name}")
-            docs = spark.read.parquet(f"{folder}/{k}-{name}")
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    with scratch(spark, "pipeline") as folder:
+        for k, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                docs = stored(docs, f"{folder}/{k}-{name}")
+        return cut_lineage(docs)
