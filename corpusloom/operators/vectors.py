@@ -1,4 +1,8 @@
-"""Vector operators: similarity, top-k, tiles of pairs, centroids, k-means, checks."""
+"""Vector operators: similarity, top-k, tiles of pairs, centroids, k-means, checks.
+
+Defined results: a vector that is null, ragged, not finite or (nearly) zero has cosine 0 to
+every other; searches, pairs and clusters leave it out. Ties go to the smaller id.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +15,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import cut_lineage
 
-MAX_QUERIES = 20_000  # rows of a query set that is sent to every task
+MAX_QUERIES = 20_000  # rows of a query set that is sent to every task; larger ones are dealt
+TILE = 1_024  # queries of one matrix product
+PART_ROWS = 100_000  # items that a task holds while dealt queries pass by
 
 
 def doubles(v: Column) -> Column:
@@ -51,50 +57,131 @@ def sanitise(v: Column) -> Column:
     return F.when(F.exists(doubles(v), finite), F.transform(doubles(v), lambda x: F.when(finite(x), x).otherwise(0.0)))
 
 
-def top_k(items: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", min_score: float | None = None) -> DataFrame:
-    """(query, id, score, rank): the k nearest items by cosine of every query.
+def width(df: DataFrame, vec_col: str) -> int:
+    """The most frequent length of the collection's vectors, the larger of equals; 0 for none."""
+    sizes = df.where(F.size(vec_col) > 0).groupBy(F.size(vec_col).alias("n")).agg(F.count("*").alias("c"))
+    first = sizes.orderBy(F.desc("c"), F.desc("n")).first()
+    return first["n"] if first else 0
+
+
+def well_formed(df: DataFrame, vec_col: str, size: int) -> DataFrame:
+    """Without rows whose vector is null, of another length, not finite or zero."""
+    return df.where((F.size(vec_col) == size) & (first_bad(F.col(vec_col)) == 0) & (dot(F.col(vec_col), F.col(vec_col)) >= 1e-10))
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, norm, out=np.zeros_like(v, dtype=float), where=norm >= 1e-5)
+
+
+def _stacked(v: pd.Series) -> np.ndarray:
+    return _unit(np.stack(v.to_list()))
+
+
+def _best(queries: np.ndarray, matrix: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int | None, min_score: float | None) -> Iterator[pd.DataFrame]:
+    """(query, id, score) of the k best items of each query, all that tie at the edge among them; all items without k."""
+    for a in range(0, len(matrix), TILE):
+        s = matrix[a : a + TILE] @ v.T
+        keep = np.ones_like(s, dtype=bool) if min_score is None else s >= min_score
+        if k is not None and k < s.shape[1]:
+            edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+            keep &= s >= edge[:, None] - 1e-12
+        q, i = np.nonzero(keep)
+        yield pd.DataFrame({"query": queries[a + q], "id": ids[i], "score": s[q, i]})
+
+
+def _first(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    return rows.sort_values(["query", "score", "id"], ascending=[True, False, True]).groupby("query").head(k)
+
+
+FOUND = "query long, id long, score double"
+
+
+def scores(items: DataFrame, queries: DataFrame, k: int | None, *, id_col: str = "vec_id", vec_col: str = "embedding", min_score: float | None = None, where: Column | None = None, max_queries: int = MAX_QUERIES) -> DataFrame:
+    """(query, id, score) by cosine: what may be among the k best of each query, or all that reach ``min_score``.
 
-    The query set (two columns: query, embedding) is counted first and sent to the tasks as
-    one matrix; more than ``MAX_QUERIES`` are refused, to be given in parts. Each task keeps
-    its own k best for each query by blocked matrix products before anything is shuffled.
+    A query set of ``max_queries`` rows at most (counted first) goes to all tasks as one
+    matrix. A larger one is dealt: items are cut into parts of about ``PART_ROWS`` rows, every
+    part meets every query once, in one task that holds the part while queries pass by. Either
+    way a task sends on k rows a query at most, and ties at the edge.
     """
-    rows = queries.select("query", doubles(F.col("embedding")).alias("v")).limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: give them in parts")
-    if not rows:
-        return items.select(F.lit(0).cast("long").alias("query"), F.col(id_col), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    names, matrix = np.array([r["query"] for r in rows]), _unit(np.array([r["v"] for r in rows]))
-    sent = items.sparkSession.sparkContext.broadcast((names, matrix))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, matrix = sent.value
-        kept = None
+    size = width(items, vec_col)
+    rows = items if where is None else items.where(where)
+    rows = well_formed(rows, vec_col, size).select(F.col(id_col).alias("id"), doubles(F.col(vec_col)).alias("v"))
+    asked = well_formed(queries, "embedding", size).select(F.col("query").cast("long").alias("query"), doubles(F.col("embedding")).alias("v"))
+    known = asked.limit(max_queries + 1).collect() if size else []
+    if size and len(known) <= max_queries:
+        names, matrix = np.array([r["query"] for r in known], dtype=np.int64), _unit(np.array([r["v"] for r in known], dtype=float).reshape(-1, size))
+        sent = items.sparkSession.sparkContext.broadcast((names, matrix))
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, matrix = sent.value
+            kept = None
+            for batch in batches:
+                if not len(batch):
+                    continue
+                for part in _best(names, matrix, batch["id"].to_numpy(), _stacked(batch["v"]), k, min_score):
+                    if k is None:
+                        yield part
+                    else:
+                        kept = part if kept is None else pd.concat([kept, part])
+                if kept is not None:
+                    kept = _first(kept, k)
+            if kept is not None:
+                yield kept
+
+        return rows.mapInPandas(best, FOUND)
+    if not size:
+        return rows.select(F.lit(0).cast("long").alias("query"), F.col("id").cast("long").alias("id"), F.lit(0.0).alias("score")).limit(0)
+    parts = max(1, -(-rows.count() // PART_ROWS))
+    part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    held = rows.select(part.alias("part"), F.lit(0).alias("kind"), "id", "v")
+    passing = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"), F.col("query").alias("id"), "v")
+    dealt = held.unionByName(passing).repartition(parts, "part").sortWithinPartitions("part", "kind")
+
+    def pass_by(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, ids, vectors = None, [], []
         for batch in batches:
-            ids, v = batch["id"].to_numpy(), _unit(np.stack(batch["v"].to_list())) if len(batch) else None
-            if v is None:
-                continue
-            s = matrix @ v.T
-            n = min(k, s.shape[1])
-            at = np.argpartition(-s, n - 1, axis=1)[:, :n]
-            # Equal scores at the edge all stay, so that the tie-break by id is exact.
-            edge = np.take_along_axis(s, at, 1).min(axis=1)
-            q, i = np.nonzero(s >= edge[:, None] - 1e-12)
-            out = pd.DataFrame({"query": names[q], "id": ids[i], "score": s[q, i]})
-            if min_score is not None:
-                out = out[out["score"] >= min_score]
-            kept = out if kept is None else pd.concat([kept, out])
-            kept = kept.sort_values(["query", "score", "id"], ascending=[True, False, True]).groupby("query").head(k)
-        if kept is not None:
-            yield kept
-
-    found = items.select(F.col(id_col).alias("id"), doubles(F.col(vec_col)).alias("v")).mapInPandas(best, "query long, id long, score double")
+            for (part, kind), rows in batch.groupby(["part", "kind"], sort=True):
+                if part != now:
+                    now, ids, vectors = part, [], []
+                if kind == 0:
+                    ids.append(rows["id"].to_numpy())
+                    vectors.append(_stacked(rows["v"]))
+                elif ids:
+                    if len(ids) > 1:
+                        ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
+                    for a in range(0, len(rows), 64):  # 64 queries by a part of items at a time
+                        some = rows.iloc[a : a + 64]
+                        for found in _best(some["id"].to_numpy(), _stacked(some["v"]), ids[0], vectors[0], k, min_score):
+                            yield found if k is None else _first(found, k)
+
+    return dealt.mapInPandas(pass_by, FOUND)
+
+
+def top_k(items: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", min_score: float | None = None, where: Column | None = None, max_queries: int = MAX_QUERIES) -> DataFrame:
+    """(query, id, score, rank): the k nearest items by cosine of every query, given as (query, embedding).
+
+    ``where`` is a predicate on the items, which reaches their scan.
+    """
+    found = scores(items, queries, k, id_col=id_col, vec_col=vec_col, min_score=min_score, where=where, max_queries=max_queries)
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", F.col("id").alias(id_col), "score", "rank")
 
 
-def _unit(v: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(v, axis=1, keepdims=True)
-    return np.divide(v, norm, out=np.zeros_like(v, dtype=float), where=norm >= 1e-5)
+def chunk_search(chunks: DataFrame, queries: DataFrame, *, files: int = 20, chunks_each: int = 80, id_col: str = "vec_id", vec_col: str = "embedding", file: Column, min_score: float | None = None) -> DataFrame:
+    """(query, file, score, rank, chunk): the nearest ``chunks_each`` chunks, the best one for each file, the best files."""
+    hits = top_k(chunks, queries, chunks_each, id_col=id_col, vec_col=vec_col, min_score=min_score)
+    first = F.min_by(id_col, "rank").alias("chunk")
+    best = hits.groupBy("query", file.alias("file")).agg(F.max("score").alias("score"), first)
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "file")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= files).select("query", "file", "score", "rank", "chunk")
+
+
+def folder_search(folders: DataFrame, queries: DataFrame, k: int = 5, *, schema: str, id_col: str = "folder", vec_col: str = "embedding", meta_col: str = "meta") -> DataFrame:
+    """(query, folder, score, rank, meta): the nearest folders with their JSON metadata by ``schema``; nulls where it does not parse."""
+    hits = top_k(folders, queries, k, id_col=id_col, vec_col=vec_col)
+    return hits.join(folders.select(id_col, F.from_json(meta_col, schema).alias("meta")), id_col).select("query", id_col, "score", "rank", "meta")
 
 
 def similar_pairs(df: DataFrame, threshold: float, *, id_col: str = "vec_id", vec_col: str = "embedding", tile: int = 2_048) -> DataFrame:
@@ -104,7 +191,7 @@ def similar_pairs(df: DataFrame, threshold: float, *, id_col: str = "vec_id", ve
     two blocks at most: exact, in memory that doesn't grow, and evenly spread. The work is
     that of all pairs, so this is for collections that allow it.
     """
-    rows = df.select(F.col(id_col).alias("id"), doubles(F.col(vec_col)).alias("v"))
+    rows = well_formed(df, vec_col, width(df, vec_col)).select(F.col(id_col).alias("id"), doubles(F.col(vec_col)).alias("v"))
     n = max(1, -(-rows.count() // tile))
     block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     others = F.sequence(F.lit(0), F.lit(n - 1))
@@ -139,22 +226,53 @@ def assign_nearest(df: DataFrame, centres: list[tuple[int, list[float]]], *, id_
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            v = np.stack(batch["v"].to_list())
-            d = (v**2).sum(1)[:, None] - 2 * v @ matrix.T + (matrix**2).sum(1)[None, :]
-            at = d.argmin(axis=1)
-            exact = ((v - matrix[at]) ** 2).sum(axis=1)
-            yield pd.DataFrame({"id": batch["id"], "cluster": names[at], "distance": exact})
+            if len(batch):
+                at, exact = _nearest(np.stack(batch["v"].to_list()), matrix)
+                yield pd.DataFrame({"id": batch["id"], "cluster": names[at], "distance": exact})
 
-    out = df.select(F.col(id_col).alias("id"), doubles(F.col(vec_col)).alias("v")).mapInPandas(assign, "id long, cluster long, distance double")
+    rows = well_formed(df, vec_col, len(centres[0][1])) if centres else df.limit(0)
+    out = rows.select(F.col(id_col).alias("id"), doubles(F.col(vec_col)).alias("v")).mapInPandas(assign, "id long, cluster long, distance double")
+    return out.withColumnRenamed("id", id_col)
+
+
+def _nearest(v: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    d = (v**2).sum(1)[:, None] - 2 * v @ centres.T + (centres**2).sum(1)[None, :]
+    at = d.argmin(axis=1)
+    return at, ((v - centres[at]) ** 2).sum(axis=1)
+
+
+def best_of_few(files: DataFrame, folders: list[tuple[int, list[float]]], k: int | None, *, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(id, folder, score) of the k best (or all) of the given folders for every file; nothing is shuffled.
+
+    For folders that are one row a cluster; more than ``MAX_QUERIES`` of them are searched with
+    ``top_k``, folders as items and files as queries.
+    """
+    if len(folders) > MAX_QUERIES:
+        raise ValueError("so many folders are a collection: search it with top_k")
+    folders = sorted(folders)
+    names, matrix = np.array([f for f, _ in folders]), _unit(np.array([v for _, v in folders]))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a in range(0, len(batch), TILE):
+                some = batch.iloc[a : a + TILE]
+                s = _stacked(some["v"]) @ matrix.T
+                at = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                yield pd.DataFrame({"id": np.repeat(some["id"].to_numpy(), at.shape[1]), "folder": names[at].ravel(), "score": np.take_along_axis(s, at, 1).ravel()})
+
+    rows = well_formed(files, vec_col, len(folders[0][1])) if folders else files.limit(0)
+    out = rows.select(F.col(id_col).alias("id"), doubles(F.col(vec_col)).alias("v")).mapInPandas(score, "id long, folder long, score double")
     return out.withColumnRenamed("id", id_col)
 
 
 def kmeans(df: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 7, rounds: int = 50) -> DataFrame:
     """(id, cluster, distance) of Lloyd's rounds from k rows chosen by distance-weighted draws.
 
-    The first centres come from a bounded sample (the 5,000 smallest hashes of ids); only
-    k centres and k sums travel between driver and tasks. Rounds end when no centre moves.
+    The first centres come from a bounded sample (the 5,000 smallest hashes of ids). In a
+    round each task adds up the vectors of each cluster while it assigns them, so k sums a
+    task are all that is shuffled. Rounds end when no centre moves.
     """
+    df = well_formed(df, vec_col, width(df, vec_col))
     rows = df.select(F.col(id_col).alias("id"), doubles(F.col(vec_col)).alias("v"))
     sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(5_000).collect()])
     if not len(sample):
@@ -164,12 +282,25 @@ def kmeans(df: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "emb
     while len(chosen) < min(k, len(sample)):
         d = np.min([((sample - c) ** 2).sum(1) for c in chosen], axis=0)
         chosen.append(sample[rng.choice(len(sample), p=d / d.sum()) if d.sum() else rng.integers(len(sample))])
-    centres = [(i, list(map(float, c))) for i, c in enumerate(chosen)]
+    centres = np.array(chosen)
     for _ in range(rounds):
-        near = assign_nearest(rows.withColumnRenamed("v", "_v").withColumnRenamed("id", "_i"), centres, id_col="_i", vec_col="_v")
-        means = centroids(near.join(rows, F.col("_i") == F.col("id")).select("cluster", "v"), "cluster", vec_col="v").collect()  # k rows
-        new = dict(centres) | {r["cluster"]: list(r["centroid"]) for r in means}
-        if all(np.allclose(new[i], c, atol=1e-9) for i, c in centres):
+
+        def add_up(batches: Iterator[pd.DataFrame], centres=centres) -> Iterator[pd.DataFrame]:
+            sums, sizes = np.zeros_like(centres), np.zeros(len(centres))
+            for batch in batches:
+                if len(batch):
+                    v = np.stack(batch["v"].to_list())
+                    at, _ = _nearest(v, centres)
+                    np.add.at(sums, at, v)
+                    sizes += np.bincount(at, minlength=len(centres))
+            names, axis = np.indices(sums.shape)
+            yield pd.DataFrame({"cluster": names.ravel(), "axis": axis.ravel(), "x": sums.ravel(), "n": np.repeat(sizes, sums.shape[1])})
+
+        means = rows.mapInPandas(add_up, "cluster long, axis long, x double, n double").groupBy("cluster", "axis").agg((F.sum("x") / F.nullif(F.sum("n"), F.lit(0.0))).alias("x")).where("x IS NOT NULL").toPandas()  # k centres
+        new = centres.copy()
+        new[means["cluster"].to_numpy(), means["axis"].to_numpy()] = means["x"].to_numpy()
+        still = np.allclose(new, centres, atol=1e-9)
+        centres = new
+        if still:
             break
-        centres = sorted(new.items())
-    return cut_lineage(assign_nearest(df, centres, id_col=id_col, vec_col=vec_col))
+    return cut_lineage(assign_nearest(df, [(i, c.tolist()) for i, c in enumerate(centres)], id_col=id_col, vec_col=vec_col))

@@ -81,34 +81,15 @@ def similar_in_scope(spark, sf):
 @query("score_ids", f"SELECT query, vec_id, round(score, 6) AS score FROM ({SEARCH}) WHERE vec_id IN (SELECT item_id FROM benchmark)")
 def score_ids(spark, sf):
     listed = vectors(spark, sf).join(table(spark, sf, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select("vec_id", "embedding")
-    q = queries(spark, sf)
-    return V.top_k(listed, q, table(spark, sf, "benchmark").count()).select("query", "vec_id", six("score"))
+    return V.scores(listed, queries(spark, sf), None).select("query", F.col("id").alias("vec_id"), six("score"))
 
 
 @query("files_to_folders_topk", f"WITH {CENTRE} SELECT vec_id, folder, round(score, 6) AS score FROM (SELECT vec_id, c.label AS folder, list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid) AS score, row_number() OVER (PARTITION BY vec_id ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid) DESC, c.label) AS rn FROM embeddings, c) WHERE rn <= 3")
 def files_to_folders_topk(spark, sf):
     """Folders (cluster means) are few; each file's three best come from one matrix product."""
     folders = V.centroids(vectors(spark, sf), "label").select(F.col("label").cast("long").alias("folder"), F.col("centroid").alias("embedding"))
-    rows = [(r["folder"], r["embedding"]) for r in folders.limit(V.MAX_QUERIES).collect()]
-    return folder_scores(vectors(spark, sf), rows, 3).select("vec_id", F.col("folder").cast("int").alias("folder"), six("score"))
-
-
-def folder_scores(files, folders, k, id_col="vec_id", vec_col="embedding"):
-    """(id, folder, score) of the k best of a few folders for every file; no shuffle."""
-    import numpy as np
-    import pandas as pd
-
-    folders = sorted(folders)
-    names, matrix = np.array([f for f, _ in folders]), V._unit(np.array([v for _, v in folders]))
-
-    def score(batches):
-        for batch in batches:
-            s = V._unit(np.stack(batch["v"].to_list())) @ matrix.T
-            at = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), at.shape[1]), "folder": names[at].ravel(), "score": np.take_along_axis(s, at, 1).ravel()})
-
-    out = files.select(F.col(id_col).alias("id"), V.doubles(F.col(vec_col)).alias("v")).mapInPandas(score, "id long, folder long, score double")
-    return out.withColumnRenamed("id", id_col)
+    rows = [(r["folder"], r["embedding"]) for r in folders.collect()]  # one row a folder
+    return V.best_of_few(vectors(spark, sf), rows, 3).select("vec_id", F.col("folder").cast("int").alias("folder"), six("score"))
 
 
 @query("similar_to_row", f"SELECT query, vec_id, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rn FROM ({SEARCH})) WHERE rn <= 5")
@@ -123,11 +104,15 @@ def chunk_topk(spark, sf):
     return hits.join(text, "vec_id").select("query", "vec_id", six("score"), "snippet")
 
 
-@query("folder_topk", "SELECT event_type, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), 0) AS k, count(*) AS n FROM events GROUP BY 1, 2")
+@query("folder_topk", f"""WITH {CENTRE}, f AS (SELECT label AS folder, centroid, CASE WHEN label % 3 = 0 THEN 'not json' ELSE '{{"name": "folder ' || label || '", "k": ' || label || '}}' END AS meta FROM c),
+ s AS (SELECT b.vec_id AS query, folder, meta, list_cosine_similarity(CAST(b.embedding AS DOUBLE[]), centroid) AS score FROM embeddings b, f WHERE b.vec_id % 50 = 0)
+ SELECT query, folder, round(score, 6) AS score, CASE WHEN folder % 3 = 0 THEN NULL ELSE 'folder ' || folder END AS name, CASE WHEN folder % 3 = 0 THEN NULL ELSE CAST(folder AS BIGINT) END AS k FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, folder) AS rn FROM s) WHERE rn <= 5""")
 def folder_topk(spark, sf):
-    """Metadata kept as JSON, read with a schema; what does not parse counts as empty."""
-    meta = F.from_json("props", "k long")
-    return table(spark, sf, "events").groupBy("event_type", F.coalesce(meta["k"], F.lit(0)).alias("k")).agg(F.count("*").alias("n"))
+    """The nearest folders of each query vector, with metadata kept as JSON; what does not parse is empty."""
+    c = V.centroids(vectors(spark, sf), "label").select(F.col("label").cast("long").alias("folder"), F.col("centroid").alias("embedding"))
+    meta = F.when(F.col("folder") % 3 == 0, "not json").otherwise(F.format_string('{"name": "folder %d", "k": %d}', "folder", "folder"))
+    hits = V.folder_search(c.withColumn("meta", meta), queries(spark, sf), 5, schema="name string, k long")
+    return hits.select("query", F.col("folder").cast("int").alias("folder"), six("score"), "meta.name", "meta.k")
 
 
 @query("self_recall", f"SELECT query, true AS found FROM ({SEARCH}) WHERE query = vec_id")
@@ -195,8 +180,8 @@ def cross_cluster_edges(spark, sf):
 @query("bridge_files", f"WITH {CENTRE} SELECT label, other, vec_id, score FROM (SELECT e.label, c.label AS other, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), c.centroid), 2) AS score, row_number() OVER (PARTITION BY e.label, c.label ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), c.centroid), 2) DESC, vec_id) AS rn FROM embeddings e JOIN c ON c.label <> e.label) WHERE rn <= 3 AND score >= 0.1")
 def bridge_files(spark, sf):
     """For every other cluster the three members nearest to its centre, rounded before they are ranked."""
-    rows = [(r["label"], list(r["centroid"])) for r in V.centroids(vectors(spark, sf), "label").limit(V.MAX_QUERIES).collect()]
-    s = folder_scores(vectors(spark, sf), rows, len(rows)).join(vectors(spark, sf).select("vec_id", "label"), "vec_id")
+    rows = [(r["label"], list(r["centroid"])) for r in V.centroids(vectors(spark, sf), "label").collect()]  # one row a cluster
+    s = V.best_of_few(vectors(spark, sf), rows, None).join(vectors(spark, sf).select("vec_id", "label"), "vec_id")
     s = s.where("folder <> label").select("label", F.col("folder").cast("int").alias("other"), "vec_id", F.round("score", 2).alias("score"))
     w = W.partitionBy("label", "other").orderBy(F.desc("score"), "vec_id")
     return s.withColumn("rn", F.row_number().over(w)).where("rn <= 3 AND score >= 0.1").drop("rn")
@@ -204,13 +189,12 @@ def bridge_files(spark, sf):
 
 @query("semantic_duplicates", f"SELECT query, vec_id FROM ({SEARCH}) WHERE vec_id <> query AND score >= 0.5")
 def semantic_duplicates(spark, sf):
-    q = queries(spark, sf)
-    near = V.top_k(vectors(spark, sf), q, 1 << 31, min_score=0.5)
-    return near.where("vec_id <> query").select("query", "vec_id")
+    near = V.scores(vectors(spark, sf), queries(spark, sf), None, min_score=0.5)
+    return near.where("id <> query").select("query", F.col("id").alias("vec_id"))
 
 
 @query("semantic_folder_matches", f"WITH {CENTRE} SELECT vec_id, c.label AS folder, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid) * 0.9, 5) AS score FROM embeddings, c WHERE list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid) * 0.9 >= 0.2")
 def semantic_folder_matches(spark, sf):
-    rows = [(r["label"], list(r["centroid"])) for r in V.centroids(vectors(spark, sf), "label").limit(V.MAX_QUERIES).collect()]
-    s = folder_scores(vectors(spark, sf), rows, len(rows))
+    rows = [(r["label"], list(r["centroid"])) for r in V.centroids(vectors(spark, sf), "label").collect()]  # one row a cluster
+    s = V.best_of_few(vectors(spark, sf), rows, None)
     return s.where("score * 0.9 >= 0.2").select("vec_id", F.col("folder").cast("int").alias("folder"), F.round(F.col("score") * 0.9, 5).alias("score"))
