@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.vectors import top_k
+
 K1, B = 1.2, 0.75
 RRF = 60
 
@@ -25,14 +34,83 @@ def postings(docs: DataFrame, fields: dict[str, float], *, id_col: str = "doc_id
     return rows.groupBy("field", "boost", "id", "term", "length").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, float], *, id_col: str = "doc_id", k: int | None = None) -> DataFrame:
-    """(query, id, score, rank): boosted sum of per-field BM25 scores for each query (query, text).
+_PLAIN = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+
+
+def _tokens(text: str | None) -> list[bytes]:
+    """What ``tokens`` gives, as bytes."""
+    return [w for w in (text or "").lower().encode().translate(_PLAIN).split() if len(w) > 1]
 
-    Only postings of query terms are built; statistics of fields are one row a field and
-    those of terms one row a term, so the posting list is joined to small sides whose size
-    Spark knows.
+
+def bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, float], *, id_col: str = "doc_id", k: int, max_terms: int = 500_000) -> DataFrame:
+    """(query, id, score, rank): the first k by the boosted sum of per-field BM25 scores for each query (query, text).
+
+    The terms of the queries (counted first; up to ``max_terms`` go to the tasks) are all
+    that is counted: a first pass gives lengths and the number of documents that have each
+    term, one row a field and term at most. A second one scores each document against all
+    queries that share a term with it, and a task sends on k rows a query. More terms than
+    that are joined instead. A null field has no length and no terms, but counts as a document.
     """
-    q = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    q = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct()
+    known = q.limit(max_terms + 1).collect()
+    if len(known) > max_terms:
+        out = _bm25_joined(docs, q, fields, id_col)
+    else:
+        out = _bm25_in_tasks(docs, [(r["query"], r["term"].encode()) for r in known], fields, id_col, k)
+    out = out.withColumn("score", F.round("score", 9))  # sums of equal texts stay equal
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+
+
+def _bm25_in_tasks(docs: DataFrame, known: list[tuple[int, bytes]], fields: dict[str, float], id_col: str, k: int) -> DataFrame:
+    names = list(fields)
+    asked = sorted({q for q, _ in known})
+    at = {q: n for n, q in enumerate(asked)}
+    listed: dict[bytes, list[int]] = {}
+    for q, term in known:
+        listed.setdefault(term, []).append(at[q])
+    queries_of = docs.sparkSession.sparkContext.broadcast({t: np.array(sorted(n), dtype=np.int32) for t, n in listed.items()})
+    rows = docs.select(F.col(id_col).alias("id"), *(F.col(f).cast("string").alias(f"f{n}") for n, f in enumerate(names)))
+
+    def statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = queries_of.value.keys()
+        seen, sizes = [Counter() for _ in names], np.zeros((len(names), 3))
+        for batch in batches:
+            for n in range(len(names)):
+                for text in batch[f"f{n}"]:
+                    w = _tokens(text)
+                    seen[n].update(wanted & {*w})
+                    sizes[n] += (1, text is not None, len(w))
+        for n in range(len(names)):
+            yield pd.DataFrame({"field": n, "term": [None, *seen[n]], "docs": [sizes[n, 0], *seen[n].values()], "filled": sizes[n, 1], "words": sizes[n, 2]})
+
+    counted = rows.mapInPandas(statistics, "field int, term binary, docs double, filled double, words double").groupBy("field", "term").agg(*(F.sum(c).alias(c) for c in ("docs", "filled", "words"))).collect()
+    total = {r["field"]: (r["docs"], r["words"] / max(r["filled"], 1)) for r in counted if r["term"] is None}
+    idf = [{bytes(r["term"]): fields[names[n]] * math.log(1 + (total[n][0] - r["docs"] + 0.5) / (r["docs"] + 0.5)) for r in counted if r["term"] is not None and r["field"] == n} for n in range(len(names))]
+    means = [max(total.get(n, (0, 0))[1], 1e-9) for n in range(len(names))]
+    weights = docs.sparkSession.sparkContext.broadcast(idf)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lists, idf = queries_of.value, weights.value
+        kept = None
+        for batch in batches:
+            scores = np.zeros((len(batch), len(asked)))
+            for n in range(len(names)):
+                for row, text in enumerate(batch[f"f{n}"]):
+                    w = _tokens(text)
+                    base = K1 * (1 - B + B * len(w) / means[n])
+                    for term, tf in Counter(x for x in w if x in lists).items():
+                        scores[row, lists[term]] += idf[n][term] * tf * (K1 + 1) / (tf + base)
+            row, query = np.nonzero(scores)
+            found = pd.DataFrame({"query": np.array(asked, dtype=np.int64)[query], "id": batch["id"].to_numpy()[row], "score": scores[row, query].round(9)})
+            kept = found if kept is None else pd.concat([kept, found])
+            kept = kept.sort_values(["query", "score", "id"], ascending=[True, False, True]).groupby("query").head(k)
+        if kept is not None:
+            yield kept
+
+    return rows.mapInPandas(score, "query long, id long, score double")
+
+
+def _bm25_joined(docs: DataFrame, q: DataFrame, fields: dict[str, float], id_col: str) -> DataFrame:
     p = postings(docs, fields, id_col=id_col, terms=q.select("term").distinct())
     stats = None
     for field in fields:
@@ -43,9 +121,7 @@ def bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, float], *, id_co
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     s = s.select("id", "term", (F.col("boost") * idf * weight).alias("s"))
-    out = q.join(s, "term").groupBy("query", "id").agg(F.round(F.sum("s"), 9).alias("score"))  # sums of equal texts stay equal
-    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id")))
-    return out if k is None else out.where(F.col("rank") <= k)
+    return q.join(s, "term").groupBy("query", "id").agg(F.sum("s").alias("score"))
 
 
 def normalised(df: DataFrame, score: str = "score", by: str = "query") -> DataFrame:
@@ -123,3 +199,87 @@ def chunk_context(hits: DataFrame, parts: DataFrame, k: int = 1, limit: int = 2_
     near = hits.select("id", "index").join(parts.select("id", F.col("index").alias("other"), "chunk"), "id").where(F.abs(F.col("index") - F.col("other")) <= k)
     lines = F.sort_array(F.collect_list(F.struct("other", "chunk")))
     return near.groupBy("id", "index").agg(F.substring(F.trim(F.array_join(F.transform(lines, lambda x: x["chunk"]), "\n")), 1, limit).alias("context"))
+
+
+def search_with_matches(items: DataFrame, queries: DataFrame, meta: DataFrame, k: int = 20, *, id_col: str = "vec_id", vec_col: str = "embedding", where: Column | None = None, most: int = 3) -> DataFrame:
+    """(query, id, score, rank, tags, in_category): nearest items, and where words of the query's text stand in their metadata.
+
+    ``queries``: (query, embedding, text); ``meta``: (id, tags, category). A word has three
+    characters at least; ``tags`` are the first ``most`` that contain one. Hits without
+    metadata have no tags.
+    """
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: F.length(w) > 2)
+    hits = top_k(items, queries, k, id_col=id_col, vec_col=vec_col, where=where).withColumnRenamed(id_col, "id")
+    rows = hits.join(queries.select("query", words.alias("_words")), "query").join(meta.select("id", "tags", "category"), "id", "left")
+    has = lambda text: F.exists("_words", lambda w: F.contains(F.lower(text), w))
+    tags = F.slice(F.filter(F.coalesce("tags", F.array().cast("array<string>")), has), 1, most)
+    return rows.select("query", "id", "score", "rank", tags.alias("tags"), has(F.coalesce("category", F.lit(""))).alias("in_category"))
+
+
+def completions(sources: list[tuple[DataFrame, float]], typed: str, most: int = 8) -> DataFrame:
+    """(name, score): distinct names that contain what is typed, whatever the case, by the score of their source, then by name."""
+    rows = None
+    for df, score in sources:
+        one = df.select(F.col("name")).where(F.contains(F.lower("name"), F.lit(typed.lower().strip()))).distinct().withColumn("score", F.lit(score))
+        rows = one if rows is None else rows.unionByName(one)
+    best = rows.groupBy("name").agg(F.max("score").alias("score"))
+    return best.orderBy(F.desc("score"), "name").limit(most)
+
+
+def highlight_segments(text: Column, query: str) -> Column:
+    """The text in segments: those at even places (from 1) are words of the query, whatever their case; others may be empty."""
+    words = sorted({w for w in re.split(r"\s+", query.strip()) if len(w) > 1}, key=lambda w: (-len(w), w))
+    if not words:
+        return F.array(text)
+    marked = F.regexp_replace(text, f"(?i)({'|'.join(re.sub(r'([^A-Za-z0-9_])', r'[$1]'.replace('$1', chr(92) + '1'), w) for w in words)})", "\u0001$1\u0001")
+    return F.split(marked, "\u0001")
+
+
+def field_search(df: DataFrame, query: str, *, fields: dict[str, int], exact: dict[str, int] | None = None, lists: dict[str, int] | None = None, text_col: str | None = None, text_points: int = 3, last_lists: dict[str, int] | None = None, semantic: DataFrame | None = None, id_col: str = "doc_id", ts_col: str = "ts", k: int = 100, recent: int = 300) -> DataFrame:
+    """(id, score, rank): points for each field that contains the query, the first k.
+
+    ``exact`` adds points for a field that equals the query, ``lists`` for arrays with an
+    element that contains it; the text counts only for a row without points so far, and
+    ``last_lists`` after it. ``semantic`` (id, cosine) adds a hundred times the cosine to the
+    ``recent`` newest rows, which are then results whatever their points.
+    """
+    q = query.lower().strip()
+    has = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(q))
+    in_list = lambda name: F.exists(F.coalesce(F.col(name), F.array().cast("array<string>")), has)
+    points = F.lit(0.0)
+    for name, n in fields.items():
+        points = points + F.when(has(F.col(name)), n).otherwise(0)
+    for name, n in (exact or {}).items():
+        points = points + F.when(F.lower(F.col(name)) == q, n).otherwise(0)
+    for name, n in (lists or {}).items():
+        points = points + F.when(in_list(name), n).otherwise(0)
+    rows = df
+    if semantic is not None:
+        newest = df.orderBy(F.desc(ts_col), F.desc(id_col)).limit(recent).select(F.col(id_col).alias("_id"))
+        near = semantic.select(F.col("id").alias("_id"), F.col("cosine").alias("_cosine")).join(newest, "_id", "left_semi")
+        rows = rows.join(near, F.col(id_col) == F.col("_id"), "left")
+        points = points + F.coalesce(F.col("_cosine") * 100, F.lit(0.0))
+    found = rows.withColumn("_points", points)
+    score = F.col("_points")
+    if text_col:
+        score = score + F.when((F.col("_points") == 0) & has(F.col(text_col)), text_points).otherwise(0)
+    for name, n in (last_lists or {}).items():
+        score = score + F.when(in_list(name), n).otherwise(0)
+    keep = (F.col("score") > 0) if semantic is None else (F.col("score") > 0) | F.col("_cosine").isNotNull()
+    top = found.withColumn("score", score).where(keep).orderBy(F.desc("score"), F.desc(ts_col), id_col).limit(k)
+    order = Window.orderBy(F.desc("score"), F.desc(ts_col), id_col)  # k rows at most
+    return top.select(F.col(id_col).alias("id"), "score", F.row_number().over(order).alias("rank"))
+
+
+def contradictions(sources: DataFrame, *, most: int = 5, by: str = "query") -> DataFrame:
+    """(query, a, b, topics): the first pairs of an answer's sources that share a topic and differ in date or entities.
+
+    ``sources``: (query, id, topics, date, entities), a bounded number of them a query, so
+    pairs stay few. Dates differ only if both are set.
+    """
+    s = sources.select(by, "id", F.explode(F.array_distinct("topics")).alias("topic"), "date", F.array_sort(F.array_distinct("entities")).alias("entities"))
+    x, y = s.alias("x"), s.alias("y")
+    differ = (F.col("x.date").isNotNull() & F.col("y.date").isNotNull() & (F.col("x.date") != F.col("y.date"))) | (F.col("x.entities") != F.col("y.entities"))
+    pairs = x.join(y, [by, "topic"]).where(F.col("x.id") < F.col("y.id")).where(differ)
+    pairs = pairs.groupBy(by, F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.array_sort(F.collect_set("topic")).alias("topics"))
+    return pairs.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy("a", "b"))).where(F.col("_n") <= most).drop("_n")

@@ -114,19 +114,6 @@ def folder_overlaps(spark, sf):
     return s.orderBy(F.desc("score"), "a", "b").limit(100)
 
 
-@query("contradictions", HIST + ", t AS (SELECT doc_id, size AS topic, lang, ts FROM h) SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.topic = b.topic AND a.doc_id < b.doc_id WHERE a.lang <> b.lang ORDER BY 1, 2 LIMIT 5")
-def contradictions(spark, sf):
-    """Documents of one topic (here: equal size) with different entities (languages), the first five.
-
-    A topic's documents are counted by language first, so topics of one language never make pairs.
-    """
-    h = history(spark, sf).select("doc_id", F.col("size").alias("topic"), "lang")
-    mixed = h.groupBy("topic").agg(F.count_distinct("lang").alias("n")).where("n > 1").select("topic")
-    h = h.join(mixed, "topic", "left_semi")
-    p = h.alias("x").join(h.alias("y"), "topic").where("x.doc_id < y.doc_id AND x.lang <> y.lang")
-    return p.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).orderBy("a", "b").limit(5)
-
-
 @query("strategy_scores", HIST + "SELECT doc_id, least(1.0, CASE WHEN category IS NOT NULL THEN 0.3 ELSE 0 END + CASE WHEN ext <> 'txt' THEN 0.3 ELSE 0 END + CASE WHEN contains('projects reports data', category) OR contains('reports pdf docs', ext) THEN 0.4 ELSE 0 END) AS score FROM h")
 def strategy_scores(spark, sf):
     s = F.when(F.col("category").isNotNull(), 0.3).otherwise(0.0) + F.when(F.col("ext") != "txt", 0.3).otherwise(0.0) + F.when(F.contains(F.lit("projects reports data"), "category") | F.contains(F.lit("reports pdf docs"), "ext"), 0.4).otherwise(0.0)

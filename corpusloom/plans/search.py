@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.operators import graph as G
@@ -18,7 +17,7 @@ from corpusloom.session import table
 FIELDS = {"text": 2.5, "source": 1.5, "lang": 1.2}
 TOK = "regexp_extract_all(lower({}), '[a-z0-9]{{2,}}')"
 BM = (
-    "q AS (SELECT DISTINCT item_id AS query, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS term FROM benchmark WHERE item_id % 5 = 0), "
+    "q AS (SELECT DISTINCT item_id AS query, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS term FROM benchmark), "
     "w AS (SELECT 'text' AS field, 2.5 AS boost, doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS w FROM documents UNION ALL SELECT 'source', 1.5, doc_id, regexp_extract_all(lower(source), '[a-z0-9]{2,}') FROM documents UNION ALL SELECT 'lang', 1.2, doc_id, regexp_extract_all(lower(lang), '[a-z0-9]{2,}') FROM documents), "
     "st AS (SELECT field, count(*) AS docs, avg(len(w)) AS mean FROM w GROUP BY 1), "
     "p AS (SELECT field, boost, id, term, len, count(*) AS tf FROM (SELECT field, boost, id, len(w) AS len, unnest(w) AS term FROM w) WHERE term IN (SELECT term FROM q) GROUP BY ALL), "
@@ -28,12 +27,12 @@ BM = (
     "b AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM b0) "
 )
 #: Vector results for the same queries: the vector of the query's id.
-VEC = f"v0 AS (SELECT b.vec_id AS query, a.vec_id AS id, {COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id IN (SELECT item_id FROM benchmark WHERE item_id % 5 = 0)), v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM v0) WHERE rank <= 60) "
+VEC = f"v0 AS (SELECT b.vec_id AS query, a.vec_id AS id, {COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id IN (SELECT item_id FROM benchmark)), v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM v0) WHERE rank <= 60) "
 NORM = "CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE greatest(0, least(1, score)) END"
 
 
 def texts(spark, sf):
-    return table(spark, sf, "benchmark").where("item_id % 5 = 0").select(F.col("item_id").alias("query"), "text")
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), "text")
 
 
 def keyword(spark, sf, k=60):
@@ -41,8 +40,7 @@ def keyword(spark, sf, k=60):
 
 
 def vector(spark, sf, k=60):
-    q = table(spark, sf, "embeddings").join(texts(spark, sf).select(F.col("query").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query"), "embedding")
-    return V.top_k(table(spark, sf, "embeddings"), q, k).select("query", F.col("vec_id").alias("id"), "score", "rank")
+    return V.top_k(table(spark, sf, "embeddings"), item_vectors(spark, sf), k).select("query", F.col("vec_id").alias("id"), "score", "rank")
 
 
 @query("bm25_index_terms", "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1")
@@ -65,14 +63,37 @@ def search_mode_vector(spark, sf):
     return S.normalised(vector(spark, sf)).where("score >= 0.15").select("query", "id", F.round("score", 5).alias("score"))
 
 
-CH = "ch AS (SELECT query, floor(id / 4) * 4 AS id, max(score) AS score FROM v0 GROUP BY 1, 2), chr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM ch) WHERE rank <= 60) "
+CH = "c0 AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rn FROM v0), ch AS (SELECT query, floor(id / 4) * 4 AS id, max(score) AS score FROM c0 WHERE rn <= 240 GROUP BY 1, 2), chr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM ch) WHERE rank <= 60) "
+
+
+def file_of():
+    """Vectors in fours are the chunks of one file."""
+    return F.floor(F.col("vec_id") / 4) * 4
+
+
+def item_vectors(spark, sf):
+    return table(spark, sf, "embeddings").join(texts(spark, sf).select(F.col("query").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query"), "embedding")
 
 
 def chunk(spark, sf):
-    """Vectors in fours are the chunks of one file; the best one speaks for it."""
-    q = table(spark, sf, "embeddings").join(texts(spark, sf).select(F.col("query").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query"), "embedding")
-    files = V.top_k(table(spark, sf, "embeddings"), q, 1 << 31).groupBy("query", (F.floor(F.col("vec_id") / 4) * 4).alias("id")).agg(F.max("score").alias("score"))
-    return files.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))).where("rank <= 60")
+    return V.chunk_search(table(spark, sf, "embeddings"), item_vectors(spark, sf), files=60, chunks_each=240, file=file_of()).select("query", F.col("file").alias("id"), "score", "rank")
+
+
+@query("chunk_search", f"WITH v0 AS (SELECT b.vec_id AS query, a.vec_id AS id, {COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0), c0 AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rn FROM v0), f AS (SELECT query, CAST(floor(id / 4) * 4 AS BIGINT) AS file, max(score) AS score, min_by(id, rn) AS chunk FROM c0 WHERE rn <= 80 GROUP BY 1, 2) SELECT query, file, round(score, 6) AS score, chunk FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, file) AS rank FROM f) WHERE rank <= 20")
+def chunk_search(spark, sf):
+    hits = V.chunk_search(table(spark, sf, "embeddings"), queries(spark, sf), file=file_of())
+    return hits.select("query", "file", six("score"), "chunk")
+
+
+@query("vector_search_tags", HIST + f""", q AS (SELECT vec_id AS query, embedding, list_filter([lower(d.source), d.lang, 'tag' || (vec_id % 7)], lambda w: length(w) > 2) AS words FROM embeddings JOIN documents d ON d.doc_id = vec_id WHERE vec_id % 50 = 0),
+ s AS (SELECT query, a.vec_id AS id, words, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings a, q WHERE a.label <> 3), t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s)
+ SELECT query, id, round(score, 6) AS score, list_filter(coalesce(tags, []), lambda t: len(list_filter(words, lambda w: contains(lower(t), w))) > 0) AS tags, len(list_filter(words, lambda w: contains(lower(coalesce(category, '')), w))) > 0 AS in_category FROM t LEFT JOIN h ON h.doc_id = id WHERE rank <= 20""")
+def vector_search_tags(spark, sf):
+    """Nearest vectors outside cluster 3, and where the query's words stand in their tags and category."""
+    words = F.concat_ws(" ", "source", "lang", F.concat(F.lit("Tag"), (F.col("vec_id") % 7).cast("string")))
+    asked = table(spark, sf, "embeddings").where("vec_id % 50 = 0").join(table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "source", "lang"), "vec_id").select(F.col("vec_id").alias("query"), "embedding", words.alias("text"))
+    meta = history(spark, sf).select(F.col("doc_id").alias("id"), "tags", "category")
+    return S.search_with_matches(table(spark, sf, "embeddings"), asked, meta, where=F.col("label") != 3).select("query", "id", six("score"), "tags", "in_category")
 
 
 PARTS = f"nb AS (SELECT query, id, {NORM} AS score FROM b WHERE rank <= 60 WINDOW w AS (PARTITION BY query)), nv AS (SELECT query, id, {NORM} AS score FROM v WINDOW w AS (PARTITION BY query)), nc AS (SELECT query, id, {NORM} AS score FROM chr WINDOW w AS (PARTITION BY query)) "
@@ -152,29 +173,26 @@ def match_details(spark, sf):
     return keyword(spark, sf, 10).join(d, "id").join(q, "query").where(F.contains("t", "term")).groupBy("query", "id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
-@query("weighted_keyword_search", HIST + """, s AS (SELECT doc_id, ts, CASE WHEN contains(lower(file_name), 'doc1') THEN 10 ELSE 0 END + CASE WHEN contains(category, 'src1') THEN 5 ELSE 0 END + CASE WHEN len(list_filter(tags, lambda t: contains(t, 'tag1'))) > 0 THEN 4 ELSE 0 END AS base, lower(text) AS t FROM h),
- r AS (SELECT doc_id, ts, base + CASE WHEN base = 0 AND contains(t, 'there') THEN 3 ELSE 0 END AS score FROM s) SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, ts DESC) AS rank FROM r WHERE score > 0 ORDER BY rank LIMIT 100""")
+@query("weighted_keyword_search", HIST + f""", v AS (SELECT a.vec_id AS id, {COS} AS cosine FROM embeddings a, embeddings b WHERE b.vec_id = 0), n AS (SELECT id AS nid, cosine FROM v JOIN (SELECT doc_id FROM h ORDER BY ts DESC, doc_id DESC LIMIT 300) r ON r.doc_id = id),
+ s AS (SELECT doc_id AS id, ts, cosine, CASE WHEN contains(lower(file_name), 'g1') THEN 10 ELSE 0 END + CASE WHEN contains(lower(category), 'g1') THEN 5 ELSE 0 END + CASE WHEN lower(file_name) = 'g1' THEN 5 ELSE 0 END + CASE WHEN len(list_filter(tags, lambda t: contains(lower(t), 'g1'))) > 0 THEN 4 ELSE 0 END + coalesce(cosine * 100, 0) AS p, lower(text) AS t, lang FROM h LEFT JOIN n ON nid = doc_id),
+ r AS (SELECT id, ts, cosine, p + CASE WHEN p = 0 AND contains(t, 'g1') THEN 3 ELSE 0 END AS score FROM s) SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, ts DESC, id) AS rank FROM r WHERE score > 0 OR cosine IS NOT NULL ORDER BY rank LIMIT 100""")
 def weighted_keyword_search(spark, sf):
-    """Bonuses by field; the text counts only where nothing else did."""
-    has = lambda c, x, points: F.when(F.contains(c, F.lit(x)), points).otherwise(0)
-    h = history(spark, sf)
-    base = has(F.lower("file_name"), "doc1", 10) + has(F.col("category"), "src1", 5) + F.when(F.exists("tags", lambda t: F.contains(t, F.lit("tag1"))), 4).otherwise(0)
-    r = h.select("doc_id", "ts", base.alias("base"), F.lower("text").alias("t"))
-    r = r.select("doc_id", "ts", (F.col("base") + F.when((F.col("base") == 0) & F.contains("t", F.lit("there")), 3).otherwise(0)).alias("score")).where("score > 0")
-    top = r.orderBy(F.desc("score"), F.desc("ts"), "doc_id").limit(100)  # a hundred rows are ranked
-    return top.select("doc_id", "score", F.row_number().over(W.orderBy(F.desc("score"), F.desc("ts"))).cast("long").alias("rank"))
+    """The query "g1" over the history, with the first vector's similarity for the newest rows."""
+    e = table(spark, sf, "embeddings")
+    near = V.scores(e, e.where("vec_id = 0").select(F.col("vec_id").alias("query"), "embedding"), None).select("id", F.col("score").alias("cosine"))
+    found = S.field_search(history(spark, sf), "g1", fields={"file_name": 10, "category": 5}, exact={"file_name": 5}, lists={"tags": 4}, text_col="text", semantic=near)
+    return found.select("id", six("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("autocomplete", "SELECT name, score FROM (SELECT DISTINCT p_type AS name, 1.0 AS score FROM part WHERE p_type ILIKE '%st%' UNION SELECT DISTINCT p_brand, 0.9 FROM part WHERE p_brand ILIKE '%2%') ORDER BY score DESC, name LIMIT 8")
+@query("autocomplete", "SELECT name, max(score) AS score FROM (SELECT p_type AS name, 1.0 AS score FROM part WHERE contains(lower(p_type), 'ar') UNION ALL SELECT p_brand, 0.9 FROM part WHERE contains(lower(p_brand), 'ar') UNION ALL SELECT n_name, 0.8 FROM nation WHERE contains(lower(n_name), 'ar')) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
 def autocomplete(spark, sf):
-    p = table(spark, sf, "part")
-    a = p.where(F.col("p_type").ilike("%st%")).select(F.col("p_type").alias("name"), F.lit(1.0).alias("score"))
-    return a.union(p.where(F.col("p_brand").ilike("%2%")).select("p_brand", F.lit(0.9))).distinct().orderBy(F.desc("score"), "name").limit(8)
+    names = lambda t, c: table(spark, sf, t).select(F.col(c).alias("name"))
+    return S.completions([(names("part", "p_type"), 1.0), (names("part", "p_brand"), 0.9), (names("nation", "n_name"), 0.8)], "Ar")
 
 
-@query("highlight", "SELECT doc_id, regexp_replace(text, '(the|that)', '[\\1]', 'gi') AS marked FROM documents")
+@query("highlight", "SELECT doc_id, string_split(regexp_replace(text, '(that|the)', chr(1) || '\\1' || chr(1), 'gi'), chr(1)) AS segments FROM documents")
 def highlight(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "(?i)(the|that)", "[$1]").alias("marked"))
+    return table(spark, sf, "documents").select("doc_id", S.highlight_segments(F.col("text"), "The that a").alias("segments"))
 
 
 @query("context_first_union", "SELECT doc_id, min(priority) AS priority FROM (SELECT doc_id, 0 AS priority FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 1 FROM documents WHERE lang = 'es') GROUP BY 1")
@@ -198,3 +216,14 @@ def search_diagnostics(spark, sf):
     lost = d.select(F.col("doc_id").alias("vec_id")).join(e.select("vec_id"), "vec_id", "left_anti")
     none = e.agg(F.count("*").alias("c")).where("c = 0").select(F.lit("EMPTY_FILE_COLLECTION").alias("issue"), F.lit(0).cast("long").alias("n"))
     return issue("HISTORY_WITHOUT_EMBEDDINGS", lost).unionByName(issue("DIMENSION_MISMATCH", e.where(F.size("embedding") != 64))).unionByName(none)
+
+
+@query("contradictions", HIST + f""", n AS (SELECT b.vec_id AS query, a.vec_id AS id, row_number() OVER (PARTITION BY b.vec_id ORDER BY {COS} DESC, a.vec_id) AS rn FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0),
+ s AS (SELECT query, id, unnest(list_distinct([category, 'tag' || (doc_id % 7)])) AS topic, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE ts // 864000 END AS date, lang FROM n JOIN h ON doc_id = id WHERE rn <= 10),
+ p AS (SELECT x.query, x.id AS a, y.id AS b, list_sort(list(DISTINCT x.topic)) AS topics FROM s x JOIN s y ON x.query = y.query AND x.topic = y.topic AND x.id < y.id WHERE coalesce(x.date <> y.date, false) OR x.lang <> y.lang GROUP BY 1, 2, 3)
+ SELECT query, a, b, topics FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY a, b) AS k FROM p) WHERE k <= 5""")
+def contradictions(spark, sf):
+    """Pairs among the ten sources of each query vector; every fourth source has no date."""
+    h = history(spark, sf).select(F.col("doc_id").alias("vec_id"), F.array("category", F.element_at("tags", -1)).alias("topics"), F.when(F.col("doc_id") % 4 != 0, F.floor(F.col("ts") / 864000)).alias("date"), F.array("lang").alias("entities"))
+    hits = V.top_k(table(spark, sf, "embeddings"), queries(spark, sf), 10).join(h, "vec_id").withColumnRenamed("vec_id", "id")
+    return S.contradictions(hits)
