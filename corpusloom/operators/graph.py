@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,16 +64,31 @@ def expand_hops(seeds: DataFrame, edges: DataFrame, hops: int = 2, decay: float
     return seen.where("hop > 0")
 
 
-def capped_edges(edges: DataFrame, cap: int = 3, *, group: str = "part") -> DataFrame:
-    """Edges taken in order (a, b) while both ends have fewer than ``cap``: one ordered fold a group."""
+def capped_edges(edges: DataFrame, cap: int = 3) -> DataFrame:
+    """(a, b, score): edges taken in order (a, b) while both ends have fewer than ``cap``.
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        degree: dict[int, int] = {}
-        keep = []
-        for a, b in rows.sort_values(["a", "b"])[["a", "b"]].itertuples(index=False):
-            if degree.get(a, 0) < cap and degree.get(b, 0) < cap:
-                degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
-                keep.append((a, b))
-        return pd.DataFrame(keep, columns=["a", "b"]).merge(rows, on=["a", "b"])[["a", "b", "score"]]
-
-    return edges.groupBy(group).applyInPandas(fold, "a long, b long, score double")
+    In rounds instead of one by one: an edge whose place among the undecided ones is within
+    what both ends have left would be taken in order too, whatever becomes of those before
+    it, and edges at a full end go. Every round takes the first undecided edge at least.
+    """
+    left = cut_lineage(edges.where("a <> b").groupBy("a", "b").agg(F.max("score").alias("score")))
+    room = None
+    taken: DataFrame | None = None
+    while not left.isEmpty():
+        ends = left.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "score")
+        if room is not None:
+            ends = ends.join(room, "node", "left")
+        free = F.lit(cap) if room is None else F.coalesce("free", F.lit(cap))
+        nth = F.row_number().over(Window.partitionBy("node").orderBy("a", "b"))
+        placed = ends.select("a", "b", "score", free.alias("free"), nth.alias("nth")).groupBy("a", "b").agg(F.first("score").alias("score"), F.min("free").alias("least"), F.bool_and(F.col("nth") <= F.col("free")).alias("sure"))
+        placed = cut_lineage(placed.where("least > 0"))
+        new = placed.where("sure").select("a", "b", "score")
+        taken = cut_lineage(new if taken is None else taken.unionByName(new))
+        used = taken.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg((F.lit(cap) - F.count("*")).alias("free"))
+        room = cut_lineage(used)
+        full = room.where("free <= 0").select("node")
+        left = placed.where("NOT sure").select("a", "b", "score")
+        for end in ("a", "b"):
+            left = left.join(full.withColumnRenamed("node", end), end, "left_anti")
+        left = cut_lineage(left.select("a", "b", "score"))
+    return edges.select("a", "b", "score").limit(0) if taken is None else taken

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators.folds import fold_in_order
 
 #: Weights of suggestion sources.
 WEIGHTS = {"llm": 1.5, "user_pattern": 1.2, "semantic": 1.1, "cluster": 1.1, "pattern": 1.0, "strategy": 1.0, "llm_creative": 0.7}
@@ -47,49 +47,193 @@ def folder_fit(name_a: Column, name_b: Column, text_a: Column, text_b: Column, c
 
 
 def learned_patterns(feedback: DataFrame) -> DataFrame:
-    """(key, count, confidence, alive) of feedback (key, ts, accepted), folded in order for each key.
+    """(key, count, confidence, alive) of feedback (key, ts, id, accepted), folded in order for each key.
 
     Accepting adds 0.1 from 0.5 up to 1, rejecting takes 0.15; under 0.1 a pattern is dropped
-    and begins anew. A key's state is two numbers, whatever its history.
+    and begins anew.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        count, conf = 0, None
-        for accepted in rows.sort_values(["ts", "id"])["accepted"]:
-            if accepted:
-                count, conf = count + 1, 0.5 if conf is None else min(1.0, conf + 0.1)
-            elif conf is not None:
-                conf -= 0.15
-                if conf < 0.1:
-                    count, conf = 0, None
-        return pd.DataFrame({"key": [rows["key"].iloc[0]], "count": [count], "confidence": [round(conf or 0.0, 4)], "alive": [conf is not None]})
+    def step(state, accepted):
+        count, conf = state
+        if accepted:
+            return (count + 1, 0.5 if conf is None else min(1.0, conf + 0.1)), []
+        if conf is not None and conf - 0.15 < 0.1:
+            return (0, None), []
+        return (count, None if conf is None else conf - 0.15), []
 
-    return feedback.select("key", "ts", "id", "accepted").groupBy("key").applyInPandas(fold, "key string, count long, confidence double, alive boolean")
+    return fold_in_order(feedback, "key", ["ts", "id"], ["accepted"], "key string, count long, confidence double, alive boolean", start=lambda: (0, None), step=step, finish=lambda s: [(s[0], round(s[1] or 0.0, 4), s[1] is not None)])
 
 
 def unique_names(df: DataFrame, *, dir_col: str, name_col: str, order_col: str) -> DataFrame:
-    """Names made unique in their folder whatever the case: base-2.ext, base-3.ext, skipping those in use."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("o")
-        used: set[str] = set()
-        out = []
-        taken = {n.lower() for n in rows["n"]}
-        next_of: dict[str, int] = {}
-        for name in rows["n"]:
-            if name.lower() not in used:
-                used.add(name.lower())
-                out.append(name)
-                continue
-            base, dot, ext = name.rpartition(".")
-            base, ext = (base, dot + ext) if dot else (name, "")
-            k = next_of.get(name.lower(), 2)
-            while (new := f"{base}-{k}{ext}").lower() in used or new.lower() in taken:
-                k += 1
-            next_of[name.lower()] = k + 1
-            used.add(new.lower())
-            out.append(new)
-        return pd.DataFrame({"d": rows["d"], "o": rows["o"], "unique_name": out})
-
-    rows = df.select(F.col(dir_col).alias("d"), F.col(name_col).alias("n"), F.col(order_col).cast("long").alias("o"))
-    return rows.groupBy("d").applyInPandas(fold, "d string, o long, unique_name string").select(F.col("d").alias(dir_col), F.col("o").alias(order_col), "unique_name")
+    """Names made unique in their folder whatever the case: base-2.ext, base-3.ext, skipping those in use.
+
+    A name's m-th repetition takes the m-th number from 2 on that no name of the folder has;
+    the numbers in use are gathered for each name first.
+    """
+    rows = df.select(F.col(dir_col).alias("d"), F.col(name_col).alias("n"), F.col(order_col).cast("long").alias("o"), F.lower(name_col).alias("l"))
+    numbered = r"(?s)^(.*)-([2-9]|[1-9][0-9]+)(\.[^.]*)?$"
+    base, ext = F.regexp_extract("l", numbered, 1), F.regexp_extract("l", numbered, 3)
+    used = rows.select("d", "l").distinct().where(F.col("l").rlike(numbered)).select("d", F.concat(base, ext).alias("l"), F.regexp_extract("l", numbered, 2).cast("long").alias("k"))
+    used = used.where("k IS NOT NULL").groupBy("d", "l").agg(F.array_sort(F.collect_set("k")).alias("used"))
+    nth = F.row_number().over(Window.partitionBy("d", "l").orderBy("o"))
+    j = rows.withColumn("nth", nth).join(used, ["d", "l"], "left")
+    free = F.aggregate(F.coalesce("used", F.array().cast("array<bigint>")), F.col("nth").cast("long"), lambda k, t: F.when(t <= k, k + 1).otherwise(k))
+    dot = F.length("n") - F.instr(F.reverse("n"), ".")  # characters before the last point
+    has = F.instr("n", ".") > 0
+    new = F.when(has, F.concat(F.substring("n", F.lit(1), dot), F.lit("-"), free.cast("string"), F.substring("n", dot + 1, F.length("n")))).otherwise(F.concat("n", F.lit("-"), free.cast("string")))
+    return j.select(F.col("d").alias(dir_col), F.col("o").alias(order_col), F.when(F.col("nth") == 1, F.col("n")).otherwise(new).alias("unique_name"))
+
+
+def moves(deleted: DataFrame, added: DataFrame, *, tolerance_s: float = 2.0) -> DataFrame:
+    """(deleted, added): files that were moved, given as (id, path, size, s) with the time in seconds.
+
+    Size and extension (whatever its case) are equal and times at most ``tolerance_s`` apart.
+    An added file with several candidates takes the one with its own base name, if that is one
+    alone; else it is no move. Time is cut into tolerance-wide buckets, so the interval join is
+    an equi-join on three of them.
+    """
+    base = F.lower(F.element_at(F.split("path", "/"), -1))
+    ext = F.regexp_extract(base, r".(\.[^.]*)$", 1)
+    bucket = F.floor(F.col("s") / tolerance_s)
+    d = deleted.select(F.col("id").alias("deleted"), base.alias("base1"), ext.alias("ext"), "size", F.col("s").alias("s1"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("b"))
+    a = added.select(F.col("id").alias("added"), base.alias("base2"), ext.alias("ext"), "size", F.col("s").alias("s2"), bucket.alias("b"))
+    p = d.join(a, ["size", "ext", "b"]).where(F.abs(F.col("s2") - F.col("s1")) <= tolerance_s).select("deleted", "added", (F.col("base1") == F.col("base2")).alias("named"))
+    found = p.groupBy("added").agg(F.count("*").alias("n"), F.min("deleted").alias("only"), F.count_if("named").alias("n_named"), F.min(F.when(F.col("named"), F.col("deleted"))).alias("namesake"))
+    return found.select(F.when(F.col("n") == 1, F.col("only")).when(F.col("n_named") == 1, F.col("namesake")).alias("deleted"), "added").where("deleted IS NOT NULL")
+
+
+def canonical(name: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "))
+
+
+#: Categories that say nothing, and the folder for them.
+GENERIC, NOWHERE = ("", "document", "documents", "file", "files", "other", "general", "misc", "miscellaneous", "unknown", "uncategorized"), "Uncategorized"
+
+
+def match_categories(categories: DataFrame, folders: DataFrame) -> DataFrame:
+    """(category, folder, step) of distinct categories: equal, equal in canonical form, near in spelling, sharing words, else nowhere.
+
+    Spelling: at most 2 edits, 3 in names of more than 10 characters, the fewest first. Words:
+    shared ones over the longer list, less a hundredth for each further word (a quarter at
+    most), above one half. Candidates for both meet on keys, segments of names and words, so
+    nothing is compared with everything.
+    """
+    c = categories.select("category").where(F.col("category").isNotNull()).distinct().withColumn("form", canonical(F.col("category")))
+    f = folders.select(F.col("folder")).distinct().withColumn("form", canonical(F.col("folder")))
+    generic = F.lower(F.trim("category")).isin(*GENERIC)
+    exact = c.join(f.select(F.col("folder").alias("hit"), "folder"), F.col("category") == F.col("hit")).select("category", "folder", F.lit(1).alias("step"), F.lit(0.0).alias("cost"))
+    same = c.join(f, "form").where("form <> ''").select("category", "folder", F.lit(2).alias("step"), F.lit(0.0).alias("cost"))
+    # Of four segments of a name, three edits leave one as it is, at most three places from where it was.
+    begin, size = (lambda n, i: F.floor(i * n / 4)), (lambda n, i: F.floor((i + 1) * n / 4) - F.floor(i * n / 4))
+    segments = F.array(*map(F.lit, range(4)))
+    n = F.length("form")
+    own = F.transform(segments, lambda i: F.concat_ws(":", n, i, F.col("form").substr(begin(n, i).cast("int") + 1, size(n, i).cast("int"))))
+    shifted = lambda m, i: F.transform(F.sequence(F.lit(-3), F.lit(3)), lambda d: F.concat_ws(":", m, i, F.col("form").substr(F.greatest(begin(m, i).cast("int") + d, F.lit(0)) + 1, size(m, i).cast("int"))))
+    around = F.flatten(F.transform(F.sequence(F.greatest(n - 3, F.lit(1)), n + 3), lambda m: F.flatten(F.transform(segments, lambda i: shifted(m, i)))))
+    keys = lambda df, which: df.where("form <> ''").withColumn("key", F.explode(F.array_distinct(which)))
+    near = keys(c, around).select("category", F.col("form").alias("x"), "key").join(keys(f, own).select("folder", F.col("form").alias("y"), "key"), "key").select("category", "folder", "x", "y").distinct()
+    near = near.select("category", "folder", F.levenshtein("x", "y").alias("d"), F.when(F.length("x") > 10, 3).otherwise(2).alias("most"))
+    near = near.where("d <= most").select("category", "folder", F.lit(3).alias("step"), F.col("d").cast("double").alias("cost"))
+    words = lambda df: df.withColumn("w", F.array_distinct(F.split("form", " "))).withColumn("word", F.explode("w")).where("word <> ''")
+    shared = words(c).select("category", F.size("w").alias("n1"), "word").join(words(f).select("folder", F.size("w").alias("n2"), "word"), "word").groupBy("category", "folder").agg(F.count("*").alias("n"), F.max(F.greatest("n1", "n2")).alias("most"))
+    score = F.col("n") / F.col("most") - F.least(F.lit(0.25), 0.01 * (F.col("most") - F.col("n")))
+    shared = shared.select("category", "folder", F.lit(4).alias("step"), (-score).alias("cost")).where("cost < -0.5")
+    found = exact.unionByName(same).unionByName(near).unionByName(shared)
+    best = found.groupBy("category").agg(F.min(F.struct("step", "cost", "folder")).alias("m"))
+    j = c.join(best, "category", "left")
+    return j.select("category", F.when(generic, F.lit(NOWHERE)).otherwise(F.coalesce("m.folder", F.lit(NOWHERE))).alias("folder"), F.when(generic, F.lit(0)).otherwise(F.coalesce("m.step", F.lit(0))).alias("step"))
+
+
+def folder_similarity(name_a: Column, name_b: Column, words_a: Column, words_b: Column, tags_a: Column, tags_b: Column) -> Column:
+    """0.4 for names, 0.3 for descriptions, 0.3 for keywords."""
+    return 0.4 * T.overlap(name_a, name_b) + 0.3 * T.overlap(words_a, words_b) + 0.3 * T.jaccard(tags_a, tags_b)
+
+
+def overlapping_folders(folders: DataFrame, least: float = 0.7, most: int = 100) -> DataFrame:
+    """(a, b, score) of folders (folder, name, words, tags: lists) of a similarity above ``least``, the first ``most``.
+
+    Folders that share no word of any kind have similarity 0, so pairs meet on words.
+    """
+    f = folders.select("folder", "name", "words", "tags").distinct()
+    kinds = F.flatten(F.array(*(F.transform(F.array_distinct(c), lambda w, c=c: F.concat(F.lit(f"{c}:"), w)) for c in ("name", "words", "tags"))))
+    e = f.withColumn("key", F.explode(kinds))
+    pairs = e.select(F.col("folder").alias("a"), "key").join(e.select(F.col("folder").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
+    side = lambda n: f.select(F.col("folder").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("name", "words", "tags")))
+    j = pairs.join(side("a"), "a").join(side("b"), "b")
+    score = folder_similarity(F.col("name_a"), F.col("name_b"), F.col("words_a"), F.col("words_b"), F.col("tags_a"), F.col("tags_b"))
+    return j.select("a", "b", F.round(score, 6).alias("score")).where(F.col("score") > least).orderBy(F.desc("score"), "a", "b").limit(most)
+
+
+def missing_categories(files: DataFrame, folders: DataFrame, names: list[str]) -> DataFrame:
+    """(category) of the given names that no folder (folder) has and some file (category) does, whatever the case; names are a list in code."""
+    wanted = files.sparkSession.createDataFrame([(n,) for n in names], "category string").withColumn("_l", F.lower("category"))
+    seen = lambda df, c: [F.max(F.contains(F.lower(c), F.lit(n.lower()))).alias(f"c{k}") for k, n in enumerate(names)]
+    hits = lambda df, c: df.agg(*seen(df, c)).select(F.explode(F.array(*(F.struct(F.lit(n.lower()).alias("_l"), F.coalesce(f"c{k}", F.lit(False)).alias("hit")) for k, n in enumerate(names)))).alias("r")).where("r.hit").select("r._l")
+    return wanted.join(hits(folders, "folder"), "_l", "left_anti").join(hits(files, "category"), "_l", "left_semi").select("category")
+
+
+def category_override(category: Column, confidence: Column, folder: Column, cosine: Column, *, least: float = 0.65) -> Column:
+    """The nearest folder instead of a model's category, if near enough and surer; a category that says nothing has no confidence."""
+    sure = F.when(F.lower(F.trim(F.coalesce(category, F.lit("")))).isin(*GENERIC), 0.0).otherwise(F.coalesce(confidence, F.lit(0.0)))
+    return F.when(folder.isNotNull() & (cosine >= least) & (cosine > sure), folder).otherwise(category)
+
+
+def organise_decision(folder: Column, confidence: Column, resolved: Column, *, threshold: float = 0.75, default_folder: Column | None = None) -> Column:
+    """organise, review, low-confidence-default; without a suggestion, or an unknown place for one, review."""
+    low = F.lit("review") if default_folder is None else F.when(default_folder.isNotNull(), "low-confidence-default").otherwise("review")
+    return F.when(folder.isNull() | confidence.isNull(), "review").when((confidence >= threshold) & resolved, "organise").when(confidence >= threshold, "review").otherwise(low)
+
+
+def model_suggestion(names: list[Column], confidence: Column, folder: Column) -> Column:
+    """struct(given, score) of a model's first non-empty name against the ``folder`` it was matched to.
+
+    Percents become shares, without a confidence it is 0.6; names that are equal, contain one
+    another, or are near in spelling (3 edits, or three tenths of the longer) count 0.95 at least.
+    """
+    given = F.coalesce(*(F.nullif(F.trim(n), F.lit("")) for n in names))
+    c = F.when(confidence.isNull(), 0.6).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(confidence > 1, confidence / 100).otherwise(confidence))))
+    a, b = canonical(given), canonical(folder)
+    edits = F.levenshtein(a, b)
+    good = (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a) | (edits <= 3) | (edits < 0.3 * F.greatest(F.length(a), F.length(b))))
+    return F.struct(given.alias("given"), F.when(given.isNotNull() & good, F.greatest(c, F.lit(0.95))).otherwise(c).alias("score"))
+
+
+def cluster_folders(clusters: DataFrame, folders: DataFrame) -> DataFrame:
+    """(cluster, folder, score, new) for labelled clusters (cluster, label): the best existing folder, else a new one of the label.
+
+    Equal or contained names score 0.85, a word overlap above 0.3 eight tenths of it, a new
+    folder 0.6. Folders are compared by the pieces of their words, so only those that share
+    characters with a label meet it.
+    """
+    words = lambda c: F.array_distinct(F.filter(F.split(canonical(c), " "), lambda w: w != ""))
+    c = clusters.select("cluster", "label", canonical(F.col("label")).alias("x"), words(F.col("label")).alias("wx"))
+    f = folders.select("folder").distinct().select("folder", canonical(F.col("folder")).alias("y"), words(F.col("folder")).alias("wy"))
+    # A name that contains another one has its first three characters somewhere.
+    grams = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(n) - 2, F.lit(1))), lambda i: F.col(n).substr(i, F.lit(3))))
+    pairs = c.withColumn("g", F.explode(grams("x"))).join(f.withColumn("g", F.explode(grams("y"))), "g").drop("g").distinct()
+    inside = (F.col("x") == F.col("y")) | ((F.length("x") > 0) & (F.length("y") > 0) & (F.contains("x", "y") | F.contains("y", "x")))
+    near = T.overlap(F.col("wx"), F.col("wy"))
+    scored = pairs.select("cluster", "folder", F.when(inside, 0.85).when(near > 0.3, near * 0.8).alias("score")).where("score IS NOT NULL")
+    best = scored.groupBy("cluster").agg(F.min(F.struct((-F.col("score")).alias("cost"), "folder")).alias("m"))
+    j = c.join(best, "cluster", "left")
+    return j.select("cluster", F.coalesce("m.folder", "label").alias("folder"), F.coalesce(-F.col("m.cost"), F.lit(0.6)).alias("score"), F.col("m.folder").isNull().alias("new"))
+
+
+def rule_category(name: Column, ext: Column, keywords: dict[str, list[str]], by_ext: dict[str, str], default: str = "Documents") -> Column:
+    """The category whose keywords have most characters in a file's name, of equals the first named; else by extension."""
+    n = F.lower(name)
+    scores = {k: sum((F.when(F.contains(n, F.lit(w.lower())), len(w)).otherwise(0) for w in ws), F.lit(0)) for k, ws in keywords.items()}
+    out = F.lit(default)
+    for e, category in by_ext.items():
+        out = F.when(F.lower(ext) == e, category).otherwise(out)
+    best = F.greatest(F.lit(0), F.lit(0), *scores.values())
+    for k, s in reversed(scores.items()):
+        out = F.when((best > 0) & (s == best), k).otherwise(out)
+    return out
+
+
+def rule_keywords(category: Column, name: Column, concepts: Column, most: int = 10) -> Column:
+    """Words of the category, of the name without its extension, and concepts: distinct, in this order, of three characters or more."""
+    words = lambda c: F.filter(F.split(canonical(c), " "), lambda w: F.length(w) > 2)
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    return F.slice(F.array_distinct(F.concat(words(category), words(stem), F.coalesce(concepts, F.array().cast("array<string>")))), 1, most)

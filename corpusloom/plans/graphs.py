@@ -67,10 +67,7 @@ def near_duplicates(spark, sf):
 
 @query("similarity_edges_capped")
 def similarity_edges_capped(spark, sf):
-    """The greedy cap is an ordered fold; each cluster is a fold of its own."""
-    pairs = similar(spark, sf, 0.3).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("a"), F.col("label").alias("part")), "a")
-    other = table(spark, sf, "embeddings").select(F.col("vec_id").alias("b"), F.col("label").alias("part"))
-    return G.capped_edges(pairs.join(other, ["b", "part"])).select("a", "b", six("score"))
+    return G.capped_edges(similar(spark, sf, 0.3)).select("a", "b", six("score"))
 
 
 @query("multi_hop", f"""WITH knn AS (SELECT node, neighbour, sim FROM (SELECT a.vec_id AS node, b.vec_id AS neighbour, {COS} AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS rn FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND {COS} >= 0.3)),

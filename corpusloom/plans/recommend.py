@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.functions import text as T
 from corpusloom.operators import recommend as R
+from corpusloom.operators import vectors as V
 from corpusloom.operators.history import history, latest_per_key
 from corpusloom.plans.history import HIST
 from corpusloom.plans.registry import query
@@ -66,20 +65,14 @@ def unresolved_penalty(spark, sf):
     return R.penalised(R.ranked(candidates(spark, sf)), known).select("file", "folder", "score")
 
 
-@query("move_detection", """WITH d AS (SELECT event_id, user_id, epoch(ts) AS s FROM events WHERE event_type = 'error'), a AS (SELECT event_id, user_id, epoch(ts) AS s FROM events WHERE event_type = 'signup'),
- p AS (SELECT d.event_id AS deleted, a.event_id AS added, abs(a.s - d.s) AS gap FROM d JOIN a USING (user_id) WHERE abs(a.s - d.s) <= 3600) SELECT deleted, added FROM (SELECT *, count(*) OVER (PARTITION BY deleted) AS n FROM p) WHERE n = 1""")
+@query("move_detection", """WITH f AS (SELECT event_id, event_type, epoch_us(ts) / 1e6 AS s, json_extract(props, '$.k')::BIGINT AS size, CASE user_id % 2 WHEN 0 THEN '.txt' ELSE '.pdf' END AS ext, 'f' || (user_id % 10) AS base FROM events),
+ p AS (SELECT d.event_id AS deleted, a.event_id AS added, d.base = a.base AS named FROM f d JOIN f a ON d.size = a.size AND d.ext = a.ext AND abs(d.s - a.s) <= 7200 WHERE d.event_type = 'error' AND a.event_type = 'signup'),
+ g AS (SELECT added, count(*) AS n, min(deleted) AS one, count(*) FILTER (named) AS nn, min(deleted) FILTER (named) AS namesake FROM p GROUP BY 1) SELECT CASE WHEN n = 1 THEN one WHEN nn = 1 THEN namesake END AS deleted, added FROM g WHERE n = 1 OR nn = 1""")
 def move_detection(spark, sf):
-    """A delete and an add of one key within the tolerance are a move; with several adds there is none.
-
-    Time is cut into tolerance-wide buckets, so the range join is an equi-join on three buckets.
-    """
-    width = 3600.0
-    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"))
-    bucket = F.floor(F.col("s") / width)
-    d = e.where("event_type = 'error'").select(F.col("event_id").alias("deleted"), "user_id", F.col("s").alias("s1"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("b"))
-    a = e.where("event_type = 'signup'").select(F.col("event_id").alias("added"), "user_id", F.col("s").alias("s2"), bucket.alias("b"))
-    p = d.join(a, ["user_id", "b"]).where(F.abs(F.col("s2") - F.col("s1")) <= width)
-    return p.withColumn("n", F.count("*").over(W.partitionBy("deleted"))).where("n = 1").select("deleted", "added")
+    """Errors stand for deletes and sign-ups for adds; props hold a size, users the name."""
+    path = F.concat(F.lit("/d/F"), (F.col("user_id") % 10).cast("string"), F.when(F.col("user_id") % 2 == 0, ".txt").otherwise(".PDF"))
+    f = table(spark, sf, "events").select(F.col("event_id").alias("id"), "event_type", path.alias("path"), F.from_json("props", "k long")["k"].alias("size"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"))
+    return R.moves(f.where("event_type = 'error'"), f.where("event_type = 'signup'"), tolerance_s=7200.0)
 
 
 @query("pattern_match_top3", "WITH f AS (SELECT p_partkey, string_split(p_type, ' ') AS a FROM part), pt AS (SELECT DISTINCT p_type AS pattern, string_split(p_type, ' ') AS b FROM part), s AS (SELECT p_partkey, pattern, (CASE WHEN a[1] = b[1] THEN 1 ELSE 0 END + CASE WHEN a[2] = b[2] THEN 1 ELSE 0 END) / 2.0 AS score FROM f, pt WHERE a[1] = b[1] OR a[2] = b[2]) SELECT p_partkey, pattern FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, pattern) AS rn FROM s WHERE score >= 0.5) WHERE rn <= 3")
@@ -104,14 +97,13 @@ def folder_match_cascade(spark, sf):
 PAIRS = "w AS (SELECT DISTINCT p_type, string_split(p_type, ' ') AS w FROM part), o AS (SELECT a.p_type AS a, b.p_type AS b, len(list_intersect(list_distinct(a.w), list_distinct(b.w))) * 1.0 / greatest(len(list_distinct(a.w)), len(list_distinct(b.w))) AS score FROM w a, w b WHERE a.p_type < b.p_type AND list_has_any(a.w, b.w))"
 
 
-@query("folder_overlaps", f"WITH {PAIRS} SELECT a, b, round(score, 6) AS score FROM o WHERE score >= 0.5 ORDER BY score DESC, a, b LIMIT 100")
+@query("folder_overlaps", """WITH f AS (SELECT DISTINCT p_name AS folder, string_split(p_name, ' ') AS name, [string_split(p_name, ' ')[1], 'made'] AS words, [string_split(p_name, ' ')[2]] AS tags FROM part),
+ s AS (SELECT a.folder AS a, b.folder AS b, 0.4 * len(list_intersect(list_distinct(a.name), list_distinct(b.name))) / greatest(len(list_distinct(a.name)), len(list_distinct(b.name))) + 0.3 * len(list_intersect(a.words, b.words)) / 2 + 0.3 * len(list_intersect(a.tags, b.tags)) AS score FROM f a, f b WHERE a.folder < b.folder)
+ SELECT a, b, round(score, 6) AS score FROM s WHERE round(score, 6) > 0.3 ORDER BY 3 DESC, 1, 2 LIMIT 100""")
 def folder_overlaps(spark, sf):
-    """Names that share a word are the candidates: an equi-join on words instead of all pairs."""
-    t = table(spark, sf, "part").select("p_type", F.split("p_type", " ").alias("w")).distinct()
-    e = t.select("p_type", "w", F.explode(F.array_distinct("w")).alias("word"))
-    pairs = e.alias("x").join(e.alias("y"), "word").where("x.p_type < y.p_type").select(F.col("x.p_type").alias("a"), F.col("y.p_type").alias("b"), F.col("x.w").alias("wa"), F.col("y.w").alias("wb")).distinct()
-    s = pairs.select("a", "b", F.round(T.overlap(F.col("wa"), F.col("wb")), 6).alias("score")).where("score >= 0.5")
-    return s.orderBy(F.desc("score"), "a", "b").limit(100)
+    t = F.split("p_name", " ")
+    f = table(spark, sf, "part").select(F.col("p_name").alias("folder"), t.alias("name"), F.array(t[0], F.lit("made")).alias("words"), F.array(t[1]).alias("tags"))
+    return R.overlapping_folders(f, 0.3)
 
 
 @query("strategy_scores", HIST + "SELECT doc_id, least(1.0, CASE WHEN category IS NOT NULL THEN 0.3 ELSE 0 END + CASE WHEN ext <> 'txt' THEN 0.3 ELSE 0 END + CASE WHEN contains('projects reports data', category) OR contains('reports pdf docs', ext) THEN 0.4 ELSE 0 END) AS score FROM h")
@@ -172,25 +164,36 @@ def folder_fit(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.round(R.folder_fit(a, b, a, b, F.col("p_brand"), a, b), 6).alias("fit"))
 
 
-@query("missing_categories", "SELECT c AS category FROM (SELECT unnest(['STANDARD', 'SMALL', 'MEDIUM', 'LARGE', 'ECONOMY', 'PROMO', 'Invoices']) AS c) WHERE NOT EXISTS (SELECT 1 FROM part WHERE contains(p_type, c))")
+@query("missing_categories", "SELECT c AS category FROM (SELECT unnest(['Standard', 'small', 'Brass', 'Tin', 'Invoices', 'Anodized']) AS c) WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey <= 20 AND contains(lower(p_type), lower(c))) AND EXISTS (SELECT 1 FROM part WHERE contains(lower(p_type), lower(c)))")
 def missing_categories(spark, sf):
-    names = ("STANDARD", "SMALL", "MEDIUM", "LARGE", "ECONOMY", "PROMO", "Invoices")
-    seen = table(spark, sf, "part").agg(*(F.max(F.contains("p_type", F.lit(n))).alias(n) for n in names))
-    rows = seen.select(F.explode(F.array(*(F.struct(F.lit(n).alias("category"), F.coalesce(n, F.lit(False)).alias("seen")) for n in names))).alias("r")).select("r.*")
-    return rows.where("NOT seen").select("category")
+    p = table(spark, sf, "part")
+    return R.missing_categories(p.select(F.col("p_type").alias("category")), p.where("p_partkey <= 20").select(F.col("p_type").alias("folder")), ["Standard", "small", "Brass", "Tin", "Invoices", "Anodized"])
+
+
+NEAREST = "WITH c AS (SELECT label, list(x ORDER BY pos) AS centroid FROM (SELECT label, pos, avg(CAST(embedding[pos] AS DOUBLE)) AS x FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS pos) GROUP BY 1, 2) GROUP BY 1), n AS (SELECT vec_id AS doc_id, label AS folder, s AS cosine FROM (SELECT vec_id, c.label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid) AS s, row_number() OVER (PARTITION BY vec_id ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid) DESC, c.label) AS rn FROM embeddings, c) WHERE rn = 1)"
+
+
+def nearest_folder(spark, sf):
+    e = table(spark, sf, "embeddings")
+    centres = [(r["label"], list(r["centroid"])) for r in V.centroids(e, "label").collect()]  # one row a folder
+    return V.best_of_few(e, centres, 1).select(F.col("vec_id").alias("doc_id"), F.col("folder").cast("string").alias("folder"), F.col("score").alias("cosine"))
 
 
-@query("category_override", HIST + "SELECT doc_id, CASE WHEN ms / 500.0 >= 0.65 AND ms / 500.0 > confidence / 100.0 THEN lang ELSE category END AS category FROM h")
+@query("category_override", NEAREST + HIST.replace("WITH h AS", ", h AS", 1) + "SELECT h.doc_id, CASE WHEN cosine >= 0.3 AND cosine > CASE WHEN ext = 'txt' THEN 0 ELSE confidence / 100.0 END THEN CAST(folder AS VARCHAR) ELSE CASE WHEN ext = 'txt' THEN 'Unknown' ELSE category END END AS category FROM h LEFT JOIN n ON n.doc_id = h.doc_id")
 def category_override(spark, sf):
-    s, own = F.col("ms") / 500, F.col("confidence") / 100
-    return history(spark, sf).select("doc_id", F.when((s >= 0.65) & (s > own), F.col("lang")).otherwise(F.col("category")).alias("category"))
+    """The model's category is unknown for one extension; the nearest cluster's mean is the nearest folder."""
+    h = history(spark, sf).join(nearest_folder(spark, sf), "doc_id", "left")
+    own = F.when(F.col("ext") == "txt", "Unknown").otherwise(F.col("category"))
+    return h.select("doc_id", R.category_override(own, F.col("confidence") / 100, F.col("folder"), F.col("cosine"), least=0.3).alias("category"))
 
 
-@query("auto_organize_decision", HIST + "SELECT doc_id, CASE WHEN confidence >= 75 AND doc_id % 4 <> 0 THEN 'organise' WHEN confidence >= 75 THEN 'review' WHEN doc_id % 2 = 0 THEN 'low-confidence-default' ELSE 'review' END AS decision FROM h")
+@query("auto_organize_decision", HIST + ", k AS (SELECT source AS folder FROM documents GROUP BY 1 HAVING count(*) >= 10) SELECT doc_id, CASE WHEN ext = 'csv' THEN 'review' WHEN confidence >= 75 AND EXISTS (SELECT 1 FROM k WHERE folder = category) THEN 'organise' WHEN confidence >= 75 THEN 'review' WHEN lang <> 'es' THEN 'low-confidence-default' ELSE 'review' END AS decision FROM h")
 def auto_organize_decision(spark, sf):
-    sure, resolved = F.col("confidence") >= 75, F.col("doc_id") % 4 != 0
-    d = F.when(sure & resolved, "organise").when(sure, "review").when(F.col("doc_id") % 2 == 0, "low-confidence-default").otherwise("review")
-    return history(spark, sf).select("doc_id", d.alias("decision"))
+    """Folders with ten files or more are known; tables have no suggestion, Spanish files no default folder."""
+    known = table(spark, sf, "documents").groupBy(F.col("source").alias("category")).agg(F.count("*").alias("n")).where("n >= 10").select("category", F.lit(True).alias("known"))
+    h = history(spark, sf).join(known, "category", "left")
+    d = R.organise_decision(F.when(F.col("ext") != "csv", F.col("category")), F.col("confidence") / 100, F.coalesce("known", F.lit(False)), default_folder=F.when(F.col("lang") != "es", "Inbox"))
+    return h.select("doc_id", d.alias("decision"))
 
 
 @query("batch_recommendations", HIST + ", g AS (SELECT category, count(DISTINCT lang) AS langs, max(ts) - min(ts) AS span, count(*) AS n FROM h GROUP BY 1) SELECT category, 'project' AS kind, 0.9 AS confidence FROM g WHERE langs = 1 UNION ALL SELECT category, 'temporal', 0.7 FROM g WHERE span < 86400 * 400 UNION ALL SELECT category, 'groups', 0.6 FROM g WHERE n > 5")
@@ -207,40 +210,36 @@ def cluster_batch(spark, sf):
     return history(spark, sf).join(e, "doc_id", "left").groupBy(F.coalesce(F.col("label").cast("string"), F.lit("unclustered")).alias("grp")).agg(F.count("*").alias("n"))
 
 
-@query("rule_category", HIST + "SELECT doc_id, CASE WHEN contains(lower(text), 'license') THEN 'Legal' WHEN contains(lower(text), 'token') THEN 'Secrets' WHEN ext = 'csv' THEN 'Tables' WHEN ext = 'png' THEN 'Pictures' ELSE 'Documents' END AS category FROM h")
+@query("rule_category", HIST + "SELECT doc_id, CASE WHEN a > 0 AND a >= b THEN 'Projects' WHEN b > 0 THEN 'Reports' WHEN ext = 'csv' THEN 'Tables' WHEN ext = 'png' THEN 'Pictures' ELSE 'Documents' END AS category FROM (SELECT doc_id, ext, CASE WHEN contains(file_name, 'doc1') THEN 4 ELSE 0 END + CASE WHEN contains(file_name, '77') THEN 2 ELSE 0 END AS a, CASE WHEN contains(file_name, '42.pdf') THEN 6 ELSE 0 END + CASE WHEN contains(file_name, '99') THEN 2 ELSE 0 END AS b FROM h)")
 def rule_category(spark, sf):
-    """Keyword scores (a keyword counts its length), then the extension."""
-    keywords = {"Legal": ("license",), "Secrets": ("token",)}
-    t = F.lower("text")
-    scores = {k: sum((F.when(F.contains(t, F.lit(w)), len(w)).otherwise(0) for w in ws), F.lit(0)) for k, ws in keywords.items()}
-    best = F.greatest(*scores.values())
-    out = F.when(F.col("ext") == "csv", "Tables").when(F.col("ext") == "png", "Pictures").otherwise("Documents")
-    for k, s in reversed(scores.items()):
-        out = F.when((best > 0) & (s == best), k).otherwise(out)
-    return history(spark, sf).select("doc_id", out.alias("category"))
-
-
-@query("rule_keywords", HIST + "SELECT doc_id, list_slice([category, lang, ext, 'tag' || (doc_id % 7)], 1, 10) AS keywords FROM h")
+    keywords = {"Projects": ["Doc1", "77"], "Reports": ["42.pdf", "99"]}
+    return history(spark, sf).select("doc_id", R.rule_category(F.col("file_name"), F.col("ext"), keywords, {"csv": "Tables", "png": "Pictures"}).alias("category"))
+
+
+@query("rule_keywords", HIST + "SELECT doc_id, list_slice(list_filter(['' || replace(category, '_', ' '), 'doc' || doc_id, 'tag' || (doc_id % 7)], lambda w: length(w) > 2), 1, 10) AS keywords FROM h")
 def rule_keywords(spark, sf):
-    return history(spark, sf).select("doc_id", F.slice(F.array_union(F.array("category", "lang", "ext"), "tags"), 1, 10).alias("keywords"))
+    h = history(spark, sf)
+    return h.select("doc_id", R.rule_keywords(F.col("category"), F.col("file_name"), F.slice("tags", 2, 1)).alias("keywords"))
 
 
-@query("category_to_folder", "WITH w AS (SELECT DISTINCT p_type, lower(split_part(p_type, ' ', 1)) AS name FROM part), f AS (SELECT unnest(['standard', 'smal', 'mediun', 'large', 'economi', 'promo']) AS folder), m AS (SELECT p_type, folder, levenshtein(name, folder) AS d, row_number() OVER (PARTITION BY p_type ORDER BY levenshtein(name, folder), folder) AS rn FROM w, f) SELECT p_type, CASE WHEN d <= 2 THEN folder ELSE 'Uncategorized' END AS folder FROM m WHERE rn = 1")
+@query("category_to_folder", """WITH w AS (SELECT DISTINCT substring(p_type, 1 + length(p_type) % 3) AS category FROM part UNION SELECT 'Misc' UNION SELECT 'Promo  Burnished-Tin' UNION SELECT 'brushed things of steel'), f AS (SELECT DISTINCT p_type AS folder FROM part WHERE p_partkey % 3 = 0),
+ p AS (SELECT category, folder, trim(regexp_replace(lower(category), '[^a-z0-9]+', ' ', 'g')) AS x, trim(regexp_replace(lower(folder), '[^a-z0-9]+', ' ', 'g')) AS y FROM w, f),
+ q AS (SELECT category, folder, x, y, levenshtein(x, y) AS d, list_distinct(string_split(x, ' ')) AS a, list_distinct(string_split(y, ' ')) AS b FROM p),
+ r AS (SELECT category, folder, CASE WHEN category = folder THEN 1 WHEN x = y THEN 2 WHEN d <= CASE WHEN length(x) > 10 THEN 3 ELSE 2 END THEN 3 ELSE 4 END AS step, CASE WHEN category = folder OR x = y THEN 0.0 WHEN d <= CASE WHEN length(x) > 10 THEN 3 ELSE 2 END THEN d ELSE -(len(list_intersect(a, b)) * 1.0 / greatest(len(a), len(b)) - least(0.25, 0.01 * (greatest(len(a), len(b)) - len(list_intersect(a, b))))) END AS cost FROM q),
+ b AS (SELECT category, folder, step, row_number() OVER (PARTITION BY category ORDER BY step, round(cost, 9), folder) AS rn FROM r WHERE step < 4 OR cost < -0.5) SELECT category, CASE WHEN category = 'Misc' THEN 'Uncategorized' ELSE coalesce(folder, 'Uncategorized') END AS folder, CAST(CASE WHEN category = 'Misc' THEN 0 ELSE coalesce(step, 0) END AS INTEGER) AS step FROM w LEFT JOIN (SELECT * FROM b WHERE rn = 1) USING (category)""")
 def category_to_folder(spark, sf):
-    """The nearest of a few folder names by edit distance, if near enough; names are a literal list."""
-    folders = ("economi", "large", "mediun", "promo", "smal", "standard")
-    name = F.lower(F.split("p_type", " ")[0])
-    best = F.array_min(F.array(*(F.struct(F.levenshtein(name, F.lit(f)).alias("d"), F.lit(f).alias("folder")) for f in folders)))
-    return table(spark, sf, "part").select("p_type").distinct().select("p_type", F.when(best["d"] <= 2, best["folder"]).otherwise("Uncategorized").alias("folder"))
+    """Types with their first letters cut off, against a third of the types as folders."""
+    p = table(spark, sf, "part")
+    extra = spark.createDataFrame([("Misc",), ("Promo  Burnished-Tin",), ("brushed things of steel",)], "category string")
+    cut = F.col("p_type").substr(1 + F.length("p_type") % 3, F.length("p_type"))
+    return R.match_categories(p.select(cut.alias("category")).unionByName(extra), p.where("p_partkey % 3 = 0").select(F.col("p_type").alias("folder")))
 
 
-@query("model_category_suggestion", HIST + "SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN category ELSE '' END, ''), lang) AS folder, CASE WHEN doc_id % 2 = 0 THEN greatest(confidence / 100.0, 0.95) ELSE confidence / 100.0 END AS score FROM h")
+@query("model_category_suggestion", HIST + "SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN category ELSE '' END, ''), lang) AS folder, CASE WHEN doc_id % 2 = 0 THEN greatest(c, 0.95) WHEN levenshtein(lang, lower(category)) <= 3 THEN greatest(c, 0.95) ELSE c END AS score FROM (SELECT *, CASE WHEN doc_id % 5 = 4 THEN 0.6 WHEN confidence > 1 THEN confidence / 100.0 ELSE confidence END AS c FROM h)")
 def model_category_suggestion(spark, sf):
-    given = F.when(F.col("doc_id") % 2 == 0, F.col("category")).otherwise("")
-    folder = F.coalesce(F.nullif(given, F.lit("")), F.col("lang"))
-    c = F.col("confidence") / 100
-    good = F.levenshtein(folder, F.col("category")) == 0
-    return history(spark, sf).select("doc_id", folder.alias("folder"), F.when(good, F.greatest(c, F.lit(0.95))).otherwise(c).alias("score"))
+    given = F.when(F.col("doc_id") % 2 == 0, F.col("category")).otherwise(" ")
+    s = R.model_suggestion([given, F.col("lang")], F.when(F.col("doc_id") % 5 != 4, F.col("confidence")), F.col("category"))
+    return history(spark, sf).select("doc_id", s["given"].alias("folder"), s["score"].alias("score"))
 
 
 @query("improvement_suggestions", "WITH w AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS a, list_distinct(string_split(lower(p_type), ' ')) AS b FROM part), f AS (SELECT p_partkey, round(0.6 * len(list_intersect(a, b)) / greatest(len(a), len(b)) + 0.2 * len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS fit FROM w) SELECT p_partkey, CASE WHEN fit > 0.3 AND fit < 0.7 THEN round(fit + 0.2, 6) ELSE 0.6 END AS score, NOT (fit > 0.3 AND fit < 0.7) AS new_folder FROM f")
@@ -250,11 +249,15 @@ def improvement_suggestions(spark, sf):
     return f.select("p_partkey", F.when(some, F.round(F.col("fit") + 0.2, 6)).otherwise(0.6).alias("score"), (~some).alias("new_folder"))
 
 
-@query("cluster_folder", "WITH m AS (SELECT e.label, d.source, count(*) AS n FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id GROUP BY 1, 2), b AS (SELECT label, source, n, row_number() OVER (PARTITION BY label ORDER BY n DESC, source) AS rn FROM m) SELECT label, source AS folder, CASE WHEN n >= 5 THEN 0.85 ELSE 0.6 END AS score FROM b WHERE rn = 1")
+@query("cluster_folder", """WITH c AS (SELECT DISTINCT p_partkey AS cluster, p_name AS label, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS x FROM part WHERE p_partkey % 5 = 0), f AS (SELECT DISTINCT p_type AS folder, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) AS y FROM part UNION SELECT DISTINCT p_name, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) FROM part WHERE p_partkey % 7 = 0),
+ s AS (SELECT cluster, label, folder, CASE WHEN x = y OR contains(x, y) OR contains(y, x) THEN 0.85 ELSE 0.8 * len(list_intersect(list_distinct(string_split(x, ' ')), list_distinct(string_split(y, ' ')))) / greatest(len(list_distinct(string_split(x, ' '))), len(list_distinct(string_split(y, ' ')))) END AS score FROM c, f),
+ b AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 9) DESC, folder) AS rn FROM s WHERE score > 0.24 + 1e-9)
+ SELECT c.cluster, coalesce(folder, c.label) AS folder, round(coalesce(score, 0.6), 6) AS score, folder IS NULL AS new FROM c LEFT JOIN (SELECT * FROM b WHERE rn = 1) b ON b.cluster = c.cluster""")
 def cluster_folder(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "source")
-    m = table(spark, sf, "embeddings").select("vec_id", "label").join(d, "vec_id").groupBy("label", "source").agg(F.count("*").alias("n"))
-    return latest_per_key(m, "label", F.desc("n"), F.asc("source")).select("label", F.col("source").alias("folder"), F.when(F.col("n") >= 5, 0.85).otherwise(0.6).alias("score"))
+    p = table(spark, sf, "part")
+    folders = p.select(F.col("p_type").alias("folder")).unionByName(p.where("p_partkey % 7 = 0").select(F.col("p_name").alias("folder")))
+    out = R.cluster_folders(p.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("cluster"), F.col("p_name").alias("label")), folders)
+    return out.select("cluster", "folder", F.round("score", 6).alias("score"), "new")
 
 
 @query("folder_word_overlap", "SELECT item_id, n_name, len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]+')), lambda w: contains(lower(n_name), w))) AS hits FROM benchmark, nation WHERE len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]+')), lambda w: contains(lower(n_name), w))) > 0")

@@ -30,6 +30,19 @@ def debounce_sessions(spark, sf):
     return s.select("user_id", us("start").alias("start_us"), us("end").alias("end_us"), "n", "last_id")
 
 
+@query("debounce_flushes", """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS s, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+ f AS (SELECT user_id, k, s AS first, s AS last, 1 AS n, event_id, CAST(NULL AS STRUCT(a BIGINT, b BIGINT, c INTEGER, d BIGINT)) AS shut FROM e WHERE k = 1 UNION ALL
+ SELECT e.user_id, e.k, CASE WHEN e.s < least(f.last + 7200000000, f.first + 14400000000) THEN f.first ELSE e.s END, e.s, CASE WHEN e.s < least(f.last + 7200000000, f.first + 14400000000) THEN f.n + 1 ELSE 1 END, e.event_id,
+ CASE WHEN e.s < least(f.last + 7200000000, f.first + 14400000000) THEN NULL ELSE struct_pack(a := f.first, b := least(f.last + 7200000000, f.first + 14400000000), c := f.n, d := f.event_id) END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+ SELECT user_id, shut.a AS start_us, shut.b AS flushed_us, CAST(shut.c AS BIGINT) AS n, shut.d AS last_id FROM f WHERE shut IS NOT NULL UNION ALL
+ SELECT user_id, first, least(last + 7200000000, first + 14400000000), n, event_id FROM f WHERE (user_id, k) IN (SELECT (user_id, max(k)) FROM e GROUP BY user_id)""")
+def debounce_flushes(spark, sf):
+    """Two hours without events, or four since the first, flush what a user's events hold."""
+    s = E.flushed(events(spark, sf), 7200.0, 14400.0)
+    whole = lambda c: F.round(F.col(c) * 1e6).cast("long")
+    return s.select("user_id", whole("start").alias("start_us"), whole("flushed").alias("flushed_us"), "n", "last_id")
+
+
 @query("tumbling_window", "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def tumbling_window(spark, sf):
     return E.windowed(events(spark, sf)).select(us("start").alias("start_us"), "event_type", "n", "total")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corpusloom.operators.folds import fold_in_order
+
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -45,19 +47,71 @@ def windowed(events: DataFrame, size: str = "1 hour", slide: str | None = None,
     return e.groupBy(w, "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
+def flushed(events: DataFrame, gap_s: float = 1.0, most_s: float = 5.0) -> DataFrame:
+    """(user_id, start, flushed, n, last_id): a trailing debounce with a longest wait.
+
+    A key's events are held until ``gap_s`` pass without another one, or ``most_s`` since the
+    first; a busy key is flushed all the same. Times are seconds.
+    """
+
+    def step(state, s, event_id):
+        if state is not None and s < (due := min(state[1] + gap_s, state[0] + most_s)):
+            return (state[0], s, state[2] + 1, event_id), []
+        return (s, s, 1, event_id), [] if state is None else [(state[0], due, state[2], state[3])]
+
+    e = as_events(events).select("user_id", "event_id", (F.unix_micros("ts") / 1e6).alias("s"))
+    last = lambda t: [] if t is None else [(t[0], min(t[1] + gap_s, t[0] + most_s), t[2], t[3])]
+    return fold_in_order(e, "user_id", ["s", "event_id"], ["s", "event_id"], "user_id long, start double, flushed double, n long, last_id long", start=lambda: None, step=step, finish=last)
+
+
+def flushed_stream(events: DataFrame, gap_s: float = 1.0, most_s: float = 5.0, watermark: str = "10 seconds") -> DataFrame:
+    """The same as a stream: the held events of a key are four numbers in the state store, flushed by an event-time timer."""
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, out = (state.get if state.exists else None), []
+        due = lambda t: min(t[1] + gap_s, t[0] + most_s)
+        if state.hasTimedOut:
+            out.append((key[0], held[0], due(held), held[2], held[3]))
+            state.remove()
+        else:
+            rows = pd.concat([b[["s", "event_id"]] for b in batches]).sort_values(["s", "event_id"])
+            for s, event_id in rows.itertuples(index=False, name=None):
+                if held is not None and s < due(held):
+                    held = (held[0], s, held[2] + 1, event_id)
+                else:
+                    if held is not None:
+                        out.append((key[0], held[0], due(held), held[2], held[3]))
+                    held = (s, s, 1, event_id)
+            state.update(held)
+            state.setTimeoutTimestamp(max(int(due(held) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["user_id", "start", "flushed", "n", "last_id"])
+
+    e = as_events(events).withWatermark("ts", watermark).select("user_id", "ts", "event_id", (F.unix_micros("ts") / 1e6).alias("s"))
+    return e.groupBy("user_id").applyInPandasWithState(step, "user_id long, start double, flushed double, n long, last_id long", "first double, last double, n long, last_id long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def accepted_after_gap(events: DataFrame, gap_s: float) -> DataFrame:
     """Events at least ``gap_s`` after the key's last accepted one: an ordered fold with one number of state."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        last, keep = None, []
-        for s, i in rows.sort_values(["s", "event_id"])[["s", "event_id"]].itertuples(index=False):
-            if last is None or s - last >= gap_s:
-                last = s
-                keep.append(i)
-        return pd.DataFrame({"user_id": rows["user_id"].iloc[0], "event_id": keep})
+    def step(last, s, event_id):
+        return (s, [(event_id,)]) if last is None or s - last >= gap_s else (last, [])
 
     e = as_events(events).select("user_id", "event_id", (F.unix_micros("ts") / 1e6).alias("s"))
-    return e.groupBy("user_id").applyInPandas(fold, "user_id long, event_id long")
+    return fold_in_order(e, "user_id", ["s", "event_id"], ["s", "event_id"], "user_id long, event_id long", start=lambda: None, step=step, finish=lambda _: [])
+
+
+def move_candidates(deleted: DataFrame, added: DataFrame, *, tolerance: str = "2 seconds", watermark: str | None = None) -> DataFrame:
+    """(deleted, added): deletes (id, size, ext, ts) with every add of the same size and extension within the tolerance.
+
+    A delete without one comes out with a null when its time is up: as a stream the join's
+    state is bounded by the watermark, and that is the delete's timeout.
+    """
+    d = deleted.select(F.col("id").alias("deleted"), F.col("size").alias("size1"), F.col("ext").alias("ext1"), F.col("ts").cast("timestamp").alias("ts1"))
+    a = added.select(F.col("id").alias("added"), "size", "ext", F.col("ts").cast("timestamp").alias("ts2"))
+    if watermark:
+        d, a = d.withWatermark("ts1", watermark), a.withWatermark("ts2", watermark)
+    near = F.expr(f"size1 = size AND ext1 = ext AND ts2 >= ts1 - INTERVAL {tolerance} AND ts2 <= ts1 + INTERVAL {tolerance}")
+    return d.join(a, near, "left").select("deleted", "added", "ts1")
 
 
 def retry_counts(events: DataFrame, limit: int = 3) -> DataFrame:
@@ -84,30 +138,37 @@ def stateful_retries(events: DataFrame, limit: int = 3) -> DataFrame:
     return as_events(events).groupBy("user_id").applyInPandasWithState(step, "user_id long, failures long, outcome string", "failures long", "update", GroupStateTimeout.NoTimeout)
 
 
-def circuit_states(events: DataFrame, failures: int = 5, open_s: float = 30.0, successes: int = 2) -> DataFrame:
-    """(user_id, state, opened): the breaker after all of a service's events, and how often it opened."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        state, bad, good, since, opened = "CLOSED", 0, 0, 0.0, 0
-        for s, kind in rows.sort_values(["s", "event_id"])[["s", "event_type"]].itertuples(index=False):
-            if state == "OPEN" and s - since >= open_s:
-                state, good = "HALF_OPEN", 0
-            if state == "OPEN":
-                continue
-            if kind == "error":
-                bad += 1
-                if state == "HALF_OPEN" or bad >= failures:
-                    state, since, opened, bad = "OPEN", s, opened + 1, 0
-            elif state == "HALF_OPEN":
-                good += 1
-                if good >= successes:
-                    state, bad = "CLOSED", 0
-            else:
-                bad = 0
-        return pd.DataFrame({"user_id": [rows["user_id"].iloc[0]], "state": [state], "opened": [opened]})
+def circuit_states(events: DataFrame, failures: int = 5, open_s: float = 30.0, successes: int = 2, idle_s: float = 60.0) -> DataFrame:
+    """(user_id, state, opened): the breaker after all of a service's events, and how often it opened.
+
+    A success zeroes the failures of a closed breaker, and so does ``idle_s`` without events.
+    An open one refuses events for ``open_s``; then it is half open, where a failure opens it
+    again and ``successes`` in a row close it.
+    """
+
+    def step(now, s, kind):
+        state, bad, good, since, last, opened = now
+        if state == "OPEN" and s - since >= open_s:
+            state, good = "HALF_OPEN", 0
+        if state == "OPEN":
+            return (state, bad, good, since, last, opened), []
+        if state == "CLOSED" and last is not None and s - last >= idle_s:
+            bad = 0
+        last = s
+        if kind == "error":
+            bad += 1
+            if state == "HALF_OPEN" or bad >= failures:
+                state, since, opened, bad = "OPEN", s, opened + 1, 0
+        elif state == "HALF_OPEN":
+            good += 1
+            if good >= successes:
+                state, bad = "CLOSED", 0
+        else:
+            bad = 0
+        return (state, bad, good, since, last, opened), []
 
     e = as_events(events).select("user_id", "event_id", "event_type", (F.unix_micros("ts") / 1e6).alias("s"))
-    return e.groupBy("user_id").applyInPandas(fold, "user_id long, state string, opened long")
+    return fold_in_order(e, "user_id", ["s", "event_id"], ["s", "event_type"], "user_id long, state string, opened long", start=lambda: ("CLOSED", 0, 0, 0.0, None, 0), step=step, finish=lambda n: [(n[0], n[5])])
 
 
 def undo_log(actions: DataFrame, limit: int = 50) -> DataFrame:
@@ -116,19 +177,36 @@ def undo_log(actions: DataFrame, limit: int = 50) -> DataFrame:
     A new action cuts off what was undone. ``actions``: (session, seq, kind do/undo/redo).
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        log, at = [], 0
-        for seq, kind in rows.sort_values("seq")[["seq", "kind"]].itertuples(index=False):
-            if kind == "undo":
-                at = max(at - 1, 0)
-            elif kind == "redo":
-                at = min(at + 1, len(log))
-            else:
-                log = [*log[:at], seq][-limit:]
-                at = len(log)
-        return pd.DataFrame({"session": rows["session"].iloc[0], "seq": log, "done": [k < at for k in range(len(log))]})
-
-    return actions.groupBy("session").applyInPandas(fold, "session long, seq long, done boolean")
+    def step(state, seq, kind):
+        log, at = state
+        if kind == "undo":
+            return (log, max(at - 1, 0)), []
+        if kind == "redo":
+            return (log, min(at + 1, len(log))), []
+        log = [*log[:at], seq][-limit:]
+        return (log, len(log)), []
+
+    return fold_in_order(actions, "session", ["seq"], ["seq", "kind"], "session long, seq long, done boolean", start=lambda: ([], 0), step=step, finish=lambda s: [(seq, k < s[1]) for k, seq in enumerate(s[0])])
+
+
+def flush_queue(items: DataFrame, write, *, size: int = 50, capacity: int = 500, high: float = 0.75, full: float = 0.9) -> dict[str, object]:
+    """One micro-batch of an embedding queue, for ``foreachBatch``: the newest row of each key, in batches of ``size``.
+
+    ``write(rows)`` gets the kept rows with their batch number. Of more than ``capacity`` keys
+    the latest are refused. Returns counts and the pressure: ok, high or full.
+    """
+    w = Window.partitionBy("key").orderBy(F.desc("ts"), F.desc("id"))
+    newest = items.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    # Rows are numbered by counts of time's parts, so no task orders more than one part.
+    part = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
+    counts = newest.groupBy(part.alias("_part")).agg(F.count("*").alias("_c"))
+    before = counts.select("_part", (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).alias("_before"))  # one row a second of the batch
+    placed = newest.withColumn("_part", part).join(before, "_part").withColumn("place", F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy("ts", "id")) - 1)
+    placed = placed.drop("_part", "_before")
+    write(placed.where(F.col("place") < capacity).withColumn("batch", F.floor(F.col("place") / size)).drop("place"))
+    n = newest.count()
+    kept = min(n, capacity)
+    return {"kept": kept, "refused": n - kept, "batches": -(-kept // size), "pressure": "full" if n > full * capacity else "high" if n > high * capacity else "ok"}
 
 
 def upsert_batches(stream: DataFrame, path: str, key: str, checkpoint: str):

@@ -58,3 +58,41 @@ def test_folds(spark):
     e = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.col("ts").cast("timestamp"))
     assert E.circuit_states(e).first().asDict() == {"user_id": 1, "state": "CLOSED", "opened": 1}
     assert [r["event_id"] for r in E.accepted_after_gap(e, 5).orderBy("event_id").collect()] == [0, 5, 9]
+
+
+def watched(spark, rows, tmp_path):
+    """Rows (event_id, seconds, user_id) as files, one a call of ``next`` of the watcher, in this order."""
+    for k, part in enumerate(rows):
+        df = spark.createDataFrame(part, "event_id long, t double, user_id long").select("event_id", F.timestamp_micros((F.col("t") * 1e6).cast("long")).cast("timestamp_ntz").alias("ts"), "user_id", F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / f"{k}"))
+    from pathlib import Path
+    from shutil import copy
+    from time import sleep
+
+    (tmp_path / "all").mkdir()
+    for k in range(len(rows)):
+        for f in Path(tmp_path / f"{k}").glob("part-*"):
+            copy(f, tmp_path / "all" / f"{k}-{f.name}")
+        sleep(1.1)  # the source reads files by their time
+    return str(tmp_path / "all")
+
+
+def test_flushes_equal_their_batch_twin(spark, tmp_path):
+    times = [0.0, 0.5, 1.2, 1.9, 2.5, 3.2, 3.9, 4.6, 5.3, 9.0, 9.2]
+    busy = [(k, 100 + t, 1) for k, t in enumerate(times)]
+    folder = watched(spark, [busy[:4], busy[4:], [(50, 4_000.0, 9)], [(51, 9_000.0, 9)], [(52, 15_000.0, 9)]], tmp_path)
+    got = drain(E.flushed_stream(E.event_stream(spark, folder)), "append", "flushes", spark)
+    want = E.flushed(spark.read.parquet(folder))
+    mine = lambda df: sorted(map(tuple, df.where("user_id = 1").collect()))
+    assert mine(got) == mine(want) and len(mine(want)) == 3
+
+
+def test_deletes_without_an_add_time_out(spark, tmp_path):
+    folder = watched(spark, [[(1, 100.0, 1), (2, 100.5, 1), (4, 100.0, 3)], [(10, 101.0, 1)], [(60, 4_000.0, 9), (62, 4_000.0, 8)], [(61, 9_000.0, 9), (63, 9_000.0, 8)], [(65, 15_000.0, 9), (66, 15_000.0, 8)]], tmp_path)
+    sides = lambda df: (df.where("event_id IN (1, 4, 62, 63, 66)"), df.where("event_id NOT IN (1, 4, 62, 63, 66)"))
+    shape = lambda df: df.select(F.col("event_id").alias("id"), F.col("user_id").alias("size"), F.lit(".x").alias("ext"), "ts")
+    d, a = map(shape, sides(E.event_stream(spark, folder)))
+    got = drain(E.move_candidates(d, a, watermark="3 seconds"), "append", "moves", spark)
+    want = E.move_candidates(*map(shape, sides(spark.read.parquet(folder))))
+    early = lambda df: sorted((r["deleted"], r["added"] or 0) for r in df.where("deleted < 10").collect())
+    assert early(got) == early(want) == [(1, 2), (1, 10), (4, 0)]
