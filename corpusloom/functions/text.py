@@ -138,6 +138,47 @@ def html_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"[ \t\r\n]+", " "))
 
 
+def derived_confidence(explicit: Column, failed: Column, similarity: Column, signals: list[Column]) -> Column:
+    """Percent: what the model says (0 without an error says nothing), else 30 to 70 by similarity, else 35 and 5 a signal."""
+    clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(x)))
+    said = explicit.isNotNull() & ~F.isnan(explicit) & ((explicit != 0) | F.coalesce(failed, F.lit(False)))
+    near = F.when(similarity.between(0, 1), F.lit(30.0) + F.lit(40.0) * similarity).otherwise(F.least(F.lit(70.0), similarity))
+    found = sum((F.coalesce(x, F.lit(False)).cast("int") for x in signals), F.lit(0))
+    return F.when(said, clamp(F.when(explicit.between(0, 1), explicit * 100).otherwise(explicit))).when(similarity.isNotNull() & ~F.isnan(similarity), clamp(near)).otherwise(clamp(35.0 + 5 * found))
+
+
+#: Naming templates by their parts.
+NAME_TEMPLATES = {"subject-date": ("subject", "date"), "date-subject": ("date", "subject"), "project-subject-date": ("project", "subject", "date"), "category-subject": ("category", "subject")}
+
+
+def suggested_name(template: Column, name: Column, values: dict[str, Column]) -> Column:
+    """A file's name by a template's non-empty parts, with its extension; ``keep``, unknown templates or no part: as it is."""
+    ext = F.regexp_extract(name, r".(\.[^.]*)$", 1)
+    out = name
+    for key, parts in NAME_TEMPLATES.items():
+        joined = F.concat_ws("-", *(F.nullif(F.trim(values.get(p, F.lit(None).cast("string"))), F.lit("")) for p in parts))
+        out = F.when((template == key) & (joined != ""), F.concat(joined, ext)).otherwise(out)
+    return out
+
+
+def semantic_terms(text: Column, *, least: int = 4, stop: tuple[str, ...] = ("that", "this", "with", "from")) -> Column:
+    """Distinct terms that say something, in order: long enough, not digits alone, no stop word."""
+    ok = lambda w: (F.length(w) >= least) & ~w.rlike("^[0-9]+$") & ~w.isin(*stop)
+    return F.sort_array(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1), ok)))
+
+
+def any_phrase(text: Column, phrases: tuple[str, ...], most: int, *, at_start: bool = False) -> Column:
+    """Whether a short text has one of the phrases (words of letters) at word boundaries, or begins with one."""
+    pattern = rf"{'^' if at_start else chr(92) + 'b'}({'|'.join(phrases)}){chr(92)}b"
+    return (F.length(text) <= most) & F.lower(F.trim(text)).rlike(pattern)
+
+
+def summary_text(fields: list[Column], text: Column, *, snippet: int = 2_000, most: int = 4_000) -> Column:
+    """Non-empty fields in order, a line each, then the first characters of the text."""
+    lines = [F.nullif(F.trim(f), F.lit("")) for f in fields]
+    return F.substring(F.concat_ws("\n", *lines, F.nullif(F.substring(text, 1, snippet), F.lit(""))), 1, most)
+
+
 def phonetic(word: str) -> str:
     """First letter and three digits; equal codes are merged only when adjacent, any other letter parts them.
 

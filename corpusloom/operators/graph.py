@@ -50,6 +50,12 @@ def within_hops(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
+def touching_edges(edges: DataFrame, seeds: DataFrame, most: int = 2_000) -> DataFrame:
+    """Edges (a, b, weight) with an end among the seeds (node), the heaviest first, ``most`` at most."""
+    one, two = (edges.join(seeds.select(F.col("node").alias(end)).distinct(), end, "left_semi") for end in ("a", "b"))
+    return one.unionByName(two).distinct().orderBy(F.desc("weight"), "a", "b").limit(most)
+
+
 def expand_hops(seeds: DataFrame, edges: DataFrame, hops: int = 2, decay: float = 0.7) -> DataFrame:
     """(seed, node, score, hop): best path's score; a hop multiplies by similarity and decay to the hop's power.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.operators import graph as G
+from corpusloom.operators.history import duplicate_groups
 from corpusloom.operators import vectors as V
 from corpusloom.plans.history import HIST
 from corpusloom.plans.registry import query
@@ -93,18 +94,15 @@ def edges_within(spark, sf):
     return e.join(ids.withColumnRenamed("item_id", "a"), "a", "left_semi").join(ids.withColumnRenamed("item_id", "b"), "b", "left_semi").select("a", "b")
 
 
-@query("neighbor_edges", f"WITH {EDGES}, n AS (SELECT a, b, CASE WHEN a = 7 THEN b ELSE a END AS other FROM e WHERE a = 7 OR b = 7), k AS (SELECT *, dense_rank() OVER (ORDER BY other) AS rn FROM n) SELECT a, b FROM k WHERE rn <= 20")
+@query("neighbor_edges", f"WITH {EDGES}, w AS (SELECT a, b, 1 + (a * 7 + b * 3) % 5 AS weight FROM e) SELECT a, b, weight FROM w WHERE a IN (7, 11) OR b IN (7, 11) ORDER BY weight DESC, a, b LIMIT 30")
 def neighbor_edges(spark, sf):
-    """Edges of a seed, for its first twenty neighbours: the seed's edges alone are ranked."""
-    e = purchase_edges(spark, sf).where("a = 7 OR b = 7").withColumn("other", F.when(F.col("a") == 7, F.col("b")).otherwise(F.col("a")))
-    first = e.select("other").distinct().orderBy("other").limit(20)
-    return e.join(first, "other", "left_semi").select("a", "b")
+    e = purchase_edges(spark, sf).withColumn("weight", 1 + (F.col("a") * 7 + F.col("b") * 3) % 5)
+    return G.touching_edges(e, spark.createDataFrame([(7,), (11,)], "node long"), 30)
 
 
 @query("exact_duplicates", "SELECT sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
 def exact_duplicates(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.length("text").alias("size"), F.sha2("text", 256).alias("content_hash"))
-    return d.groupBy("size", "content_hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1").drop("size")
+    return duplicate_groups(table(spark, sf, "documents"), id_col="doc_id", content=F.col("text"))
 
 
 @query("visible_subgraph", f"WITH {EDGES}, v AS (SELECT user_id AS node FROM events GROUP BY 1 HAVING count(*) >= 60) SELECT a, b FROM e WHERE a IN (SELECT node FROM v) AND b IN (SELECT node FROM v)")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import history as H
 from corpusloom.plans.registry import query
 from corpusloom.session import table
+from corpusloom.streaming import events as E
 
 #: The history table for DuckDB, by the same rules as ``operators.history.history``.
 HIST = """WITH h AS (SELECT doc_id, lang, source AS category, CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'csv' WHEN 3 THEN 'png' ELSE 'txt' END AS ext,
@@ -217,13 +218,11 @@ def dominant_category(spark, sf):
     return H.most_frequent(H.history(spark, sf), "lang", "category", "doc_id")
 
 
-@query("common_tags", HIST + ", t AS (SELECT category, unnest(tags) AS tag FROM h), n AS (SELECT category, count(*) AS total FROM h GROUP BY 1) SELECT category, tag, count(*) AS n FROM t JOIN n USING (category) GROUP BY category, tag, total HAVING count(*) >= ceil(0.4 * total)")
+@query("common_tags", HIST + ", t AS (SELECT category, doc_id, unnest(CASE WHEN doc_id % 2 = 0 THEN [upper(lang), 'tag' || (doc_id % 7), '42', 'x'] ELSE [lang, 'tag' || (doc_id % 7), '42', 'x'] END) AS tag FROM h), n AS (SELECT category, count(*) AS total FROM h GROUP BY 1), g AS (SELECT category, lower(tag) AS form, count(*) AS n, min_by(tag, doc_id) AS tag FROM t WHERE length(tag) > 1 AND tag <> '42' GROUP BY 1, 2) SELECT g.category, tag, n, row_number() OVER (PARTITION BY g.category ORDER BY n DESC, form) AS rank FROM g JOIN n USING (category) WHERE n >= ceil(0.4 * total)")
 def common_tags(spark, sf):
-    h = H.history(spark, sf)
-    n = h.groupBy("category").agg(F.count("*").alias("total"))
-    t = h.select("category", F.explode("tags").alias("tag")).groupBy("category", "tag").agg(F.count("*").alias("n"))
-    return t.join(n, "category").where("n >= ceil(0.4 * total)").select("category", "tag", "n")
-
+    shown = F.when(F.col("doc_id") % 2 == 0, F.upper("lang")).otherwise(F.col("lang"))
+    h = H.history(spark, sf).withColumn("tags", F.array(shown, F.element_at("tags", -1), F.lit("42"), F.lit("x")))
+    return H.common_tags(h, "category", id_col="doc_id").withColumn("rank", F.col("rank").cast("long"))
 
 @query("cluster_time_range", "SELECT label, min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT label, 1704067200 + vec_id * 3600 AS ts FROM embeddings) GROUP BY 1")
 def cluster_time_range(spark, sf):
@@ -236,10 +235,14 @@ def chunk_to_file_max(spark, sf):
     return H.latest_per_key(table(spark, sf, "events").select("user_id", "event_id", "value"), "user_id", F.desc("value"), F.asc("event_id"))
 
 
-@query("file_patterns", HIST + "SELECT category, count(DISTINCT lang) = 1 AS one_project, min(ts) AS first_ts, max(ts) AS last_ts, array_to_string(list_sort(list(DISTINCT ext)), ',') AS types FROM h GROUP BY 1")
+@query("file_patterns", HIST + """, f AS (SELECT doc_id, lang AS grp, lower(file_name) AS name, ext, CASE WHEN doc_id % 2 = 0 THEN lang END AS project, category, strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') AS date FROM h),
+ w AS (SELECT grp, unnest(list_filter(string_split_regex(name, '[^a-z0-9]+'), lambda w: length(w) > 3)) AS w FROM f), n AS (SELECT grp, count(*) AS n FROM f GROUP BY 1), tm AS (SELECT grp, list_sort(list(w)) AS terms FROM (SELECT grp, w FROM w JOIN n USING (grp) GROUP BY grp, w, n HAVING count(*) > 0.3 * n) GROUP BY 1),
+ c AS (SELECT grp, category, row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, min(doc_id)) AS rn FROM f GROUP BY 1, 2)
+ SELECT f.grp, CASE WHEN count(DISTINCT project) = 1 THEN min(project) END AS project, min(date) AS first_date, max(date) AS last_date, CASE WHEN min(date) = max(date) THEN 'Single date: ' || min(date) ELSE min(date) || ' to ' || max(date) END AS dates, list_sort(list(DISTINCT ext)) AS types, max(c.category) AS category, coalesce(max(tm.terms), []) AS terms FROM f LEFT JOIN c ON c.grp = f.grp AND rn = 1 LEFT JOIN tm ON tm.grp = f.grp GROUP BY 1""")
 def file_patterns(spark, sf):
-    return H.history(spark, sf).groupBy("category").agg((F.count_distinct("lang") == 1).alias("one_project"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.array_join(F.sort_array(F.collect_set("ext")), ",").alias("types"))
-
+    h = H.history(spark, sf)
+    f = h.select(F.col("lang").alias("grp"), F.col("doc_id").alias("id"), F.col("file_name").alias("name"), "ext", F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("project"), "category", F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd").alias("date"))
+    return H.file_patterns(f, "grp")
 
 @query("batch_groups", HIST + "SELECT category AS folder, count(*) AS n, round(avg(confidence / 100.0), 6) AS confidence FROM h GROUP BY 1")
 def batch_groups(spark, sf):
@@ -264,11 +267,12 @@ def pipeline_summary(spark, sf):
     return e.agg(F.count("*").alias("total"), bad.alias("errors"), F.round(bad / F.count("*"), 6).alias("error_rate")).withColumn("recent_errors", recent)
 
 
-@query("health_score", "SELECT event_type, round(avg(value), 4) AS avg_ms, greatest(0, least(100, 100 - CASE WHEN avg(value) > 100 THEN least(50, (avg(value) - 100) / 10) ELSE 0 END)) AS score FROM events GROUP BY 1")
+@query("health_score", "SELECT event_type, count(*) AS calls, round(avg(value), 4) AS avg_ms, round(avg(CASE WHEN user_id % 9 = 0 THEN 1.0 ELSE 0.0 END), 6) AS error_rate, round(coalesce(sum(event_id % 100) / nullif(sum(value), 0) * 1000, 0), 4) AS tokens_per_s, greatest(0, round(100 - avg(CASE WHEN user_id % 9 = 0 THEN 1.0 ELSE 0.0 END) * 30 - CASE WHEN avg(value) > 100 THEN least(20, (avg(value) - 100) / 10) ELSE 0 END)) AS score FROM events GROUP BY 1")
 def health_score(spark, sf):
-    late = F.when(F.avg("value") > 100, F.least(F.lit(50.0), (F.avg("value") - 100) / 10)).otherwise(0.0)
-    return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("avg_ms"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - late)).alias("score"))
-
+    """Values stand for milliseconds, ids for tokens, every ninth user's calls fail."""
+    calls = table(spark, sf, "events").select("event_type", F.col("value").alias("ms"), (F.col("user_id") % 9 == 0).alias("failed"), (F.col("event_id") % 100).alias("tokens"))
+    r = H.service_health(calls, "event_type")
+    return r.select("event_type", "calls", F.round("avg_ms", 4).alias("avg_ms"), F.round("error_rate", 6).alias("error_rate"), F.round("tokens_per_s", 4).alias("tokens_per_s"), "score")
 
 @query("feedback_by_source", "SELECT d.source, count(*) AS n, CAST(sum(quality) AS BIGINT) AS accepted, CAST(sum(toxic) AS BIGINT) AS rejected FROM labels l JOIN documents d USING (doc_id) GROUP BY 1")
 def feedback_by_source(spark, sf):
@@ -315,13 +319,54 @@ def minmax_normalize(spark, sf):
     return h.select("doc_id", "size", low.alias("low"), high.alias("high")).select("doc_id", F.round(F.when(F.col("high") > F.col("low"), (F.col("size") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(flat), 6).alias("score"))
 
 
-@query("rolling_degradation", """WITH r AS (SELECT user_id, event_id, count(*) OVER w AS n, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS bad FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW))
- SELECT user_id, event_id, n, CAST(bad AS BIGINT) AS bad, n >= 20 AND bad * 1.0 / n >= 0.25 AS degraded FROM r""")
+OUTCOMES = "CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'fallback' ELSE 'primary' END"
+
+
+def outcomes(spark, sf):
+    kind = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "fallback").otherwise("primary")
+    return table(spark, sf, "events").select((F.col("user_id") % 3).cast("string").alias("pipeline"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"), kind.alias("outcome"))
+
+
+@query("rolling_degradation", f"""WITH r AS (SELECT CAST(user_id % 3 AS VARCHAR) AS pipeline, event_id AS id, count(*) OVER w AS n, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER w AS fallbacks, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS errors FROM events WINDOW w AS (PARTITION BY user_id % 3 ORDER BY ts, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW))
+ SELECT pipeline, id, n, CAST(fallbacks AS BIGINT) AS fallbacks, CAST(errors AS BIGINT) AS errors, n >= 20 AND (fallbacks >= 0.5 * n OR errors >= 0.2 * n) AS degraded FROM r""")
 def rolling_degradation(spark, sf):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-199, 0)
-    r = table(spark, sf, "events").select("user_id", "event_id", F.count("*").over(w).alias("n"), F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).over(w).alias("bad"))
-    return r.withColumn("degraded", (F.col("n") >= 20) & (F.col("bad") / F.col("n") >= 0.25))
+    return H.degradation(outcomes(spark, sf), error_rate=0.2).select("pipeline", "id", "n", "fallbacks", "errors", "degraded")
+
+
+@query("degradation_alerts")
+def degradation_alerts(spark, sf):
+    return H.degradation_alerts(H.degradation(outcomes(spark, sf), error_rate=0.2), 86_400.0)
+
+
+@query("update_by_path", HIST + "SELECT doc_id, path, CASE WHEN doc_id % 6 = 0 THEN ['new', lang] ELSE tags END AS tags, CASE WHEN doc_id % 6 = 0 AND doc_id % 4 <> 0 THEN 'changed' ELSE category END AS category FROM h")
+def update_by_path(spark, sf):
+    """New tags for every sixth file, and a new category unless it is null."""
+    h = H.history(spark, sf).select("doc_id", "path", "tags", "category")
+    changes = h.where("doc_id % 6 = 0").select("path", F.array(F.lit("new"), F.element_at("tags", 1)).alias("tags"), F.when(F.col("doc_id") % 4 != 0, "changed").alias("category"))
+    return H.update_by_key(h, changes, "path")
+
+
+@query("move_paths", HIST + ", m AS (SELECT doc_id, CASE WHEN path = (SELECT min(path) FROM h) THEN '/one/file' WHEN starts_with(path, '/src1/') AND starts_with(path, '/src1/en/') THEN '/english' || substring(path, 9) WHEN starts_with(path, '/src1/') THEN '/first' || substring(path, 6) ELSE path END AS path FROM h) SELECT 'history' AS store, doc_id, path FROM m UNION ALL SELECT 'vectors', doc_id, path FROM m WHERE doc_id IN (SELECT vec_id FROM embeddings)")
+def move_paths(spark, sf):
+    """A file, a folder and a folder inside it move, in two stores at once."""
+    h = H.history(spark, sf).select("doc_id", "path")
+    v = h.join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    moves = spark.createDataFrame([("/src1", "/first"), ("/src1/en", "/english")], "old_path string, new_path string").unionByName(h.agg(F.min("path").alias("old_path")).withColumn("new_path", F.lit("/one/file")))
+    parts = H.move_paths({"history": (h, "path"), "vectors": (v, "path")}, moves)
+    return parts["history"].withColumn("store", F.lit("history")).unionByName(parts["vectors"].withColumn("store", F.lit("vectors")))
+
+
+@query("ready_queue", "SELECT event_id AS id FROM events WHERE event_type <> 'error' ORDER BY ts DESC, event_id DESC LIMIT 1000")
+def ready_queue(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_type") != "error", "ready").otherwise("failed").alias("state"), "ts")
+    return H.ready_queue(e).select("id")
+
 
+@query("own_changes_suppressed", "SELECT event_id FROM events e WHERE event_type <> 'purchase' AND NOT EXISTS (SELECT 1 FROM events o WHERE o.event_type = 'purchase' AND o.user_id = e.user_id AND epoch(e.ts) >= epoch(o.ts) AND epoch(e.ts) < epoch(o.ts) + 36000)")
+def own_changes_suppressed(spark, sf):
+    """Purchases stand for our own operations on a user's path; for ten hours its other events are ours."""
+    e = table(spark, sf, "events").select("event_id", "event_type", F.col("user_id").alias("path"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"))
+    return E.not_our_own(e.where("event_type <> 'purchase'"), e.where("event_type = 'purchase'"), 36_000.0).select("event_id")
 
 @query("message_sort_order", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS sort_order FROM conversations")
 def message_sort_order(spark, sf):

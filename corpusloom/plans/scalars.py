@@ -86,12 +86,11 @@ def case_conventions(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.kebab(n).alias("kebab"), T.snake(n).alias("snake"), T.pascal(n).alias("pascal"), T.camel(n).alias("camel"))
 
 
-@query("suggested_name", HIST + "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN category || '-' || strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') WHEN 1 THEN strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') || '-' || category WHEN 2 THEN lang || '-' || category ELSE file_name END AS name FROM h")
+@query("suggested_name", HIST + """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN category || '-' || d || '.' || ext WHEN 1 THEN d || '-' || category || '.' || ext WHEN 2 THEN lang || '-' || category || '-' || d || '.' || ext WHEN 3 THEN 'tag' || (doc_id % 7) || '-' || category || '.' || ext ELSE file_name END AS name FROM (SELECT *, strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') AS d FROM h)""")
 def suggested_name(spark, sf):
-    day = F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd")
-    name = F.when(F.col("doc_id") % 4 == 0, F.concat_ws("-", "category", day)).when(F.col("doc_id") % 4 == 1, F.concat_ws("-", day, "category")).when(F.col("doc_id") % 4 == 2, F.concat_ws("-", "lang", "category")).otherwise(F.col("file_name"))
-    return history(spark, sf).select("doc_id", name.alias("name"))
-
+    kinds = F.array(*map(F.lit, (*T.NAME_TEMPLATES, "keep", "no such template")))
+    values = {"subject": F.col("category"), "date": F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd"), "project": F.col("lang"), "category": F.element_at("tags", -1)}
+    return history(spark, sf).select("doc_id", T.suggested_name(F.get(kinds, F.col("doc_id") % 6), F.col("file_name"), values).alias("name"))
 
 @query("strategy_path", HIST + "SELECT doc_id, 'Projects/' || category || '/' || ext || '/' || strftime(make_timestamp(ts * 1000000), '%Y') AS path FROM h")
 def strategy_path(spark, sf):
@@ -163,11 +162,12 @@ def normalize_confidence(spark, sf):
     return table(spark, sf, "events").select("event_id", T.percent(F.col("value")).alias("confidence"))
 
 
-@query("derived_confidence", HIST + "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN confidence * 1.0 WHEN doc_id % 3 = 1 THEN round(30 + 40 * least(1.0, ms / 400.0), 4) ELSE 35.0 + 5 * len(tags) END AS confidence FROM h")
+@query("derived_confidence", HIST + "SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND (confidence <> 0 OR doc_id % 2 = 0) THEN CASE WHEN confidence <= 1 THEN confidence * 100.0 ELSE confidence END WHEN doc_id % 3 < 2 AND ms < 400 THEN round(30 + 40 * ms / 400.0) WHEN doc_id % 3 < 2 THEN round(least(70.0, ms / 400.0)) ELSE 35.0 + 5 * (CASE WHEN lang = 'en' THEN 1 ELSE 0 END + CASE WHEN size > 900 THEN 1 ELSE 0 END) END AS confidence FROM h WHERE ms <> 400")
 def derived_confidence(spark, sf):
-    c = F.when(F.col("doc_id") % 3 == 0, F.col("confidence").cast("double")).when(F.col("doc_id") % 3 == 1, F.round(30 + 40 * F.least(F.lit(1.0), F.col("ms") / 400), 4)).otherwise(35.0 + 5 * F.size("tags"))
-    return history(spark, sf).select("doc_id", c.alias("confidence"))
-
+    h = history(spark, sf).where("ms <> 400")
+    said = F.when(F.col("doc_id") % 3 == 0, F.col("confidence").cast("double"))
+    near = F.when(F.col("doc_id") % 3 < 2, F.col("ms") / 400)
+    return h.select("doc_id", T.derived_confidence(said, F.col("doc_id") % 2 == 0, near, [F.col("lang") == "en", F.col("size") > 900]).alias("confidence"))
 
 @query("semver_compare", "WITH v AS (SELECT p_partkey, [p_partkey % 3, p_partkey % 11, p_size] AS a, [1, 5, 20] AS b FROM part) SELECT p_partkey, CASE WHEN a[1] <> b[1] THEN sign(a[1] - b[1]) WHEN a[2] <> b[2] THEN sign(a[2] - b[2]) ELSE sign(a[3] - b[3]) END AS cmp FROM v")
 def semver_compare(spark, sf):
@@ -257,10 +257,7 @@ def phonetic_match(spark, sf):
 
 @query("semantic_terms", "SELECT doc_id, list_distinct_sorted AS terms FROM (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 4 AND NOT regexp_full_match(w, '[0-9]+') AND NOT list_contains(['that', 'this', 'with', 'from'], w)))) AS list_distinct_sorted FROM documents)")
 def semantic_terms(spark, sf):
-    t = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1)
-    ok = lambda w: (F.length(w) >= 4) & ~w.rlike("^[0-9]+$") & ~w.isin("that", "this", "with", "from")
-    return docs(spark, sf).select("doc_id", F.sort_array(F.array_distinct(F.filter(t, ok))).alias("terms"))
-
+    return docs(spark, sf).select("doc_id", T.semantic_terms(F.col("text")).alias("terms"))
 
 @query("token_budget", "SELECT doc_id, CAST(ceil(length(text) / 3.5) AS BIGINT) AS tokens, length(text) / 3.5 > floor(0.85 * 512) AS over, length(substring(text, 1, CAST(floor(floor(0.85 * 512) * 3.5) AS BIGINT))) AS kept FROM documents")
 def token_budget(spark, sf):
@@ -268,15 +265,16 @@ def token_budget(spark, sf):
     return docs(spark, sf).select("doc_id", T.estimated_tokens(F.col("text")).cast("long").alias("tokens"), (F.length("text") / 3.5 > budget).alias("over"), F.length(F.substring("text", 1, int(budget * 3.5))).cast("long").alias("kept"))
 
 
-@query("query_intent", r"SELECT conv_id, turn, length(text) <= 100 AND regexp_matches(lower(text), '^(hi|hello|thanks|the|is)\b') AS conversational, length(text) <= 300 AND regexp_matches(lower(text), '\b(compare|versus|vs|than|differ)\b') AS comparison, length(text) <= 300 AND regexp_matches(lower(text), '\b(missing|gap|lack)') AS gap FROM conversations")
+@query("query_intent", r"SELECT conv_id, turn, length(text) <= 100 AND regexp_matches(lower(trim(text)), '^(hi|hello|thanks|the|is)\b') AS conversational, length(text) <= 300 AND regexp_matches(lower(trim(text)), '\b(compare|versus|vs|than|differ)\b') AS comparison, length(text) <= 300 AND regexp_matches(lower(trim(text)), '\b(missing|gap|lack)\b') AS gap FROM conversations")
 def query_intent(spark, sf):
-    t, n = F.lower("text"), F.length("text")
-    return table(spark, sf, "conversations").select("conv_id", "turn", ((n <= 100) & t.rlike(r"^(hi|hello|thanks|the|is)\b")).alias("conversational"), ((n <= 300) & t.rlike(r"\b(compare|versus|vs|than|differ)\b")).alias("comparison"), ((n <= 300) & t.rlike(r"\b(missing|gap|lack)")).alias("gap"))
-
+    """Phrases are the caller's; these are enough for the test tables."""
+    t = F.col("text")
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.any_phrase(t, ("hi", "hello", "thanks", "the", "is"), 100, at_start=True).alias("conversational"), T.any_phrase(t, ("compare", "versus", "vs", "than", "differ"), 300).alias("comparison"), T.any_phrase(t, ("missing", "gap", "lack"), 300).alias("gap"))
 
-@query("embedding_summary", HIST + "SELECT doc_id, substring(concat_ws(chr(10), category, array_to_string(tags, ', '), file_name, substring(text, 1, 2000)), 1, 4000) AS summary FROM h")
+@query("embedding_summary", HIST + "SELECT doc_id, substring(concat_ws(chr(10), category, array_to_string(tags, ', '), file_name, nullif(substring(text, 1, 2000), '')), 1, 4000) AS summary FROM h")
 def embedding_summary(spark, sf):
-    return history(spark, sf).select("doc_id", F.substring(F.concat_ws("\n", "category", F.array_join("tags", ", "), "file_name", F.substring("text", 1, 2000)), 1, 4000).alias("summary"))
+    fields = [F.col("category"), F.array_join("tags", ", "), F.lit(" "), F.col("file_name")]
+    return history(spark, sf).select("doc_id", T.summary_text(fields, F.col("text")).alias("summary"))
 
 
 @query("extension_concept_score", HIST + ", m AS (SELECT * FROM (VALUES ('pdf', 'document'), ('docx', 'document'), ('csv', 'table'), ('png', 'picture'), ('txt', 'text')) t(ext, concept)) SELECT doc_id, concept, least(20, 10 + length(concept)) AS score FROM h JOIN m USING (ext)")

@@ -14,7 +14,7 @@ from collections import Counter
 from pathlib import PurePosixPath
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -53,7 +53,9 @@ def csv_text(spark: SparkSession, path: str, max_rows: int = 5_000, max_columns:
     rows = spark.read.csv(path, header=False, mode="PERMISSIVE", multiLine=True)
     cells = F.concat_ws(" ", *[F.trim(c) for c in rows.columns[:max_columns]])
     lines = rows.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("n"), cells.alias("line")).where("line <> ''")
-    kept = F.slice(F.sort_array(F.collect_list(F.struct("n", "line"))), 1, max_rows)
+    first = F.row_number().over(Window.partitionBy("path").orderBy("n"))
+    lines = lines.withColumn("nth", first).where(F.col("nth") <= max_rows)  # so that a file's rows are few before they are gathered
+    kept = F.sort_array(F.collect_list(F.struct("n", "line")))
     return lines.groupBy("path").agg(F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("text"))
 
 

@@ -29,6 +29,12 @@ def wanted(events: DataFrame) -> DataFrame:
     return events.where("event_type <> 'error' AND value IS NOT NULL")
 
 
+def not_our_own(events: DataFrame, operations: DataFrame, cooldown_s: float = 5.0) -> DataFrame:
+    """Events (path, s, ...) but for those within ``cooldown_s`` after an operation (path, s) of ours on the same path."""
+    o = operations.select(F.col("path").alias("_path"), F.col("s").alias("_s"))
+    return events.join(o, (F.col("path") == F.col("_path")) & (F.col("s") >= F.col("_s")) & (F.col("s") < F.col("_s") + cooldown_s), "left_anti")
+
+
 def debounced(events: DataFrame, gap: str = "1 hour", watermark: str | None = None) -> DataFrame:
     """(user_id, start, end, n, last_id): a trailing debounce; a session ends after a gap without events."""
     e = as_events(events)
