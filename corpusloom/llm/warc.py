@@ -1,17 +1,17 @@
 """WARC files and a Merkle fixity audit of replicas.
 
-Pages become WARC response records, dealt to files of bounded size by a hash; in a file they
-stand in order of ids, urls and digests, so that layout and files say the same. ``write_records``
-stores the files, ``copy_files`` makes a replica, ``read_records`` gives the pages back, and
-``stored_ranges`` reads a replica's bytes and hashes every record's range of offsets. The audit hashes ranges (offset,
-length, digest) into leaves, every ``FANOUT`` leaves in offset order into a node, and so on up
-to one root a file. Roots of two replicas are compared first, and only below nodes that differ
-are the children compared, down to the records.
+Pages become WARC response records, which ``write_records`` stores where they are read: every
+task writes files of about ``FILE_BYTES``, and no body is shuffled. ``copy_files`` makes a
+replica, and ``read_records`` goes through stored bytes: it gives every record's range of
+offsets, the digest of the bytes there, and the page. The audit hashes ranges (offset, length,
+digest) into leaves, every ``FANOUT`` leaves in offset order into a node, and so on up to one
+root a file. Roots of two replicas are compared first, and only below nodes that differ are
+the children compared, down to the records.
 
 Defined results: a null url or body is written as empty, line ends in a url percent-encoded;
-an empty table has no files. Rows that repeat become records of their own, in a fixed order.
-A reader that meets a broken header goes on at the next record's mark, so that damage stays
-where it is; the lost stretch is one range. A record that one replica lacks, or has in another
+an empty table has no records. Rows that repeat become records of their own. A reader that
+meets a broken header goes on at the next record's mark, so that damage stays where it is; the
+lost stretch is one range, without a page. A record that one replica lacks, or has in another
 place, is reported as missing there. Other columns are not written.
 """
 
@@ -43,42 +43,25 @@ def record_column(page_id: Column, url: Column, body: Column) -> Column:
     return F.concat(head, http, F.lit("\r\n\r\n"))
 
 
-def lay_out_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", file_bytes: int = FILE_BYTES) -> DataFrame:
-    """(page_id, url, file, offset, length, digest) of every page's record, in files of about ``file_bytes``.
-
-    A hash of id, url and record deals pages to files; inside a file records stand in order
-    of their ids (nulls first), urls and digests. Only places and digests are sorted, not
-    the records' bytes.
-    """
+def write_records(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", file_bytes: int = FILE_BYTES) -> None:
+    """The records as text files of concatenated WARC records; files end after as many as make ``file_bytes`` on average."""
     record = record_column(F.col(id_col), F.col(url_col), F.col(html_col))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest"))
-    rows = cut_lineage(rows)
-    rows = rows.withColumn("file", _file(n_files(rows, file_bytes)))
-    order = Window.partitionBy("file").orderBy("page_id", "url", "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return cut_lineage(rows.withColumn("offset", F.sum("length").over(order) - F.col("length")).select("page_id", "url", "file", "offset", "length", "digest"))
-
-
-def n_files(records: DataFrame, file_bytes: int = FILE_BYTES) -> int:
-    total = records.agg(F.sum("length")).first()[0] or 0
-    return max(1, -(-int(total) // file_bytes))
-
+    mean = pages.agg(F.avg(F.octet_length(record))).first()[0] or 1
+    rows = pages.select(record.alias("record"))
+    _write(rows, "record", path, max(1, int(file_bytes / mean)))
 
-def _file(files: int) -> Column:
-    return F.pmod(F.xxhash64("page_id", "url", "digest"), F.lit(files)).cast("int")
 
-
-def write_records(pages: DataFrame, path: str, files: int, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """The records as files of concatenated WARC records, ``path``/file=n/, each as the layout with ``files`` files has it."""
-    record = record_column(F.col(id_col), F.col(url_col), F.col(html_col))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), record.alias("record"), F.sha2(record, 256).alias("digest"))
-    placed = rows.withColumn("file", _file(files)).repartition("file").sortWithinPartitions("file", "page_id", "url", "digest")
-    _write(placed, "record", path)
+def _write(rows: DataFrame, column: str, path: str, most: int = 0, by: tuple[str, ...] = ()) -> None:
+    """Texts that end in a line end, one after the other."""
+    all_but_last_line_end = F.col(column).substr(F.lit(1), F.length(column) - 2)
+    rows.select(*by, all_but_last_line_end.alias("value")).write.partitionBy(*by).option("maxRecordsPerFile", most).option("lineSep", "\r\n").text(path)
 
 
-def _write(rows: DataFrame, column: str, path: str) -> None:
-    """Texts that end in a line end, one after the other in the file that they name."""
-    all_but_last_line_end = F.col(column).substr(F.lit(1), F.length(column) - 2)
-    rows.select("file", all_but_last_line_end.alias("value")).write.partitionBy("file").option("lineSep", "\r\n").text(path)
+def _file_of(path: Column) -> Column:
+    """A file's name in all replicas: its task and number, or what its folder says."""
+    named, made = F.regexp_extract(path, r"/file=([^/]+)/", 1), F.regexp_extract(path, r"/part-(\d+)-.*c(\d+)\.txt$", 1)
+    number = F.regexp_extract(path, r"/part-(\d+)-.*c(\d+)\.txt$", 2)
+    return F.when(named != "", named).otherwise(F.concat_ws("-", made, number))
 
 
 def copy_files(spark: SparkSession, path: str, to: str, damaged_ids: str | None = None) -> None:
@@ -86,10 +69,10 @@ def copy_files(spark: SparkSession, path: str, to: str, damaged_ids: str | None
 
     For drills: in records whose id matches the pattern ``damaged_ids`` one stored byte becomes another.
     """
-    rows = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"/file=(\d+)/", 1).cast("int").alias("file"), "value")
+    rows = spark.read.text(path, wholetext=True).select(_file_of(F.col("_metadata.file_path")).alias("file"), "value").where("value <> ''")
     if damaged_ids:
         rows = rows.withColumn("value", F.regexp_replace("value", rf"(WARC/1\.1\r\nWARC-Type: )r(?=esponse\r\nWARC-Record-ID: <urn:page:{damaged_ids}>)", "$1R"))
-    _write(rows, "value", to)
+    _write(rows, "value", to, by=("file",))
 
 
 def ranges_of(data: bytes) -> Iterator[tuple[int, int]]:
@@ -106,41 +89,35 @@ def ranges_of(data: bytes) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, content): a file is a row, and about ``FILE_BYTES`` at most."""
-    bounded_batches(spark)
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.regexp_extract("path", r"/file=(\d+)/", 1).cast("int").alias("file"), "content")
-
-
-def stored_ranges(spark: SparkSession, path: str) -> DataFrame:
-    """(file, offset, length, digest) of the record ranges in the bytes of a stored replica."""
-
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file, content in zip(batch["file"], batch["content"], strict=True):
-                data = memoryview(content)
-                got = [(a, b - a, hashlib.sha256(data[a:b]).hexdigest()) for a, b in ranges_of(content)]
-                yield pd.DataFrame(got, columns=["offset", "length", "digest"]).assign(file=file)[["file", "offset", "length", "digest"]]
-
-    return _files(spark, path).mapInPandas(hashed, "file int, offset long, length long, digest string")
+def read_records(spark: SparkSession, path: str, fields: tuple[str, ...] = ("digest", "page_id", "url", "html")) -> DataFrame:
+    """(file, offset, length, and the asked-for fields) of every range in the bytes of stored files.
 
+    ``digest`` is the SHA-256 of the bytes; page_id, url and html are null in a range that is no
+    whole record, and page_id where it is empty. A file is read as a whole.
+    """
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, offset, length, page_id, url, html) of the whole records of stored files; an empty id is null."""
+    def page_of(record: bytes) -> dict[str, str | None]:
+        parts = record.split(END, 2)
+        head = dict(line.split(b": ", 1) for line in parts[0].split(b"\r\n")[1:] if b": " in line)
+        if len(parts) < 3 or head.get(b"WARC-Type") != b"response":
+            return {}
+        name = head.get(b"WARC-Record-ID", b"").removeprefix(b"<urn:page:").removesuffix(b">")
+        text = lambda x: x.decode(errors="replace")
+        return {"page_id": text(name) or None, "url": text(head.get(b"WARC-Target-URI", b"")), "html": text(parts[2][: -len(END)]) if "html" in fields else None}
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, content in zip(batch["file"], batch["content"], strict=True):
                 rows = []
                 for a, b in ranges_of(content):
-                    parts = content[a:b].split(END, 2)
-                    fields = dict(line.split(b": ", 1) for line in parts[0].split(b"\r\n")[1:] if b": " in line)
-                    if len(parts) == 3 and fields.get(b"WARC-Type") == b"response":
-                        name = fields.get(b"WARC-Record-ID", b"").removeprefix(b"<urn:page:").removesuffix(b">")
-                        rows.append((file, a, b - a, name.decode() or None, fields.get(b"WARC-Target-URI", b"").decode(), parts[2][: -len(END)].decode()))
-                yield pd.DataFrame(rows, columns=["file", "offset", "length", "page_id", "url", "html"])
+                    record = content[a:b]
+                    got = {"digest": hashlib.sha256(record).hexdigest()} | (page_of(record) if {*fields} - {"digest"} else {})
+                    rows.append((file, a, b - a, *(got.get(name) for name in fields)))
+                yield pd.DataFrame(rows, columns=["file", "offset", "length", *fields])
 
-    return _files(spark, path).mapInPandas(parsed, "file int, offset long, length long, page_id string, url string, html string")
+    bounded_batches(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(_file_of(F.col("path")).alias("file"), "content")
+    return files.mapInPandas(parsed, ", ".join(["file string, offset long, length long", *(f"{name} string" for name in fields)]))
 
 
 def leaf_table(records: DataFrame) -> DataFrame:
@@ -195,17 +172,19 @@ def audit(ours: DataFrame, theirs: DataFrame, fanout: int = FANOUT) -> DataFrame
     return both.where(~F.col("h1").eqNullSafe(F.col("h2"))).select("file", "offset", F.coalesce("length", "l2").alias("length"), state.alias("state"))
 
 
-def audit_report(records: DataFrame, ours: DataFrame, theirs: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """Every record of the layout with its place, digest and state ('intact' where the replicas' bytes agree)."""
+def fixity_report(ours: DataFrame, theirs: DataFrame, fanout: int = FANOUT) -> DataFrame:
+    """``ours`` (file, offset, length, digest, ...) with the state of every range: 'intact' where the replicas' bytes agree."""
     found = audit(ours, theirs, fanout).where("state <> 'surplus'").select("file", "offset", "state")
-    return records.join(found, ["file", "offset"], "left").select("page_id", "url", "file", "offset", "length", F.col("digest").alias("record_sha256"), F.coalesce("state", F.lit("intact")).alias("state"))
+    return ours.join(found, ["file", "offset"], "left").withColumn("state", F.coalesce("state", F.lit("intact")))
 
 
 def fixity_drill(pages: DataFrame, folder: str, *, damaged_ids: str = r"\d*00", file_bytes: int = FILE_BYTES, fanout: int = FANOUT) -> DataFrame:
     """Writes the pages' records under ``folder``, copies the files with one byte changed in records whose id
     ends in 00, reads both replicas back and audits their bytes: a report of every record."""
-    records = lay_out_records(pages, file_bytes=file_bytes)
-    write_records(pages, f"{folder}/first", n_files(records, file_bytes))
-    copy_files(pages.sparkSession, f"{folder}/first", f"{folder}/second", damaged_ids)
-    ours, theirs = (cut_lineage(stored_ranges(pages.sparkSession, f"{folder}/{name}")) for name in ("first", "second"))
-    return audit_report(records, ours, theirs, fanout)
+    spark = pages.sparkSession
+    write_records(pages, f"{folder}/first", file_bytes=file_bytes)
+    copy_files(spark, f"{folder}/first", f"{folder}/second", damaged_ids)
+    ours = cut_lineage(read_records(spark, f"{folder}/first", ("digest", "page_id", "url")))
+    theirs = cut_lineage(read_records(spark, f"{folder}/second", ("digest",)))
+    report = fixity_report(ours, theirs, fanout)
+    return report.select(F.col("page_id").cast("long").alias("page_id"), "url", "file", "offset", "length", F.col("digest").alias("record_sha256"), "state")

@@ -3,11 +3,11 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm.warc import audit, audit_report, copy_files, fixity_drill, lay_out_records, leaf_table, n_files, ranges_of, read_records, record_column, stored_ranges, tree_levels, write_records
+from corpusloom.llm.warc import audit, copy_files, fixity_drill, fixity_report, leaf_table, ranges_of, read_records, record_column, tree_levels, write_records
 
 
-def pages(spark, n=700):
-    return spark.range(n).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), "id").alias("url"), F.repeat(F.lit("é<p>"), (F.col("id") % 50).cast("int")).alias("html"))
+def pages(spark, n=700, parts=3):
+    return spark.range(n).repartition(parts).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), "id").alias("url"), F.repeat(F.lit("é<p>"), (F.col("id") % 50).cast("int")).alias("html"))
 
 
 def test_records_are_valid(spark):
@@ -18,65 +18,58 @@ def test_records_are_valid(spark):
     assert rest[n:] == b"\r\n\r\n" and rest[:n].endswith("<p>é".encode()) and fields[b"WARC-Target-URI"] == b"a%0D%0Ab"
 
 
-def test_layout_and_tree_against_brute_force(spark):
-    records = lay_out_records(pages(spark), file_bytes=20_000)
-    rows = records.collect()
-    files = {}
-    for r in sorted(rows, key=lambda r: (r["file"], r["page_id"])):
-        files.setdefault(r["file"], []).append(r)
-    assert len(files) > 3
+def test_files_give_the_pages_back(spark, tmp_path):
+    odd = spark.createDataFrame([(None, None, None), (None, None, None), (3, "u\r\nWARC/1.1", "x\r\n\r\nWARC/1.1\r\n" * 9), (3, "u", "y" * 30_000)], "page_id long, url string, html string")
+    both = pages(spark, 90).unionByName(odd)
+    write_records(both, str(tmp_path / "w"), file_bytes=8_000)
+    files = {p.name: p.read_bytes() for p in (tmp_path / "w").glob("part-*") if p.stat().st_size}
+    assert len(files) > 5
+    rows = read_records(spark, str(tmp_path / "w")).collect()
+    digests = sorted(hashlib.sha256(data[a:b]).hexdigest() for data in files.values() for a, b in ranges_of(data))
+    assert sorted(r["digest"] for r in rows) == digests and len(rows) == 94
+    for f in {r["file"] for r in rows}:  # ranges lie end to end
+        mine = sorted((r["offset"], r["length"]) for r in rows if r["file"] == f)
+        assert [a for a, _ in mine] == [sum(n for _, n in mine[:k]) for k in range(len(mine))]
+    clean = lambda u: (u or "").replace("\r", "%0D").replace("\n", "%0A")
+    want = sorted((str(r["page_id"]) if r["page_id"] is not None else "", clean(r["url"]), r["html"] or "") for r in both.collect())
+    assert sorted((r["page_id"] or "", r["url"], r["html"]) for r in rows) == want
+
+
+def test_tree_against_brute_force(spark, tmp_path):
+    write_records(pages(spark), str(tmp_path / "w"), file_bytes=20_000)
+    records = read_records(spark, str(tmp_path / "w"), ("digest",))
     levels = tree_levels(leaf_table(records), 4)
     roots = {r["file"]: r["hash"] for r in levels[-1].collect()}
+    files = {}
+    for r in sorted(records.collect(), key=lambda r: (r["file"], r["offset"])):
+        files.setdefault(r["file"], []).append(r)
+    assert len(files) > 3 and len(files) == len(roots)
     for f, rs in files.items():
-        at = 0
-        level = []
-        for r in rs:
-            assert r["offset"] == at
-            level.append((hashlib.sha256(f"{at}:{r['length']}:{r['digest']}".encode()).hexdigest(), at, at + r["length"]))
-            at += r["length"]
+        level = [(hashlib.sha256(f"{r['offset']}:{r['length']}:{r['digest']}".encode()).hexdigest(), r["offset"], r["offset"] + r["length"]) for r in rs]
         for _ in levels[1:]:
             level = [(hashlib.sha256(("".join(h for h, _, _ in c) + f"{c[0][1]}:{c[-1][2]}").encode()).hexdigest(), c[0][1], c[-1][2]) for c in (level[i : i + 4] for i in range(0, len(level), 4))]
         assert len(level) == 1 and roots[f] == level[0][0]
 
 
-def test_files_hold_what_the_layout_says(spark, tmp_path):
-    odd = spark.createDataFrame([(None, None, None), (None, None, None), (3, "u\r\nWARC/1.1", "x\r\n\r\nWARC/1.1\r\n" * 9), (3, "u", "y" * 30_000)], "page_id long, url string, html string")
-    both = pages(spark, 90).unionByName(odd)
-    records = lay_out_records(both, file_bytes=20_000)
-    write_records(both, str(tmp_path / "w"), n_files(records, 20_000))
-    place = {(r["file"], r["offset"], r["length"], r["digest"]) for r in records.collect()}
-    for f, at, size, digest in place:
-        (path,) = (tmp_path / "w" / f"file={f}").glob("part-*")
-        assert hashlib.sha256(path.read_bytes()[at : at + size]).hexdigest() == digest
-    got = stored_ranges(spark, str(tmp_path / "w")).collect()
-    assert len(got) == 94 and {tuple(r) for r in got} == place
-    back = sorted((r["page_id"] or "", r["url"], r["html"]) for r in read_records(spark, str(tmp_path / "w")).collect())
-    clean = lambda u: (u or "").replace("\r", "%0D").replace("\n", "%0A")
-    assert back == sorted((str(r["page_id"]) if r["page_id"] is not None else "", clean(r["url"]), r["html"] or "") for r in both.collect())
-
-
 def test_one_byte_is_found_alone(spark, tmp_path):
-    df = pages(spark)
-    records = lay_out_records(df, file_bytes=20_000)
-    files = n_files(records, 20_000)
-    write_records(df, str(tmp_path / "a"), files)
+    write_records(pages(spark), str(tmp_path / "a"), file_bytes=20_000)
     copy_files(spark, str(tmp_path / "a"), str(tmp_path / "b"))
-    ours = lambda: stored_ranges(spark, str(tmp_path / "a"))
-    theirs = lambda: stored_ranges(spark, str(tmp_path / "b"))
-    assert audit(ours(), theirs()).count() == 0
-    hit = records.where("page_id = 333").first()
+    ours = read_records(spark, str(tmp_path / "a"), ("digest", "page_id"))
+    theirs = lambda: read_records(spark, str(tmp_path / "b"), ("digest",))
+    assert audit(ours, theirs()).count() == 0
+    rows = ours.collect()
+    hit = next(r for r in rows if r["page_id"] == "333")
     (path,) = (tmp_path / "b" / f"file={hit['file']}").glob("part-*")
     for place in (5, 140, 200, hit["length"] - 1):  # in the mark, a header, the body, the end
         data = bytearray(path.read_bytes())
         data[hit["offset"] + place] ^= 1
         _rewrite(path, data)
-        bad = audit_report(records, ours(), theirs(), 4).where("state <> 'intact'").collect()
-        assert [r["page_id"] for r in bad] == [333], place
+        assert [r["page_id"] for r in fixity_report(ours, theirs(), 4).where("state <> 'intact'").collect()] == ["333"], place
         data[hit["offset"] + place] ^= 1
         _rewrite(path, data)
     _rewrite(path, data[:-1])  # a lost byte at the end of a file
-    last = records.where(F.col("file") == hit["file"]).orderBy(F.desc("offset")).first()
-    assert [r["page_id"] for r in audit_report(records, ours(), theirs()).where("state <> 'intact'").collect()] == [last["page_id"]]
+    last = max((r for r in rows if r["file"] == hit["file"]), key=lambda r: r["offset"])
+    assert [r["page_id"] for r in fixity_report(ours, theirs()).where("state <> 'intact'").collect()] == [last["page_id"]]
 
 
 def _rewrite(path: Path, data: bytes):
@@ -92,11 +85,10 @@ def test_drill_finds_exactly_the_damage(spark, tmp_path):
 
 
 def test_lost_record_and_edges(spark, tmp_path):
-    records = lay_out_records(pages(spark, 40))
-    lost = records.where("page_id <> 7")
-    states = {(r["offset"], r["state"]) for r in audit(records, lost, 4).collect()}
-    at7 = records.where("page_id = 7").first()["offset"]
-    assert (at7, "missing") in states
+    write_records(pages(spark, 40, 1), str(tmp_path / "w"))
+    records = read_records(spark, str(tmp_path / "w"), ("digest", "page_id"))
+    at7 = next(r["offset"] for r in records.collect() if r["page_id"] == "7")
+    assert (at7, "missing") in {(r["offset"], r["state"]) for r in audit(records, records.where("page_id <> '7'"), 4).collect()}
     odd = spark.createDataFrame([(None, None, None, 1), (None, None, None, 2), (3, "u", "x" * 300_000, 3)], "page_id long, url string, html string, digest int")
     got = fixity_drill(odd, str(tmp_path / "odd")).collect()
     assert len(got) == 3 and {r["state"] for r in got} == {"intact"}
