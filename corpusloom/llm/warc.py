@@ -11,7 +11,9 @@ the children compared, down to the records.
 Defined results: a null url or body is written as empty, line ends in a url percent-encoded;
 an empty table has no records. Rows that repeat become records of their own. A reader that
 meets a broken header goes on at the next record's mark, so that damage stays where it is; the
-lost stretch is one range, without a page. A record that one replica lacks, or has in another
+lost stretch is one range, without a page. Files may be gzip streams, in which offsets count
+what comes out; behind damage to the stream itself nothing can be read, so what follows it in
+that file is missing. A record that one replica lacks, or has in another
 place, is reported as missing there. Other columns are not written.
 """
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,28 +46,28 @@ def record_column(page_id: Column, url: Column, body: Column) -> Column:
     return F.concat(head, http, F.lit("\r\n\r\n"))
 
 
-def write_records(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", file_bytes: int = FILE_BYTES) -> None:
+def write_records(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", file_bytes: int = FILE_BYTES, compression: str = "none") -> None:
     """The records as text files of concatenated WARC records; files end after as many as make ``file_bytes`` on average."""
     record = record_column(F.col(id_col), F.col(url_col), F.col(html_col))
     mean = pages.agg(F.avg(F.octet_length(record))).first()[0] or 1
     rows = pages.select(record.alias("record"))
-    _write(rows, "record", path, max(1, int(file_bytes / mean)))
+    _write(rows, "record", path, compression, max(1, int(file_bytes / mean)))
 
 
-def _write(rows: DataFrame, column: str, path: str, most: int = 0, by: tuple[str, ...] = ()) -> None:
+def _write(rows: DataFrame, column: str, path: str, compression: str, most: int = 0, by: tuple[str, ...] = ()) -> None:
     """Texts that end in a line end, one after the other."""
     all_but_last_line_end = F.col(column).substr(F.lit(1), F.length(column) - 2)
-    rows.select(*by, all_but_last_line_end.alias("value")).write.partitionBy(*by).option("maxRecordsPerFile", most).option("lineSep", "\r\n").text(path)
+    rows.select(*by, all_but_last_line_end.alias("value")).write.partitionBy(*by).option("maxRecordsPerFile", most).option("compression", compression).option("lineSep", "\r\n").text(path)
 
 
 def _file_of(path: Column) -> Column:
     """A file's name in all replicas: its task and number, or what its folder says."""
-    named, made = F.regexp_extract(path, r"/file=([^/]+)/", 1), F.regexp_extract(path, r"/part-(\d+)-.*c(\d+)\.txt$", 1)
-    number = F.regexp_extract(path, r"/part-(\d+)-.*c(\d+)\.txt$", 2)
+    named, made = F.regexp_extract(path, r"/file=([^/]+)/", 1), F.regexp_extract(path, r"/part-(\d+)-.*c(\d+)\.txt(?:\.gz)?$", 1)
+    number = F.regexp_extract(path, r"/part-(\d+)-.*c(\d+)\.txt(?:\.gz)?$", 2)
     return F.when(named != "", named).otherwise(F.concat_ws("-", made, number))
 
 
-def copy_files(spark: SparkSession, path: str, to: str, damaged_ids: str | None = None) -> None:
+def copy_files(spark: SparkSession, path: str, to: str, damaged_ids: str | None = None, compression: str = "none") -> None:
     """A replica of stored files, each read and written as a whole.
 
     For drills: in records whose id matches the pattern ``damaged_ids`` one stored byte becomes another.
@@ -72,7 +75,7 @@ def copy_files(spark: SparkSession, path: str, to: str, damaged_ids: str | None
     rows = spark.read.text(path, wholetext=True).select(_file_of(F.col("_metadata.file_path")).alias("file"), "value").where("value <> ''")
     if damaged_ids:
         rows = rows.withColumn("value", F.regexp_replace("value", rf"(WARC/1\.1\r\nWARC-Type: )r(?=esponse\r\nWARC-Record-ID: <urn:page:{damaged_ids}>)", "$1R"))
-    _write(rows, "value", to, by=("file",))
+    _write(rows, "value", to, compression, by=("file",))
 
 
 def ranges_of(data: bytes) -> Iterator[tuple[int, int]]:
@@ -89,6 +92,19 @@ def ranges_of(data: bytes) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def unpacked(content: bytes) -> bytes:
+    """The bytes of a file, gzip or plain; a damaged stream gives what comes out before the damage."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    stream, out = zlib.decompressobj(31), []
+    for a in range(0, len(content), 4_096):
+        try:
+            out.append(stream.decompress(content[a : a + 4_096]))
+        except zlib.error:
+            break
+    return b"".join(out)
+
+
 def read_records(spark: SparkSession, path: str, fields: tuple[str, ...] = ("digest", "page_id", "url", "html")) -> DataFrame:
     """(file, offset, length, and the asked-for fields) of every range in the bytes of stored files.
 
@@ -108,7 +124,7 @@ def read_records(spark: SparkSession, path: str, fields: tuple[str, ...] = ("dig
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, content in zip(batch["file"], batch["content"], strict=True):
-                rows = []
+                rows, content = [], unpacked(content)
                 for a, b in ranges_of(content):
                     record = content[a:b]
                     got = {"digest": hashlib.sha256(record).hexdigest()} | (page_of(record) if {*fields} - {"digest"} else {})
@@ -178,12 +194,12 @@ def fixity_report(ours: DataFrame, theirs: DataFrame, fanout: int = FANOUT) -> D
     return ours.join(found, ["file", "offset"], "left").withColumn("state", F.coalesce("state", F.lit("intact")))
 
 
-def fixity_drill(pages: DataFrame, folder: str, *, damaged_ids: str = r"\d*00", file_bytes: int = FILE_BYTES, fanout: int = FANOUT) -> DataFrame:
+def fixity_drill(pages: DataFrame, folder: str, *, damaged_ids: str = r"\d*00", file_bytes: int = FILE_BYTES, fanout: int = FANOUT, compression: str = "gzip") -> DataFrame:
     """Writes the pages' records under ``folder``, copies the files with one byte changed in records whose id
     ends in 00, reads both replicas back and audits their bytes: a report of every record."""
     spark = pages.sparkSession
-    write_records(pages, f"{folder}/first", file_bytes=file_bytes)
-    copy_files(spark, f"{folder}/first", f"{folder}/second", damaged_ids)
+    write_records(pages, f"{folder}/first", file_bytes=file_bytes, compression=compression)
+    copy_files(spark, f"{folder}/first", f"{folder}/second", damaged_ids, compression)
     ours = cut_lineage(read_records(spark, f"{folder}/first", ("digest", "page_id", "url")))
     theirs = cut_lineage(read_records(spark, f"{folder}/second", ("digest",)))
     report = fixity_report(ours, theirs, fanout)

@@ -84,6 +84,21 @@ def test_drill_finds_exactly_the_damage(spark, tmp_path):
     assert {r["state"] for r in report} == {"corrupt", "intact"}
 
 
+def test_damaged_streams(spark, tmp_path):
+    for name in ("a", "b"):
+        write_records(pages(spark, 300, 1), str(tmp_path / name), file_bytes=8_000, compression="gzip")
+    ours, theirs = (read_records(spark, str(tmp_path / name), ("digest", "page_id")) for name in ("a", "b"))
+    assert ours.count() == 300 and audit(ours, theirs).count() == 0
+    path = sorted((tmp_path / "b").glob("part-*"))[1]
+    data = bytearray(path.read_bytes())
+    data[len(data) // 2] ^= 255
+    _rewrite(path, data)
+    bad = fixity_report(ours, theirs).where("state <> 'intact'").collect()
+    assert bad and len({r["file"] for r in bad}) == 1
+    mine = sorted(r["offset"] for r in ours.where(F.col("file") == bad[0]["file"]).collect())
+    assert max(r["offset"] for r in bad) == mine[-1]
+
+
 def test_lost_record_and_edges(spark, tmp_path):
     write_records(pages(spark, 40, 1), str(tmp_path / "w"))
     records = read_records(spark, str(tmp_path / "w"), ("digest", "page_id"))
