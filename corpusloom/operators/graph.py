@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,15 +58,17 @@ def touching_edges(edges: DataFrame, seeds: DataFrame, most: int = 2_000) -> Dat
     return one.unionByName(two).distinct().orderBy(F.desc("weight"), "a", "b").limit(most)
 
 
-def expand_hops(seeds: DataFrame, edges: DataFrame, hops: int = 2, decay: float = 0.7) -> DataFrame:
+def expand_hops(seeds: DataFrame, edges: DataFrame | Callable[[DataFrame], DataFrame], hops: int = 2, decay: float = 0.7) -> DataFrame:
     """(seed, node, score, hop): best path's score; a hop multiplies by similarity and decay to the hop's power.
 
-    ``seeds``: (node); ``edges``: (node, neighbour, sim). Only a node's first visit goes on.
+    ``seeds``: (node); ``edges``: (node, neighbour, sim), or a function that gives those of the
+    nodes (node) that a hop starts from. Only a node's first visit goes on.
     """
     seen = seeds.select(F.col("node").alias("seed"), "node", F.lit(1.0).alias("score"), F.lit(0).alias("hop"))
     front = seen
     for k in range(1, hops + 1):
-        step = front.join(edges, "node").select("seed", F.col("neighbour").alias("node"), (F.col("score") * F.col("sim") * (decay**k)).alias("score"))
+        of_front = edges(cut_lineage(front.select("node").distinct())) if callable(edges) else edges
+        step = front.join(of_front, "node").select("seed", F.col("neighbour").alias("node"), (F.col("score") * F.col("sim") * (decay**k)).alias("score"))
         front = step.groupBy("seed", "node").agg(F.max("score").alias("score")).join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hop", F.lit(k))
         seen = seen.unionByName(front)
     return seen.where("hop > 0")

@@ -237,3 +237,51 @@ def rule_keywords(category: Column, name: Column, concepts: Column, most: int =
     words = lambda c: F.filter(F.split(canonical(c), " "), lambda w: F.length(w) > 2)
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
     return F.slice(F.array_distinct(F.concat(words(category), words(stem), F.coalesce(concepts, F.array().cast("array<string>")))), 1, most)
+
+
+def strategy_score(priority: list[Column], name: Column, path: str) -> Column:
+    """0.3 for each priority field that is present, 0.4 if a word of the name is a literal part of the strategy's path; 1 at most."""
+    literal = [w for part in path.split("/") if "{" not in part for w in part.lower().replace("-", " ").replace("_", " ").split()]
+    present = sum((F.when(F.coalesce(F.trim(c), F.lit("")) != "", 0.3).otherwise(0.0) for c in priority), F.lit(0.0))
+    words = F.filter(F.split(canonical(name), " "), lambda w: F.length(w) > 2)
+    hit = F.exists(words, lambda w: w.isin(*literal)) if literal else F.lit(False)
+    return F.least(F.lit(1.0), present + F.when(hit, 0.4).otherwise(0.0))
+
+
+def best_strategy(files: DataFrame, group: str, strategies: dict[str, tuple[list[str], str]], *, name_col: str = "name", least: float = 0.3) -> DataFrame:
+    """(group, strategy, score): the strategy (priority columns, path) with the best mean score above ``least``, the first named of equals.
+
+    Where none is, ``adaptive`` with 0.75 and 0.005 a file, 0.15 of that at most.
+    """
+    means = files.groupBy(group).agg(F.count("*").alias("_n"), *(F.avg(strategy_score([F.col(c) for c in cols], F.col(name_col), path)).alias(k) for k, (cols, path) in strategies.items()))
+    best = F.greatest(F.lit(0.0), F.lit(0.0), *(F.round(k, 9) for k in strategies))
+    chosen = F.coalesce(*(F.when((F.round(k, 9) == best) & (best > least), k) for k in strategies), F.lit("adaptive"))
+    return means.select(group, chosen.alias("strategy"), F.when(best > least, best).otherwise(0.75 + F.least(F.lit(0.15), 0.005 * F.col("_n"))).alias("score"))
+
+
+def folder_cascade(files: DataFrame, near: DataFrame, modelled: DataFrame, folders: DataFrame, *, least: float = 0.65) -> DataFrame:
+    """(file, folder, score, method): the nearest folder by vector, else a model's, else the one with most of a file's words.
+
+    ``files``: (file, words: list), ``near``: (file, folder, cosine), ``modelled``: (file, folder, score),
+    ``folders``: (folder, text). Words of three characters or more meet whole words of a folder's
+    name and description; of equal counts the first folder by name.
+    """
+    w = files.select("file", F.explode(F.array_distinct(F.transform("words", lambda x: F.lower(x)))).alias("w")).where(F.length("w") > 2)
+    f = folders.select("folder", F.explode(F.array_distinct(F.split(F.lower("text"), r"\W+"))).alias("w"))
+    hits = w.join(f, "w").groupBy("file", "folder").agg(F.count("*").alias("n")).groupBy("file").agg(F.max("n").alias("n"), F.min_by("folder", F.struct((-F.col("n")).alias("c"), "folder")).alias("_word"))
+    vector = near.where(F.col("cosine") >= least).groupBy("file").agg(F.max("cosine").alias("_c"), F.min_by("folder", F.struct((-F.col("cosine")).alias("c"), "folder")).alias("_vector"))
+    model = modelled.where(F.col("folder").isNotNull()).groupBy("file").agg(F.max("score").alias("_s"), F.min_by("folder", F.struct((-F.col("score")).alias("c"), "folder")).alias("_model"))
+    j = files.select("file").join(vector, "file", "left").join(model, "file", "left").join(hits, "file", "left")
+    method = F.when(F.col("_vector").isNotNull(), "vector").when(F.col("_model").isNotNull(), "model").when(F.col("_word").isNotNull(), "words")
+    return j.select("file", F.coalesce("_vector", "_model", "_word").alias("folder"), F.coalesce("_c", "_s", F.col("n").cast("double")).alias("score"), method.alias("method"))
+
+
+def cluster_batches(files: DataFrame, members: DataFrame, named: DataFrame) -> DataFrame:
+    """(cluster, folder, score, n, files): a group for every cluster of the batch with its folder, and one of files in none.
+
+    ``files``: (file), ``members``: (file, cluster), ``named``: (cluster, folder, score); ``files``
+    lists ids, a cluster's share of the batch.
+    """
+    j = files.select("file").distinct().join(members, "file", "left")
+    g = j.groupBy("cluster").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("file")).alias("files"))
+    return g.join(named, "cluster", "left").select("cluster", "folder", "score", "n", "files")

@@ -76,10 +76,15 @@ def similarity_edges_capped(spark, sf):
  h2 AS (SELECT h1.seed, k.neighbour AS node, max(h1.score * k.sim * 0.49) AS score FROM h1 JOIN knn k ON k.node = h1.node WHERE k.neighbour <> h1.seed AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.seed = h1.seed AND x.node = k.neighbour) GROUP BY 1, 2)
  SELECT seed, node, round(score, 6) AS score, 1 AS hop FROM h1 UNION ALL SELECT seed, node, round(score, 6), 2 FROM h2""")
 def multi_hop(spark, sf):
-    p = similar(spark, sf, 0.3)
-    knn = p.select(F.col("a").alias("node"), F.col("b").alias("neighbour"), F.col("score").alias("sim")).unionByName(p.select(F.col("b").alias("node"), F.col("a").alias("neighbour"), F.col("score").alias("sim")))
-    seeds = table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("node"))
-    return G.expand_hops(seeds, knn).select("seed", "node", six("score"), "hop")
+    """Only nodes that a hop starts from are searched, as queries against all vectors."""
+    e = table(spark, sf, "embeddings")
+
+    def near(front):
+        found = V.scores(e, e.join(front.withColumnRenamed("node", "vec_id"), "vec_id", "left_semi").select(F.col("vec_id").alias("query"), "embedding"), None, min_score=0.3)
+        return found.where("query <> id").select(F.col("query").alias("node"), F.col("id").alias("neighbour"), F.col("score").alias("sim"))
+
+    seeds = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("node"))
+    return G.expand_hops(seeds, near).select("seed", "node", six("score"), "hop")
 
 
 @query("bfs_focus", f"WITH RECURSIVE {EDGES}, bo AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, hop) AS (SELECT 7, 0 UNION SELECT bo.b, r.hop + 1 FROM r JOIN bo ON bo.a = r.node WHERE r.hop < 2) SELECT node, min(hop) AS hop FROM r GROUP BY 1")

@@ -106,16 +106,24 @@ def folder_overlaps(spark, sf):
     return R.overlapping_folders(f, 0.3)
 
 
-@query("strategy_scores", HIST + "SELECT doc_id, least(1.0, CASE WHEN category IS NOT NULL THEN 0.3 ELSE 0 END + CASE WHEN ext <> 'txt' THEN 0.3 ELSE 0 END + CASE WHEN contains('projects reports data', category) OR contains('reports pdf docs', ext) THEN 0.4 ELSE 0 END) AS score FROM h")
+STRATEGIES = {"project": (["category"], "Projects/{project}/src3"), "type": (["tag", "lang"], "Types/{type}")}
+
+
+@query("strategy_scores", HIST + "SELECT doc_id, least(1.0, 0.3 + CASE WHEN list_has_any(string_split(trim(regexp_replace(lower(category || ' ' || file_name), '[^a-z0-9]+', ' ', 'g')), ' '), ['projects', 'src3']) THEN 0.4 ELSE 0 END) AS project, least(1.0, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 0.3 END + 0.3) AS type FROM h")
 def strategy_scores(spark, sf):
-    s = F.when(F.col("category").isNotNull(), 0.3).otherwise(0.0) + F.when(F.col("ext") != "txt", 0.3).otherwise(0.0) + F.when(F.contains(F.lit("projects reports data"), "category") | F.contains(F.lit("reports pdf docs"), "ext"), 0.4).otherwise(0.0)
-    return history(spark, sf).select("doc_id", F.least(F.lit(1.0), s).alias("score"))
+    h = strategy_files(spark, sf)
+    one = lambda k: R.strategy_score([F.col(c) for c in STRATEGIES[k][0]], F.col("name"), STRATEGIES[k][1]).alias(k)
+    return h.select("doc_id", one("project"), one("type"))
 
 
-@query("best_strategy", HIST + "SELECT category, CASE WHEN count(DISTINCT lang) = 1 THEN 'project' WHEN count(DISTINCT ext) > 4 THEN 'type' ELSE 'adaptive' END AS strategy, round(0.75 + least(0.15, 0.005 * count(*)), 6) AS score FROM h GROUP BY 1")
+def strategy_files(spark, sf):
+    h = history(spark, sf)
+    return h.select("doc_id", "category", "lang", F.concat_ws(" ", "category", "file_name").alias("name"), F.when(F.col("doc_id") % 4 != 0, F.element_at("tags", -1)).alias("tag"), "ext")
+
+
+@query("best_strategy", HIST + ", s AS (SELECT category, avg(least(1.0, 0.3 + CASE WHEN list_has_any(string_split(trim(regexp_replace(lower(category || ' ' || file_name), '[^a-z0-9]+', ' ', 'g')), ' '), ['projects', 'src3']) THEN 0.4 ELSE 0 END)) AS p, avg(CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 0.3 END + 0.3) AS t, count(*) AS n FROM h GROUP BY 1) SELECT category, CASE WHEN greatest(round(p, 9), round(t, 9)) <= 0.3 THEN 'adaptive' WHEN round(p, 9) >= round(t, 9) THEN 'project' ELSE 'type' END AS strategy, CASE WHEN greatest(round(p, 9), round(t, 9)) <= 0.3 THEN round(0.75 + least(0.15, 0.005 * n), 6) ELSE round(greatest(p, t), 6) END AS score FROM s")
 def best_strategy(spark, sf):
-    s = F.when(F.count_distinct("lang") == 1, "project").when(F.count_distinct("ext") > 4, "type").otherwise("adaptive")
-    return history(spark, sf).groupBy("category").agg(s.alias("strategy"), F.round(0.75 + F.least(F.lit(0.15), 0.005 * F.count("*")), 6).alias("score"))
+    return R.best_strategy(strategy_files(spark, sf), "category", STRATEGIES).select("category", "strategy", F.round("score", 6).alias("score"))
 
 
 @query("parse_rules", "SELECT n_nationkey, lower(regexp_extract(t, '(?i)^(\\w+) files go to ([\\w ]+)$', 1)) AS extension, regexp_extract(t, '(?i)^(\\w+) files go to ([\\w ]+)$', 2) AS folder FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'PDF files go to ' || n_name ELSE 'nothing here' END AS t FROM nation)")
@@ -204,10 +212,13 @@ def batch_recommendations(spark, sf):
     return g.select("category", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("category", "r.kind", "r.confidence")
 
 
-@query("cluster_batch", HIST + "SELECT coalesce(CAST(e.label AS VARCHAR), 'unclustered') AS grp, count(*) AS n FROM h LEFT JOIN embeddings e ON e.vec_id = h.doc_id GROUP BY 1")
+@query("cluster_batch", HIST + ", b AS (SELECT doc_id, e.label AS cluster FROM h LEFT JOIN embeddings e ON e.vec_id = doc_id WHERE doc_id % 3 = 0), m AS (SELECT e.label AS cluster, d.source AS folder, row_number() OVER (PARTITION BY e.label ORDER BY count(*) DESC, d.source) AS rn FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id GROUP BY 1, 2) SELECT b.cluster, max(m.folder) AS folder, CASE WHEN max(m.folder) IS NOT NULL THEN 0.85 END AS score, count(*) AS n, list_sort(list(doc_id)) AS files FROM b LEFT JOIN m ON m.cluster = b.cluster AND rn = 1 GROUP BY 1")
 def cluster_batch(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
-    return history(spark, sf).join(e, "doc_id", "left").groupBy(F.coalesce(F.col("label").cast("string"), F.lit("unclustered")).alias("grp")).agg(F.count("*").alias("n"))
+    """Every third file is the batch; a cluster's folder is where most of its files lie."""
+    members = table(spark, sf, "embeddings").select(F.col("vec_id").alias("file"), F.col("label").alias("cluster"))
+    lies = members.join(table(spark, sf, "documents").select(F.col("doc_id").alias("file"), "source"), "file").groupBy("cluster", "source").agg(F.count("*").alias("n"))
+    named = latest_per_key(lies, "cluster", F.desc("n"), F.asc("source")).select("cluster", F.col("source").alias("folder"), F.lit(0.85).alias("score"))
+    return R.cluster_batches(history(spark, sf).where("doc_id % 3 = 0").select(F.col("doc_id").alias("file")), members, named)
 
 
 @query("rule_category", HIST + "SELECT doc_id, CASE WHEN a > 0 AND a >= b THEN 'Projects' WHEN b > 0 THEN 'Reports' WHEN ext = 'csv' THEN 'Tables' WHEN ext = 'png' THEN 'Pictures' ELSE 'Documents' END AS category FROM (SELECT doc_id, ext, CASE WHEN contains(file_name, 'doc1') THEN 4 ELSE 0 END + CASE WHEN contains(file_name, '77') THEN 2 ELSE 0 END AS a, CASE WHEN contains(file_name, '42.pdf') THEN 6 ELSE 0 END + CASE WHEN contains(file_name, '99') THEN 2 ELSE 0 END AS b FROM h)")
@@ -274,3 +285,17 @@ def folder_word_overlap(spark, sf):
 def unique_names(spark, sf):
     e = table(spark, sf, "events").select((F.col("user_id") % 40).cast("string").alias("dir"), F.concat("event_type", F.lit(".txt")).alias("name"), "event_id")
     return R.unique_names(e, dir_col="dir", name_col="name", order_col="event_id")
+
+
+@query("folder_cascade", NEAREST + """, f AS (SELECT doc_id AS file, list_distinct(list_transform(list_slice(string_split_regex(text, '[^A-Za-z]+'), 1, 40), lambda w: lower(w))) AS words FROM documents), d AS (SELECT n_name AS folder, unnest(list_distinct(string_split_regex(lower(n_name || ' of the land that was'), '\\W+'))) AS w FROM nation),
+ v AS (SELECT doc_id AS file, folder, cosine FROM n WHERE cosine >= 0.3), m AS (SELECT doc_id AS file, lang AS folder, 0.5 AS score FROM documents WHERE doc_id % 3 = 0),
+ h AS (SELECT file, folder, count(*) AS c, row_number() OVER (PARTITION BY file ORDER BY count(*) DESC, folder) AS rn FROM (SELECT file, unnest(words) AS w FROM f) x JOIN d USING (w) WHERE length(w) > 2 GROUP BY 1, 2)
+ SELECT f.file, coalesce(CAST(v.folder AS VARCHAR), m.folder, h.folder) AS folder, round(coalesce(v.cosine, m.score, h.c), 6) AS score, CASE WHEN v.folder IS NOT NULL THEN 'vector' WHEN m.folder IS NOT NULL THEN 'model' WHEN h.folder IS NOT NULL THEN 'words' END AS method FROM f LEFT JOIN v USING (file) LEFT JOIN m USING (file) LEFT JOIN (SELECT * FROM h WHERE rn = 1) h USING (file)""")
+def folder_cascade(spark, sf):
+    """Clusters are folders for vectors, languages a model's answer for every third file, nations the folders that words meet."""
+    docs = table(spark, sf, "documents")
+    files = docs.select(F.col("doc_id").alias("file"), F.slice(F.split("text", "[^A-Za-z]+"), 1, 40).alias("words"))
+    near = nearest_folder(spark, sf).select(F.col("doc_id").alias("file"), "folder", "cosine")
+    modelled = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("file"), F.col("lang").alias("folder"), F.lit(0.5).alias("score"))
+    folders = table(spark, sf, "nation").select(F.col("n_name").alias("folder"), F.concat("n_name", F.lit(" of the land that was")).alias("text"))
+    return R.folder_cascade(files, near, modelled, folders, least=0.3).select("file", "folder", F.round("score", 6).alias("score"), "method")
