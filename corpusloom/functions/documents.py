@@ -157,3 +157,24 @@ def hashing_embedder(dim: int = 64):
         return pd.Series(out, dtype=object)
 
     return embed
+
+
+def document_analyser(analyse):
+    """A column function (text, file name) of a model given as ``analyse(text, name) -> dict``, null where it fails.
+
+    The result is a struct of category, keywords and confidence; callers put a rule's answer in
+    place of a null.
+    """
+
+    @F.pandas_udf("category string, keywords array<string>, confidence double")
+    def analysed(texts: pd.Series, names: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, name in zip(texts, names, strict=True):
+            try:
+                got = analyse(text or "", name or "") or {}
+                rows.append((got.get("category"), got.get("keywords"), got.get("confidence")))
+            except Exception:  # a model's failure on one document is an answer: none
+                rows.append((None, None, None))
+        return pd.DataFrame(rows, columns=["category", "keywords", "confidence"])
+
+    return analysed

@@ -147,6 +147,17 @@ def derived_confidence(explicit: Column, failed: Column, similarity: Column, sig
     return F.when(said, clamp(F.when(explicit.between(0, 1), explicit * 100).otherwise(explicit))).when(similarity.isNotNull() & ~F.isnan(similarity), clamp(near)).otherwise(clamp(35.0 + 5 * found))
 
 
+def with_concepts(text: Column, ext: Column, concepts: dict[str, list[str]]) -> Column:
+    """The text with the concepts of the extension's kind behind it, those that it does not name yet."""
+    by_ext = F.create_map(*(x for e, words in concepts.items() for x in (F.lit(e), F.array(*map(F.lit, words)))))
+    new = F.filter(F.coalesce(F.try_element_at(by_ext, F.lower(ext)), F.array().cast("array<string>")), lambda w: ~F.contains(F.lower(text), F.lower(w)))
+    return F.when(F.size(new) > 0, F.concat(text, F.lit(" "), F.array_join(new, " "))).otherwise(text)
+
+
+def concept_score(concept: Column) -> Column:
+    return F.least(F.lit(20), 10 + F.length(concept))
+
+
 #: Naming templates by their parts.
 NAME_TEMPLATES = {"subject-date": ("subject", "date"), "date-subject": ("date", "subject"), "project-subject-date": ("project", "subject", "date"), "category-subject": ("category", "subject")}
 

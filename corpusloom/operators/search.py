@@ -283,3 +283,40 @@ def contradictions(sources: DataFrame, *, most: int = 5, by: str = "query") -> D
     pairs = x.join(y, [by, "topic"]).where(F.col("x.id") < F.col("y.id")).where(differ)
     pairs = pairs.groupBy(by, F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.array_sort(F.collect_set("topic")).alias("topics"))
     return pairs.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy("a", "b"))).where(F.col("_n") <= most).drop("_n")
+
+
+def vocabulary(terms: DataFrame, subjects: DataFrame) -> DataFrame:
+    """(word): terms (word: tags, categories) of five characters or more, and words of subjects (text) of 5 to 19."""
+    w = terms.select(F.lower(F.trim("word")).alias("word")).where(F.length("word") >= 5)
+    s = subjects.select(F.explode(F.split("text", "[^A-Za-z]+")).alias("word")).where(F.length("word").between(5, 19)).select(F.lower("word").alias("word"))
+    return w.unionByName(s).distinct()
+
+
+def search_issues(files: DataFrame, chunks: DataFrame, history: DataFrame, index: DataFrame | None, *, size: int, changed: object = None, indexed: object = None, lookups: int = 0, hits: int = 0) -> DataFrame:
+    """(issue, n) of what is wrong with a search's tables: files and chunks (id, embedding), history (id), index (term).
+
+    ``changed`` and ``indexed`` are the newest change and the index's time, ``lookups`` and
+    ``hits`` those of its cache.
+    """
+    count = lambda df: df.agg(F.count("*").alias("n"))
+    issue = lambda name, df: df.select(F.lit(name).alias("issue"), F.col("n").cast("long").alias("n"))
+    wrong = lambda df: count(df.where(F.coalesce(F.size("embedding"), F.lit(-1)) != size)).where("n > 0")
+    spark, out = files.sparkSession, []
+    out.append(issue("EMPTY_FILE_COLLECTION", count(files).where("n = 0")))
+    out.append(issue("EMPTY_CHUNK_COLLECTION", count(chunks).where("n = 0")))
+    out.append(issue("DIMENSION_MISMATCH_FILES", wrong(files)))
+    out.append(issue("DIMENSION_MISMATCH_CHUNKS", wrong(chunks)))
+    out.append(issue("HISTORY_WITHOUT_EMBEDDINGS", count(history.select("id").join(files.select("id"), "id", "left_anti")).where("n > 0")))
+    both = count(history).withColumnRenamed("n", "h").withColumn("n", count(files).scalar())
+    out.append(issue("EMBEDDINGS_OUT_OF_SYNC", both.where(F.col("h") > 1.5 * F.col("n")).withColumn("n", F.col("h") - F.col("n"))))
+    told = [("NO_BM25_INDEX", 0)] if index is None else []
+    if index is not None:
+        out.append(issue("EMPTY_BM25_INDEX", count(index).where("n = 0")))
+        if changed is not None and indexed is not None and changed > indexed:
+            told.append(("STALE_BM25_INDEX", 1))
+    if lookups >= 100 and hits < 0.1 * lookups:
+        told.append(("LOW_CACHE_HIT_RATE", hits))
+    rows = spark.createDataFrame(told, "issue string, n long")
+    for df in out:
+        rows = rows.unionByName(df)
+    return rows

@@ -90,11 +90,12 @@ def lookup_by_id(spark, sf):
     return table(spark, sf, "documents").where("doc_id = 42").select("doc_id", "lang", "source", "n_chars")
 
 
-@query("lookup_by_path", HIST + "SELECT doc_id, path FROM h WHERE path = '/src4/en/doc4.txt' OR path = (SELECT path FROM h WHERE doc_id = 44)")
+@query("lookup_by_path", HIST + "SELECT doc_id, path FROM h WHERE path IN ('/src4/en/doc4.txt', (SELECT path FROM h WHERE doc_id = 44))")
 def lookup_by_path(spark, sf):
-    h = H.history(spark, sf)
-    wanted = h.where("doc_id = 44").select("path")
-    return h.where("path = '/src4/en/doc4.txt'").select("doc_id", "path").union(h.join(wanted, "path", "left_semi").select("doc_id", "path")).distinct()
+    """Exact paths, and one that is only the same when made plain."""
+    h = H.history(spark, sf).select("doc_id", "path")
+    path = h.where("doc_id = 44").first()["path"]
+    return H.lookup(h, "/src4/en/doc4.txt").unionByName(H.lookup(h, path.replace("/", "\\\\"))).distinct()
 
 
 @query("by_category_page", HIST + "SELECT doc_id, category, ts, (SELECT count(*) FROM h WHERE category = 'src3') AS total, (SELECT count(*) FROM h WHERE category = 'src3') > 30 AS has_more FROM h WHERE category = 'src3' ORDER BY ts DESC, doc_id LIMIT 20 OFFSET 10")

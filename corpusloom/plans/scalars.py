@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import search as S
 from corpusloom.operators.history import history
 from corpusloom.plans.history import HIST
 from corpusloom.plans.registry import query
@@ -209,12 +210,12 @@ def tokenize(spark, sf):
     return docs(spark, sf).select("doc_id", F.filter(t, lambda w: F.length(w) > 1).alias("tokens"))
 
 
-VOCAB = "v AS (SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(string_split_regex(p_name || ' ' || p_type, '[^A-Za-z]+')) AS w FROM part) WHERE length(w) BETWEEN 5 AND 19)"
+VOCAB = "v AS (SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(string_split_regex(p_name, '[^A-Za-z]+')) AS w FROM part) WHERE length(w) BETWEEN 5 AND 19 UNION SELECT DISTINCT lower(trim(p_type)) FROM part WHERE length(trim(p_type)) >= 5)"
 
 
 def vocabulary_of(spark, sf):
-    w = table(spark, sf, "part").select(F.explode(F.split(F.concat_ws(" ", "p_name", "p_type"), "[^A-Za-z]+")).alias("w"))
-    return w.where(F.length("w").between(5, 19)).select(F.lower("w").alias("word")).distinct()
+    p = table(spark, sf, "part")
+    return S.vocabulary(p.select(F.col("p_type").alias("word")), p.select(F.col("p_name").alias("text")))
 
 
 @query("vocabulary", f"WITH {VOCAB} SELECT word FROM v")
@@ -277,7 +278,16 @@ def embedding_summary(spark, sf):
     return history(spark, sf).select("doc_id", T.summary_text(fields, F.col("text")).alias("summary"))
 
 
-@query("extension_concept_score", HIST + ", m AS (SELECT * FROM (VALUES ('pdf', 'document'), ('docx', 'document'), ('csv', 'table'), ('png', 'picture'), ('txt', 'text')) t(ext, concept)) SELECT doc_id, concept, least(20, 10 + length(concept)) AS score FROM h JOIN m USING (ext)")
+CONCEPTS = {"pdf": ["document"], "docx": ["document", "letter"], "csv": ["table"], "png": ["picture"]}
+
+
+@query("extension_concept_score", HIST + ", m AS (SELECT * FROM (VALUES ('pdf', 'document'), ('docx', 'document'), ('docx', 'letter'), ('csv', 'table'), ('png', 'picture')) t(ext, concept)) SELECT doc_id, concept, least(20, 10 + length(concept)) AS score FROM h JOIN m USING (ext)")
 def extension_concept_score(spark, sf):
-    m = spark.createDataFrame([("pdf", "document"), ("docx", "document"), ("csv", "table"), ("png", "picture"), ("txt", "text")], "ext string, concept string")
-    return history(spark, sf).join(F.broadcast(m), "ext").select("doc_id", "concept", F.least(F.lit(20), 10 + F.length("concept")).cast("long").alias("score"))
+    m = spark.createDataFrame([(e, c) for e, words in CONCEPTS.items() for c in words], "ext string, concept string")
+    return history(spark, sf).join(F.broadcast(m), "ext").select("doc_id", "concept", T.concept_score(F.col("concept")).cast("long").alias("score"))
+
+
+@query("enriched_text", HIST + "SELECT doc_id, CASE WHEN ext = 'docx' THEN category || ' ' || CASE WHEN doc_id % 2 = 0 THEN 'letter' ELSE 'document letter' END WHEN ext = 'pdf' AND doc_id % 2 = 1 THEN category || ' document' WHEN ext = 'csv' THEN category || ' table' WHEN ext = 'png' THEN category || ' picture' ELSE category END AS text FROM (SELECT doc_id, ext, category || CASE WHEN doc_id % 2 = 0 THEN ' My Document' ELSE '' END AS category FROM h)")
+def enriched_text(spark, sf):
+    text = F.concat("category", F.when(F.col("doc_id") % 2 == 0, " My Document").otherwise(""))
+    return history(spark, sf).select("doc_id", T.with_concepts(text, F.col("ext"), CONCEPTS).alias("text"))

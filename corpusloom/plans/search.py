@@ -209,13 +209,14 @@ def rag_sources(spark, sf):
     return hybrid_results(spark, sf).join(strong, ["query", "id"]).join(d, "id").select("query", "id", "snippet")
 
 
-@query("search_diagnostics", "SELECT 'HISTORY_WITHOUT_EMBEDDINGS' AS issue, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) HAVING count(*) > 0 UNION ALL SELECT 'DIMENSION_MISMATCH', count(*) FROM embeddings WHERE len(embedding) <> 64 HAVING count(*) > 0 UNION ALL SELECT 'EMPTY_FILE_COLLECTION', 0 FROM (SELECT count(*) AS c FROM embeddings) WHERE c = 0")
+@query("search_diagnostics", "SELECT * FROM (SELECT 'HISTORY_WITHOUT_EMBEDDINGS' AS issue, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT 'DIMENSION_MISMATCH_CHUNKS', count(*) FROM embeddings WHERE vec_id % 9 = 0 UNION ALL SELECT 'EMBEDDINGS_OUT_OF_SYNC', CASE WHEN (SELECT count(*) FROM documents) > 1.5 * (SELECT count(*) FROM embeddings) THEN (SELECT count(*) FROM documents) - (SELECT count(*) FROM embeddings) ELSE 0 END UNION ALL SELECT 'STALE_BM25_INDEX', 1 UNION ALL SELECT 'LOW_CACHE_HIT_RATE', 7) WHERE n > 0")
 def search_diagnostics(spark, sf):
-    e, d = table(spark, sf, "embeddings"), table(spark, sf, "documents")
-    issue = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("issue"), "n").where("n > 0")
-    lost = d.select(F.col("doc_id").alias("vec_id")).join(e.select("vec_id"), "vec_id", "left_anti")
-    none = e.agg(F.count("*").alias("c")).where("c = 0").select(F.lit("EMPTY_FILE_COLLECTION").alias("issue"), F.lit(0).cast("long").alias("n"))
-    return issue("HISTORY_WITHOUT_EMBEDDINGS", lost).unionByName(issue("DIMENSION_MISMATCH", e.where(F.size("embedding") != 64))).unionByName(none)
+    """Every ninth chunk lost a component, the index is older than the last change, the cache hardly helps."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    chunks = e.withColumn("embedding", F.when(F.col("id") % 9 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    index = d.select(F.explode(S.tokens(F.col("text"))).alias("term"))
+    return S.search_issues(e, chunks, d, index, size=64, changed=2, indexed=1, lookups=100, hits=7)
 
 
 @query("contradictions", HIST + f""", n AS (SELECT b.vec_id AS query, a.vec_id AS id, row_number() OVER (PARTITION BY b.vec_id ORDER BY {COS} DESC, a.vec_id) AS rn FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0),

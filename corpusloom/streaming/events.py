@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -215,11 +215,25 @@ def flush_queue(items: DataFrame, write, *, size: int = 50, capacity: int = 500,
     return {"kept": kept, "refused": n - kept, "batches": -(-kept // size), "pressure": "full" if n > full * capacity else "high" if n > high * capacity else "ok"}
 
 
-def upsert_batches(stream: DataFrame, path: str, key: str, checkpoint: str):
-    """Writes the latest row of each key of every micro-batch into a Parquet table of its own batch folder."""
+def upsert_batches(stream: DataFrame, path: str, key: str, checkpoint: str, *, valid: Column | None = None, trigger: dict[str, object] | None = None):
+    """Writes the latest row of each key of every micro-batch into a Parquet table of its own batch folder.
+
+    A batch that is run again replaces its folder. Rows that are not ``valid`` go to a folder
+    beside it. ``trigger``: what is there (the default), or for instance ``{"processingTime": "2 seconds"}``.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
+        good = batch if valid is None else batch.where(F.coalesce(valid, F.lit(False)))
         w = Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("event_id"))
-        batch.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        good.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if valid is not None:
+            batch.where(~F.coalesce(valid, F.lit(False))).write.mode("overwrite").parquet(f"{path}-refused/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def latest_of_batches(spark, path: str, key: str) -> DataFrame:
+    """The batch folders as one table: of each key the row of its last batch."""
+    rows = spark.read.parquet(path)
+    w = Window.partitionBy(key).orderBy(F.desc("batch"), F.desc("ts"), F.desc("event_id"))
+    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "batch")

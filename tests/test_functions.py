@@ -96,3 +96,15 @@ def test_fusion_rules(spark):
     assert [(x["id"], x["score"]) for x in fused] == [(10, 1.0), (11, 0.5)]
     order = [x["id"] for x in S.rerank(r, F.when(F.col("id") == 12, 9.0), 3).orderBy("new_rank").collect()]
     assert order == [12, 10, 11]
+
+
+def test_analyser_seam(spark):
+    def analyse(text, name):
+        if "bad" in text:
+            raise ValueError(name)
+        return {"category": text.split()[0], "keywords": text.split(), "confidence": 0.9} if text else None
+
+    df = spark.createDataFrame([("tax forms", "a.pdf"), ("bad one", "Tax.pdf"), (None, None)], "text string, name string")
+    got = df.withColumn("a", D.document_analyser(analyse)("text", "name"))
+    rule = R.rule_category(F.col("name"), F.lit("pdf"), {"Tax": ["tax"]}, {"pdf": "Papers"})
+    assert [tuple(r) for r in got.select(F.coalesce("a.category", rule), "a.keywords", "a.confidence").collect()] == [("tax", ["tax", "forms"], 0.9), ("Tax", None, None), ("Papers", None, None)]

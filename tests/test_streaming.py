@@ -49,6 +49,11 @@ def test_upsert_batches(spark, tmp_path):
     E.upsert_batches(E.event_stream(spark, folder, 10), str(tmp_path / "out"), "user_id", str(tmp_path / "cp")).awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.groupBy("batch", "user_id").count().where("count > 1").count() == 0 and out.count() > 0
+    E.upsert_batches(E.event_stream(spark, folder, 1), str(tmp_path / "good"), "user_id", str(tmp_path / "cp2"), valid=F.col("event_type") != "error").awaitTermination(120)
+    latest = E.latest_of_batches(spark, str(tmp_path / "good"), "user_id")
+    e = spark.read.parquet(folder)
+    assert latest.count() == e.where("event_type <> 'error'").select("user_id").distinct().count()
+    assert spark.read.parquet(str(tmp_path / "good-refused")).count() == e.where("event_type = 'error'").count()
 
 
 def test_folds(spark):
