@@ -102,6 +102,21 @@ def moves(deleted: DataFrame, added: DataFrame, *, tolerance_s: float = 2.0) ->
     return found.select(F.when(F.col("n") == 1, F.col("only")).when(F.col("n_named") == 1, F.col("namesake")).alias("deleted"), "added").where("deleted IS NOT NULL")
 
 
+def match_patterns(files: DataFrame, patterns: DataFrame, *, least: float = 0.5, most: int = 3) -> DataFrame:
+    """(file, pattern, similarity, score, rank): learned patterns that share segments with a file at their places.
+
+    ``files``: (file, parts: list), ``patterns``: (pattern, parts, confidence). The similarity is
+    the share of equal segments of the longer list, at least ``least``; the score, times the
+    pattern's confidence, ranks the first ``most``. Both sides meet on (place, segment).
+    """
+    f = files.select("file", F.size("parts").alias("n1"), F.posexplode("parts").alias("at", "segment"))
+    p = patterns.select("pattern", "confidence", F.size("parts").alias("n2"), F.posexplode("parts").alias("at", "segment"))
+    s = f.join(p, ["at", "segment"]).groupBy("file", "pattern").agg((F.count("*") / F.max(F.greatest("n1", "n2"))).alias("similarity"), F.max("confidence").alias("confidence"))
+    s = s.where(F.col("similarity") >= least).withColumn("score", F.round(F.col("similarity") * F.col("confidence"), 9))
+    rank = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("score"), "pattern"))
+    return s.withColumn("rank", rank).where(F.col("rank") <= most).select("file", "pattern", "similarity", "score", "rank")
+
+
 def canonical(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "))
 

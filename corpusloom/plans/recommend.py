@@ -75,14 +75,13 @@ def move_detection(spark, sf):
     return R.moves(f.where("event_type = 'error'"), f.where("event_type = 'signup'"), tolerance_s=7200.0)
 
 
-@query("pattern_match_top3", "WITH f AS (SELECT p_partkey, string_split(p_type, ' ') AS a FROM part), pt AS (SELECT DISTINCT p_type AS pattern, string_split(p_type, ' ') AS b FROM part), s AS (SELECT p_partkey, pattern, (CASE WHEN a[1] = b[1] THEN 1 ELSE 0 END + CASE WHEN a[2] = b[2] THEN 1 ELSE 0 END) / 2.0 AS score FROM f, pt WHERE a[1] = b[1] OR a[2] = b[2]) SELECT p_partkey, pattern FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, pattern) AS rn FROM s WHERE score >= 0.5) WHERE rn <= 3")
+@query("pattern_match_top3", "WITH f AS (SELECT p_partkey AS file, string_split(p_name, ' ') AS a FROM part), pt AS (SELECT p_name AS pattern, string_split(p_name, ' ') AS b, least(1.0, 0.5 + 0.01 * count(*)) AS confidence FROM part GROUP BY 1), s AS (SELECT file, pattern, (CASE WHEN a[1] = b[1] THEN 1 ELSE 0 END + CASE WHEN a[2] = b[2] THEN 1 ELSE 0 END) / 2.0 AS similarity, confidence FROM f, pt WHERE a[1] = b[1] OR a[2] = b[2]), r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY round(similarity * confidence, 9) DESC, pattern) AS rank FROM s) SELECT file, pattern, similarity, round(similarity * confidence, 6) AS score, rank FROM r WHERE rank <= 3")
 def pattern_match_top3(spark, sf):
-    """Types that share a segment at its place; patterns and files meet on (place, segment)."""
-    p = table(spark, sf, "part")
-    f = p.select("p_partkey", F.posexplode(F.split("p_type", " ")).alias("at", "seg"))
-    pt = p.select(F.col("p_type").alias("pattern")).distinct().select("pattern", F.posexplode(F.split("pattern", " ")).alias("at", "seg"))
-    s = f.join(pt, ["at", "seg"]).groupBy("p_partkey", "pattern").agg((F.count("*") / 2).alias("score")).where("score >= 0.5")
-    return latest_per_key(s, "p_partkey", F.desc("score"), F.asc("pattern")).select("p_partkey", "pattern")
+    """Names of two words are the paths; the more often a name occurs, the surer it is as a pattern."""
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("pattern"), F.split("p_name", " ").alias("parts"))
+    known = p.groupBy("pattern", "parts").agg(F.least(F.lit(1.0), 0.5 + 0.01 * F.count("*")).alias("confidence"))
+    hits = R.match_patterns(p.select(F.col("p_partkey").alias("file"), "parts"), known)
+    return hits.select("file", "pattern", "similarity", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("folder_match_cascade", "WITH w AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN CAST(c_nationkey AS VARCHAR) WHEN 1 THEN n_name ELSE lower(n_name) END AS wanted FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT c_custkey, coalesce((SELECT n_nationkey FROM nation WHERE CAST(n_nationkey AS VARCHAR) = wanted), (SELECT n_nationkey FROM nation WHERE n_name = wanted), (SELECT n_nationkey FROM nation WHERE lower(n_name) = lower(wanted))) AS folder FROM w")
