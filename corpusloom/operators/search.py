@@ -93,15 +93,22 @@ def _bm25_in_tasks(docs: DataFrame, known: list[tuple[int, bytes]], fields: dict
         lists, idf = queries_of.value, weights.value
         kept = None
         for batch in batches:
-            scores = np.zeros((len(batch), len(asked)))
+            scores = np.zeros((len(asked), len(batch)))
             for n in range(len(names)):
                 for row, text in enumerate(batch[f"f{n}"]):
                     w = _tokens(text)
                     base = K1 * (1 - B + B * len(w) / means[n])
-                    for term, tf in Counter(x for x in w if x in lists).items():
-                        scores[row, lists[term]] += idf[n][term] * tf * (K1 + 1) / (tf + base)
-            row, query = np.nonzero(scores)
-            found = pd.DataFrame({"query": np.array(asked, dtype=np.int64)[query], "id": batch["id"].to_numpy()[row], "score": scores[row, query].round(9)})
+                    terms = Counter(x for x in w if x in lists)
+                    if terms:
+                        points = [idf[n][term] * tf * (K1 + 1) / (tf + base) for term, tf in terms.items()]
+                        found = [lists[term] for term in terms]
+                        scores[:, row] += np.bincount(np.concatenate(found), np.repeat(points, [len(x) for x in found]), minlength=len(asked))
+            scores = scores.round(9)
+            keep = scores > 0
+            if k < len(batch):  # all that tie with the k-th stay
+                keep &= scores >= np.partition(scores, len(batch) - k, axis=1)[:, len(batch) - k, None]
+            query, row = np.nonzero(keep)
+            found = pd.DataFrame({"query": np.array(asked, dtype=np.int64)[query], "id": batch["id"].to_numpy()[row], "score": scores[query, row]})
             kept = found if kept is None else pd.concat([kept, found])
             kept = kept.sort_values(["query", "score", "id"], ascending=[True, False, True]).groupby("query").head(k)
         if kept is not None:
