@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.vectors import top_k
+from corpusloom.session import cut_lineage
 
 K1, B = 1.2, 0.75
 RRF = 60
@@ -46,10 +47,11 @@ def bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, float], *, id_co
     """(query, id, score, rank): the first k by the boosted sum of per-field BM25 scores for each query (query, text).
 
     The terms of the queries (counted first; up to ``max_terms`` go to the tasks) are all
-    that is counted: a first pass gives lengths and the number of documents that have each
-    term, one row a field and term at most. A second one scores each document against all
-    queries that share a term with it, and a task sends on k rows a query. More terms than
-    that are joined instead. A null field has no length and no terms, but counts as a document.
+    that is counted: one pass over the texts writes lengths and counts of those terms. Numbers
+    of documents come from there, one row a field and term at most, and then each document is
+    scored against all queries that share a term with it; a task sends on k rows a query. More
+    terms than that are joined instead. A null field has no length and no terms, but counts as
+    a document; ids are unique.
     """
     q = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct()
     known = q.limit(max_terms + 1).collect()
@@ -62,59 +64,61 @@ def bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, float], *, id_co
 
 
 def _bm25_in_tasks(docs: DataFrame, known: list[tuple[int, bytes]], fields: dict[str, float], id_col: str, k: int) -> DataFrame:
-    names = list(fields)
-    asked = sorted({q for q, _ in known})
-    at = {q: n for n, q in enumerate(asked)}
-    listed: dict[bytes, list[int]] = {}
+    spark, names = docs.sparkSession, list(fields)
+    asked, terms = sorted({q for q, _ in known}), sorted({t for _, t in known})
+    at, number = {q: n for n, q in enumerate(asked)}, {t: n for n, t in enumerate(terms)}
+    listed: list[list[int]] = [[] for _ in terms]
     for q, term in known:
-        listed.setdefault(term, []).append(at[q])
-    queries_of = docs.sparkSession.sparkContext.broadcast({t: np.array(sorted(n), dtype=np.int32) for t, n in listed.items()})
-    rows = docs.select(F.col(id_col).alias("id"), *(F.col(f).cast("string").alias(f"f{n}") for n, f in enumerate(names)))
+        listed[number[term]].append(at[q])
+    numbers = spark.sparkContext.broadcast(number)
 
-    def statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = queries_of.value.keys()
-        seen, sizes = [Counter() for _ in names], np.zeros((len(names), 3))
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get = numbers.value.get
         for batch in batches:
             for n in range(len(names)):
-                for text in batch[f"f{n}"]:
-                    w = _tokens(text)
-                    seen[n].update(wanted & {*w})
-                    sizes[n] += (1, text is not None, len(w))
-        for n in range(len(names)):
-            yield pd.DataFrame({"field": n, "term": [None, *seen[n]], "docs": [sizes[n, 0], *seen[n].values()], "filled": sizes[n, 1], "words": sizes[n, 2]})
-
-    counted = rows.mapInPandas(statistics, "field int, term binary, docs double, filled double, words double").groupBy("field", "term").agg(*(F.sum(c).alias(c) for c in ("docs", "filled", "words"))).collect()
-    total = {r["field"]: (r["docs"], r["words"] / max(r["filled"], 1)) for r in counted if r["term"] is None}
-    idf = [{bytes(r["term"]): fields[names[n]] * math.log(1 + (total[n][0] - r["docs"] + 0.5) / (r["docs"] + 0.5)) for r in counted if r["term"] is not None and r["field"] == n} for n in range(len(names))]
-    means = [max(total.get(n, (0, 0))[1], 1e-9) for n in range(len(names))]
-    weights = docs.sparkSession.sparkContext.broadcast(idf)
+                words = [_tokens(text) for text in batch[f"f{n}"]]
+                found = [Counter([t for t in map(get, w) if t is not None]) for w in words]
+                yield pd.DataFrame({"id": batch["id"], "field": n, "size": [None if text is None else len(w) for text, w in zip(batch[f"f{n}"], words, strict=True)], "terms": [list(c) for c in found], "tf": [list(c.values()) for c in found]})
+
+    rows = docs.select(F.col(id_col).alias("id"), *(F.col(f).cast("string").alias(f"f{n}") for n, f in enumerate(names)))
+    counted = cut_lineage(rows.mapInPandas(count, "id long, field int, size double, terms array<int>, tf array<int>"))
+    total = {r["field"]: (r["docs"], r["mean"] or 1e-9) for r in counted.groupBy("field").agg(F.count("*").alias("docs"), F.avg("size").alias("mean")).collect()}
+    idf = np.zeros((len(names), len(terms)))
+    for r in counted.select("field", F.explode("terms").alias("term")).groupBy("field", "term").agg(F.count("*").alias("df")).collect():  # a row a field and term at most
+        idf[r["field"], r["term"]] = fields[names[r["field"]]] * math.log(1 + (total[r["field"]][0] - r["df"] + 0.5) / (r["df"] + 0.5))
+    means = [total.get(n, (0, 1.0))[1] for n in range(len(names))]
+    sent = spark.sparkContext.broadcast((idf, [np.array(x, dtype=np.int32) for x in listed]))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lists, idf = queries_of.value, weights.value
+        idf, lists = sent.value
+        lengths = np.array([len(x) for x in lists])
         kept = None
         for batch in batches:
-            scores = np.zeros((len(asked), len(batch)))
-            for n in range(len(names)):
-                for row, text in enumerate(batch[f"f{n}"]):
-                    w = _tokens(text)
-                    base = K1 * (1 - B + B * len(w) / means[n])
-                    terms = Counter(x for x in w if x in lists)
-                    if terms:
-                        points = [idf[n][term] * tf * (K1 + 1) / (tf + base) for term, tf in terms.items()]
-                        found = [lists[term] for term in terms]
-                        scores[:, row] += np.bincount(np.concatenate(found), np.repeat(points, [len(x) for x in found]), minlength=len(asked))
-            scores = scores.round(9)
-            keep = scores > 0
-            if k < len(batch):  # all that tie with the k-th stay
-                keep &= scores >= np.partition(scores, len(batch) - k, axis=1)[:, len(batch) - k, None]
-            query, row = np.nonzero(keep)
-            found = pd.DataFrame({"query": np.array(asked, dtype=np.int64)[query], "id": batch["id"].to_numpy()[row], "score": scores[query, row]})
-            kept = found if kept is None else pd.concat([kept, found])
-            kept = kept.sort_values(["query", "score", "id"], ascending=[True, False, True]).groupby("query").head(k)
+            for a in range(0, len(batch), 512):
+                some = batch.iloc[a : a + 512]
+                scores = np.zeros((len(asked), len(some)))
+                for column, per_field in enumerate(some["parts"]):
+                    for part in per_field:
+                        term, tf = np.asarray(part["terms"]), np.asarray(part["tf"], dtype=float)
+                        if len(term):
+                            base = K1 * (1 - B + B * part["size"] / means[part["field"]])
+                            points = idf[part["field"], term] * tf * (K1 + 1) / (tf + base)
+                            scores[:, column] += np.bincount(np.concatenate([lists[t] for t in term]), np.repeat(points, lengths[term]), minlength=len(asked))
+                scores = scores.round(9)
+                keep = scores > 0
+                if k < len(some):  # all that tie with the k-th stay
+                    keep &= scores >= np.partition(scores, len(some) - k, axis=1)[:, len(some) - k, None]
+                query, row = np.nonzero(keep)
+                found = pd.DataFrame({"query": np.array(asked, dtype=np.int64)[query], "id": some["id"].to_numpy()[row], "score": scores[query, row]})
+                kept = found if kept is None else pd.concat([kept, found])
+            if kept is not None:
+                kept = kept.sort_values(["query", "score", "id"], ascending=[True, False, True]).groupby("query").head(k)
         if kept is not None:
             yield kept
 
-    return rows.mapInPandas(score, "query long, id long, score double")
+    # The fields of a document meet in one row; what is shuffled are the counts of the queries' terms alone.
+    by_doc = counted.where(F.size("terms") > 0).groupBy("id").agg(F.collect_list(F.struct("field", "size", "terms", "tf")).alias("parts"))
+    return by_doc.mapInPandas(score, "query long, id long, score double")
 
 
 def _bm25_joined(docs: DataFrame, q: DataFrame, fields: dict[str, float], id_col: str) -> DataFrame:
