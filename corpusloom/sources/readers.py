@@ -9,6 +9,7 @@ from __future__ import annotations
 import html
 import io
 import re
+import uuid
 import zipfile
 from collections import Counter
 from pathlib import PurePosixPath
@@ -136,6 +137,23 @@ def archive_keywords(contents: pd.Series) -> pd.Series:
 
 
 def save(df: DataFrame, path: str, partition: str | None = None) -> None:
-    """A snapshot as Parquet with LZ4, put in place when it is whole."""
-    w = df.write.mode("overwrite").option("compression", "lz4")
-    (w.partitionBy(partition) if partition else w).parquet(path)
+    """One folder of Parquet with LZ4: written beside the old rows and swapped for them by renames.
+
+    A write that fails leaves the old rows as they are. For versions, several tables at once and
+    restoring, see ``sources.snapshots``.
+    """
+    spark, made = df.sparkSession, f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    new, old, at = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (f"{made}-new", f"{made}-old", path))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    w = df.write.option("compression", "lz4")
+    try:
+        (w.partitionBy(partition) if partition else w).parquet(f"{made}-new")
+    except Exception:
+        fs.delete(new, True)
+        raise
+    if fs.exists(at) and not fs.rename(at, old):
+        raise OSError(f"{path} cannot be moved aside")
+    if not fs.rename(new, at):
+        fs.rename(old, at)
+        raise OSError(f"{path} cannot be put in place")
+    fs.delete(old, True)
