@@ -1,4 +1,4 @@
-"""Vector operators: similarity, top-k, tiles of pairs, centroids, k-means, checks.
+"""Vector operators: similarity, top-k, pairs, centroids, k-means, checks.
 
 Defined results: a vector that is null, ragged, not finite or (nearly) zero has cosine 0 to
 every other; searches, pairs and clusters leave it out. Ties go to the smaller id.
@@ -184,32 +184,11 @@ def folder_search(folders: DataFrame, queries: DataFrame, k: int = 5, *, schema:
     return hits.join(folders.select(id_col, F.from_json(meta_col, schema).alias("meta")), id_col).select("query", id_col, "score", "rank", "meta")
 
 
-def similar_pairs(df: DataFrame, threshold: float, *, id_col: str = "vec_id", vec_col: str = "embedding", tile: int = 2_048) -> DataFrame:
-    """(a, b, score) of all pairs a < b with a cosine of at least ``threshold``.
+def similar_pairs(df: DataFrame, threshold: float, *, id_col: str = "vec_id", vec_col: str = "embedding", tile: int = 4_096) -> DataFrame:
+    """(a, b, score) of all pairs a < b with a cosine of at least ``threshold``: ``operators.near``, with ``tile`` rows held by a task."""
+    from corpusloom.operators import near
 
-    Rows are dealt to blocks of about ``tile`` rows and every pair of blocks is one group of
-    two blocks at most: exact, in memory that doesn't grow, and evenly spread. The work is
-    that of all pairs, so this is for collections that allow it.
-    """
-    rows = well_formed(df, vec_col, width(df, vec_col)).select(F.col(id_col).alias("id"), doubles(F.col(vec_col)).alias("v"))
-    n = max(1, -(-rows.count() // tile))
-    block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    others = F.sequence(F.lit(0), F.lit(n - 1))
-    dealt = rows.withColumn("block", block).withColumn("other", F.explode(others))
-    dealt = dealt.select("id", "v", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
-        left, right = group[group["block"] == i], group[group["block"] == j]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "score": []}).astype({"a": "int64", "b": "int64", "score": float})
-        s = _unit(np.stack(left["v"].to_list())) @ _unit(np.stack(right["v"].to_list())).T
-        x, y = np.nonzero(s >= threshold - 1e-12)
-        a, b = left["id"].to_numpy()[x], right["id"].to_numpy()[y]
-        keep = a < b if i == j else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "score": s[x, y][keep]})
-
-    return dealt.groupBy("i", "j").applyInPandas(pairs, "a long, b long, score double")
+    return near.similar_pairs(df, threshold, id_col=id_col, vec_col=vec_col, residents=tile)
 
 
 def centroids(df: DataFrame, group: str, *, vec_col: str = "embedding") -> DataFrame:
