@@ -157,7 +157,7 @@ def _calibrate(z: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, f
     return max(a, 1e-3), c
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 4_000, bits: int = BITS, ridge: float = 1e-4, steps: int = 300) -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 4_000, bits: int = BITS, ridge: float = 1e-4, steps: int = 100) -> QualityModel:
     """Learns from about ``max_labelled`` labelled rows at most, chosen by a hash of the id.
 
     That number bounds the broadcast of ids and what the driver sees: whole texts are turned
