@@ -7,7 +7,7 @@ and deleted documents writes another that says which older rows it ends. Tables:
 ``postings``  a term's documents in blocks: those of one field, term and range of documents,
               with the block's largest count and smallest size; in folders by ``bucket`` of the
               term's hash, sorted by term, so that a search reads the folders of its terms
-``terms``     how many documents more (or fewer) have a term in a field, by bucket
+``terms``     how many documents more (or fewer) have a term in a field, sorted by bucket
 ``totals``    how many documents, sized documents and tokens more (or fewer) a field has
 ``dead``      keys that the segment ends in the segments before it
 
@@ -32,8 +32,10 @@ from corpusloom.operators.search import K1, B, _tokens, tokens
 from corpusloom.session import cut_lineage
 from corpusloom.sources.snapshots import SnapshotStore, Version
 
-BUCKETS = 64
-RANGE = 512  # documents of a block at most, about
+RANGE = 512  # documents of a block, about
+MAX_BUCKETS = 4_096
+BUCKET_DOCS = 20_000  # documents for each bucket of terms
+SPREAD = 2_048  # ranges of a bucket that one task writes
 
 
 @dataclass(frozen=True)
@@ -75,17 +77,19 @@ def _entries(forward: DataFrame) -> DataFrame:
 
 def _blocks(forward: DataFrame, note: dict) -> DataFrame:
     """Postings in blocks; a range is a hash of the key, so that blocks of all terms have the same ranges."""
-    ranges, buckets = max(1, -(-forward.count() // (RANGE * len(note["fields"])))), note["buckets"]
+    ranges = max(1, -(-forward.count() // (RANGE * len(note["fields"]))))
     at = F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int")
-    rows = _entries(forward).withColumn("range", at).groupBy("field", "term", "range")
+    # One shuffle: tasks get whole blocks of a bucket, and of a bucket with very many ranges a part of these.
+    rows = _entries(forward).withColumns({"bucket": _bucket(F.col("term"), note["buckets"]), "range": at}).withColumn("part", F.floor(F.col("range") / SPREAD))
+    rows = rows.repartition("bucket", "part").groupBy("bucket", "part", "field", "term", "range")
     rows = rows.agg(F.max("tf").alias("max_tf"), F.min("size").alias("min_size"), F.collect_list(F.struct("key", "tf", "size")).alias("docs"))
-    return rows.withColumn("bucket", _bucket(F.col("term"), buckets)).repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range")
+    return rows.drop("part").sortWithinPartitions("bucket", "term", "range")
 
 
 def _statistics(forward: DataFrame, sign: int, buckets: int) -> tuple[DataFrame, DataFrame]:
     terms = _entries(forward).groupBy("field", "term").agg((sign * F.count("*")).alias("df")).withColumn("bucket", _bucket(F.col("term"), buckets))
     totals = forward.groupBy("field").agg((sign * F.count("*")).alias("docs"), (sign * F.count("size")).alias("sized"), (sign * F.coalesce(F.sum("size"), F.lit(0))).alias("tokens"))
-    return terms, totals
+    return terms.repartition("bucket").sortWithinPartitions("bucket", "term"), totals
 
 
 class StoredIndex:
@@ -94,14 +98,16 @@ class StoredIndex:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.store = spark, SnapshotStore(spark, folder)
 
-    def build(self, docs: DataFrame, fields: dict[str, float], *, key: str = "doc_id", ts: str | None = None, cut: dict[str, int] | None = None, buckets: int = BUCKETS) -> Version:
+    def build(self, docs: DataFrame, fields: dict[str, float], *, key: str = "doc_id", ts: str | None = None, cut: dict[str, int] | None = None, buckets: int | None = None) -> Version:
         """Indexes the newest row (by ``ts``) of each key; rows without a key are no documents.
 
         ``fields`` have their weights; ``cut`` shortens fields to so many characters first.
+        ``buckets`` follow the number of documents unless they are given.
         What the index held before is replaced in one commit.
         """
         newest = docs.where(F.col(key).isNotNull())
         newest = newest if ts is None else latest_per_key(newest, key, F.desc_nulls_last(ts))
+        buckets = buckets or min(MAX_BUCKETS, max(8, -(-docs.count() // BUCKET_DOCS)))
         to = None if ts is None else docs.agg(F.max(ts)).first()[0]
         note = {"fields": fields, "key": key, "ts": ts, "cut": cut or {}, "buckets": buckets, "to": to}
         return self._segment(newest, None, note, None)
@@ -134,14 +140,14 @@ class StoredIndex:
             terms, totals = _statistics(rows, 1, buckets)
             parts["forward"].append(forward)
             parts["postings"].append(put(_blocks(rows, note), ("bucket",)))
-            parts["terms"].append(put(terms.repartitionByRange("bucket", "term"), ("bucket",)))
+            parts["terms"].append(put(terms))
             parts["totals"].append(put(totals))
         if ended is not None:
             # What the ended rows had counted for is taken off: their forward rows say it.
             ended = cut_lineage(ended)
             old = self._live(self.store.read("forward", now), now).join(ended, "key", "left_semi")
             terms, totals = _statistics(old, -1, buckets)
-            parts["terms"].append(put(terms.repartitionByRange("bucket", "term"), ("bucket",)))
+            parts["terms"].append(put(terms))
             parts["totals"].append(put(totals))
             parts["dead"].append(put(ended.withColumn("before", F.lit(len(now.tables["forward"])))))
         if now is None:
@@ -226,4 +232,4 @@ class StoredIndex:
         forward = self.store.write(self._live(self.store.read("forward", now), now).drop("segment"))
         rows, buckets, put = self.store.segment(forward), now.note["buckets"], self.store.write
         terms, totals = _statistics(rows, 1, buckets)
-        return self.store.commit({"forward": forward, "postings": put(_blocks(rows, now.note), ("bucket",)), "terms": put(terms.repartitionByRange("bucket", "term"), ("bucket",)), "totals": put(totals), "dead": ()}, note=now.note, base=now)
+        return self.store.commit({"forward": forward, "postings": put(_blocks(rows, now.note), ("bucket",)), "terms": put(terms), "totals": put(totals), "dead": ()}, note=now.note, base=now)

@@ -18,7 +18,7 @@ and little for random ones at wide angles, where every cell is near every vector
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -96,23 +96,55 @@ def _partners(left: np.ndarray, right: np.ndarray, basis: np.ndarray, threshold:
             yield a + x[b : b + 65_536][keep], y[b : b + 65_536][keep], s[keep]
 
 
-def distinct_vectors(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
-    """(id, v): one row for equal vectors, with their smallest id; and members (id, member) of those that are more than one."""
+def distinct_vectors(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(id, v): one row for equal vectors, with their smallest id; and members (id, member) of those that are more than one, if any."""
     rows = well_formed(df, vec_col, width(df, vec_col)).select(F.col(id_col).cast("long").alias("member"), doubles(F.col(vec_col)).alias("v"))
-    once = rows.groupBy("v").agg(F.min("member").alias("id"), F.count("*").alias("n"))
+    once = cut_lineage(rows.groupBy("v").agg(F.min("member").alias("id"), F.count("*").alias("n")))
     several = once.where("n > 1").select("v", "id")
-    return once.select("id", "v"), rows.join(several, "v").select("id", "member")
+    return once.select("id", "v"), None if several.isEmpty() else cut_lineage(rows.join(several, "v").select("id", "member"))
+
+
+def _meet(basis: np.ndarray, threshold: float, counts: tuple[Accumulator, Accumulator]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows (slice, kind, id, v) by slice, residents (kind 0) before visitors: residents are held and meet each other, then visitors pass."""
+
+    def pairs(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "score": s})
+
+    def among(ids: np.ndarray, held: np.ndarray) -> Iterator[pd.DataFrame]:
+        for x, y, s in _partners(held, held, basis, threshold, counts):
+            keep = x < y
+            yield pairs(ids[x[keep]], ids[y[keep]], s[keep])
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, ids, held, whole = None, [], [], True
+        for batch in batches:
+            for (at, kind), some in batch.groupby(["slice", "kind"], sort=True):
+                if not whole and (at != now or kind):
+                    ids, held, whole = [np.concatenate(ids)], [np.concatenate(held)], True
+                    yield from among(ids[0], held[0])
+                if at != now:
+                    now, ids, held = at, [], []
+                if kind == 0:
+                    ids.append(some["id"].to_numpy())
+                    held.append(_unit(some["v"]))
+                    whole = False
+                elif held:
+                    for x, y, s in _partners(_unit(some["v"]), held[0], basis, threshold, counts):
+                        yield pairs(some["id"].to_numpy()[x], ids[0][y], s)
+        if not whole:
+            yield from among(np.concatenate(ids), np.concatenate(held))
+
+    return meet
 
 
 def near_pairs(rows: DataFrame, threshold: float, *, residents: int = RESIDENTS, pivots: int = MAX_PIVOTS, report: JoinReport | None = None) -> DataFrame:
     """(a, b, score) with a < b of all pairs of (id, v) with a cosine of at least ``threshold``; vectors are not zero.
 
-    ``residents`` bounds what a task holds; pivots are one for so many rows, ``pivots`` at most.
+    ``rows`` are read several times: a stored or checkpointed table. ``residents`` bounds what a task holds; pivots are one for so many rows, ``pivots`` at most.
     """
     spark = rows.sparkSession
     report = report or JoinReport.of(spark)
     schema = "a long, b long, score double"
-    rows = cut_lineage(rows.select("id", "v"))
     n = rows.count()
     report.vectors = n
     if n < 2:
@@ -135,6 +167,10 @@ def near_pairs(rows: DataFrame, threshold: float, *, residents: int = RESIDENTS,
                 home = angle.argmin(1)
                 yield pd.DataFrame({"id": batch["id"], "v": batch["v"], "home": home, "angle": angle[np.arange(len(batch)), home]})
 
+    if n <= residents:  # all vectors are one slice
+        report.cells = report.slices = 1
+        one = rows.select(F.lit(0).cast("long").alias("slice"), F.lit(0).alias("kind"), "id", "v").coalesce(1)
+        return one.mapInPandas(_meet(basis, threshold, (report.bounded, report.compared)), schema)
     homes = cut_lineage(rows.mapInPandas(settle, "id long, v array<double>, home int, angle double"))
     told = homes.groupBy("home").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()  # a row a pivot
     size, radius = np.zeros(len(middle), dtype=np.int64), np.full(len(middle), -np.inf)
@@ -168,46 +204,11 @@ def near_pairs(rows: DataFrame, threshold: float, *, residents: int = RESIDENTS,
 
     dealt = homes.mapInPandas(deal, "slice long, kind int, id long, v array<double>")
     dealt = dealt.repartition(int(min(max(first[-1], 1), 20_000)), "slice").sortWithinPartitions("slice", "kind")
-    counts = (report.bounded, report.compared)
-
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, ids, held = None, [], []
-        done = True
-
-        def among() -> Iterator[pd.DataFrame]:
-            for x, y, s in _partners(held[0], held[0], basis, threshold, counts):
-                keep = x < y
-                yield pairs(ids[0][x[keep]], ids[0][y[keep]], s[keep])
-
-        for batch in batches:
-            for (at, kind), some in batch.groupby(["slice", "kind"], sort=True):
-                if at != now:
-                    if not done:
-                        ids, held = [np.concatenate(ids)], [np.concatenate(held)]
-                        yield from among()
-                    now, ids, held, done = at, [], [], False
-                if kind == 0:
-                    ids.append(some["id"].to_numpy())
-                    held.append(_unit(some["v"]))
-                    continue
-                if not done:
-                    ids, held, done = [np.concatenate(ids)], [np.concatenate(held)], True
-                    yield from among()
-                visiting, v = some["id"].to_numpy(), _unit(some["v"])
-                for x, y, s in _partners(v, held[0], basis, threshold, counts):
-                    yield pairs(visiting[x], ids[0][y], s)
-        if not done:
-            ids, held = [np.concatenate(ids)], [np.concatenate(held)]
-            yield from among()
-
-    def pairs(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "score": s})
-
-    return dealt.mapInPandas(meet, schema)
+    return dealt.mapInPandas(_meet(basis, threshold, (report.bounded, report.compared)), schema)
 
 
-def similar_groups(df: DataFrame, threshold: float, *, id_col: str = "vec_id", vec_col: str = "embedding", residents: int = RESIDENTS, report: JoinReport | None = None) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, score) of different vectors by their smallest ids, and members (id, member) of equal ones: whole, and never quadratic in copies."""
+def similar_groups(df: DataFrame, threshold: float, *, id_col: str = "vec_id", vec_col: str = "embedding", residents: int = RESIDENTS, report: JoinReport | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (a, b, score) of different vectors by their smallest ids, and members (id, member) of equal ones, if any: whole, and never quadratic in copies."""
     once, members = distinct_vectors(df, id_col, vec_col)
     return near_pairs(once, threshold, residents=residents, report=report), members
 
@@ -219,8 +220,7 @@ def similar_pairs(df: DataFrame, threshold: float, *, id_col: str = "vec_id", ve
     as it has pairs; ``similar_groups`` says the same without them.
     """
     found, members = similar_groups(df, threshold, id_col=id_col, vec_col=vec_col, residents=residents, report=report)
-    members = cut_lineage(members)
-    if members.isEmpty():
+    if members is None:
         return found
     every = lambda side: members.select(F.col("id").alias(side), F.col("member").alias(f"_{side}"))
     wide = found.join(every("a"), "a", "left").join(every("b"), "b", "left")
