@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -178,9 +180,27 @@ def semantic_terms(text: Column, *, least: int = 4, stop: tuple[str, ...] = ("th
     return F.sort_array(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1), ok)))
 
 
+def quoted(phrase: str) -> str:
+    """The phrase as a pattern that matches it alone."""
+    return re.sub(r"([^A-Za-z0-9_\s])", r"\\\1", phrase)
+
+
+#: Names that watchers take for temporary, partial or system files.
+TEMPORARY = (
+    r"\.(tmp|temp)$", r"\.bak$", r"\.crdownload$", r"\.part$", r"\.partial$", r"\.download$", r"\.!qb$", r"\.swp$", r"\.swx$", r"\.swo$",
+    r"\.lock$", r"\.lck$", r"^~\$", r"^\.#", r"^#.*#$", r"~$", r"^\._", r"^\.ds_store$", r"^thumbs\.db$", r"^desktop\.ini$",
+)
+
+
+def temporary_file(path: Column) -> Column:
+    """Whether the last part of a path is the name of a temporary, partial or system file."""
+    name = F.lower(F.regexp_extract(path, r"([^/\\]*)$", 1))
+    return name.rlike("|".join(f"({x})" for x in TEMPORARY))
+
+
 def any_phrase(text: Column, phrases: tuple[str, ...], most: int, *, at_start: bool = False) -> Column:
-    """Whether a short text has one of the phrases (words of letters) at word boundaries, or begins with one."""
-    pattern = rf"{'^' if at_start else chr(92) + 'b'}({'|'.join(phrases)}){chr(92)}b"
+    """Whether a short text has one of the phrases, of whatever characters, with no letter or digit right beside it; or begins with one."""
+    pattern = rf"{'^' if at_start else '(?<![a-z0-9_])'}({'|'.join(map(quoted, phrases))})(?![a-z0-9_])"
     return (F.length(text) <= most) & F.lower(F.trim(text)).rlike(pattern)
 
 

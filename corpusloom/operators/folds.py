@@ -15,7 +15,7 @@ def fold_in_order(df: DataFrame, key: str, order: list[Column | str], columns: l
     ``step(state, *values)`` gets the named columns of the next row and returns the new state
     and rows to put out; ``finish(state)`` gives the last ones. Keys are sorted inside
     partitions, where sorting may spill, and rows come in batches: a key's history is never
-    in memory, whatever its length.
+    in memory, whatever its length. Rows with a null key belong to no history and are left out.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

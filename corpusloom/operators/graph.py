@@ -58,18 +58,44 @@ def touching_edges(edges: DataFrame, seeds: DataFrame, most: int = 2_000) -> Dat
     return one.unionByName(two).distinct().orderBy(F.desc("weight"), "a", "b").limit(most)
 
 
-def expand_hops(seeds: DataFrame, edges: DataFrame | Callable[[DataFrame], DataFrame], hops: int = 2, decay: float = 0.7) -> DataFrame:
+def neighbour_edges(edges: DataFrame, seeds: DataFrame, *, min_weight: float = 0.0, max_edges: int = 2_000, max_neighbours: int = 200) -> DataFrame:
+    """(a, b, weight, neighbour): edges with an end among the seeds (node), taken by weight, with caps on edges and new neighbours.
+
+    Taken one by one, an edge to a new neighbour is left out when there are ``max_neighbours``
+    already. So the neighbours are those that appear first, whatever comes later: the smallest of
+    each one's edges in the order, the first ``max_neighbours`` of these, then the first
+    ``max_edges`` edges to a seed or one of them. Nothing is sorted as a whole. ``neighbour`` is
+    the other end, null between two seeds. Repeated edges count once.
+    """
+    node = seeds.select(F.col("node").alias("_node")).distinct().withColumn("_seed", F.lit(True))
+    rows = edges.where(F.col("weight") >= min_weight).select("a", "b", "weight").distinct()
+    for end in ("a", "b"):
+        rows = rows.join(node.select(F.col("_node").alias(end), F.col("_seed").alias(f"_{end}")), end, "left")
+    rows = rows.where("_a IS NOT NULL OR _b IS NOT NULL")
+    rows = cut_lineage(rows.select("a", "b", "weight", F.when(F.col("_a").isNull(), F.col("a")).when(F.col("_b").isNull(), F.col("b")).alias("neighbour")))
+    order = F.struct((-F.col("weight")).alias("w"), "a", "b")
+    first = rows.where("neighbour IS NOT NULL").groupBy("neighbour").agg(F.min(order).alias("_first")).orderBy("_first").limit(max_neighbours).select("neighbour", F.lit(True).alias("_in"))
+    taken = rows.join(F.broadcast(first), "neighbour", "left").where("neighbour IS NULL OR _in")  # max_neighbours rows
+    return taken.orderBy(F.desc("weight"), "a", "b").limit(max_edges).select("a", "b", "weight", "neighbour")
+
+
+def expand_hops(seeds: DataFrame, edges: DataFrame | Callable[[DataFrame], DataFrame], hops: int = 2, decay: float = 0.7, k: int | None = None) -> DataFrame:
     """(seed, node, score, hop): best path's score; a hop multiplies by similarity and decay to the hop's power.
 
+    With ``k`` a hop follows the ``k`` most similar neighbours of a node, of equals the smallest.
+
     ``seeds``: (node); ``edges``: (node, neighbour, sim), or a function that gives those of the
     nodes (node) that a hop starts from. Only a node's first visit goes on.
     """
     seen = seeds.select(F.col("node").alias("seed"), "node", F.lit(1.0).alias("score"), F.lit(0).alias("hop"))
     front = seen
-    for k in range(1, hops + 1):
+    for hop in range(1, hops + 1):
         of_front = edges(cut_lineage(front.select("node").distinct())) if callable(edges) else edges
-        step = front.join(of_front, "node").select("seed", F.col("neighbour").alias("node"), (F.col("score") * F.col("sim") * (decay**k)).alias("score"))
-        front = step.groupBy("seed", "node").agg(F.max("score").alias("score")).join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hop", F.lit(k))
+        if k is not None:
+            nearest = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim"), "neighbour"))
+            of_front = of_front.withColumn("_n", nearest).where(F.col("_n") <= k).drop("_n")
+        step = front.join(of_front, "node").select("seed", F.col("neighbour").alias("node"), (F.col("score") * F.col("sim") * (decay**hop)).alias("score"))
+        front = step.groupBy("seed", "node").agg(F.max("score").alias("score")).join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop))
         seen = seen.unionByName(front)
     return seen.where("hop > 0")
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from corpusloom.operators.folds import fold_in_order
+from corpusloom.operators.ordered import STRETCH, over_last_rows, over_last_stretch
 from corpusloom.session import table
 
 
@@ -105,17 +106,28 @@ def service_health(calls: DataFrame, by: str, *, ms: str = "ms", failed: str = "
     return calls.groupBy(by).agg(n.alias("calls"), mean.alias("avg_ms"), errors.alias("error_rate"), speed.alias("tokens_per_s"), F.greatest(F.lit(0.0), F.round(100 - errors * 30 - late)).alias("score"))
 
 
-def degradation(outcomes: DataFrame, *, window: int = 200, least: int = 20, fallback_rate: float = 0.5, error_rate: float = 0.25) -> DataFrame:
+def degradation(outcomes: DataFrame, *, window: int = 200, least: int = 20, fallback_rate: float = 0.5, error_rate: float = 0.25, stretch: int = STRETCH) -> DataFrame:
     """``outcomes`` (pipeline, id, s, outcome) with n, fallbacks, errors over the last ``window`` and whether that is degraded.
 
-    outcome: primary, fallback, anything else is an error; ``s`` are seconds.
+    outcome: primary, fallback, anything else is an error; ``s`` are seconds. A pipeline's history
+    is worked on in stretches of ``stretch`` rows, so one that has most events is many tasks.
     """
-    w = Window.partitionBy("pipeline").orderBy("s", "id").rowsBetween(1 - window, 0)
-    count = lambda c: F.coalesce(F.sum(c.cast("int")).over(w), F.lit(0))
-    r = outcomes.select("*", F.count("*").over(w).alias("n"), count(F.col("outcome") == "fallback").alias("fallbacks"), count(~F.coalesce(F.col("outcome"), F.lit("")).isin("primary", "fallback")).alias("errors"))
+    kind = F.coalesce(F.col("outcome"), F.lit(""))
+
+    def counts(w: WindowSpec) -> dict[str, Column]:
+        of = lambda c: F.sum(c.cast("int")).over(w).cast("long")
+        return {"n": F.count("*").over(w), "fallbacks": of(kind == "fallback"), "errors": of(~kind.isin("primary", "fallback"))}
+
+    r = over_last_rows(outcomes, "pipeline", ["s", "id"], window - 1, counts, stretch=stretch)
     return r.withColumn("degraded", (F.col("n") >= least) & ((F.col("fallbacks") >= fallback_rate * F.col("n")) | (F.col("errors") >= error_rate * F.col("n"))))
 
 
+def rate_limited(calls: DataFrame, most: int, window_s: float, *, key: str = "key") -> DataFrame:
+    """``calls`` (key, s, ...) with the calls ``n`` of a key in the last ``window_s`` seconds, this one included, and whether it is ``allowed``."""
+    r = over_last_stretch(calls, key, "s", window_s, lambda w: {"n": F.count("*").over(w)})
+    return r.withColumn("allowed", F.col("n") <= most)
+
+
 def degradation_alerts(degraded: DataFrame, quiet_s: float = 30.0) -> DataFrame:
     """(pipeline, id): of the degraded rows those that alert, at most one in ``quiet_s``."""
 

@@ -247,6 +247,69 @@ def rule_category(name: Column, ext: Column, keywords: dict[str, list[str]], by_
     return out
 
 
+def containing(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(text_id, term_id): which texts (text_id, text) contain which terms (term_id, term), not only as words.
+
+    A term meets the texts that have its first characters, three at most, anywhere: an equi-join
+    on short grams, of which each text sends its distinct ones, and a check of what is found.
+    Empty terms are in no text.
+    """
+    t = terms.where(F.length("term") > 0).select("term_id", "term", F.substring("term", 1, 3).alias("gram"))
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: i + n <= F.length("text") + 1), lambda i: F.substring("text", i, n)))))
+    rows = texts.where(F.col("text").isNotNull()).select("text_id", "text", F.explode(grams).alias("gram"))
+    return rows.join(t, "gram").where(F.contains("text", F.col("term"))).select("text_id", "term_id")
+
+
+#: Points for what of a folder stands in a file's name, and for its extension.
+FOLDER_POINTS = {"name": 10, "name_word": 8, "description": 6, "tag": 5, "keyword": 4, "path": 3, "category": 2, "related": 1}
+EXTENSION_POINTS = {"description": 15, "keyword": 12, "tag": 10}
+
+
+def score_folders(files: DataFrame, folders: DataFrame, *, least: float = 5.0, sure: float = 0.8, bonus: float = 1.2, all_scores: bool = False) -> DataFrame:
+    """(file, folder, score): the folder with most points for each file (file, name), of equals the first by name.
+
+    ``folders``: folder (its name), and as far as they are there description, tags, keywords, path,
+    category, related and confidence (above ``sure``: points times ``bonus``). What of these stands
+    in the file's name makes points, every word as often as it is named, and so does its extension
+    where they name it. Files without a folder of ``least`` points have no row.
+    """
+    have = {c.lower() for c in folders.columns}
+    f = folders.select(F.col("folder"), *(F.col(c) for c in ("description", "tags", "keywords", "path", "category", "related", "confidence") if c in have))
+    text = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    words = lambda c, at, longer: F.filter(F.split(text(c), at), lambda w: F.length(w) > longer)
+    listed = lambda c: F.transform(F.coalesce(F.col(c).cast("array<string>"), F.array().cast("array<string>")), lambda w: F.lower(w))
+    parts = {"name": F.array(text("folder")), "name_word": words("folder", r"[\s_-]+", 2)}
+    parts |= {"description": words("description", r"[\s,.-]+", 3)} if "description" in have else {}
+    parts |= {kind: listed(c) for kind, c in (("tag", "tags"), ("keyword", "keywords"), ("related", "related")) if c in have}
+    parts |= {"path": words("path", r"[\\\\/]", 2)} if "path" in have else {}
+    parts |= {"category": words("category", r"[\s_-]+", 2)} if "category" in have else {}
+    named = lambda kind, n: lambda w: F.struct(w.alias("term"), F.lit(n).alias("points"), F.lit(kind).alias("kind"))
+    told = f.select("folder", F.explode(F.concat(*(F.transform(c, named(kind, FOLDER_POINTS[kind])) for kind, c in parts.items()))).alias("t")).select("folder", "t.*").where("term <> ''")
+    terms = told.groupBy("folder", "term").agg(F.sum("points").alias("points"))
+    low = files.select("file", F.lower("name").alias("name"))
+    names = low.select(F.col("name").alias("text_id"), F.col("name").alias("text")).distinct()
+    hits = containing(names, terms.select(F.col("term").alias("term_id"), "term").distinct())
+    by_name = hits.join(terms, hits["term_id"] == terms["term"]).groupBy("text_id", "folder").agg(F.sum("points").alias("points"))
+    points = low.join(by_name, low["name"] == by_name["text_id"]).select("file", "folder", "points")
+    ext = low.select("file", F.regexp_extract("name", r".\.([^.]*)$", 1).alias("ext")).where("ext <> ''")
+    exts = ext.select("ext").distinct()
+    marks = told.where(F.col("kind").isin("tag", "keyword")).select("folder", F.regexp_replace("term", r"^\.", "").alias("ext"), F.when(F.col("kind") == "tag", EXTENSION_POINTS["tag"]).otherwise(EXTENSION_POINTS["keyword"]).alias("points"))
+    if "description" in have:
+        in_text = containing(f.select(F.col("folder").alias("text_id"), text("description").alias("text")), exts.where(F.length("ext") > 1).select(F.col("ext").alias("term_id"), F.col("ext").alias("term")))
+        marks = marks.unionByName(in_text.select(F.col("text_id").alias("folder"), F.col("term_id").alias("ext"), F.lit(EXTENSION_POINTS["description"]).alias("points")))
+    by_ext = marks.groupBy("folder", "ext").agg(F.sum("points").alias("points"))
+    points = points.unionByName(ext.join(by_ext, "ext").select("file", "folder", "points"))
+    score = points.groupBy("file", "folder").agg(F.sum("points").cast("double").alias("score"))
+    if "confidence" in have:
+        surer = f.select("folder", F.when(F.col("confidence") > sure, bonus).otherwise(1.0).alias("_times")).groupBy("folder").agg(F.max("_times").alias("_times"))
+        score = score.join(surer, "folder").select("file", "folder", (F.col("score") * F.col("_times")).alias("score"))
+    score = score.where(F.col("score") >= least)
+    if all_scores:
+        return score
+    first = F.row_number().over(Window.partitionBy("file").orderBy(F.desc(F.round("score", 6)), "folder"))
+    return score.withColumn("_n", first).where("_n = 1").drop("_n")
+
+
 def rule_keywords(category: Column, name: Column, concepts: Column, most: int = 10) -> Column:
     """Words of the category, of the name without its extension, and concepts: distinct, in this order, of three characters or more."""
     words = lambda c: F.filter(F.split(canonical(c), " "), lambda w: F.length(w) > 2)

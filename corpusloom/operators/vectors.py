@@ -244,12 +244,43 @@ def best_of_few(files: DataFrame, folders: list[tuple[int, list[float]]], k: int
     return out.withColumnRenamed("id", id_col)
 
 
+def best_folders(files: DataFrame, folders: DataFrame, k: int | None, *, id_col: str = "vec_id", vec_col: str = "embedding", max_queries: int = MAX_QUERIES) -> DataFrame:
+    """(id, folder, score) of the k best (or all) of any number of folders (folder, embedding) for every file.
+
+    Up to ``max_queries`` folders (counted first) are one matrix in every task; more of them are
+    items that all files pass by, a part of them in a task.
+    """
+    known = folders.select("folder", "embedding").limit(max_queries + 1).collect()
+    if len(known) <= max_queries:
+        return best_of_few(files, [(r["folder"], list(r["embedding"])) for r in known], k, id_col=id_col, vec_col=vec_col)
+    asked = files.select(F.col(id_col).cast("long").alias("query"), F.col(vec_col).alias("embedding"))
+    found = scores(folders, asked, k, id_col="folder", vec_col="embedding", min_score=None if k else -2.0, max_queries=max_queries)
+    if k:
+        w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+        found = found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
+    return found.select(F.col("query").alias(id_col), F.col("id").alias("folder"), "score")
+
+
+def bridges(files: DataFrame, clusters: DataFrame, *, threshold: float, least: float = 0.5, margin: float = 0.1, members: int = 50, most: int = 3, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+    """(label, other, id, score): for every other cluster the ``most`` members of a cluster nearest to its centre.
+
+    Only the ``members`` nearest to their own centre are looked at. A score is rounded to two
+    places and reaches max(``least``, ``threshold`` - ``margin``). ``clusters``: (folder, embedding).
+    """
+    own = F.row_number().over(Window.partitionBy(label_col).orderBy(F.desc(F.round("score", 6)), id_col))
+    labels = files.select(id_col, label_col)
+    s = cut_lineage(best_folders(files, clusters, None, id_col=id_col, vec_col=vec_col).join(labels, id_col))
+    near = s.where(F.col("folder") == F.col(label_col)).withColumn("_n", own).where(F.col("_n") <= members).select(id_col)
+    s = s.join(near, id_col, "left_semi").where(F.col("folder") != F.col(label_col)).select(label_col, F.col("folder").alias("other"), id_col, F.round("score", 2).alias("score"))
+    w = Window.partitionBy(label_col, "other").orderBy(F.desc("score"), id_col)
+    return s.withColumn("_n", F.row_number().over(w)).where((F.col("_n") <= most) & (F.col("score") >= max(least, round(threshold - margin, 9)))).drop("_n")
+
+
 def kmeans(df: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 7, rounds: int = 50) -> DataFrame:
     """(id, cluster, distance) of Lloyd's rounds from k rows chosen by distance-weighted draws.
 
-    The first centres come from a bounded sample (the 5,000 smallest hashes of ids). In a
-    round each task adds up the vectors of each cluster while it assigns them, so k sums a
-    task are all that is shuffled. Rounds end when no centre moves.
+    The first centres come from a bounded sample (the 5,000 smallest hashes of ids); the rounds
+    are ``lloyd``'s.
     """
     df = well_formed(df, vec_col, width(df, vec_col))
     rows = df.select(F.col(id_col).alias("id"), doubles(F.col(vec_col)).alias("v"))
@@ -261,25 +292,49 @@ def kmeans(df: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "emb
     while len(chosen) < min(k, len(sample)):
         d = np.min([((sample - c) ** 2).sum(1) for c in chosen], axis=0)
         chosen.append(sample[rng.choice(len(sample), p=d / d.sum()) if d.sum() else rng.integers(len(sample))])
-    centres = np.array(chosen)
+    centres = lloyd(rows, np.array(chosen), rounds=rounds)
+    return cut_lineage(assign_nearest(df, [(i, c.tolist()) for i, c in enumerate(centres)], id_col=id_col, vec_col=vec_col))
+
+
+def lloyd(rows: DataFrame, centres: np.ndarray, *, rounds: int = 50) -> np.ndarray:
+    """Centres after rounds of (id, v): means of the nearest vectors; the vectors farthest from their centres take the places of empty clusters.
+
+    While a task assigns its rows it adds up each cluster and remembers its farthest rows, as many
+    as there could be empty clusters, so that repair needs no pass of its own. The first empty
+    cluster gets the farthest vector of all (of equals the smallest id), the next one the second.
+    Rounds end when no centre moves, that is when no row would change its cluster.
+    """
+    k = len(centres)
+    schema = "cluster long, n double, far double, id long, v array<double>"
     for _ in range(rounds):
 
-        def add_up(batches: Iterator[pd.DataFrame], centres=centres) -> Iterator[pd.DataFrame]:
-            sums, sizes = np.zeros_like(centres), np.zeros(len(centres))
+        def add_up(batches: Iterator[pd.DataFrame], centres: np.ndarray = centres) -> Iterator[pd.DataFrame]:
+            sums, sizes, farthest = np.zeros_like(centres), np.zeros(k), None
             for batch in batches:
-                if len(batch):
-                    v = np.stack(batch["v"].to_list())
-                    at, _ = _nearest(v, centres)
-                    np.add.at(sums, at, v)
-                    sizes += np.bincount(at, minlength=len(centres))
-            names, axis = np.indices(sums.shape)
-            yield pd.DataFrame({"cluster": names.ravel(), "axis": axis.ravel(), "x": sums.ravel(), "n": np.repeat(sizes, sums.shape[1])})
-
-        means = rows.mapInPandas(add_up, "cluster long, axis long, x double, n double").groupBy("cluster", "axis").agg((F.sum("x") / F.nullif(F.sum("n"), F.lit(0.0))).alias("x")).where("x IS NOT NULL").toPandas()  # k centres
+                if not len(batch):
+                    continue
+                v = np.stack(batch["v"].to_list())
+                at, far = _nearest(v, centres)
+                np.add.at(sums, at, v)
+                sizes += np.bincount(at, minlength=k)
+                some = pd.DataFrame({"far": far, "id": batch["id"], "v": batch["v"]})
+                farthest = (some if farthest is None else pd.concat([farthest, some])).sort_values(["far", "id"], ascending=[False, True]).head(k - 1)
+            yield pd.DataFrame({"cluster": np.arange(k), "n": sizes, "far": None, "id": None, "v": list(sums)})
+            if farthest is not None:
+                yield farthest.assign(cluster=None, n=None)[["cluster", "n", "far", "id", "v"]]
+
+        told = cut_lineage(rows.mapInPandas(add_up, schema))
+        cells = told.where("cluster IS NOT NULL").select("cluster", "n", F.posexplode("v").alias("axis", "x"))
+        means = cells.groupBy("cluster", "axis").agg((F.sum("x") / F.nullif(F.sum("n"), F.lit(0.0))).alias("x")).where("x IS NOT NULL").toPandas()  # k centres
         new = centres.copy()
-        new[means["cluster"].to_numpy(), means["axis"].to_numpy()] = means["x"].to_numpy()
+        new[means["cluster"].to_numpy(dtype=int), means["axis"].to_numpy(dtype=int)] = means["x"].to_numpy()
+        empty = sorted({*range(k)} - {*means["cluster"].tolist()})
+        if empty:
+            spare = told.where("cluster IS NULL").orderBy(F.desc("far"), "id").limit(len(empty)).collect()
+            for c, r in zip(empty, spare, strict=False):
+                new[c] = r["v"]
         still = np.allclose(new, centres, atol=1e-9)
         centres = new
         if still:
             break
-    return cut_lineage(assign_nearest(df, [(i, c.tolist()) for i, c in enumerate(centres)], id_col=id_col, vec_col=vec_col))
+    return centres

@@ -71,20 +71,20 @@ def similarity_edges_capped(spark, sf):
     return G.capped_edges(similar(spark, sf, 0.3)).select("a", "b", six("score"))
 
 
-@query("multi_hop", f"""WITH knn AS (SELECT node, neighbour, sim FROM (SELECT a.vec_id AS node, b.vec_id AS neighbour, {COS} AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS rn FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND {COS} >= 0.3)),
+@query("multi_hop", f"""WITH knn AS (SELECT node, neighbour, sim FROM (SELECT a.vec_id AS node, b.vec_id AS neighbour, {COS} AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS rn FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND {COS} >= 0.3) WHERE rn <= 10),
  h1 AS (SELECT node AS seed, neighbour AS node, sim * 0.7 AS score FROM knn WHERE node % 50 = 0),
  h2 AS (SELECT h1.seed, k.neighbour AS node, max(h1.score * k.sim * 0.49) AS score FROM h1 JOIN knn k ON k.node = h1.node WHERE k.neighbour <> h1.seed AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.seed = h1.seed AND x.node = k.neighbour) GROUP BY 1, 2)
  SELECT seed, node, round(score, 6) AS score, 1 AS hop FROM h1 UNION ALL SELECT seed, node, round(score, 6), 2 FROM h2""")
 def multi_hop(spark, sf):
-    """Only nodes that a hop starts from are searched, as queries against all vectors."""
+    """Only nodes that a hop starts from are searched, as queries against all vectors, for their ten nearest."""
     e = table(spark, sf, "embeddings")
 
     def near(front):
-        found = V.scores(e, e.join(front.withColumnRenamed("node", "vec_id"), "vec_id", "left_semi").select(F.col("vec_id").alias("query"), "embedding"), None, min_score=0.3)
+        found = V.scores(e, e.join(front.withColumnRenamed("node", "vec_id"), "vec_id", "left_semi").select(F.col("vec_id").alias("query"), "embedding"), 11, min_score=0.3)
         return found.where("query <> id").select(F.col("query").alias("node"), F.col("id").alias("neighbour"), F.col("score").alias("sim"))
 
     seeds = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("node"))
-    return G.expand_hops(seeds, near).select("seed", "node", six("score"), "hop")
+    return G.expand_hops(seeds, near, k=10).select("seed", "node", six("score"), "hop")
 
 
 @query("bfs_focus", f"WITH RECURSIVE {EDGES}, bo AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, hop) AS (SELECT 7, 0 UNION SELECT bo.b, r.hop + 1 FROM r JOIN bo ON bo.a = r.node WHERE r.hop < 2) SELECT node, min(hop) AS hop FROM r GROUP BY 1")
@@ -99,10 +99,12 @@ def edges_within(spark, sf):
     return e.join(ids.withColumnRenamed("item_id", "a"), "a", "left_semi").join(ids.withColumnRenamed("item_id", "b"), "b", "left_semi").select("a", "b")
 
 
-@query("neighbor_edges", f"WITH {EDGES}, w AS (SELECT a, b, 1 + (a * 7 + b * 3) % 5 AS weight FROM e) SELECT a, b, weight FROM w WHERE a IN (7, 11) OR b IN (7, 11) ORDER BY weight DESC, a, b LIMIT 30")
+@query("neighbor_edges", f"""WITH {EDGES}, w AS (SELECT a, b, 1 + (a * 7 + b * 3) % 5 AS weight FROM e), t AS (SELECT *, CASE WHEN a NOT IN (7, 11) THEN a WHEN b NOT IN (7, 11) THEN b END AS neighbour, row_number() OVER (ORDER BY weight DESC, a, b) AS k FROM w WHERE weight >= 2 AND (a IN (7, 11) OR b IN (7, 11))),
+ n AS (SELECT neighbour FROM t WHERE neighbour IS NOT NULL GROUP BY 1 ORDER BY min(k) LIMIT 12) SELECT a, b, weight, neighbour FROM t WHERE neighbour IS NULL OR neighbour IN (FROM n) ORDER BY k LIMIT 15""")
 def neighbor_edges(spark, sf):
+    """Twelve new neighbours of two users and fifteen edges at most, the heaviest first."""
     e = purchase_edges(spark, sf).withColumn("weight", 1 + (F.col("a") * 7 + F.col("b") * 3) % 5)
-    return G.touching_edges(e, spark.createDataFrame([(7,), (11,)], "node long"), 30)
+    return G.neighbour_edges(e, spark.createDataFrame([(7,), (11,)], "node long"), min_weight=2, max_edges=15, max_neighbours=12)
 
 
 @query("exact_duplicates", "SELECT sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")

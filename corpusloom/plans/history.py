@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.operators import history as H
+from corpusloom.operators.ordered import append_in_order
 from corpusloom.plans.registry import query
 from corpusloom.session import table
 from corpusloom.streaming import events as E
@@ -369,15 +370,18 @@ def own_changes_suppressed(spark, sf):
     e = table(spark, sf, "events").select("event_id", "event_type", F.col("user_id").alias("path"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"))
     return E.not_our_own(e.where("event_type <> 'purchase'"), e.where("event_type = 'purchase'"), 36_000.0).select("event_id")
 
-@query("message_sort_order", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS sort_order FROM conversations")
+@query("message_sort_order", "WITH o AS (SELECT conv_id, max(turn) * 10 AS last FROM conversations WHERE turn < 2 AND conv_id % 3 <> 0 GROUP BY 1) SELECT conv_id, turn, coalesce(last, 0) + row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS sort_order FROM conversations LEFT JOIN o USING (conv_id) WHERE turn >= 2")
 def message_sort_order(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")).cast("long").alias("sort_order"))
+    """Later turns are appended to the stored first two, which are stored ten apart and not for every conversation."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn")
+    stored = c.where("turn < 2 AND conv_id % 3 <> 0").withColumn("sort_order", F.col("turn") * 10)
+    return append_in_order(stored, c.where("turn >= 2"), "conv_id", ["turn"])
 
 
 @query("rate_limit_window", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) <= 5 AS allowed FROM events")
 def rate_limit_window(spark, sf):
-    e = table(spark, sf, "events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    return e.select("event_id", (F.count("*").over(W.partitionBy("user_id").orderBy("s").rangeBetween(-3600, 0)) <= 5).alias("allowed"))
+    e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"))
+    return H.rate_limited(e, 5, 3600.0).select("event_id", "allowed")
 
 
 @query("list_conversations", "SELECT conv_id, count(*) AS messages, max(turn) AS last_turn FROM conversations GROUP BY 1 ORDER BY messages DESC, conv_id LIMIT 20")

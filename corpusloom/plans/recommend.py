@@ -182,8 +182,8 @@ NEAREST = "WITH c AS (SELECT label, list(x ORDER BY pos) AS centroid FROM (SELEC
 
 def nearest_folder(spark, sf):
     e = table(spark, sf, "embeddings")
-    centres = [(r["label"], list(r["centroid"])) for r in V.centroids(e, "label").collect()]  # one row a folder
-    return V.best_of_few(e, centres, 1).select(F.col("vec_id").alias("doc_id"), F.col("folder").cast("string").alias("folder"), F.col("score").alias("cosine"))
+    centres = V.centroids(e, "label").select(F.col("label").cast("long").alias("folder"), F.col("centroid").alias("embedding"))
+    return V.best_folders(e, centres, 1).select(F.col("vec_id").alias("doc_id"), F.col("folder").cast("string").alias("folder"), F.col("score").alias("cosine"))
 
 
 @query("category_override", NEAREST + HIST.replace("WITH h AS", ", h AS", 1) + "SELECT h.doc_id, CASE WHEN cosine >= 0.3 AND cosine > CASE WHEN ext = 'txt' THEN 0 ELSE confidence / 100.0 END THEN CAST(folder AS VARCHAR) ELSE CASE WHEN ext = 'txt' THEN 'Unknown' ELSE category END END AS category FROM h LEFT JOIN n ON n.doc_id = h.doc_id")
@@ -226,6 +226,27 @@ def rule_category(spark, sf):
     return history(spark, sf).select("doc_id", R.rule_category(F.col("file_name"), F.col("ext"), keywords, {"csv": "Tables", "png": "Pictures"}).alias("category"))
 
 
+#: Parts in the role of files and of folders: folders are first words of names, with what the parts of one have in common.
+PARTS = "fi AS (SELECT p_partkey AS file, replace(p_name, ' ', '_') || '-' || lower(p_type) || '.' || CASE p_partkey % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'csv' ELSE 'txt' END AS name FROM part), fo AS (SELECT string_split(p_name, ' ')[1] AS folder, 'things like ' || min(string_split(p_name, ' ')[2]) || ', also .' || CASE WHEN min(p_size) % 2 = 0 THEN 'pdf' ELSE 'csv' END AS description, [min(string_split(p_name, ' ')[2]), 'txt'] AS tags, [max(lower(p_type)), '.pdf'] AS keywords, '/' || min(p_type) || '/' || max(string_split(p_name, ' ')[2]) AS path, max(p_type) || ' goods' AS category, [max(string_split(p_name, ' ')[1])] AS related, max(p_size) / 51.0 AS confidence FROM part GROUP BY 1)"
+
+
+@query("folder_scores", f"""WITH {PARTS}, x AS (SELECT file, name, folder, string_split(name, '.')[-1] AS ext, fo.* EXCLUDE (folder) FROM fi, fo),
+ s AS (SELECT file, folder, (CASE WHEN contains(name, folder) THEN 10 ELSE 0 END + 8 * len(list_filter(string_split_regex(folder, '[\\s_-]+'), lambda w: length(w) > 2 AND contains(name, w))) + 6 * len(list_filter(string_split_regex(description, '[\\s,.-]+'), lambda w: length(w) > 3 AND contains(name, w)))
+ + CASE WHEN contains(description, ext) THEN 15 ELSE 0 END + 5 * len(list_filter(tags, lambda w: contains(name, w))) + 10 * len(list_filter(tags, lambda w: w = ext OR w = '.' || ext)) + 4 * len(list_filter(keywords, lambda w: contains(name, w))) + 12 * len(list_filter(keywords, lambda w: w = ext OR w = '.' || ext))
+ + 3 * len(list_filter(string_split(lower(path), '/'), lambda w: length(w) > 2 AND contains(name, w))) + 2 * len(list_filter(string_split_regex(lower(category), '[\\s_-]+'), lambda w: length(w) > 2 AND contains(name, w))) + len(list_filter(related, lambda w: contains(name, w)))) * CASE WHEN confidence > 0.8 THEN 1.2 ELSE 1.0 END AS score FROM x)
+ SELECT file, folder, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY round(score, 6) DESC, folder) AS rn FROM s WHERE score >= 5) WHERE rn = 1""")
+def folder_scores(spark, sf):
+    p = table(spark, sf, "part").withColumn("w", F.split("p_name", " "))
+    kind = F.element_at(F.array(F.lit("pdf"), F.lit("csv"), F.lit("txt")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    files = p.select(F.col("p_partkey").alias("file"), F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("-"), F.lower("p_type"), F.lit("."), kind).alias("name"))
+    second = F.col("w")[1]
+    folders = p.groupBy(F.col("w")[0].alias("folder")).agg(
+        F.concat(F.lit("things like "), F.min(second), F.lit(", also ."), F.when(F.min("p_size") % 2 == 0, "pdf").otherwise("csv")).alias("description"), F.array(F.min(second), F.lit("txt")).alias("tags"),
+        F.array(F.max(F.lower("p_type")), F.lit(".pdf")).alias("keywords"), F.concat(F.lit("/"), F.min("p_type"), F.lit("/"), F.max(second)).alias("path"), F.concat(F.max("p_type"), F.lit(" goods")).alias("category"), F.array(F.max(F.col("w")[0])).alias("related"), (F.max("p_size") / 51.0).alias("confidence"),
+    )
+    return R.score_folders(files, folders).select("file", "folder", F.round("score", 6).alias("score"))
+
+
 @query("rule_keywords", HIST + "SELECT doc_id, list_slice(list_filter(['' || replace(category, '_', ' '), 'doc' || doc_id, 'tag' || (doc_id % 7)], lambda w: length(w) > 2), 1, 10) AS keywords FROM h")
 def rule_keywords(spark, sf):
     h = history(spark, sf)
@@ -286,14 +307,14 @@ def unique_names(spark, sf):
     return R.unique_names(e, dir_col="dir", name_col="name", order_col="event_id")
 
 
-@query("folder_cascade", NEAREST + """, f AS (SELECT doc_id AS file, list_distinct(list_transform(list_slice(string_split_regex(text, '[^A-Za-z]+'), 1, 40), lambda w: lower(w))) AS words FROM documents), d AS (SELECT n_name AS folder, unnest(list_distinct(string_split_regex(lower(n_name || ' of the land that was'), '\\W+'))) AS w FROM nation),
+@query("folder_cascade", NEAREST + """, f AS (SELECT doc_id AS file, list_distinct(list_transform(string_split_regex(text, '[^A-Za-z]+'), lambda w: lower(w))) AS words FROM documents), d AS (SELECT n_name AS folder, unnest(list_distinct(string_split_regex(lower(n_name || ' of the land that was'), '\\W+'))) AS w FROM nation),
  v AS (SELECT doc_id AS file, folder, cosine FROM n WHERE cosine >= 0.3), m AS (SELECT doc_id AS file, lang AS folder, 0.5 AS score FROM documents WHERE doc_id % 3 = 0),
  h AS (SELECT file, folder, count(*) AS c, row_number() OVER (PARTITION BY file ORDER BY count(*) DESC, folder) AS rn FROM (SELECT file, unnest(words) AS w FROM f) x JOIN d USING (w) WHERE length(w) > 2 GROUP BY 1, 2)
  SELECT f.file, coalesce(CAST(v.folder AS VARCHAR), m.folder, h.folder) AS folder, round(coalesce(v.cosine, m.score, h.c), 6) AS score, CASE WHEN v.folder IS NOT NULL THEN 'vector' WHEN m.folder IS NOT NULL THEN 'model' WHEN h.folder IS NOT NULL THEN 'words' END AS method FROM f LEFT JOIN v USING (file) LEFT JOIN m USING (file) LEFT JOIN (SELECT * FROM h WHERE rn = 1) h USING (file)""")
 def folder_cascade(spark, sf):
     """Clusters are folders for vectors, languages a model's answer for every third file, nations the folders that words meet."""
     docs = table(spark, sf, "documents")
-    files = docs.select(F.col("doc_id").alias("file"), F.slice(F.split("text", "[^A-Za-z]+"), 1, 40).alias("words"))
+    files = docs.select(F.col("doc_id").alias("file"), F.split("text", "[^A-Za-z]+").alias("words"))
     near = nearest_folder(spark, sf).select(F.col("doc_id").alias("file"), "folder", "cosine")
     modelled = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("file"), F.col("lang").alias("folder"), F.lit(0.5).alias("score"))
     folders = table(spark, sf, "nation").select(F.col("n_name").alias("folder"), F.concat("n_name", F.lit(" of the land that was")).alias("text"))

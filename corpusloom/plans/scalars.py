@@ -266,11 +266,11 @@ def token_budget(spark, sf):
     return docs(spark, sf).select("doc_id", T.estimated_tokens(F.col("text")).cast("long").alias("tokens"), (F.length("text") / 3.5 > budget).alias("over"), F.length(F.substring("text", 1, int(budget * 3.5))).cast("long").alias("kept"))
 
 
-@query("query_intent", r"SELECT conv_id, turn, length(text) <= 100 AND regexp_matches(lower(trim(text)), '^(hi|hello|thanks|the|is)\b') AS conversational, length(text) <= 300 AND regexp_matches(lower(trim(text)), '\b(compare|versus|vs|than|differ)\b') AS comparison, length(text) <= 300 AND regexp_matches(lower(trim(text)), '\b(missing|gap|lack)\b') AS gap FROM conversations")
+@query("query_intent", r"SELECT conv_id, turn, length(text) <= 100 AND regexp_matches(lower(trim(text)), '^(hi|hello|thanks|the|is)\b') AS conversational, length(text) <= 300 AND regexp_matches(lower(trim(text)), '\b(compare|versus|vs|than|differ)\b') AS comparison, length(text) <= 300 AND regexp_matches(lower(trim(text)), '\b(missing|gap|lack)\b') AS gap, length(text) <= 300 AND regexp_matches(lower(trim(text)), '\b(all|overall|every)\b') AS holistic, length(text) <= 200 AND regexp_matches(lower(trim(text)), '^(no|actually|not that|at)\b') AS correction FROM conversations")
 def query_intent(spark, sf):
     """Phrases are the caller's; these are enough for the test tables."""
     t = F.col("text")
-    return table(spark, sf, "conversations").select("conv_id", "turn", T.any_phrase(t, ("hi", "hello", "thanks", "the", "is"), 100, at_start=True).alias("conversational"), T.any_phrase(t, ("compare", "versus", "vs", "than", "differ"), 300).alias("comparison"), T.any_phrase(t, ("missing", "gap", "lack"), 300).alias("gap"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.any_phrase(t, ("hi", "hello", "thanks", "the", "is"), 100, at_start=True).alias("conversational"), T.any_phrase(t, ("compare", "versus", "vs", "than", "differ"), 300).alias("comparison"), T.any_phrase(t, ("missing", "gap", "lack"), 300).alias("gap"), T.any_phrase(t, ("all", "overall", "every"), 300).alias("holistic"), T.any_phrase(t, ("no", "actually", "not that", "at"), 200, at_start=True).alias("correction"))
 
 @query("embedding_summary", HIST + "SELECT doc_id, substring(concat_ws(chr(10), category, array_to_string(tags, ', '), file_name, nullif(substring(text, 1, 2000), '')), 1, 4000) AS summary FROM h")
 def embedding_summary(spark, sf):

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.operators import ordered as O
 from corpusloom.plans.registry import query
 from corpusloom.session import table
 from corpusloom.streaming import events as E
+from corpusloom.streaming import stateful as S
 
 
 def events(spark, sf):
@@ -104,6 +106,57 @@ def circuit_state(spark, sf):
     return E.circuit_states(events(spark, sf), failures=2, open_s=7200.0)
 
 
+@query("watched_events", r"""SELECT event_id FROM (SELECT event_id, CASE event_id % 9 WHEN 0 THEN '~$d.docx' WHEN 1 THEN 'a.PDF.part' WHEN 2 THEN 'note.txt~' WHEN 3 THEN 'Thumbs.db' WHEN 4 THEN '#x#' ELSE 'report.' || CASE event_id % 2 WHEN 0 THEN 'PDF' ELSE 'txt' END END AS name FROM events) WHERE NOT regexp_matches(lower(name), '(^~\$)|(\.part$)|(~$)|(^thumbs\.db$)|(^#.*#$)') AND lower(string_split(name, '.')[-1]) IN ('pdf', 'docx')""")
+def watched_events(spark, sf):
+    """Files of two extensions, without temporary and system files."""
+    names = F.array(*map(F.lit, ("~$d.docx", "a.PDF.part", "note.txt~", "Thumbs.db", "#x#")))
+    name = F.when(F.col("event_id") % 9 < 5, F.get(names, (F.col("event_id") % 9).cast("int"))).otherwise(F.concat(F.lit("report."), F.when(F.col("event_id") % 2 == 0, "PDF").otherwise("txt")))
+    e = events(spark, sf).select("event_id", F.concat(F.lit("/in/"), name).alias("path"))
+    return E.watched(e, extensions=("pdf", "docx")).select("event_id")
+
+
+ITEMS = "SELECT CAST(user_id % 50 AS VARCHAR) AS queue, event_id AS id, event_type || (event_id % 2) AS key, CAST(floor(epoch_us(ts) / 1e6 / 36000) AS BIGINT) AS tick, event_id % 10 <> 9 AS ok, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS k FROM events"
+ROW, GONE = 'STRUCT("key" VARCHAR, id BIGINT)[]', "STRUCT(id BIGINT, outcome VARCHAR, tick BIGINT)[]"
+
+
+def gone(id_: str, outcome: str) -> str:
+    return f"CAST([struct_pack(id := {id_}, outcome := '{outcome}', tick := tick)] AS {GONE})"
+
+
+@query("queue_outcomes", f"""WITH RECURSIVE e AS ({ITEMS}),
+ f AS (SELECT queue, k, tick, CASE WHEN ok THEN CAST([struct_pack("key" := key, id := id)] AS {ROW}) ELSE CAST([] AS {ROW}) END AS held, CASE WHEN ok THEN CAST([] AS {GONE}) ELSE {gone("id", "failed")} END AS gone FROM e WHERE k = 1 UNION ALL
+ SELECT queue, k, tick, CASE WHEN NOT ok THEN rest WHEN pos > 0 THEN list_concat(rest[: pos - 1], [struct_pack("key" := key, id := id)], rest[pos + 1 :]) ELSE list_append(rest[CASE WHEN len(rest) < 3 THEN 1 ELSE 2 END :], struct_pack("key" := key, id := id)) END,
+ list_concat(flushed, CASE WHEN NOT ok THEN {gone("id", "failed")} WHEN pos > 0 THEN {gone("rest[pos].id", "replaced")} WHEN len(rest) >= 3 THEN {gone("rest[1].id", "dropped")} ELSE CAST([] AS {GONE}) END)
+ FROM (SELECT *, coalesce(list_position(list_transform(rest, lambda x: x.key), key), 0) AS pos FROM (SELECT e.queue, e.k, e.tick, e.ok, e.key, e.id, f.held[least(len(f.held), (e.tick - f.tick) * 2) + 1 :] AS rest,
+ CAST(list_transform(range(1, least(len(f.held), (e.tick - f.tick) * 2) + 1), lambda i: struct_pack(id := f.held[i].id, outcome := 'flushed', tick := f.tick + 1 + (i - 1) // 2)) AS {GONE}) AS flushed FROM f JOIN e ON e.queue = f.queue AND e.k = f.k + 1))),
+ l AS (SELECT queue, held, tick FROM f WHERE (queue, k) IN (SELECT (queue, max(k)) FROM e GROUP BY queue)),
+ g AS (SELECT queue, unnest(gone) AS g FROM f UNION ALL SELECT queue, unnest(list_transform(range(1, len(held) + 1), lambda i: struct_pack(id := held[i].id, outcome := 'flushed', tick := tick + 1 + (i - 1) // 2))) FROM l)
+ SELECT queue, g.id AS id, g.outcome AS outcome, CAST(g.tick AS BIGINT) AS tick FROM g""")
+def queue_outcomes(spark, sf):
+    """Fifty queues of three keys, two of which leave every ten hours; every tenth item is refused as it comes."""
+    e = events(spark, sf).select((F.col("user_id") % 50).cast("string").alias("queue"), F.col("event_id").alias("id"), F.concat("event_type", (F.col("event_id") % 2).cast("string")).alias("key"), "ts")
+    return S.queued(e, S.QueueRule(2, 36_000.0, 3), valid=F.col("id") % 10 != 9)
+
+
+@query("move_correlation")
+def move_correlation(spark, sf):
+    """Errors stand for deletes and sign-ups for adds, which come up to two hours later; four deletes of one size wait at most."""
+    path = F.concat(F.lit("/d/F"), (F.col("user_id") % 10).cast("string"), F.when(F.col("user_id") % 2 == 0, ".txt").otherwise(".PDF"))
+    kind = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "signup", "add")
+    f = events(spark, sf).select(F.col("event_id").alias("id"), kind.alias("kind"), path.alias("path"), (F.from_json("props", "k long")["k"] % 20).alias("size"), "ts", (us("ts") / 1e6).alias("mtime"))
+    return S.correlated_moves(f.where("kind IS NOT NULL"), S.MoveRule(7_200.0, 7_200.0, 4)).select("deleted", "added", "outcome")
+
+
+@query("head_batches", """WITH q AS (SELECT user_id % 5 AS queue, event_id, CASE WHEN event_type IN ('view', 'click') THEN 'image' ELSE 'document' END AS kind, row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) AS k FROM events),
+ r AS (SELECT *, k - row_number() OVER (PARTITION BY queue, kind ORDER BY k) AS run FROM q), s AS (SELECT *, (row_number() OVER (PARTITION BY queue, kind, run ORDER BY k) - 1) % CASE kind WHEN 'image' THEN 3 ELSE 2 END = 0 AS head FROM r)
+ SELECT queue, event_id, kind, CAST(sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY queue ORDER BY k) AS BIGINT) AS batch FROM s""")
+def head_batches(spark, sf):
+    """Views and clicks stand for pictures: three of them in a row are a batch, or two others."""
+    q = events(spark, sf).select((F.col("user_id") % 5).alias("queue"), "event_id", "event_type", "ts")
+    kind = F.when(F.col("event_type").isin("view", "click"), "image").otherwise("document")
+    return O.head_batches(q, kind, {"image": 3, "document": 2}, ["ts", "event_id"]).select("queue", "event_id", "kind", "batch")
+
+
 # Relational extras over the generic tables.
 
 

@@ -88,8 +88,7 @@ def score_ids(spark, sf):
 def files_to_folders_topk(spark, sf):
     """Folders (cluster means) are few; each file's three best come from one matrix product."""
     folders = V.centroids(vectors(spark, sf), "label").select(F.col("label").cast("long").alias("folder"), F.col("centroid").alias("embedding"))
-    rows = [(r["folder"], r["embedding"]) for r in folders.collect()]  # one row a folder
-    return V.best_of_few(vectors(spark, sf), rows, 3).select("vec_id", F.col("folder").cast("int").alias("folder"), six("score"))
+    return V.best_folders(vectors(spark, sf), folders, 3).select("vec_id", F.col("folder").cast("int").alias("folder"), six("score"))
 
 
 @query("similar_to_row", f"SELECT query, vec_id, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rn FROM ({SEARCH})) WHERE rn <= 5")
@@ -177,24 +176,22 @@ def cross_cluster_edges(spark, sf):
     return V.similar_pairs(c, -0.05, id_col="label", vec_col="centroid").select(F.col("a").cast("int"), F.col("b").cast("int"), six("score"))
 
 
-@query("bridge_files", f"WITH {CENTRE} SELECT label, other, vec_id, score FROM (SELECT e.label, c.label AS other, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), c.centroid), 2) AS score, row_number() OVER (PARTITION BY e.label, c.label ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), c.centroid), 2) DESC, vec_id) AS rn FROM embeddings e JOIN c ON c.label <> e.label) WHERE rn <= 3 AND score >= 0.1")
+def clusters(spark, sf):
+    return V.centroids(vectors(spark, sf), "label").select(F.col("label").cast("long").alias("folder"), F.col("centroid").alias("embedding"))
+
+
+@query("bridge_files", f"WITH {CENTRE}, m AS (SELECT vec_id, e.label, row_number() OVER (PARTITION BY e.label ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), c.centroid), 6) DESC, vec_id) AS near FROM embeddings e JOIN c USING (label)) SELECT label, other, vec_id, score FROM (SELECT e.label, c.label AS other, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), c.centroid), 2) AS score, row_number() OVER (PARTITION BY e.label, c.label ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), c.centroid), 2) DESC, vec_id) AS rn FROM (SELECT e.* FROM embeddings e JOIN m USING (vec_id) WHERE near <= 50) e JOIN c ON c.label <> e.label) WHERE rn <= 3 AND score >= 0.1")
 def bridge_files(spark, sf):
-    """For every other cluster the three members nearest to its centre, rounded before they are ranked."""
-    rows = [(r["label"], list(r["centroid"])) for r in V.centroids(vectors(spark, sf), "label").collect()]  # one row a cluster
-    s = V.best_of_few(vectors(spark, sf), rows, None).join(vectors(spark, sf).select("vec_id", "label"), "vec_id")
-    s = s.where("folder <> label").select("label", F.col("folder").cast("int").alias("other"), "vec_id", F.round("score", 2).alias("score"))
-    w = W.partitionBy("label", "other").orderBy(F.desc("score"), "vec_id")
-    return s.withColumn("rn", F.row_number().over(w)).where("rn <= 3 AND score >= 0.1").drop("rn")
+    return V.bridges(vectors(spark, sf), clusters(spark, sf), threshold=0.1, least=0.0, margin=0.0).select("label", F.col("other").cast("int").alias("other"), "vec_id", "score")
 
 
-@query("semantic_duplicates", f"SELECT query, vec_id FROM ({SEARCH}) WHERE vec_id <> query AND score >= 0.5")
+@query("semantic_duplicates", f"SELECT query, vec_id FROM ({SEARCH}) WHERE vec_id <> query AND score >= 0.35")
 def semantic_duplicates(spark, sf):
-    near = V.scores(vectors(spark, sf), queries(spark, sf), None, min_score=0.5)
+    near = V.scores(vectors(spark, sf), queries(spark, sf), None, min_score=0.35)
     return near.where("id <> query").select("query", F.col("id").alias("vec_id"))
 
 
 @query("semantic_folder_matches", f"WITH {CENTRE} SELECT vec_id, c.label AS folder, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid) * 0.9, 5) AS score FROM embeddings, c WHERE list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid) * 0.9 >= 0.2")
 def semantic_folder_matches(spark, sf):
-    rows = [(r["label"], list(r["centroid"])) for r in V.centroids(vectors(spark, sf), "label").collect()]  # one row a cluster
-    s = V.best_of_few(vectors(spark, sf), rows, None)
+    s = V.best_folders(vectors(spark, sf), clusters(spark, sf), None)
     return s.where("score * 0.9 >= 0.2").select("vec_id", F.col("folder").cast("int").alias("folder"), F.round(F.col("score") * 0.9, 5).alias("score"))

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corpusloom.functions.text import temporary_file
 from corpusloom.operators.folds import fold_in_order
+from corpusloom.operators.ordered import within_after
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -29,10 +31,15 @@ def wanted(events: DataFrame) -> DataFrame:
     return events.where("event_type <> 'error' AND value IS NOT NULL")
 
 
+def watched(events: DataFrame, *, extensions: tuple[str, ...] | None = None, path: str = "path") -> DataFrame:
+    """Events of files that a watcher looks at: no temporary or system files, and only these extensions (without dots) if given."""
+    rows = events.where(~F.coalesce(temporary_file(F.col(path)), F.lit(True)))
+    return rows if extensions is None else rows.where(F.lower(F.regexp_extract(path, r"[^/\\\\]\.([^./\\\\]+)$", 1)).isin(*extensions))
+
+
 def not_our_own(events: DataFrame, operations: DataFrame, cooldown_s: float = 5.0) -> DataFrame:
     """Events (path, s, ...) but for those within ``cooldown_s`` after an operation (path, s) of ours on the same path."""
-    o = operations.select(F.col("path").alias("_path"), F.col("s").alias("_s"))
-    return events.join(o, (F.col("path") == F.col("_path")) & (F.col("s") >= F.col("_s")) & (F.col("s") < F.col("_s") + cooldown_s), "left_anti")
+    return within_after(events, operations, "path", "s", cooldown_s, "_ours").where("NOT _ours").drop("_ours")
 
 
 def debounced(events: DataFrame, gap: str = "1 hour", watermark: str | None = None) -> DataFrame:
@@ -195,11 +202,13 @@ def undo_log(actions: DataFrame, limit: int = 50) -> DataFrame:
     return fold_in_order(actions, "session", ["seq"], ["seq", "kind"], "session long, seq long, done boolean", start=lambda: ([], 0), step=step, finish=lambda s: [(seq, k < s[1]) for k, seq in enumerate(s[0])])
 
 
-def flush_queue(items: DataFrame, write, *, size: int = 50, capacity: int = 500, high: float = 0.75, full: float = 0.9) -> dict[str, object]:
+def flush_queue(items: DataFrame, write, *, refuse=None, size: int = 50, capacity: int = 500, high: float = 0.75, full: float = 0.9) -> dict[str, object]:
     """One micro-batch of an embedding queue, for ``foreachBatch``: the newest row of each key, in batches of ``size``.
 
     ``write(rows)`` gets the kept rows with their batch number. Of more than ``capacity`` keys
-    the latest are refused. Returns counts and the pressure: ok, high or full.
+    the latest are refused: ``refuse(rows)`` gets them, to be tried again or kept as failed.
+    Returns counts and the pressure: ok, high or full. For a queue that lasts from batch to
+    batch see ``streaming.stateful``.
     """
     w = Window.partitionBy("key").orderBy(F.desc("ts"), F.desc("id"))
     newest = items.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
@@ -211,6 +220,8 @@ def flush_queue(items: DataFrame, write, *, size: int = 50, capacity: int = 500,
     placed = placed.drop("_part", "_before")
     write(placed.where(F.col("place") < capacity).withColumn("batch", F.floor(F.col("place") / size)).drop("place"))
     n = newest.count()
+    if refuse is not None and n > capacity:
+        refuse(placed.where(F.col("place") >= capacity).drop("place"))
     kept = min(n, capacity)
     return {"kept": kept, "refused": n - kept, "batches": -(-kept // size), "pressure": "full" if n > full * capacity else "high" if n > high * capacity else "ok"}
 
