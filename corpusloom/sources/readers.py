@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from corpusloom.sources.scans import with_contents
+
 MAX_TEXT = 500_000
 #: Where the texts of zipped formats are, as patterns of member names.
 ZIPPED_TEXT = {
@@ -28,7 +30,10 @@ ZIPPED_TEXT = {
 
 
 def scan(spark: SparkSession, folder: str, pattern: str = "*", ignore: tuple[str, ...] = (), max_files: int | None = None, max_depth: int | None = None) -> DataFrame:
-    """(path, length, modified, content) of the files below a folder; ``max_files`` takes the first by path."""
+    """(path, length, modified, content) of the files below a folder; ``max_files`` takes the first by path.
+
+    With ``max_files`` only the chosen files are read. For scans with a deadline see ``sources.scans``.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     files = files.select("path", "length", F.col("modificationTime").alias("modified"), "content")
     for part in ignore:
@@ -36,7 +41,7 @@ def scan(spark: SparkSession, folder: str, pattern: str = "*", ignore: tuple[str
     if max_depth is not None:
         below = F.size(F.split(F.regexp_replace("path", r"^[a-z]+:/+", "/"), "/")) - len(folder.rstrip("/").split("/")) - 1
         files = files.where(below <= max_depth)
-    return files.orderBy("path").limit(max_files) if max_files else files
+    return with_contents(files.select("path", "length", "modified").orderBy("path").limit(max_files)) if max_files else files
 
 
 def shortened(text: Column, most: int = MAX_TEXT) -> Column:
@@ -51,8 +56,9 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 def csv_text(spark: SparkSession, path: str, max_rows: int = 5_000, max_columns: int = 100) -> DataFrame:
     """(path, text): cells joined by blanks, rows by line feeds; the first rows and columns only, by design."""
-    rows = spark.read.csv(path, header=False, mode="PERMISSIVE", multiLine=True)
-    cells = F.concat_ws(" ", *[F.trim(c) for c in rows.columns[:max_columns]])
+    columns = [f"c{n}" for n in range(max_columns)]  # rows may differ in width, so no row says how many there are
+    rows = spark.read.csv(path, schema=", ".join(f"{c} string" for c in columns), header=False, mode="PERMISSIVE", multiLine=True)
+    cells = F.concat_ws(" ", *[F.trim(c) for c in columns])
     lines = rows.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("n"), cells.alias("line")).where("line <> ''")
     first = F.row_number().over(Window.partitionBy("path").orderBy("n"))
     lines = lines.withColumn("nth", first).where(F.col("nth") <= max_rows)  # so that a file's rows are few before they are gathered
@@ -83,6 +89,28 @@ def plain_rtf(rtf: str | None) -> str:
     return " ".join(t.split())
 
 
+def sheet_text(shared: str, sheets: list[str], max_rows: int = 10_000) -> str:
+    """A workbook's rows, a line each, cells by blanks: shared strings in their cells, the first rows of each sheet by design."""
+    plain = lambda x: " ".join(html.unescape("".join(re.findall(r"<t(?:\s[^>]*)?>(.*?)</t>", x, re.S))).split())
+    strings = [plain(x) for x in re.findall(r"<si(?:\s[^>]*)?>(.*?)</si>", shared, re.S)]
+    lines = []
+    for sheet in sheets:
+        for row in re.findall(r"<row(?:\s[^>]*)?>(.*?)</row>", sheet, re.S)[:max_rows]:
+            cells = []
+            for attributes, cell in re.findall(r"<c(\s[^>]*[^/>])?>(.*?)</c>", row, re.S):
+                kind = re.search(r'\bt="(\w+)"', attributes)
+                value = re.search(r"<v(?:\s[^>]*)?>(.*?)</v>", cell, re.S)
+                if kind and kind[1] == "inlineStr":
+                    cells.append(plain(cell))
+                elif value and kind and kind[1] == "s":
+                    at = int(value[1]) if value[1].strip().isdigit() else len(strings)
+                    cells.append(strings[at] if at < len(strings) else "")
+                elif value:
+                    cells.append(" ".join(html.unescape(value[1]).split()))
+            lines.append(" ".join(c for c in cells if c))
+    return "\n".join(x for x in lines if x)
+
+
 def zipped_text(kind: str, content: bytes) -> str:
     """Text of a zipped document's parts in their order; '' if it cannot be read."""
     try:
@@ -90,6 +118,9 @@ def zipped_text(kind: str, content: bytes) -> str:
             number = lambda n: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", n)]
             names = sorted((n for n in z.namelist() if re.fullmatch(ZIPPED_TEXT.get(kind, "$^"), n)), key=number)
             raw = [z.read(n).decode("utf-8", "replace") for n in names]
+            if kind == "xlsx":
+                shared = [x for n, x in zip(names, raw, strict=True) if "sharedStrings" in n]
+                return sheet_text("".join(shared), [x for n, x in zip(names, raw, strict=True) if "sharedStrings" not in n])
     except (zipfile.BadZipFile, OSError, NotImplementedError, RuntimeError):
         return ""
     spaced = (re.sub(r"</(w:p|a:p|text:p|text:h|p|h\d|row|si|div)>", "\n", x) for x in raw)
