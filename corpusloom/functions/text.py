@@ -1,8 +1,9 @@
-"""Column functions over text, names, lists, dates and numbers; no UDFs but the phonetic code."""
+"""Column functions over text, names, lists, dates and numbers; no UDFs but the phonetic code and composed letters."""
 
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -51,7 +52,135 @@ def preview(text: Column, n: int = 100) -> Column:
 
 
 def parts(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda w: w != "")
+    """Runs of letters and digits of any script, lower-cased."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def normal_text(text: Column, most: int | None = None) -> Column:
+    """Without NUL, runs of white space as one blank, trimmed, cut at ``most`` code points. For composed letters see ``composed``."""
+    t = F.trim(F.regexp_replace(F.replace(text, F.lit("\0"), F.lit("")), r"[ \t\r\n]+", " "))
+    return t if most is None else F.substring(t, 1, most)
+
+
+@F.pandas_udf(StringType())
+def composed(texts: pd.Series) -> pd.Series:
+    """Unicode's composed form (NFC); null for null."""
+    return pd.Series([None if t is None else unicodedata.normalize("NFC", t) for t in texts], dtype=object)
+
+
+#: How many characters of a file's metadata are kept, and how many words of how many characters.
+METADATA_LIMITS = {"name": 255, "category": 100, "subject": 200, "summary": 1_000, "type": 100, "model": 100, "fileExtension": 20}
+LIST_LIMITS = {"tags": 15, "keywords": 15, "keyEntities": 20}
+
+
+def limited_metadata(values: dict[str, Column]) -> dict[str, Column]:
+    """Metadata by name, within its limits: texts made normal and cut, lists of distinct words of 50 characters; other names as they are."""
+    cut = lambda words: F.transform(words, lambda w: F.substring(F.trim(w), 1, 50))
+    out = {}
+    for name, c in values.items():
+        if name in METADATA_LIMITS:
+            c = normal_text(c, METADATA_LIMITS[name])
+        elif name in LIST_LIMITS:
+            c = distinct_keywords(cut(c), LIST_LIMITS[name])
+        out[name] = c
+    return out
+
+
+def case_convention(text: Column, kind: str) -> Column:
+    """A name's words by a convention: kebab, snake, camel, pascal, lower or upper; as it is for another one."""
+    spaced = F.array_join(parts(text), " ")
+    return {"kebab": kebab(text), "snake": snake(text), "camel": camel(text), "pascal": pascal(text), "lower": spaced, "upper": F.upper(spaced)}.get(kind, text)
+
+
+def base_name(path: Column) -> Column:
+    """What stands after the last slash or back slash."""
+    return F.regexp_extract(path, r"([^/\\]*)$", 1)
+
+
+def extension_of(name: Column) -> Column:
+    """The lower-cased extension with its dot; '' without one, or if the name begins with its only dot."""
+    return F.lower(F.regexp_extract(name, r"^.+(\.[^.]*)$", 1))
+
+
+def fitted_name(name: Column, most: int = 255, *, unnamed: str = "unnamed") -> Column:
+    """A file's name within ``most`` characters: its stem is cut, at its last blank, dash or underline beyond the half; a blank name gets one."""
+    name = F.coalesce(F.nullif(F.trim(name), F.lit("")), F.lit(unnamed))
+    ext = F.regexp_extract(name, r"(\.[^.]*)$", 1)
+    room = F.lit(most) - F.length(ext) - 1
+    cut = F.substring(name, F.lit(1), F.least(room, F.length(name) - F.length(ext)))
+    at = F.length(F.regexp_extract(cut, r"(?s)^(.*)[ _-][^ _-]*$", 1))
+    stem = F.trim(F.when(at > room * 0.5, F.substring(cut, F.lit(1), at)).otherwise(cut))
+    return F.when(F.length(name) <= most, name).when(room < 10, F.substring(name, 1, most)).otherwise(F.concat(stem, ext))
+
+
+#: Date formats of file names.
+DATE_FORMATS = {"YYYY-MM-DD": "yyyy-MM-dd", "MM-DD-YYYY": "MM-dd-yyyy", "DD-MM-YYYY": "dd-MM-yyyy", "YYYYMMDD": "yyyyMMdd"}
+
+
+def formatted_date(ts: Column, style: Column) -> Column:
+    """A time's day by one of DATE_FORMATS; an unknown style is the first of them."""
+    out = F.date_format(ts, "yyyy-MM-dd")
+    for name, pattern in DATE_FORMATS.items():
+        out = F.when(style == name, F.date_format(ts, pattern)).otherwise(out)
+    return out
+
+
+def effective_date(name: Column, *times: Column) -> Column:
+    """The date in a file's name (with dashes, else eight digits) if it is one, else the first of these times that is set."""
+    dashed = F.nullif(F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2})", 1), F.lit(""))
+    plain = F.regexp_replace(F.nullif(F.regexp_extract(name, r"(\d{8})", 1), F.lit("")), r"(\d{4})(\d{2})(\d{2})", "$1-$2-$3")
+    return F.coalesce(F.try_to_timestamp(F.coalesce(dashed, plain)), *times)
+
+
+def without_date(subject: Column) -> Column:
+    """A subject without the dates at its end and what joins them to it; as it is if nothing else would be left."""
+    short = F.regexp_replace(subject, r"(?:[\s_-]*(?:\d{4}-\d{2}-\d{2}|\d{2}-\d{2}-\d{4}|(?:19|20)\d{6}))+\s*$", "")
+    return F.when(F.trim(short) == "", subject).otherwise(short)
+
+
+def json_text(text: Column) -> Column:
+    """The text as a JSON string, in quotes."""
+    listed = F.to_json(F.array(F.coalesce(text, F.lit(""))))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def validated_analysis(json: Column) -> Column:
+    """(category, keywords, confidence) of a model's answer: only strings count as such, and only numbers from 0 to 100 as confidence.
+
+    The category is ``document`` if there is none, keywords are the strings that are not blank,
+    and the confidence is 70 if it is out of range or no number. What does not parse says nothing.
+    """
+    v = F.try_parse_json(json)
+    kind = lambda x: F.coalesce(F.schema_of_variant(x), F.lit(""))
+    part = lambda path: F.try_variant_get(v, path, "variant")
+    string = lambda x: F.when(kind(x) == "STRING", F.try_variant_get(x, "$", "string"))
+    number = F.when(kind(part("$.confidence")).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(v, "$.confidence", "double"))
+    words = F.transform(F.coalesce(F.try_variant_get(v, "$.keywords", "array<variant>"), F.array().cast("array<variant>")), string)
+    return F.struct(
+        F.coalesce(F.nullif(F.trim(string(part("$.category"))), F.lit("")), F.lit("document")).alias("category"),
+        F.filter(words, lambda w: w.isNotNull() & (F.trim(w) != "")).alias("keywords"),
+        F.when(number.between(0, 100), number).otherwise(70.0).alias("confidence"),
+    )
+
+
+#: Extensions that are worked on, by kind.
+EXTENSION_SETS = {
+    "image": ("jpg", "jpeg", "png", "gif", "bmp", "webp", "svg", "tiff", "ico", "heic"),
+    "document": ("pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "txt", "md", "rtf", "csv", "json", "xml", "yml", "yaml", "html", "css", "js", "ts", "sql", "py", "java", "c", "cpp", "h", "rb", "go", "rs", "php", "odt", "ods", "odp", "epub", "eml", "msg", "kml", "kmz", "sh", "bat", "ps1"),
+    "text": ("txt", "md", "rtf", "json", "csv", "xml", "yml", "yaml", "html", "css", "js", "ts", "sql", "py", "java", "c", "cpp", "h", "rb", "go", "rs", "php", "sh", "bat", "ps1", "ini", "log"),
+    "audio": ("mp3", "wav", "ogg", "m4a", "flac", "aac"),
+    "video": ("mp4", "mkv", "avi", "mov", "wmv", "webm"),
+    "archive": ("zip", "rar", "7z", "tar", "gz", "bz2"),
+    "3d": ("stl", "obj", "3mf", "scad", "gcode"),
+    "design": ("ai", "eps", "psd"),
+}
+
+
+def is_supported(ext: Column, *kinds: str) -> Column:
+    """Whether an extension, with or without its dot, is of one of these kinds; of ``analysed`` ones (text, document, image, archive) or ``all``."""
+    named = {"analysed": ("text", "document", "image", "archive"), "all": tuple(EXTENSION_SETS)}
+    wanted = sorted({e for k in kinds for n in named.get(k, (k,)) for e in EXTENSION_SETS[n]})
+    return F.coalesce(F.regexp_replace(F.lower(ext), r"^\.", "").isin(*wanted), F.lit(False))
 
 
 def titled(words: Column) -> Column:

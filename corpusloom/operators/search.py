@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import phonetic_code
 from corpusloom.operators.vectors import top_k
 from corpusloom.session import cut_lineage
 
@@ -296,6 +297,55 @@ def contradictions(sources: DataFrame, *, most: int = 5, by: str = "query") -> D
     return pairs.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy("a", "b"))).where(F.col("_n") <= most).drop("_n")
 
 
+def spelling(words: DataFrame, dictionary: DataFrame, *, stop: tuple[str, ...] = (), least: int = 5, phonetic_from: int | None = 8) -> DataFrame:
+    """(word, fixed): words (word), corrected by a dictionary (word, place).
+
+    Stop words, known words and words under ``least`` characters stay. Else the first word by
+    place, of ``least`` characters or more, that is one edit away; else, for words of
+    ``phonetic_from`` characters or more, that with the same phonetic code that is nearest in
+    length, the first by place; else the word itself. Words and dictionary meet on what is left
+    when one letter is deleted, so one edit is an equi-join.
+    """
+    w = words.select(F.col("word")).where(F.col("word").isNotNull()).distinct()
+    known = dictionary.select(F.lower("word").alias("known"), "place").groupBy("known").agg(F.min("place").alias("place"))
+    low = F.lower("word")
+    asked = w.where((F.length("word") >= least) & ~low.isin(*stop)) if stop else w.where(F.length("word") >= least)
+    asked = asked.join(known, low == F.col("known"), "left_anti")
+    long = known.where(F.length("known") >= least)
+    cuts = lambda c: F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(c.substr(F.lit(1), i - 1), c.substr(i + 1, F.length(c)))))
+    a = asked.select("word", F.explode(F.array_distinct(cuts(low))).alias("key"))
+    b = long.select("known", "place", F.explode(F.array_distinct(cuts(F.col("known")))).alias("key"))
+    near = a.join(b, "key").where(F.levenshtein(low, F.col("known")) == 1).groupBy("word").agg(F.min_by("known", "place").alias("near"))
+    out = w.join(near, "word", "left")
+    sound = F.lit(None).cast("string")
+    if phonetic_from is not None:
+        x = asked.where(F.length("word") >= phonetic_from).select("word", phonetic_code(low).alias("code"))
+        y = known.select("known", "place", phonetic_code("known").alias("code"))
+        best = F.struct(F.abs(F.length("word") - F.length("known")).alias("d"), "place")
+        out = out.join(x.join(y, "code").groupBy("word").agg(F.min_by("known", best).alias("sound")), "word", "left")
+        sound = F.col("sound")
+    return out.select("word", F.coalesce("near", sound, "word").alias("fixed"))
+
+
+def by_mode(queries: DataFrame, mode: str, *, keyword: Callable[[DataFrame], DataFrame], vector: Callable[[DataFrame], DataFrame], hybrid: Callable[[DataFrame], DataFrame], least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Results (query, id, score, rank, mode) of queries (query, text, embedding), and errors (query, error).
+
+    mode is bm25, vector or hybrid. A query without a vector is searched by keywords, whatever the
+    mode; one of fewer than ``least`` characters is an error. Each search is a function of queries.
+    """
+    if mode not in ("bm25", "vector", "hybrid"):
+        raise ValueError(f"no such mode: {mode}")
+    size = F.length(F.trim(F.coalesce("text", F.lit(""))))
+    good = queries.where(size >= least)
+    errors = queries.where(size < least).select("query", F.lit("Query is too short").alias("error"))
+    told = lambda df, name: df.select("query", "id", "score", "rank", F.lit(name).alias("mode"))
+    plain = told(keyword(good if mode == "bm25" else good.where("embedding IS NULL")), "bm25")
+    if mode == "bm25":
+        return plain, errors
+    search = vector if mode == "vector" else hybrid
+    return told(search(good.where("embedding IS NOT NULL")), mode).unionByName(plain), errors
+
+
 def vocabulary(terms: DataFrame, subjects: DataFrame) -> DataFrame:
     """(word): terms (word: tags, categories) of five characters or more, and words of subjects (text) of 5 to 19."""
     w = terms.select(F.lower(F.trim("word")).alias("word")).where(F.length("word") >= 5)

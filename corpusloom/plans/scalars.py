@@ -67,24 +67,30 @@ def preview(spark, sf):
 
 @query("normalize_text", r"SELECT doc_id, substring(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')), 1, 500) AS text FROM documents")
 def normalize_text(spark, sf):
-    return docs(spark, sf).select("doc_id", F.substring(F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " ")), 1, 500).alias("text"))
+    return docs(spark, sf).select("doc_id", T.normal_text(F.col("text"), 500).alias("text"))
 
 
-@query("normalize_keywords", r"SELECT doc_id, list_slice(list_filter(w, lambda x, i: list_position(list_transform(w, lambda y: lower(y)), lower(x)) = i), 1, 15) AS keywords FROM (SELECT doc_id, list_slice(regexp_extract_all(text, '[A-Za-z]+'), 1, 60) AS w FROM documents)")
+@query("normalize_keywords", r"SELECT doc_id, list_slice(list_filter(w, lambda x, i: list_position(list_transform(w, lambda y: lower(y)), lower(x)) = i), 1, 15) AS keywords FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents)")
 def normalize_keywords(spark, sf):
-    w = F.slice(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1), 1, 60)
+    w = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)
     return docs(spark, sf).select("doc_id", T.distinct_keywords(w).alias("keywords"))
 
 
-@query("normalize_metadata", HIST + "SELECT doc_id, substring(file_name, 1, 255) AS name, substring(category, 1, 100) AS category, substring(text, 1, 200) AS subject, substring(text, 1, 1000) AS summary, list_slice(tags, 1, 15) AS tags FROM h")
+LONG = "array_to_string(list_transform(range(0, 12), lambda i: category), '_')"
+
+
+@query("normalize_metadata", HIST + f"SELECT doc_id, substring(file_name, 1, 255) AS name, substring({LONG}, 1, 100) AS category, substring(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')), 1, 200) AS subject, substring(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')), 1, 1000) AS summary, [lang, 'tag' || (doc_id % 7), substring({LONG} || '_x', 1, 50)] AS tags FROM h")
 def normalize_metadata(spark, sf):
-    return history(spark, sf).select("doc_id", F.substring("file_name", 1, 255).alias("name"), F.substring("category", 1, 100).alias("category"), F.substring("text", 1, 200).alias("subject"), F.substring("text", 1, 1000).alias("summary"), F.slice("tags", 1, 15).alias("tags"))
+    long = F.array_join(F.array_repeat("category", 12), "_")
+    tags = F.concat("tags", F.array(F.concat(long, F.lit("_x")), F.upper("lang"), F.lit(" ")))
+    m = T.limited_metadata({"name": F.col("file_name"), "category": long, "subject": F.col("text"), "summary": F.col("text"), "tags": tags})
+    return history(spark, sf).select("doc_id", *(c.alias(name) for name, c in m.items()))
 
 
-@query("case_conventions", "WITH w AS (SELECT p_partkey, list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM part), t AS (SELECT p_partkey, w, array_to_string(list_transform(w, lambda x: upper(x[1]) || x[2:]), '') AS pascal FROM w) SELECT p_partkey, array_to_string(w, '-') AS kebab, array_to_string(w, '_') AS snake, pascal, lower(pascal[1]) || pascal[2:] AS camel FROM t")
+@query("case_conventions", "WITH w AS (SELECT p_partkey, list_filter(string_split_regex(lower(replace(p_name, ' ', ' é')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM part), t AS (SELECT p_partkey, w, array_to_string(list_transform(w, lambda x: upper(x[1]) || x[2:]), '') AS pascal FROM w) SELECT p_partkey, array_to_string(w, '-') AS kebab, array_to_string(w, '_') AS snake, pascal, lower(pascal[1]) || pascal[2:] AS camel, array_to_string(w, ' ') AS lower, upper(array_to_string(w, ' ')) AS upper FROM t")
 def case_conventions(spark, sf):
-    n = F.col("p_name")
-    return table(spark, sf, "part").select("p_partkey", T.kebab(n).alias("kebab"), T.snake(n).alias("snake"), T.pascal(n).alias("pascal"), T.camel(n).alias("camel"))
+    n = F.replace("p_name", F.lit(" "), F.lit(" é"))
+    return table(spark, sf, "part").select("p_partkey", *(T.case_convention(n, k).alias(k) for k in ("kebab", "snake", "pascal", "camel", "lower", "upper")))
 
 
 @query("suggested_name", HIST + """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN category || '-' || d || '.' || ext WHEN 1 THEN d || '-' || category || '.' || ext WHEN 2 THEN lang || '-' || category || '-' || d || '.' || ext WHEN 3 THEN 'tag' || (doc_id % 7) || '-' || category || '.' || ext ELSE file_name END AS name FROM (SELECT *, strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') AS d FROM h)""")
@@ -107,9 +113,23 @@ def file_type_category(spark, sf):
     return history(spark, sf).select("doc_id", T.type_group(F.col("ext")).alias("type"))
 
 
-@query("file_name_parts", HIST + "SELECT doc_id, regexp_extract(path, '([^/]+)$', 1) AS name, regexp_extract(path, '([^/]+)\\.[^./]*$', 1) AS stem, regexp_extract(path, '\\.([^./]*)$', 1) AS ext FROM h")
+@query("file_name_parts", HIST + "SELECT doc_id, regexp_extract(path, '([^/]+)$', 1) AS name, regexp_extract(path, '([^/]+)\\.[^./]*$', 1) AS stem, lower(regexp_extract(path, '(\\.[^./]*)$', 1)) AS ext FROM h")
 def file_name_parts(spark, sf):
-    return history(spark, sf).select("doc_id", F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("stem"), F.regexp_extract("path", r"\.([^./]*)$", 1).alias("ext"))
+    return history(spark, sf).select("doc_id", T.base_name(F.col("path")).alias("name"), F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("stem"), T.extension_of(T.base_name(F.col("path"))).alias("ext"))
+
+
+@query("fitted_names", """WITH n AS (SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN ' ' ELSE trim(regexp_replace(substring(text, 1, 1 + doc_id % 90), '[\\s./]+', ' ', 'g')) || '.pdf' END AS raw FROM documents), m AS (SELECT doc_id, CASE WHEN trim(raw) = '' THEN 'unnamed' ELSE trim(raw) END AS name FROM n),
+ c AS (SELECT doc_id, name, substring(name, 1, 35) AS cut FROM m), d AS (SELECT doc_id, name, cut, length(regexp_extract(cut, '^(.*)[ _-][^ _-]*$', 1)) AS pos FROM c) SELECT doc_id, CASE WHEN length(name) <= 40 THEN name ELSE trim(CASE WHEN pos > 17.5 THEN substring(cut, 1, pos) ELSE cut END) || '.pdf' END AS name FROM d""")
+def fitted_names(spark, sf):
+    """Names of 40 characters at most, cut between words where that leaves enough of them."""
+    raw = F.concat(F.trim(F.regexp_replace(F.substring("text", F.lit(1), (1 + F.col("doc_id") % 90).cast("int")), r"[\s./]+", " ")), F.lit(".pdf"))
+    return docs(spark, sf).select("doc_id", T.fitted_name(F.when(F.col("doc_id") % 5 == 4, " ").otherwise(raw), 40).alias("name"))
+
+
+@query("supported_extensions", "WITH e AS (SELECT event_id, ['.PDF', 'png', 'mp3', 'exe', 'log', 'stl', ''][1 + event_id % 7] AS ext FROM events) SELECT event_id, ext IN ('.PDF') AS document, ext IN ('.PDF', 'png', 'log') AS analysed, ext NOT IN ('exe', '') AS supported FROM e")
+def supported_extensions(spark, sf):
+    ext = F.get(F.array(*map(F.lit, (".PDF", "png", "mp3", "exe", "log", "stl", ""))), (F.col("event_id") % 7).cast("int"))
+    return table(spark, sf, "events").select("event_id", T.is_supported(ext, "document").alias("document"), T.is_supported(ext, "analysed").alias("analysed"), T.is_supported(ext, "all").alias("supported"))
 
 
 @query("classify_error", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'TIMEOUT' WHEN event_id % 5 = 1 THEN 'NETWORK' WHEN event_id % 5 = 2 THEN 'AI_ENGINE_ERROR' ELSE 'UNKNOWN' END AS kind, event_id % 5 < 3 AS retryable FROM events WHERE event_type = 'error'")
@@ -125,11 +145,19 @@ def coerce_list(spark, sf):
     return table(spark, sf, "events").select("event_id", T.as_list(raw).alias("items"))
 
 
-@query("validate_analysis", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'document' ELSE event_type END AS category, CASE WHEN value > 100 OR value < 0 THEN 70.0 ELSE value END AS confidence FROM events")
+ANSWERS = """CASE event_id % 6 WHEN 0 THEN '{"category": "' || event_type || '", "confidence": ' || value || ', "keywords": ["a", 1, "", null, "' || event_type || '"]}' WHEN 1 THEN '{"category": 7, "confidence": "90"}' WHEN 2 THEN '{"category": "  ", "keywords": "one"}' WHEN 3 THEN '{"confidence": ' || (value + 60) || '}' WHEN 4 THEN 'no json' ELSE '[1, 2]' END"""
+
+
+@query("validate_analysis", f"WITH a AS (SELECT event_id, event_type, value, {ANSWERS} AS j FROM events) SELECT event_id, CASE WHEN event_id % 6 = 0 THEN event_type ELSE 'document' END AS category, CASE WHEN event_id % 6 = 0 THEN ['a', event_type] ELSE [] END AS keywords, CASE WHEN event_id % 6 = 0 AND value BETWEEN 0 AND 100 THEN value WHEN event_id % 6 = 3 AND value + 60 BETWEEN 0 AND 100 THEN round(value + 60, 6) ELSE 70.0 END AS confidence FROM a WHERE value IS NOT NULL")
 def validate_analysis(spark, sf):
-    raw = F.to_json(F.struct(F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("category"), F.col("value").alias("confidence")))
-    a = F.from_json(raw, "category string, confidence double")
-    return table(spark, sf, "events").select("event_id", F.coalesce(F.nullif(a["category"], F.lit("")), F.lit("document")).alias("category"), F.when(a["confidence"].between(0, 100), a["confidence"]).otherwise(70.0).alias("confidence"))
+    """Answers with numbers for texts, texts for numbers, blanks, and what is no object at all."""
+    e = table(spark, sf, "events").where("value IS NOT NULL")
+    j = F.element_at(F.array(
+        F.concat(F.lit('{"category": "'), "event_type", F.lit('", "confidence": '), F.col("value").cast("string"), F.lit(', "keywords": ["a", 1, "", null, "'), "event_type", F.lit('"]}')),
+        F.lit('{"category": 7, "confidence": "90"}'), F.lit('{"category": "  ", "keywords": "one"}'), F.concat(F.lit('{"confidence": '), (F.col("value") + 60).cast("string"), F.lit("}")), F.lit("no json"), F.lit("[1, 2]"),
+    ), (F.col("event_id") % 6 + 1).cast("int"))
+    a = e.select("event_id", T.validated_analysis(j).alias("a"))
+    return a.select("event_id", "a.category", "a.keywords", F.round("a.confidence", 6).alias("confidence"))
 
 
 @query("json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -137,10 +165,11 @@ def json_props(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("date_formats", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS ymd, strftime(o_orderdate, '%m-%d-%Y') AS mdy, strftime(o_orderdate, '%d-%m-%Y') AS dmy, strftime(o_orderdate, '%Y%m%d') AS plain FROM orders")
+@query("date_formats", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 1 THEN strftime(o_orderdate, '%m-%d-%Y') WHEN 2 THEN strftime(o_orderdate, '%d-%m-%Y') WHEN 3 THEN strftime(o_orderdate, '%Y%m%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders")
 def date_formats(spark, sf):
-    d = lambda f: F.date_format("o_orderdate", f)
-    return table(spark, sf, "orders").select("o_orderkey", d("yyyy-MM-dd").alias("ymd"), d("MM-dd-yyyy").alias("mdy"), d("dd-MM-yyyy").alias("dmy"), d("yyyyMMdd").alias("plain"))
+    """The four styles, and one that nobody knows."""
+    style = F.get(F.array(*map(F.lit, (*T.DATE_FORMATS, "week"))), (F.col("o_orderkey") % 5).cast("int"))
+    return table(spark, sf, "orders").select("o_orderkey", T.formatted_date(F.col("o_orderdate"), style).alias("day"))
 
 
 @query("parse_ts", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(floor(epoch_us(ts) / 1000.0) AS BIGINT) END AS ms FROM events")
@@ -149,13 +178,14 @@ def parse_ts(spark, sf):
     return table(spark, sf, "events").select("event_id", F.unix_millis(F.try_to_timestamp(raw)).alias("ms"))
 
 
-@query("effective_date", HIST + "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '2024-03-05' WHEN 1 THEN '2023-11-30' ELSE strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') END AS day FROM h")
+@query("effective_date", HIST + "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '2024-03-05' WHEN 1 THEN '2023-11-30' WHEN 2 THEN strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') ELSE '2020-02-02' END AS day, CASE WHEN doc_id % 4 = 1 THEN 'scan' ELSE category END AS subject FROM h")
 def effective_date(spark, sf):
-    name = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("2024-03-05 "), "file_name")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("scan_20231130_"), "file_name")).otherwise(F.col("category"))
-    dashed = F.nullif(F.regexp_extract(name, r"((?:19|20)\d{2}-\d{2}-\d{2})", 1), F.lit(""))
-    plain = F.regexp_replace(F.nullif(F.regexp_extract(name, r"((?:19|20)\d{6})", 1), F.lit("")), r"(\d{4})(\d{2})(\d{2})", "$1-$2-$3")
-    found = F.coalesce(F.try_to_timestamp(dashed), F.try_to_timestamp(plain), F.timestamp_seconds("ts"))
-    return history(spark, sf).select("doc_id", F.date_format(found, "yyyy-MM-dd").alias("day"))
+    """A date in the name, else when the file was changed, else when it was made; and subjects without it."""
+    k = F.col("doc_id") % 4
+    name = F.when(k == 0, F.concat(F.lit("2024-03-05 "), "file_name")).when(k == 1, F.concat(F.lit("scan_20231130_"), "category")).otherwise(F.col("category"))
+    day = T.effective_date(name, F.when(k == 2, F.timestamp_seconds("ts")), F.lit("2020-02-02").cast("timestamp"))
+    subject = F.when(k == 0, F.concat("category", F.lit(" - 2024-03-05"))).when(k == 1, "scan_20231130 2023-11-30").otherwise(F.col("category"))
+    return history(spark, sf).select("doc_id", F.date_format(day, "yyyy-MM-dd").alias("day"), T.without_date(subject).alias("subject"))
 
 
 @query("normalize_confidence", "SELECT event_id, greatest(0.0, least(100.0, round(CASE WHEN value <= 1 THEN value * 100 ELSE value END))) AS confidence FROM events")
@@ -163,9 +193,9 @@ def normalize_confidence(spark, sf):
     return table(spark, sf, "events").select("event_id", T.percent(F.col("value")).alias("confidence"))
 
 
-@query("derived_confidence", HIST + "SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND (confidence <> 0 OR doc_id % 2 = 0) THEN CASE WHEN confidence <= 1 THEN confidence * 100.0 ELSE confidence END WHEN doc_id % 3 < 2 AND ms < 400 THEN round(30 + 40 * ms / 400.0) WHEN doc_id % 3 < 2 THEN round(least(70.0, ms / 400.0)) ELSE 35.0 + 5 * (CASE WHEN lang = 'en' THEN 1 ELSE 0 END + CASE WHEN size > 900 THEN 1 ELSE 0 END) END AS confidence FROM h WHERE ms <> 400")
+@query("derived_confidence", HIST + "SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND (confidence <> 0 OR doc_id % 2 = 0) THEN CASE WHEN confidence <= 1 THEN confidence * 100.0 ELSE confidence END WHEN doc_id % 3 < 2 AND ms <= 400 THEN round(30 + 40 * ms / 400.0) WHEN doc_id % 3 < 2 THEN round(least(70.0, ms / 400.0)) ELSE 35.0 + 5 * (CASE WHEN lang = 'en' THEN 1 ELSE 0 END + CASE WHEN size > 900 THEN 1 ELSE 0 END) END AS confidence FROM h")
 def derived_confidence(spark, sf):
-    h = history(spark, sf).where("ms <> 400")
+    h = history(spark, sf)
     said = F.when(F.col("doc_id") % 3 == 0, F.col("confidence").cast("double"))
     near = F.when(F.col("doc_id") % 3 < 2, F.col("ms") / 400)
     return h.select("doc_id", T.derived_confidence(said, F.col("doc_id") % 2 == 0, near, [F.col("lang") == "en", F.col("size") > 900]).alias("confidence"))
@@ -223,16 +253,13 @@ def vocabulary(spark, sf):
     return vocabulary_of(spark, sf)
 
 
-@query("spell_correct", f"WITH {VOCAB}, t AS (SELECT word, word[1:2] || word[4:] AS typo FROM v), c AS (SELECT t.typo, v.word AS fixed, row_number() OVER (PARTITION BY t.typo ORDER BY v.word) AS rn FROM t JOIN v ON abs(length(v.word) - length(t.typo)) <= 1 AND levenshtein(t.typo, v.word) = 1 WHERE length(t.typo) >= 5) SELECT typo, fixed FROM c WHERE rn = 1")
+@query("spell_correct", f"WITH {VOCAB}, t AS (SELECT DISTINCT word[1:2] || word[4:] AS typo FROM v UNION SELECT 'this' UNION SELECT 'which' UNION SELECT min(word) FROM v), d AS (SELECT word, row_number() OVER (ORDER BY word DESC) AS place FROM v), c AS (SELECT t.typo, d.word AS fixed, row_number() OVER (PARTITION BY t.typo ORDER BY d.place) AS rn FROM t JOIN d ON abs(length(d.word) - length(t.typo)) <= 1 AND levenshtein(t.typo, d.word) = 1 WHERE length(t.typo) >= 5 AND t.typo NOT IN (SELECT word FROM v) AND t.typo <> 'which') SELECT typo, coalesce(fixed, typo) AS fixed FROM t LEFT JOIN (SELECT * FROM c WHERE rn = 1) USING (typo)")
 def spell_correct(spark, sf):
-    """Words and dictionary meet on what is left when one letter is deleted, so one edit is an equi-join."""
+    """Typos lack a letter; two stop words and a known word stay. The dictionary's order is the alphabet's, from its end."""
     v = vocabulary_of(spark, sf)
-    typos = v.select(F.concat(F.substring("word", 1, 2), F.col("word").substr(F.lit(4), F.length("word"))).alias("typo")).distinct().where(F.length("typo") >= 5)
-    cuts = lambda c: F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(c.substr(F.lit(1), i - 1), c.substr(i + 1, F.length(c)))))
-    a = typos.select("typo", F.explode(F.array_distinct(cuts(F.col("typo")))).alias("key"))
-    b = v.select("word", F.explode(F.array_distinct(cuts(F.col("word")))).alias("key"))
-    near = a.join(b, "key").select("typo", F.col("word").alias("fixed")).distinct().where(F.levenshtein("typo", "fixed") == 1)
-    return near.groupBy("typo").agg(F.min("fixed").alias("fixed"))
+    typos = v.select(F.concat(F.substring("word", 1, 2), F.col("word").substr(F.lit(4), F.length("word"))).alias("word")).unionByName(spark.createDataFrame([("this",), ("which",)], "word string")).unionByName(v.agg(F.min("word").alias("word"))).distinct()
+    known = v.withColumn("place", F.row_number().over(W.orderBy(F.desc("word"))))  # a dictionary of words
+    return S.spelling(typos, known, stop=("this", "which"), phonetic_from=None).select(F.col("word").alias("typo"), "fixed")
 
 
 @query("levenshtein_pairs", "SELECT a.n_name AS a, b.n_name AS b, CAST(levenshtein(a.n_name, b.n_name) AS INT) AS distance FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
@@ -244,16 +271,16 @@ def levenshtein_pairs(spark, sf):
 
 @query("phonetic_code")
 def phonetic_code(spark, sf):
-    return vocabulary_of(spark, sf).select("word", T.phonetic_code("word").alias("code"))
+    names = docs(spark, sf).select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{5,9})"), 1)).alias("word")).select(F.lower("word").alias("word")).distinct()
+    return names.select("word", T.phonetic_code("word").alias("code"))
 
 
 @query("phonetic_match")
 def phonetic_match(spark, sf):
-    """Of the words with the same code the one nearest in length, the first of equals."""
-    c = phonetic_code(spark, sf)
-    pairs = c.alias("a").join(c.alias("b"), "code").where("a.word <> b.word").select(F.col("a.word").alias("word"), F.col("b.word").alias("other"))
+    """Of the dictionary's words with a word's code the one nearest in length, the first of equals."""
+    known = vocabulary_of(spark, sf).select(F.col("word").alias("other"), T.phonetic_code("word").alias("code"))
     w = W.partitionBy("word").orderBy(F.abs(F.length("word") - F.length("other")), "other")
-    return pairs.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    return phonetic_code(spark, sf).join(known, "code").where("word <> other").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("word", "other")
 
 
 @query("semantic_terms", "SELECT doc_id, list_distinct_sorted AS terms FROM (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 4 AND NOT regexp_full_match(w, '[0-9]+') AND NOT list_contains(['that', 'this', 'with', 'from'], w)))) AS list_distinct_sorted FROM documents)")

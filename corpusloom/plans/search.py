@@ -63,6 +63,18 @@ def search_mode_vector(spark, sf):
     return S.normalised(vector(spark, sf)).where("score >= 0.15").select("query", "id", F.round("score", 5).alias("score"))
 
 
+@query("search_mode_fallback", f"WITH {BM}, {VEC}, a AS (SELECT query, id, score, rank, 'vector' AS mode FROM v WHERE rank <= 20 AND query % 3 <> 0 UNION ALL SELECT query, id, score, rank, 'bm25' FROM b WHERE rank <= 20 AND (query % 3 = 0 OR query NOT IN (SELECT vec_id FROM embeddings))) SELECT query, id, round(score, 6) AS score, rank, mode FROM a WHERE query % 10 <> 9 UNION ALL SELECT item_id, NULL, NULL, NULL, 'error' FROM benchmark WHERE item_id % 10 = 9")
+def search_mode_fallback(spark, sf):
+    """Every third query has no vector, and every tenth one character only."""
+    q = texts(spark, sf).join(item_vectors(spark, sf), "query", "left").withColumn("embedding", F.when(F.col("query") % 3 != 0, F.col("embedding")))
+    q = q.withColumn("text", F.when(F.col("query") % 10 == 9, " x ").otherwise(F.col("text")))
+    docs, e = table(spark, sf, "documents"), table(spark, sf, "embeddings")
+    near = lambda some: V.top_k(e, some.select("query", "embedding"), 20).withColumnRenamed("vec_id", "id")
+    found, errors = S.by_mode(q, "vector", keyword=lambda some: S.bm25(docs, some, FIELDS, k=20), vector=near, hybrid=near)
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("id", "long"), ("score", "double"), ("rank", "long"))]
+    return found.select("query", "id", six("score"), F.col("rank").cast("long").alias("rank"), "mode").unionByName(errors.select("query", *none, F.lit("error").alias("mode")))
+
+
 CH = "c0 AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rn FROM v0), ch AS (SELECT query, floor(id / 4) * 4 AS id, max(score) AS score FROM c0 WHERE rn <= 240 GROUP BY 1, 2), chr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM ch) WHERE rank <= 60) "
 
 
