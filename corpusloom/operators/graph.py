@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.history import common_tags, most_frequent
 from corpusloom.session import cut_lineage
 
 
@@ -79,6 +80,38 @@ def neighbour_edges(edges: DataFrame, seeds: DataFrame, *, min_weight: float = 0
     return taken.orderBy(F.desc("weight"), "a", "b").limit(max_edges).select("a", "b", "weight", "neighbour")
 
 
+def cluster_terms(members: DataFrame, fields: dict[str, int], *, most: int = 10, tokens: int = 80, chars: int = 5_000, least: int = 4) -> DataFrame:
+    """(cluster, term, score): the ``most`` telling terms of each cluster, given as rows (cluster, fields).
+
+    A term counts with its field's weight, in the first ``tokens`` terms of the first ``chars``
+    characters of a field (the feature's limits), times ln((clusters + 1) / (clusters with it + 1)).
+    """
+    each = lambda f, w: F.transform(F.slice(F.regexp_extract_all(F.lower(F.substring(F.coalesce(F.col(f).cast("string"), F.lit("")), 1, chars)), F.lit(f"([a-z]{{{least},}})"), 1), 1, tokens), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+    rows = members.select("cluster", F.explode(F.concat(*(each(f, w) for f, w in fields.items()))).alias("t"))
+    tf = rows.groupBy("cluster", F.col("t.term").alias("term")).agg(F.sum("t.w").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    n = members.select((F.count_distinct("cluster") + 1.0).alias("n")).scalar()
+    s = tf.join(df, "term").withColumn("score", F.col("tf") * F.log(n / (F.col("df") + 1))).where("score > 0")
+    first = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("score"), "term"))
+    return s.withColumn("_n", first).where(F.col("_n") <= most).select("cluster", "term", "score")
+
+
+def cluster_labels(members: DataFrame, *, share: float = 0.4) -> DataFrame:
+    """(cluster, name, confidence) of rows (cluster, id, category, tags): the first rung that holds.
+
+    The two most common tags and the most frequent category, or the category alone (medium);
+    three tags, or the cluster's number from 1 (low). A tag is common that ``share`` of the members have.
+    """
+    tags = common_tags(members, "cluster", id_col="id", share=share).where("rank <= 3")
+    told = tags.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("rank", "tag"))).alias("t"))
+    names = F.transform("t", lambda x: x["tag"])
+    best = most_frequent(members, "cluster", "category", "id").select("cluster", "category")
+    j = members.select("cluster").distinct().join(told, "cluster", "left").join(best, "cluster", "left")
+    name = F.when(F.col("category").isNotNull(), F.concat_ws(" ", F.array_join(F.slice(names, 1, 2), " "), "category"))
+    name = name.when(F.col("t").isNotNull(), F.array_join(names, ", ")).otherwise(F.concat(F.lit("Cluster "), (F.col("cluster") + 1).cast("string")))
+    return j.select("cluster", F.trim(name).alias("name"), F.when(F.col("category").isNotNull(), "medium").otherwise("low").alias("confidence"))
+
+
 def expand_hops(seeds: DataFrame, edges: DataFrame | Callable[[DataFrame], DataFrame], hops: int = 2, decay: float = 0.7, k: int | None = None) -> DataFrame:
     """(seed, node, score, hop): best path's score; a hop multiplies by similarity and decay to the hop's power.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import json_text
 from corpusloom.operators.folds import fold_in_order
 from corpusloom.operators.ordered import STRETCH, over_last_rows, over_last_stretch
 from corpusloom.session import table
@@ -41,6 +42,38 @@ def lookup(df: DataFrame, path: str) -> DataFrame:
     return hit.orderBy((F.col("path") == path).desc(), "doc_id").limit(1)
 
 
+def lookup_hashes(df: DataFrame, hashes: DataFrame, content: Column, *, ts_col: str = "ts", id_col: str = "doc_id") -> DataFrame:
+    """The newest row with each content hash asked for (hash), of equals that with the largest id."""
+    hits = df.withColumn("hash", content).join(hashes.select("hash").distinct(), "hash", "left_semi")
+    return latest_per_key(hits, "hash", F.desc_nulls_last(ts_col), F.desc(id_col))
+
+
+def upsert_report(old: DataFrame, new: DataFrame, key: str, valid: Column) -> tuple[DataFrame, DataFrame]:
+    """The table after an upsert of the ``valid`` rows, and (key, outcome) of every new row: inserted, updated or invalid."""
+    good = F.coalesce(valid, F.lit(False))
+    known = old.select(F.col(key).alias("_key")).distinct().withColumn("_known", F.lit(True))
+    told = new.select(F.col(key), good.alias("_good")).join(known, F.col(key) == F.col("_key"), "left")
+    outcome = F.when(~F.col("_good"), "invalid").when(F.col("_known"), "updated").otherwise("inserted")
+    return upsert(old, new.where(good), key), told.select(key, outcome.alias("outcome"))
+
+
+#: The columns of an export.
+EXPORTED = ("fileName", "originalPath", "category", "confidence", "keywords", "subject", "timestamp")
+
+
+def exported(entries: DataFrame, form: str) -> DataFrame:
+    """``entries`` with a ``line`` of an export: json, or csv with every cell as a JSON string and lists joined by ``; ``.
+
+    Nulls are empty cells in csv and left out in json; EXPORTED names the columns of a csv's first line.
+    """
+    stamp = F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    cells = dict(zip(EXPORTED, (F.col("file_name"), F.col("path"), F.col("category"), F.col("confidence"), F.col("tags"), F.col("subject"), stamp), strict=True))
+    if form == "json":
+        return entries.withColumn("line", F.to_json(F.struct(*(c.alias(n) for n, c in cells.items()))))
+    cells["keywords"] = F.array_join("tags", "; ")
+    return entries.withColumn("line", F.concat_ws(",", *(json_text(c.cast("string")) for c in cells.values())))
+
+
 def size_range(size: Column) -> Column:
     kb = 1024
     return F.when(size < kb, "tiny").when(size < kb**2, "small").when(size < 10 * kb**2, "medium").when(size < 100 * kb**2, "large").otherwise("huge")

@@ -67,17 +67,21 @@ def learned_patterns(feedback: DataFrame) -> DataFrame:
 def unique_names(df: DataFrame, *, dir_col: str, name_col: str, order_col: str) -> DataFrame:
     """Names made unique in their folder whatever the case: base-2.ext, base-3.ext, skipping those in use.
 
-    A name's m-th repetition takes the m-th number from 2 on that no name of the folder has;
-    the numbers in use are gathered for each name first.
+    A name's m-th repetition takes the m-th number from 2 on that no name of the folder has. A
+    number in use moves all repetitions on that would take it or a later one: with numbers in use
+    and repetitions in one order, that is a running count, so nothing is gathered for a name.
     """
     rows = df.select(F.col(dir_col).alias("d"), F.col(name_col).alias("n"), F.col(order_col).cast("long").alias("o"), F.lower(name_col).alias("l"))
     numbered = r"(?s)^(.*)-([2-9]|[1-9][0-9]+)(\.[^.]*)?$"
     base, ext = F.regexp_extract("l", numbered, 1), F.regexp_extract("l", numbered, 3)
     used = rows.select("d", "l").distinct().where(F.col("l").rlike(numbered)).select("d", F.concat(base, ext).alias("l"), F.regexp_extract("l", numbered, 2).cast("long").alias("k"))
-    used = used.where("k IS NOT NULL").groupBy("d", "l").agg(F.array_sort(F.collect_set("k")).alias("used"))
+    rank = F.row_number().over(Window.partitionBy("d", "l").orderBy("k"))
+    used = used.where("k IS NOT NULL").distinct().select("d", "l", (F.col("k") - rank + 1).alias("nth"), F.lit(0).alias("kind"))
     nth = F.row_number().over(Window.partitionBy("d", "l").orderBy("o"))
-    j = rows.withColumn("nth", nth).join(used, ["d", "l"], "left")
-    free = F.aggregate(F.coalesce("used", F.array().cast("array<bigint>")), F.col("nth").cast("long"), lambda k, t: F.when(t <= k, k + 1).otherwise(k))
+    both = rows.withColumns({"nth": nth.cast("long"), "kind": F.lit(1)}).unionByName(used, allowMissingColumns=True)
+    before = F.sum(1 - F.col("kind")).over(Window.partitionBy("d", "l").orderBy("nth", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    j = both.withColumn("free", F.col("nth") + before).where("kind = 1")
+    free = F.col("free")
     dot = F.length("n") - F.instr(F.reverse("n"), ".")  # characters before the last point
     has = F.instr("n", ".") > 0
     new = F.when(has, F.concat(F.substring("n", F.lit(1), dot), F.lit("-"), free.cast("string"), F.substring("n", dot + 1, F.length("n")))).otherwise(F.concat("n", F.lit("-"), free.cast("string")))
@@ -355,11 +359,67 @@ def folder_cascade(files: DataFrame, near: DataFrame, modelled: DataFrame, folde
 
 
 def cluster_batches(files: DataFrame, members: DataFrame, named: DataFrame) -> DataFrame:
-    """(cluster, folder, score, n, files): a group for every cluster of the batch with its folder, and one of files in none.
+    """(file, cluster, folder, score, n): the batch's files with their cluster, its folder and its size in the batch.
 
-    ``files``: (file), ``members``: (file, cluster), ``named``: (cluster, folder, score); ``files``
-    lists ids, a cluster's share of the batch.
+    ``files``: (file), ``members``: (file, cluster), ``named``: (cluster, folder, score). Files in
+    no cluster are a group of their own, without a folder. A group is rows, not a list in one.
     """
     j = files.select("file").distinct().join(members, "file", "left")
-    g = j.groupBy("cluster").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("file")).alias("files"))
-    return g.join(named, "cluster", "left").select("cluster", "folder", "score", "n", "files")
+    n = j.groupBy("cluster").agg(F.count("*").alias("n"))  # a row a cluster
+    facts = n.join(named, "cluster", "left").select(F.col("cluster").alias("_cluster"), "folder", "score", "n")
+    return j.join(facts, F.col("cluster").eqNullSafe(F.col("_cluster"))).select("file", "cluster", "folder", "score", "n")
+
+
+def adjusted_by_memory(suggestions: DataFrame, rules: DataFrame, memory: DataFrame | None = None, *, boost: float = 0.2, penalty: float = 0.1, most: float = 0.15) -> DataFrame:
+    """``suggestions`` (file, folder, ext, score) with scores moved by what is remembered, within 0 to 1.
+
+    ``rules``: (ext, folder), the rule of an extension: its folder gains ``boost``, others lose
+    ``penalty``. ``memory``: (file, folder, score), a remembered placement that is like the file's:
+    its folder gains its share ``most`` of the score, ``most`` at most, and others lose it. The
+    strongest of several counts. Names are the same whatever their case.
+    """
+    same = lambda a, b: F.lower(a) == F.lower(b)
+    key = F.regexp_replace(F.lower("ext"), r"^\.", "")
+    r = rules.select(key.alias("_ext"), F.col("folder").alias("_rule"))
+    s = suggestions.withColumn("_key", key).join(r, F.col("_key") == F.col("_ext"), "left")
+    hit = F.max(F.when(same("folder", "_rule"), boost).when(F.col("_rule").isNotNull(), -penalty))
+    miss = F.min(F.when(F.col("_rule").isNotNull() & ~same("folder", "_rule"), -penalty))
+    change = F.when(hit > 0, hit + F.coalesce(miss, F.lit(0.0))).otherwise(F.coalesce(hit, F.lit(0.0)))
+    out = s.groupBy("file", "folder", "ext", "score").agg(change.alias("_change"))
+    if memory is not None:
+        m = memory.groupBy("file", "folder").agg(F.max("score").alias("score")).select("file", F.col("folder").alias("_known"), F.least(F.lit(most), F.col("score") * most).alias("_by"))
+        j = out.join(m, "file", "left").groupBy("file", "folder", "ext", "score", "_change")
+        gain, loss = F.max(F.when(same("folder", "_known"), F.col("_by"))), F.max(F.when(~same("folder", "_known"), F.col("_by")))
+        out = j.agg((F.coalesce(gain, F.lit(0.0)) - F.when(gain.isNull(), F.coalesce(loss, F.lit(0.0))).otherwise(0.0)).alias("_memory")).withColumn("_change", F.col("_change") + F.col("_memory"))
+    return out.select("file", "folder", "ext", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") + F.col("_change"))).alias("score"))
+
+
+def pruned_patterns(patterns: DataFrame, now: float, *, capacity: int, stale_s: float = 180 * 86_400.0, share: float = 0.1, half_s: float = 30 * 86_400.0) -> DataFrame:
+    """(key, reason) of patterns (key, count, confidence, last) that go: ``stale`` ones, then the ``low`` ones if ``capacity`` is still reached.
+
+    ``last`` and ``now`` are seconds. The low ones are the ``share`` of the capacity with the least
+    count times confidence over one plus the age in ``half_s``, equal scores by key.
+    """
+    stale = patterns.where(F.col("last") < now - stale_s)
+    rest = patterns.where(F.col("last") >= now - stale_s)
+    out = stale.select("key", F.lit("stale").alias("reason"))
+    if rest.count() < capacity:
+        return out
+    score = F.round(F.col("count") * F.col("confidence") / (1 + (F.lit(now) - F.col("last")) / half_s), 9)
+    return out.unionByName(rest.withColumn("_score", score).orderBy("_score", "key").limit(int(capacity * share)).select("key", F.lit("low").alias("reason")))
+
+
+#: Words of names that tell a stage of work.
+STAGES_OF_WORK = ("draft", "final", "review", "approved", "v1", "v2")
+
+
+def batch_recommendations(groups: DataFrame) -> DataFrame:
+    """(group, kind, confidence) for batches (group, project, has_dates, terms, folders): what to do with them.
+
+    One project for all (0.9), dates (0.7), a term that tells a stage of work (0.8), more than five
+    folders (0.6).
+    """
+    work = F.exists(F.coalesce("terms", F.array().cast("array<string>")), lambda t: F.lower(t).isin(*STAGES_OF_WORK))
+    rules = (("project", 0.9, F.col("project").isNotNull()), ("temporal", 0.7, F.col("has_dates")), ("workflow", 0.8, work), ("groups", 0.6, F.col("folders") > 5))
+    rows = F.array(*(F.when(c, F.struct(F.lit(k).alias("kind"), F.lit(x).alias("confidence"))) for k, x, c in rules))
+    return groups.select("group", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("group", "r.kind", "r.confidence")

@@ -47,6 +47,27 @@ def first_bad(v: Column) -> Column:
     return F.array_position(bad, True)
 
 
+def diagnostics(vectors: DataFrame, files: DataFrame, size: int, *, id_col: str = "vec_id", vec_col: str = "embedding", most: int = 5) -> DataFrame:
+    """One row of counts: vectors in all, with and without one, zero, of another size, ``orphaned`` (no file), files ``missing`` theirs, ``eligible`` for search.
+
+    ``sample`` are the ``most`` smallest ids that are not eligible. ``files``: (id).
+    """
+    v = F.col(vec_col)
+    has = F.coalesce(F.size(v) > 0, F.lit(False))
+    zero = has & F.coalesce(F.forall(v, lambda x: x == 0), F.lit(False))
+    good = F.coalesce((F.size(v) == size) & (first_bad(v) == 0) & ~zero, F.lit(False))
+    rows = vectors.select(F.col(id_col).alias("id"), has.alias("has"), zero.alias("zero"), (has & (F.size(v) != size)).alias("wrong"), good.alias("good"), F.lit(True).alias("here"))
+    both = rows.join(files.select(F.col(id_col).alias("id")).distinct().withColumn("file", F.lit(True)), "id", "full")
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    here = F.col("here").isNotNull()
+    bad = rows.where(~F.col("good")).orderBy("id").limit(most).agg(F.array_sort(F.collect_list("id")).alias("sample"))
+    told = both.agg(
+        count(here).alias("total"), count(F.col("has")).alias("with_vector"), count(here & ~F.col("has")).alias("without_vector"), count(F.col("zero")).alias("zero"), count(F.col("wrong")).alias("wrong_size"),
+        count(here & F.col("file").isNull()).alias("orphaned"), count(~here).alias("missing"), count(F.col("good")).alias("eligible"),
+    )
+    return told.withColumn("sample", bad.scalar())
+
+
 def pad_or_truncate(v: Column, n: int) -> Column:
     return F.when(F.size(v) > 0, F.slice(F.concat(doubles(v), F.array_repeat(F.lit(0.0), n)), 1, n))
 

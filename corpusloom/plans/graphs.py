@@ -130,24 +130,26 @@ def cluster_votes(spark, sf):
 TERMS = "t AS (SELECT lang, lower(w) AS term FROM (SELECT lang, unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) AS w FROM documents)), tf AS (SELECT lang, term, count(*) AS tf FROM t GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)"
 
 
-@query("cluster_tfidf_terms", f"WITH {TERMS} SELECT lang, term, round(score, 6) AS score FROM (SELECT lang, tf.term, tf * ln(5.0 / (df + 1)) AS score, row_number() OVER (PARTITION BY lang ORDER BY tf * ln(5.0 / (df + 1)) DESC, tf.term) AS rn FROM tf JOIN df USING (term) WHERE ln(5.0 / (df + 1)) > 0) WHERE rn <= 10")
+TOKENS = "list_slice(regexp_extract_all(lower(substring({}, 1, 5000)), '[a-z]{{4,}}'), 1, 80)"
+
+
+@query("cluster_tfidf_terms", HIST + f", w AS (SELECT lang, 3 AS w, unnest({TOKENS.format("array_to_string(tags, ' ')")}) AS term FROM h UNION ALL SELECT lang, 2, unnest({TOKENS.format('substring(text, 1, 60)')}) FROM h UNION ALL SELECT lang, 1, unnest({TOKENS.format('text')}) FROM h), tf AS (SELECT lang, term, sum(w) AS tf FROM w GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(DISTINCT lang) + 1.0 AS n FROM documents) SELECT lang, term, round(score, 6) AS score FROM (SELECT lang, term, tf * ln(n / (df + 1)) AS score, row_number() OVER (PARTITION BY lang ORDER BY tf * ln(n / (df + 1)) DESC, term) AS rn FROM tf JOIN df USING (term), n WHERE ln(n / (df + 1)) > 0) WHERE rn <= 10")
 def cluster_tfidf_terms(spark, sf):
-    """The most telling terms of each language, in the role of clusters: tf times ln((N + 1) / (df + 1))."""
-    d = table(spark, sf, "documents")
-    terms = d.select("lang", F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{4,})"), 1)).alias("w"))
-    tf = terms.groupBy("lang", F.lower("w").alias("term")).agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = d.select((F.count_distinct("lang") + 1.0).alias("n")).scalar()
-    s = tf.join(df, "term").withColumn("score", F.col("tf") * F.log(n / (F.col("df") + 1))).where("score > 0")
-    return s.withColumn("rn", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), "term"))).where("rn <= 10").select("lang", "term", six("score"))
+    """The most telling terms of each language, in the role of clusters: tags, first words as the subject, the text."""
+    rows = history(spark, sf).select(F.col("lang").alias("cluster"), F.array_join("tags", " ").alias("tags"), F.substring("text", 1, 60).alias("subject"), "text")
+    return G.cluster_terms(rows, {"tags": 3, "subject": 2, "text": 1}).select(F.col("cluster").alias("lang"), "term", six("score"))
 
 
-@query("cluster_labels", HIST + ", m AS (SELECT label, lang, category FROM embeddings e JOIN h ON h.doc_id = e.vec_id), l AS (SELECT label, lang, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, lang) AS rn FROM m GROUP BY 1, 2), c AS (SELECT label, category, count(*) AS n, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, category) AS rn FROM m GROUP BY 1, 2) SELECT l.label, l.lang || ' ' || c.category AS name, CASE WHEN c.n >= 5 THEN 'medium' ELSE 'low' END AS confidence FROM l JOIN c USING (label) WHERE l.rn = 1 AND c.rn = 1")
+@query("cluster_labels", HIST + """, m AS (SELECT label, doc_id, CASE WHEN label % 4 IN (1, 3) THEN NULL ELSE category END AS category, CASE WHEN label % 4 IN (2, 3) THEN [] ELSE [CASE WHEN doc_id % 2 = 0 THEN 'Even' ELSE 'odd' END, 'All', 'all', 'x' || doc_id] END AS tags FROM embeddings e JOIN h ON h.doc_id = e.vec_id), n AS (SELECT label, count(*) AS total FROM m GROUP BY 1),
+ t AS (SELECT label, lower(tag) AS f, count(*) AS n, min_by(tag, doc_id * 10 + pos) AS tag FROM (SELECT label, doc_id, unnest(tags) AS tag, unnest(range(len(tags))) AS pos FROM m) GROUP BY 1, 2), r AS (SELECT label, tag, row_number() OVER (PARTITION BY label ORDER BY t.n DESC, f) AS rank FROM t JOIN n USING (label) WHERE t.n >= ceil(0.4 * total)),
+ g AS (SELECT label, string_agg(tag, ' ' ORDER BY rank) FILTER (rank <= 2) AS two, string_agg(tag, ', ' ORDER BY rank) FILTER (rank <= 3) AS three FROM r GROUP BY 1), c AS (SELECT label, category, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, min(doc_id)) AS rn FROM m WHERE category IS NOT NULL GROUP BY 1, 2)
+ SELECT label, CASE WHEN c.category IS NOT NULL AND two IS NOT NULL THEN two || ' ' || c.category WHEN c.category IS NOT NULL THEN c.category WHEN three IS NOT NULL THEN three ELSE 'Cluster ' || (label + 1) END AS name, CASE WHEN c.category IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence FROM n LEFT JOIN g USING (label) LEFT JOIN (SELECT * FROM c WHERE rn = 1) c USING (label)""")
 def cluster_labels(spark, sf):
-    m = table(spark, sf, "embeddings").select("label", F.col("vec_id").alias("doc_id")).join(history(spark, sf), "doc_id")
-    best = lambda c: m.groupBy("label", c).agg(F.count("*").alias("n")).withColumn("rn", F.row_number().over(W.partitionBy("label").orderBy(F.desc("n"), c))).where("rn = 1").drop("rn")
-    c = best("category")
-    return best("lang").drop("n").join(c, "label").select("label", F.concat_ws(" ", "lang", "category").alias("name"), F.when(F.col("n") >= 5, "medium").otherwise("low").alias("confidence"))
+    """Clusters of which some have no categories, some no tags, and some neither."""
+    m = table(spark, sf, "embeddings").select("label", F.col("vec_id").alias("doc_id")).join(history(spark, sf).drop("tags"), "doc_id")
+    tags = F.array(F.when(F.col("doc_id") % 2 == 0, "Even").otherwise("odd"), F.lit("All"), F.lit("all"), F.concat(F.lit("x"), F.col("doc_id").cast("string")))
+    rows = m.select(F.col("label").alias("cluster"), F.col("doc_id").alias("id"), F.when(~(F.col("label") % 4).isin(1, 3), F.col("category")).alias("category"), F.when(~(F.col("label") % 4).isin(2, 3), tags).otherwise(F.array().cast("array<string>")).alias("tags"))
+    return G.cluster_labels(rows).select(F.col("cluster").alias("label"), "name", "confidence")
 
 
 @query("cluster_summary", HIST + "SELECT label, count(*) AS members, min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT category) AS folders FROM embeddings e JOIN h ON h.doc_id = e.vec_id GROUP BY 1")

@@ -40,10 +40,12 @@ def upsert_vectors(spark, sf):
     return H.upsert(e, new, "vec_id").select("vec_id", F.exists("embedding", lambda x: x != 0).alias("has_vector"), F.round(F.col("embedding")[0].cast("double"), 6).alias("v0"))
 
 
-@query("upsert_split_invalid", "SELECT CASE WHEN vec_id % 11 = 0 THEN 'invalid' ELSE 'valid' END AS outcome, count(*) AS n FROM embeddings GROUP BY 1")
+@query("upsert_split_invalid", "SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN 'invalid' WHEN vec_id % 2 = 0 THEN 'updated' ELSE 'inserted' END AS outcome FROM embeddings WHERE vec_id % 3 <> 1")
 def upsert_split_invalid(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.when(F.col("vec_id") % 11 == 0, F.slice("embedding", 1, 10)).otherwise(F.col("embedding")).alias("v"))
-    return e.groupBy(F.when(F.size("v") == 64, "valid").otherwise("invalid").alias("outcome")).agg(F.count("*").alias("n"))
+    """Even rows are stored, two thirds of all come, and every eleventh has too few components."""
+    e = table(spark, sf, "embeddings")
+    new = e.where("vec_id % 3 <> 1").select("vec_id", F.when(F.col("vec_id") % 11 == 0, F.slice("embedding", 1, 10)).otherwise(F.col("embedding")).alias("embedding"))
+    return H.upsert_report(e.where("vec_id % 2 = 0").select("vec_id", "embedding"), new, "vec_id", F.size("embedding") == 64)[1]
 
 
 @query("delete_antijoin", "SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
@@ -72,10 +74,20 @@ def mark_orphaned(spark, sf):
     return e.select("vec_id", F.col("alive").isNull().alias("is_orphaned"), F.when(F.col("alive").isNull(), 1706745600).alias("orphaned_at"))
 
 
-@query("export_csv_rows", HIST + """SELECT doc_id, '"' || file_name || '","' || category || '","' || array_to_string(tags, '; ') || '",' || size AS line FROM h""")
+QUOTED = "CAST(to_json({}) AS VARCHAR)"
+SUBJECT = "substring(text, 1, 40)"
+
+
+@query("export_csv_rows", HIST + "SELECT doc_id, " + " || ',' || ".join(QUOTED.format(c) for c in ("file_name", "path", "category", "CAST(confidence AS VARCHAR)", "array_to_string(tags, '; ')", SUBJECT, "strftime(make_timestamp(ts * 1000000), '%Y-%m-%dT%H:%M:%S.000Z')")) + " AS line FROM h WHERE text IS NOT NULL")
 def export_csv_rows(spark, sf):
-    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    return H.history(spark, sf).select("doc_id", F.concat_ws(",", q(F.col("file_name")), q(F.col("category")), q(F.array_join("tags", "; ")), F.col("size").cast("string")).alias("line"))
+    h = H.history(spark, sf).where("text IS NOT NULL").withColumn("subject", F.substring("text", 1, 40))
+    return H.exported(h, "csv").select("doc_id", "line")
+
+
+@query("export_json_rows", HIST + "SELECT doc_id, '{\"fileName\":' || " + QUOTED.format("file_name") + " || ',\"originalPath\":' || " + QUOTED.format("path") + " || ',\"category\":' || " + QUOTED.format("category") + " || ',\"confidence\":' || confidence || ',\"keywords\":' || CAST(to_json(tags) AS VARCHAR) || ',\"subject\":' || " + QUOTED.format(SUBJECT) + " || ',\"timestamp\":\"' || strftime(make_timestamp(ts * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') || '\"}' AS line FROM h WHERE text IS NOT NULL")
+def export_json_rows(spark, sf):
+    h = H.history(spark, sf).where("text IS NOT NULL").withColumn("subject", F.substring("text", 1, 40))
+    return H.exported(h, "json").select("doc_id", "line")
 
 
 @query("collection_stats", "SELECT 'files' AS collection, count(*) AS n FROM documents UNION ALL SELECT 'vectors', count(*) FROM embeddings UNION ALL SELECT 'folders', count(DISTINCT source) FROM documents UNION ALL SELECT 'feedback', count(*) FROM labels")
@@ -91,14 +103,22 @@ def lookup_by_id(spark, sf):
     return table(spark, sf, "documents").where("doc_id = 42").select("doc_id", "lang", "source", "n_chars")
 
 
-@query("lookup_by_path", HIST + "SELECT doc_id, path FROM h WHERE path IN ('/src4/en/doc4.txt', (SELECT path FROM h WHERE doc_id = 44))")
+@query("lookup_by_path", HIST + "SELECT doc_id, path FROM h WHERE path IN ('/src4/en/doc4.txt', (SELECT max(path) FROM h))")
 def lookup_by_path(spark, sf):
     """Exact paths, and one that is only the same when made plain."""
     h = H.history(spark, sf).select("doc_id", "path")
-    path = h.where("doc_id = 44").first()["path"]
+    path = h.agg(F.max("path")).first()[0] or ""
     return H.lookup(h, "/src4/en/doc4.txt").unionByName(H.lookup(h, path.replace("/", "\\\\"))).distinct()
 
 
+@query("lookup_by_hash", HIST + ", w AS (SELECT DISTINCT sha256(text) AS hash FROM h WHERE doc_id % 9 = 0) SELECT hash, max(doc_id) AS doc_id FROM h JOIN w ON sha256(text) = hash GROUP BY 1")
+def lookup_by_hash(spark, sf):
+    """The newest file with each of the contents asked for."""
+    h = H.history(spark, sf)
+    asked = h.where("doc_id % 9 = 0").select(F.sha2("text", 256).alias("hash"))
+    return H.lookup_hashes(h, asked, F.sha2("text", 256)).select("hash", "doc_id")
+
+
 @query("by_category_page", HIST + "SELECT doc_id, category, ts, (SELECT count(*) FROM h WHERE category = 'src3') AS total, (SELECT count(*) FROM h WHERE category = 'src3') > 30 AS has_more FROM h WHERE category = 'src3' ORDER BY ts DESC, doc_id LIMIT 20 OFFSET 10")
 def by_category_page(spark, sf):
     return H.page(H.history(spark, sf).where("category = 'src3'").select("doc_id", "category", "ts"), [F.desc("ts"), F.asc("doc_id")], 10, 20)
@@ -294,11 +314,13 @@ def parallel_edges(spark, sf):
     return e.withColumn("shift", F.round(F.row_number().over(both.orderBy("event_id")) - (F.count("*").over(both) + 1) / F.lit(2.0), 2))
 
 
-@query("missing_parent", "SELECT split_part(p_type, ' ', 1) AS parent, count(DISTINCT p_type) AS n FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 2 AND split_part(p_type, ' ', 1) NOT IN (SELECT p_type FROM part)")
+@query("missing_parent", "WITH f AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part WHERE p_size = 1) SELECT split_part(name, ' ', 1) AS parent, count(*) AS n FROM f WHERE contains(name, ' ') GROUP BY 1 HAVING count(*) > 2 AND split_part(name, ' ', 1) NOT IN (SELECT name FROM f)")
 def missing_parent(spark, sf):
-    p = table(spark, sf, "part").select("p_type").distinct()
-    groups = p.groupBy(F.split("p_type", " ")[0].alias("parent")).agg(F.count("*").alias("n")).where("n > 2")
-    return groups.join(p, F.col("parent") == F.col("p_type"), "left_anti")
+    """Names of parts are folders, and first words of the smallest parts' names; which first words are no folder?"""
+    p = table(spark, sf, "part")
+    f = p.select(F.col("p_name").alias("name")).unionByName(p.where("p_size = 1").select(F.split("p_name", " ")[0].alias("name"))).distinct()
+    groups = f.where(F.contains("name", F.lit(" "))).groupBy(F.split("name", " ")[0].alias("parent")).agg(F.count("*").alias("n")).where("n > 2")
+    return groups.join(f, F.col("parent") == F.col("name"), "left_anti")
 
 
 @query("topic_coverage", HIST + ", t AS (SELECT ext AS topic, count(DISTINCT CASE WHEN doc_id % 17 = 0 THEN category END) AS n FROM h GROUP BY 1) SELECT topic, n, CASE WHEN n >= 3 THEN 'well' ELSE 'thin' END AS coverage FROM t WHERE n >= 3 OR n = 1")

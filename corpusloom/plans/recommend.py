@@ -45,13 +45,15 @@ def cluster_boost(spark, sf):
     return R.ranked(candidates(spark, sf)).join(e, "file", "left").select("file", "folder", F.round(F.col("score") * F.when(F.col("label") % 2 == 0, 1.3).otherwise(1.0), 5).alias("score"))
 
 
-@query("memory_adjustment", CAND + ", m AS (SELECT ext, max_by(folder, ts) AS rule FROM (SELECT ext, category AS folder, ts FROM h) GROUP BY 1) SELECT file, r.folder, round(greatest(0.0, least(1.0, score + CASE WHEN lower(r.folder) = lower(m.rule) THEN 0.2 ELSE -0.1 END)), 5) AS score FROM r JOIN h ON h.doc_id = file JOIN m USING (ext)")
+@query("memory_adjustment", CAND + """, m AS (SELECT ext, max_by(folder, ts) AS rule FROM (SELECT ext, category AS folder, ts FROM h) GROUP BY 1), k AS (SELECT doc_id AS file, category AS known, least(0.15, 0.15 * confidence / 101.0) AS b FROM h WHERE doc_id % 2 = 0)
+ SELECT file, r.folder, round(greatest(0.0, least(1.0, score + CASE WHEN lower(r.folder) = lower(m.rule) THEN 0.2 ELSE -0.1 END + CASE WHEN b IS NULL THEN 0 WHEN lower(r.folder) = lower(known) THEN b ELSE -b END)), 5) AS score FROM r JOIN h ON h.doc_id = file JOIN m USING (ext) LEFT JOIN k USING (file)""")
 def memory_adjustment(spark, sf):
+    """The newest file of an extension says its rule; every second file is like one that is remembered in its own category."""
     h = history(spark, sf)
-    m = h.groupBy("ext").agg(F.max_by("category", "ts").alias("rule"))
-    r = R.ranked(candidates(spark, sf)).join(h.select(F.col("doc_id").alias("file"), "ext"), "file").join(m, "ext")
-    change = F.when(F.lower("folder") == F.lower("rule"), 0.2).otherwise(-0.1)
-    return r.select("file", "folder", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") + change)), 5).alias("score"))
+    rules = h.groupBy("ext").agg(F.max_by("category", "ts").alias("folder"))
+    known = h.where("doc_id % 2 = 0").select(F.col("doc_id").alias("file"), F.col("category").alias("folder"), (F.col("confidence") / 101.0).alias("score"))
+    r = R.ranked(candidates(spark, sf)).join(h.select(F.col("doc_id").alias("file"), "ext"), "file").select("file", "folder", "ext", "score")
+    return R.adjusted_by_memory(r, rules, known).select("file", "folder", F.round("score", 5).alias("score"))
 
 
 @query("latest_rule", HIST + "SELECT ext, max_by(category, ts) AS folder, max(ts) AS ts FROM h GROUP BY 1")
@@ -141,13 +143,14 @@ def pattern_learning(spark, sf):
     return R.learned_patterns(feedback(spark, sf))
 
 
-@query("pattern_prune", "WITH p AS (SELECT user_id AS key, count(*) AS n, max(epoch(ts)) AS last FROM events GROUP BY 1), s AS (SELECT key, n * 0.8 / (1 + ((SELECT max(last) FROM p) - last) / 2592000.0) AS score FROM p) SELECT key FROM (SELECT key, row_number() OVER (ORDER BY round(score, 6), key) AS rn FROM s) WHERE rn <= (SELECT CAST(ceil(0.1 * count(*)) AS BIGINT) FROM s)")
+@query("pattern_prune", """WITH p AS (SELECT user_id AS key, count(*) AS n, max(epoch_us(ts)) / 1e6 AS last, 0.1 * (1 + user_id % 9) AS confidence FROM events WHERE event_type = 'error' GROUP BY 1), m AS (SELECT max(last) AS now FROM p), s AS (SELECT key, now - last AS age, round(n * confidence / (1 + (now - last) / 2592000.0), 9) AS score FROM p, m)
+ SELECT key, 'stale' AS reason FROM s WHERE age > 86400 UNION ALL SELECT key, 'low' FROM (SELECT key, row_number() OVER (ORDER BY score, key) AS rn, count(*) OVER () AS left_over FROM s WHERE age <= 86400) WHERE rn <= 4 AND left_over >= 40""")
 def pattern_prune(spark, sf):
-    """The tenth of patterns with the lowest count over age."""
-    p = table(spark, sf, "events").groupBy(F.col("user_id").alias("key")).agg(F.count("*").alias("n"), F.max(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("last"))
-    newest, n = p.agg(F.max("last"), F.count("*")).first()
-    s = p.select("key", F.round(F.col("n") * 0.8 / (1 + (F.lit(newest) - F.col("last")) / 2592000.0), 6).alias("score"))
-    return s.orderBy("score", "key").limit(-(-n // 10)).select("key")
+    """Users' errors are patterns; a day old they are stale, and of forty or more that are left the four lowest go."""
+    p = table(spark, sf, "events").where("event_type = 'error'").groupBy(F.col("user_id").alias("key")).agg(F.count("*").alias("count"), F.max(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("last"))
+    p = p.withColumn("confidence", 0.1 * (1 + F.col("key") % 9))
+    now = p.agg(F.max("last")).first()[0] or 0.0
+    return R.pruned_patterns(p, now, capacity=40, stale_s=86_400.0)
 
 
 @query("feedback_retention", "SELECT event_id FROM (SELECT event_id, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY ORDER BY ts DESC, event_id DESC LIMIT 1000)")
@@ -171,10 +174,10 @@ def folder_fit(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.round(R.folder_fit(a, b, a, b, F.col("p_brand"), a, b), 6).alias("fit"))
 
 
-@query("missing_categories", "SELECT c AS category FROM (SELECT unnest(['Standard', 'small', 'Brass', 'Tin', 'Invoices', 'Anodized']) AS c) WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey <= 20 AND contains(lower(p_type), lower(c))) AND EXISTS (SELECT 1 FROM part WHERE contains(lower(p_type), lower(c)))")
+@query("missing_categories", "SELECT c AS category FROM (SELECT unnest(['Standard', 'small', 'Promo', 'Invoices', 'Large']) AS c) WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_size % 2 = 1 AND p_type NOT IN ('PROMO', 'LARGE') AND contains(lower(p_type), lower(c))) AND EXISTS (SELECT 1 FROM part WHERE contains(lower(p_type), lower(c)))")
 def missing_categories(spark, sf):
     p = table(spark, sf, "part")
-    return R.missing_categories(p.select(F.col("p_type").alias("category")), p.where("p_partkey <= 20").select(F.col("p_type").alias("folder")), ["Standard", "small", "Brass", "Tin", "Invoices", "Anodized"])
+    return R.missing_categories(p.select(F.col("p_type").alias("category")), p.where("p_size % 2 = 1 AND p_type NOT IN ('PROMO', 'LARGE')").select(F.col("p_type").alias("folder")), ["Standard", "small", "Promo", "Invoices", "Large"])
 
 
 NEAREST = "WITH c AS (SELECT label, list(x ORDER BY pos) AS centroid FROM (SELECT label, pos, avg(CAST(embedding[pos] AS DOUBLE)) AS x FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS pos) GROUP BY 1, 2) GROUP BY 1), n AS (SELECT vec_id AS doc_id, label AS folder, s AS cosine FROM (SELECT vec_id, c.label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid) AS s, row_number() OVER (PARTITION BY vec_id ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid) DESC, c.label) AS rn FROM embeddings, c) WHERE rn = 1)"
@@ -203,15 +206,16 @@ def auto_organize_decision(spark, sf):
     return h.select("doc_id", d.alias("decision"))
 
 
-@query("batch_recommendations", HIST + ", g AS (SELECT category, count(DISTINCT lang) AS langs, max(ts) - min(ts) AS span, count(*) AS n FROM h GROUP BY 1) SELECT category, 'project' AS kind, 0.9 AS confidence FROM g WHERE langs = 1 UNION ALL SELECT category, 'temporal', 0.7 FROM g WHERE span < 86400 * 400 UNION ALL SELECT category, 'groups', 0.6 FROM g WHERE n > 5")
+@query("batch_recommendations", HIST + ", g AS (SELECT category, count(DISTINCT lang) AS langs, max(ts) - min(ts) AS span, count(DISTINCT doc_id % 9) AS n, max(CASE WHEN doc_id % 40 = 7 THEN 1 ELSE 0 END) AS work FROM h GROUP BY 1) SELECT category, 'project' AS kind, 0.9 AS confidence FROM g WHERE langs = 1 UNION ALL SELECT category, 'temporal', 0.7 FROM g WHERE span < 86400 * 400 UNION ALL SELECT category, 'workflow', 0.8 FROM g WHERE work = 1 UNION ALL SELECT category, 'groups', 0.6 FROM g WHERE n > 5")
 def batch_recommendations(spark, sf):
-    g = history(spark, sf).groupBy("category").agg(F.count_distinct("lang").alias("langs"), (F.max("ts") - F.min("ts")).alias("span"), F.count("*").alias("n"))
-    rules = (("project", 0.9, F.col("langs") == 1), ("temporal", 0.7, F.col("span") < 86400 * 400), ("groups", 0.6, F.col("n") > 5))
-    rows = F.array(*(F.when(c, F.struct(F.lit(k).alias("kind"), F.lit(x).alias("confidence"))) for k, x, c in rules))
-    return g.select("category", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("category", "r.kind", "r.confidence")
+    """A category is a batch; its languages stand for projects, and some of its files are drafts."""
+    h = history(spark, sf)
+    one = F.when(F.count_distinct("lang") == 1, F.min("lang"))
+    g = h.groupBy(F.col("category").alias("group")).agg(one.alias("project"), (F.max("ts") - F.min("ts") < 86400 * 400).alias("has_dates"), F.collect_set(F.when(F.col("doc_id") % 40 == 7, F.lit("Draft")).otherwise(F.lit("plain"))).alias("terms"), F.count_distinct(F.col("doc_id") % 9).alias("folders"))
+    return R.batch_recommendations(g).withColumnRenamed("group", "category")
 
 
-@query("cluster_batch", HIST + ", b AS (SELECT doc_id, e.label AS cluster FROM h LEFT JOIN embeddings e ON e.vec_id = doc_id WHERE doc_id % 3 = 0), m AS (SELECT e.label AS cluster, d.source AS folder, row_number() OVER (PARTITION BY e.label ORDER BY count(*) DESC, d.source) AS rn FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id GROUP BY 1, 2) SELECT b.cluster, max(m.folder) AS folder, CASE WHEN max(m.folder) IS NOT NULL THEN 0.85 END AS score, count(*) AS n, list_sort(list(doc_id)) AS files FROM b LEFT JOIN m ON m.cluster = b.cluster AND rn = 1 GROUP BY 1")
+@query("cluster_batch", HIST + ", b AS (SELECT doc_id, e.label AS cluster FROM h LEFT JOIN embeddings e ON e.vec_id = doc_id WHERE doc_id % 3 = 0), m AS (SELECT e.label AS cluster, d.source AS folder, row_number() OVER (PARTITION BY e.label ORDER BY count(*) DESC, d.source) AS rn FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id GROUP BY 1, 2) SELECT doc_id AS file, b.cluster, m.folder, CASE WHEN m.folder IS NOT NULL THEN 0.85 END AS score, count(*) OVER (PARTITION BY b.cluster) AS n FROM b LEFT JOIN m ON m.cluster = b.cluster AND rn = 1")
 def cluster_batch(spark, sf):
     """Every third file is the batch; a cluster's folder is where most of its files lie."""
     members = table(spark, sf, "embeddings").select(F.col("vec_id").alias("file"), F.col("label").alias("cluster"))

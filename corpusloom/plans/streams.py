@@ -214,6 +214,6 @@ def full_outer(spark, sf):
     return c.join(s, "nation", "full").fillna(0, ["customers", "suppliers"])
 
 
-@query("except_all", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("except_all", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 200000")
 def except_all(spark, sf):
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, sf, "orders").select("o_custkey"))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, sf, "orders").where("o_totalprice > 200000").select("o_custkey"))

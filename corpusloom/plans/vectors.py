@@ -121,9 +121,15 @@ def self_recall(spark, sf):
     return hits.groupBy("query").agg(F.max(F.col("query") == F.col("vec_id")).alias("found"))
 
 
-@query("vector_diagnostics", "SELECT count(*) AS total, count(*) FILTER (len(embedding) = 64) AS with_vector, count(*) FILTER (len(list_filter(embedding, lambda x: x <> 0)) = 0) AS zero, count(DISTINCT label) AS labels FROM embeddings")
+@query("vector_diagnostics", """WITH e AS (SELECT vec_id, CASE vec_id % 20 WHEN 0 THEN list_transform(embedding, lambda x: x * 0) WHEN 1 THEN embedding[1:10] WHEN 2 THEN NULL ELSE embedding END AS v FROM embeddings WHERE vec_id % 3 <> 0), f AS (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0), b AS (SELECT vec_id FROM e WHERE vec_id % 20 < 3)
+ SELECT (SELECT count(*) FROM e) AS total, (SELECT count(*) FROM e WHERE len(v) > 0) AS with_vector, (SELECT count(*) FROM e WHERE v IS NULL) AS without_vector, (SELECT count(*) FROM e WHERE vec_id % 20 = 0) AS zero, (SELECT count(*) FROM e WHERE vec_id % 20 = 1) AS wrong_size, (SELECT count(*) FROM e WHERE vec_id NOT IN (FROM f)) AS orphaned, (SELECT count(*) FROM f WHERE doc_id NOT IN (SELECT vec_id FROM e)) AS missing, (SELECT count(*) FROM e WHERE vec_id % 20 > 2) AS eligible, (SELECT list(vec_id ORDER BY vec_id)[1:5] FROM b) AS sample""")
 def vector_diagnostics(spark, sf):
-    return vectors(spark, sf).agg(F.count("*").alias("total"), F.count_if(F.size("embedding") == 64).alias("with_vector"), F.count_if(F.forall("embedding", lambda x: x == 0)).alias("zero"), F.count_distinct("label").alias("labels"))
+    """Vectors of which some are zero, short or missing, and files of which some are gone."""
+    e = vectors(spark, sf).where("vec_id % 3 <> 0")
+    k = F.col("vec_id") % 20
+    v = F.when(k == 0, F.transform("embedding", lambda x: x * 0)).when(k == 1, F.slice("embedding", 1, 10)).when(k > 2, F.col("embedding"))
+    files = table(spark, sf, "documents").where("doc_id % 7 <> 0").select(F.col("doc_id").alias("vec_id"))
+    return V.diagnostics(e.select("vec_id", v.alias("embedding")), files, 64)
 
 
 @query("centroids", "SELECT label, pos, round(avg(CAST(embedding[pos] AS DOUBLE)), 6) AS x FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS pos) GROUP BY 1, 2")
