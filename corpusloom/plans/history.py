@@ -314,11 +314,12 @@ def parallel_edges(spark, sf):
     return e.withColumn("shift", F.round(F.row_number().over(both.orderBy("event_id")) - (F.count("*").over(both) + 1) / F.lit(2.0), 2))
 
 
-@query("missing_parent", "WITH f AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part WHERE p_size = 1) SELECT split_part(name, ' ', 1) AS parent, count(*) AS n FROM f WHERE contains(name, ' ') GROUP BY 1 HAVING count(*) > 2 AND split_part(name, ' ', 1) NOT IN (SELECT name FROM f)")
+@query("missing_parent", "WITH f AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT split_part(p_name, ' ', 1) FROM part GROUP BY 1 HAVING count(*) % 2 = 0) SELECT split_part(name, ' ', 1) AS parent, count(*) AS n FROM f WHERE contains(name, ' ') GROUP BY 1 HAVING count(*) > 2 AND split_part(name, ' ', 1) NOT IN (SELECT name FROM f)")
 def missing_parent(spark, sf):
-    """Names of parts are folders, and first words of the smallest parts' names; which first words are no folder?"""
+    """Names of parts are folders, and first words with an even number of parts; which first words are no folder?"""
     p = table(spark, sf, "part")
-    f = p.select(F.col("p_name").alias("name")).unionByName(p.where("p_size = 1").select(F.split("p_name", " ")[0].alias("name"))).distinct()
+    even = p.groupBy(F.split("p_name", " ")[0].alias("name")).agg(F.count("*").alias("n")).where("n % 2 = 0").select("name")
+    f = p.select(F.col("p_name").alias("name")).unionByName(even).distinct()
     groups = f.where(F.contains("name", F.lit(" "))).groupBy(F.split("name", " ")[0].alias("parent")).agg(F.count("*").alias("n")).where("n > 2")
     return groups.join(f, F.col("parent") == F.col("name"), "left_anti")
 
