@@ -220,8 +220,9 @@ def as_list(text: Column) -> Column:
 def distinct_keywords(words: Column, most: int = 15) -> Column:
     """Distinct whatever the case, in the form seen first."""
     w = F.filter(F.transform(words, lambda x: F.trim(x)), lambda x: x != "")
-    first = F.filter(w, lambda x, i: F.array_position(F.transform(w, lambda x: F.lower(x)), F.lower(x)) == i + 1)
-    return F.slice(first, 1, most)
+    low = F.transform(w, lambda x: F.lower(x))
+    first = F.slice(F.array_distinct(low), 1, most)  # in the order of their first places
+    return F.transform(first, lambda x: F.element_at(w, F.array_position(low, x).cast("int")))
 
 
 def estimated_tokens(text: Column) -> Column:

@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import phonetic_code
-from corpusloom.operators.vectors import top_k
+from corpusloom.operators.vectors import Running, top_k
 from corpusloom.session import cut_lineage
 
 K1, B = 1.2, 0.75
 RRF = 60
+SOME = 512  # documents scored at a time
 
 
 def tokens(text: Column) -> Column:
@@ -93,28 +94,36 @@ def _bm25_in_tasks(docs: DataFrame, known: list[tuple[int, bytes]], fields: dict
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         idf, lists = sent.value
         lengths = np.array([len(x) for x in lists])
-        kept = None
+        listed, first = np.concatenate([np.zeros(0, dtype=np.int32), *lists]), np.cumsum(lengths) - lengths
+        names, running = np.array(asked, dtype=np.int64), Running(np.array(asked, dtype=np.int64), k)
         for batch in batches:
-            for a in range(0, len(batch), 512):
-                some = batch.iloc[a : a + 512]
-                scores = np.zeros((len(asked), len(some)))
-                for column, per_field in enumerate(some["parts"]):
+            for a in range(0, len(batch), SOME):
+                some = batch.iloc[a : a + SOME]
+                doc, term, points = [], [], []
+                for n, per_field in enumerate(some["parts"]):
                     for part in per_field:
-                        term, tf = np.asarray(part["terms"]), np.asarray(part["tf"], dtype=float)
-                        if len(term):
+                        at, tf = np.asarray(part["terms"]), np.asarray(part["tf"], dtype=float)
+                        if len(at):
                             base = K1 * (1 - B + B * part["size"] / means[part["field"]])
-                            points = idf[part["field"], term] * tf * (K1 + 1) / (tf + base)
-                            scores[:, column] += np.bincount(np.concatenate([lists[t] for t in term]), np.repeat(points, lengths[term]), minlength=len(asked))
-                scores = scores.round(9)
-                keep = scores > 0
-                if k < len(some):  # all that tie with the k-th stay
-                    keep &= scores >= np.partition(scores, len(some) - k, axis=1)[:, len(some) - k, None]
-                query, row = np.nonzero(keep)
-                found = pd.DataFrame({"query": np.array(asked, dtype=np.int64)[query], "id": some["id"].to_numpy()[row], "score": scores[query, row]})
-                kept = found if kept is None else pd.concat([kept, found])
-            if kept is not None:
-                kept = kept.sort_values(["query", "score", "id"], ascending=[True, False, True]).groupby("query").head(k)
-        if kept is not None:
+                            doc.append(np.full(len(at), n))
+                            term.append(at)
+                            points.append(idf[part["field"], at] * tf * (K1 + 1) / (tf + base))
+                if not doc:
+                    continue
+                doc, term, points = np.concatenate(doc), np.concatenate(term), np.concatenate(points)
+                # One row for every query that has a term of a document, added up by query and document: no row for others.
+                times = lengths[term]
+                query = listed[np.repeat(first[term], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+                pair = query.astype(np.int64) * len(some) + np.repeat(doc, times)
+                order = np.argsort(pair, kind="stable")
+                pair, starts = np.unique(pair[order], return_index=True)
+                if not len(pair):
+                    continue
+                score = np.add.reduceat(np.repeat(points, times)[order], starts).round(9)
+                query, doc = pair // len(some), pair % len(some)
+                keep = (score > 0) & (score >= running.edge[query])  # all that tie with the k-th stay
+                running.add(pd.DataFrame({"query": names[query[keep]], "id": some["id"].to_numpy()[doc[keep]], "score": score[keep]}))
+        if (kept := running.cut()) is not None:
             yield kept
 
     # The fields of a document meet in one row; what is shuffled are the counts of the queries' terms alone.

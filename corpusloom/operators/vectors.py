@@ -99,14 +99,21 @@ def _stacked(v: pd.Series) -> np.ndarray:
     return _unit(np.stack(v.to_list()))
 
 
-def _best(queries: np.ndarray, matrix: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int | None, min_score: float | None) -> Iterator[pd.DataFrame]:
-    """(query, id, score) of the k best items of each query, all that tie at the edge among them; all items without k."""
+def _best(queries: np.ndarray, matrix: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int | None, min_score: float | None, edge: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+    """(query, id, score) of the k best items of each query, all that tie at the edge among them; all items without k.
+
+    ``edge`` has a score for each query that is reached by k items already.
+    """
     for a in range(0, len(matrix), TILE):
         s = matrix[a : a + TILE] @ v.T
         keep = np.ones_like(s, dtype=bool) if min_score is None else s >= min_score
+        if edge is not None:
+            keep &= s >= edge[a : a + TILE, None] - 1e-12
         if k is not None and k < s.shape[1]:
-            edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-            keep &= s >= edge[:, None] - 1e-12
+            rows = np.flatnonzero(keep.sum(1) > k)  # others keep what passes
+            if len(rows):
+                low = np.partition(s[rows], s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                keep[rows] &= s[rows] >= low[:, None] - 1e-12
         q, i = np.nonzero(keep)
         yield pd.DataFrame({"query": queries[a + q], "id": ids[i], "score": s[q, i]})
 
@@ -115,6 +122,33 @@ def _first(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return rows.sort_values(["query", "score", "id"], ascending=[True, False, True]).groupby("query").head(k)
 
 
+class Running:
+    """The k best of each query so far: rows gather until they are many, and are then cut to k a query, whose last score is the edge for those to come."""
+
+    def __init__(self, queries: np.ndarray, k: int) -> None:
+        self.k, self.queries, self.order = k, queries, np.argsort(queries)
+        self.edge, self.parts, self.n = np.full(len(queries), -np.inf), [], 0
+
+    def add(self, rows: pd.DataFrame) -> None:
+        if len(rows):
+            self.parts.append(rows)
+            self.n += len(rows)
+            if self.n > 3 * self.k * len(self.queries) + 10_000:
+                self.cut()
+
+    def cut(self) -> pd.DataFrame | None:
+        if not self.parts:
+            return None
+        kept = _first(pd.concat(self.parts), self.k)
+        self.parts, self.n = [kept], len(kept)
+        query, score = kept["query"].to_numpy(), kept["score"].to_numpy()
+        last = np.flatnonzero(np.append(query[1:] != query[:-1], True))
+        full = last[np.diff(np.append(-1, last)) == self.k]
+        at = self.order[np.searchsorted(self.queries, query[full], sorter=self.order)]
+        self.edge[at] = score[full]
+        return kept
+
+
 FOUND = "query long, id long, score double"
 
 
@@ -137,18 +171,16 @@ def scores(items: DataFrame, queries: DataFrame, k: int | None, *, id_col: str =
 
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             names, matrix = sent.value
-            kept = None
+            running = None if k is None else Running(names, k)
             for batch in batches:
                 if not len(batch):
                     continue
-                for part in _best(names, matrix, batch["id"].to_numpy(), _stacked(batch["v"]), k, min_score):
-                    if k is None:
+                for part in _best(names, matrix, batch["id"].to_numpy(), _stacked(batch["v"]), k, min_score, None if running is None else running.edge):
+                    if running is None:
                         yield part
                     else:
-                        kept = part if kept is None else pd.concat([kept, part])
-                if kept is not None:
-                    kept = _first(kept, k)
-            if kept is not None:
+                        running.add(part)
+            if running is not None and (kept := running.cut()) is not None:
                 yield kept
 
         return rows.mapInPandas(best, FOUND)
@@ -190,9 +222,14 @@ def top_k(items: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", F.col("id").alias(id_col), "score", "rank")
 
 
-def chunk_search(chunks: DataFrame, queries: DataFrame, *, files: int = 20, chunks_each: int = 80, id_col: str = "vec_id", vec_col: str = "embedding", file: Column, min_score: float | None = None) -> DataFrame:
-    """(query, file, score, rank, chunk): the nearest ``chunks_each`` chunks, the best one for each file, the best files."""
-    hits = top_k(chunks, queries, chunks_each, id_col=id_col, vec_col=vec_col, min_score=min_score)
+def chunk_search(chunks: DataFrame, queries: DataFrame, *, files: int = 20, chunks_each: int = 80, id_col: str = "vec_id", vec_col: str = "embedding", file: Column, min_score: float | None = None, hits: DataFrame | None = None) -> DataFrame:
+    """(query, file, score, rank, chunk): the nearest ``chunks_each`` chunks, the best one for each file, the best files.
+
+    ``hits`` are the result of ``top_k`` where that is known, of as many chunks or more.
+    """
+    if hits is None:
+        hits = top_k(chunks, queries, chunks_each, id_col=id_col, vec_col=vec_col, min_score=min_score)
+    hits = hits.where(F.col("rank") <= chunks_each)
     first = F.min_by(id_col, "rank").alias("chunk")
     best = hits.groupBy("query", file.alias("file")).agg(F.max("score").alias("score"), first)
     w = Window.partitionBy("query").orderBy(F.desc("score"), "file")

@@ -51,6 +51,7 @@ def chunk_mean_pool(spark, sf):
     return V.centroids(c, "id").select("id", F.col("centroid").alias("embedding"))
 
 
-@query("flatten_xml", r"SELECT page_id, trim(regexp_replace(regexp_replace(url, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
+@query("flatten_xml", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<\?.*?\?>|<!\[CDATA\[|\]\]>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""")
 def flatten_xml(spark, sf):
-    return table(spark, sf, "pages").select("page_id", markup_text(F.concat(F.lit("<r><!-- x --><u>"), "url", F.lit("</u></r>"))).alias("text"))
+    """Whole pages, read as markup."""
+    return table(spark, sf, "pages").select("page_id", markup_text(F.col("html")).alias("text"))

@@ -70,7 +70,7 @@ def normalize_text(spark, sf):
     return docs(spark, sf).select("doc_id", T.normal_text(F.col("text"), 500).alias("text"))
 
 
-@query("normalize_keywords", r"SELECT doc_id, list_slice(list_filter(w, lambda x, i: list_position(list_transform(w, lambda y: lower(y)), lower(x)) = i), 1, 15) AS keywords FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents)")
+@query("normalize_keywords", r"WITH w AS (SELECT doc_id, w, generate_subscripts(w, 1) AS pos, unnest(w) AS x FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents)), f AS (SELECT doc_id, arg_min(x, pos) AS x, min(pos) AS pos FROM w GROUP BY doc_id, lower(x)) SELECT d.doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(l, []) END AS keywords FROM documents d LEFT JOIN (SELECT doc_id, list(x ORDER BY pos)[1:15] AS l FROM f GROUP BY 1) k USING (doc_id)")
 def normalize_keywords(spark, sf):
     w = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)
     return docs(spark, sf).select("doc_id", T.distinct_keywords(w).alias("keywords"))

@@ -12,7 +12,7 @@ from corpusloom.plans.graphs import GRAPH, concepts
 from corpusloom.plans.history import HIST
 from corpusloom.plans.registry import query
 from corpusloom.plans.vectors import COS, queries, six
-from corpusloom.session import table
+from corpusloom.session import cut_lineage, table
 
 FIELDS = {"text": 2.5, "source": 1.5, "lang": 1.2}
 TOK = "regexp_extract_all(lower({}), '[a-z0-9]{{2,}}')"
@@ -113,7 +113,12 @@ HYBRID = f"WITH {BM}, {VEC}, {CH}, {PARTS}, f AS (SELECT query, id, round(sum(sc
 
 
 def hybrid_results(spark, sf):
-    return S.hybrid(keyword(spark, sf), vector(spark, sf), chunk(spark, sf))
+    """Vectors are searched once: the first of the chunks' hits are the files' own."""
+    e, asked = table(spark, sf, "embeddings"), item_vectors(spark, sf)
+    hits = cut_lineage(V.top_k(e, asked, 240))
+    near = hits.where("rank <= 60").select("query", F.col("vec_id").alias("id"), "score", "rank")
+    parts = V.chunk_search(e, asked, files=60, chunks_each=240, file=file_of(), hits=hits).select("query", F.col("file").alias("id"), "score", "rank")
+    return S.hybrid(keyword(spark, sf), near, parts)
 
 
 @query("hybrid_search", HYBRID + "SELECT query, id, round(score, 5) AS score, rank FROM hy")

@@ -47,7 +47,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
+    """The folder of ``spark.checkpoint.dir``, or else the context's checkpoint folder: driver and executors share it.
 
     Only a local session may fall back to a temporary folder: on a cluster executors could
     not read each other's files.
@@ -55,6 +55,8 @@ def shared_folder(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if (chosen := spark.sparkContext.getCheckpointDir()) is not None:  # set on the context instead
+        return chosen.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return _local_folder()
