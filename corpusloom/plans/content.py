@@ -8,6 +8,7 @@ from corpusloom.functions import documents as D
 from corpusloom.operators import search as S
 from corpusloom.operators import vectors as V
 from corpusloom.plans.registry import query
+from corpusloom.plans.search import CHUNKS
 from corpusloom.sources.readers import markup_text
 from corpusloom.session import table
 
@@ -36,7 +37,7 @@ def representative_content(spark, sf):
     return table(spark, sf, "documents").select("doc_id", D.representative_content("text").alias("content"))
 
 
-@query("chunk_analysis")
+@query("chunk_analysis", f"WITH {CHUNKS.replace('1000', '4000').replace('800', '3800')} SELECT id, substring(string_agg(chunk, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY index), 1, 16000) AS text FROM ci WHERE index < 80 GROUP BY 1")
 def chunk_analysis(spark, sf):
     """Chunks of 4,000 with overlap 200, together up to the model's budget."""
     c = S.chunks(table(spark, sf, "documents"), 4_000, 200)

@@ -352,13 +352,18 @@ def outcomes(spark, sf):
     return table(spark, sf, "events").select((F.col("user_id") % 3).cast("string").alias("pipeline"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"), kind.alias("outcome"))
 
 
-@query("rolling_degradation", f"""WITH r AS (SELECT CAST(user_id % 3 AS VARCHAR) AS pipeline, event_id AS id, count(*) OVER w AS n, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER w AS fallbacks, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS errors FROM events WINDOW w AS (PARTITION BY user_id % 3 ORDER BY ts, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW))
- SELECT pipeline, id, n, CAST(fallbacks AS BIGINT) AS fallbacks, CAST(errors AS BIGINT) AS errors, n >= 20 AND (fallbacks >= 0.5 * n OR errors >= 0.2 * n) AS degraded FROM r""")
+DEGRADED = """r AS (SELECT CAST(user_id % 3 AS VARCHAR) AS pipeline, event_id AS id, ts, count(*) OVER w AS n, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER w AS fallbacks, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS errors FROM events WINDOW w AS (PARTITION BY user_id % 3 ORDER BY ts, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)),
+ d AS (SELECT pipeline, id, ts, n, CAST(fallbacks AS BIGINT) AS fallbacks, CAST(errors AS BIGINT) AS errors, n >= 20 AND (fallbacks >= 0.5 * n OR errors >= 0.2 * n) AS degraded FROM r)"""
+
+
+@query("rolling_degradation", f"WITH {DEGRADED} SELECT pipeline, id, n, fallbacks, errors, degraded FROM d")
 def rolling_degradation(spark, sf):
     return H.degradation(outcomes(spark, sf), error_rate=0.2).select("pipeline", "id", "n", "fallbacks", "errors", "degraded")
 
 
-@query("degradation_alerts")
+@query("degradation_alerts", f"""WITH RECURSIVE {DEGRADED}, e AS (SELECT pipeline, id, epoch_us(ts) AS s, row_number() OVER (PARTITION BY pipeline ORDER BY ts, id) AS k FROM d WHERE degraded),
+ f AS (SELECT pipeline, id, k, s AS last, true AS hit FROM e WHERE k = 1 UNION ALL SELECT e.pipeline, e.id, e.k, CASE WHEN e.s - f.last >= 86400000000 THEN e.s ELSE f.last END, e.s - f.last >= 86400000000 FROM f JOIN e ON e.pipeline = f.pipeline AND e.k = f.k + 1)
+ SELECT pipeline, id FROM f WHERE hit""")
 def degradation_alerts(spark, sf):
     return H.degradation_alerts(H.degradation(outcomes(spark, sf), error_rate=0.2), 86_400.0)
 

@@ -138,7 +138,10 @@ def feedback(spark, sf):
     return table(spark, sf, "events").where("event_type IN ('click', 'error')").select(F.concat_ws(":", "event_type", (F.col("user_id") % 20).cast("string")).alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), (F.col("event_id") % 3 != 0).alias("accepted"))
 
 
-@query("pattern_learning")
+@query("pattern_learning", """WITH RECURSIVE e AS (SELECT event_type || ':' || (user_id % 20) AS key, event_id % 3 <> 0 AS ok, row_number() OVER (PARTITION BY event_type, user_id % 20 ORDER BY ts, event_id) AS k FROM events WHERE event_type IN ('click', 'error')),
+ f AS (SELECT key, k, CAST(CASE WHEN ok THEN 1 ELSE 0 END AS BIGINT) AS count, CASE WHEN ok THEN CAST(0.5 AS DOUBLE) END AS conf FROM e WHERE k = 1 UNION ALL
+ SELECT e.key, e.k, CASE WHEN ok THEN count + 1 WHEN conf - CAST(0.15 AS DOUBLE) < CAST(0.1 AS DOUBLE) THEN 0 ELSE count END, CASE WHEN ok THEN CASE WHEN conf IS NULL THEN CAST(0.5 AS DOUBLE) ELSE least(CAST(1 AS DOUBLE), conf + CAST(0.1 AS DOUBLE)) END WHEN conf - CAST(0.15 AS DOUBLE) >= CAST(0.1 AS DOUBLE) THEN conf - CAST(0.15 AS DOUBLE) END FROM f JOIN e ON e.key = f.key AND e.k = f.k + 1)
+ SELECT key, count, round(coalesce(conf, 0), 4) AS confidence, conf IS NOT NULL AS alive FROM f WHERE (key, k) IN (SELECT (key, max(k)) FROM e GROUP BY key)""")
 def pattern_learning(spark, sf):
     return R.learned_patterns(feedback(spark, sf))
 
@@ -305,9 +308,15 @@ def folder_word_overlap(spark, sf):
     return w.join(parts, "w").groupBy("item_id", "n_name").agg(F.count("*").alias("hits"))
 
 
-@query("unique_names")
+@query("unique_names", """WITH e AS (SELECT CAST(user_id % 40 AS VARCHAR) AS dir, event_id, CASE WHEN event_id % 3 = 0 THEN upper(event_type) ELSE event_type END || CASE WHEN event_id % 25 = 0 THEN '-' || (2 + event_id % 7) ELSE '' END || '.txt' AS name FROM events),
+ n AS (SELECT *, row_number() OVER (PARTITION BY dir, lower(name) ORDER BY event_id) AS m, name[: length(name) - 4] AS stem FROM e), u AS (SELECT DISTINCT dir, lower(name) AS used FROM e),
+ c AS (SELECT dir, lower(stem) AS l, unnest(range(2, max(m) + 20)) AS i FROM n GROUP BY 1, 2), x AS (SELECT c.dir, l, i, row_number() OVER (PARTITION BY c.dir, l ORDER BY i) + 1 AS m FROM c LEFT JOIN u ON u.dir = c.dir AND u.used = l || '-' || i || '.txt' WHERE u.used IS NULL)
+ SELECT n.dir, event_id, CASE WHEN n.m = 1 THEN name ELSE stem || '-' || i || '.txt' END AS unique_name FROM n LEFT JOIN x ON x.dir = n.dir AND x.l = lower(stem) AND x.m = n.m""")
 def unique_names(spark, sf):
-    e = table(spark, sf, "events").select((F.col("user_id") % 40).cast("string").alias("dir"), F.concat("event_type", F.lit(".txt")).alias("name"), "event_id")
+    """Users share forty folders; every 25th file is named as if it were a repetition already."""
+    kind = F.when(F.col("event_id") % 3 == 0, F.upper("event_type")).otherwise(F.col("event_type"))
+    number = F.when(F.col("event_id") % 25 == 0, F.concat(F.lit("-"), (2 + F.col("event_id") % 7).cast("string"))).otherwise("")
+    e = table(spark, sf, "events").select((F.col("user_id") % 40).cast("string").alias("dir"), F.concat(kind, number, F.lit(".txt")).alias("name"), "event_id")
     return R.unique_names(e, dir_col="dir", name_col="name", order_col="event_id")
 
 

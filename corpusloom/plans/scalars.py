@@ -269,13 +269,19 @@ def levenshtein_pairs(spark, sf):
     return pairs.select(F.col("a.n_name").alias("a"), F.col("b.n_name").alias("b"), F.levenshtein("a.n_name", "b.n_name").alias("distance"))
 
 
-@query("phonetic_code")
+#: A word's code: digits of all letters but the first, those that follow themselves once, others (0) left out, three of them.
+CODED = """SELECT word, upper(word[1]) || rpad(substring(array_to_string(list_transform(list_filter(range(1, length(c) + 1), lambda i: c[i] <> '0' AND (i = 1 OR c[i - 1] <> c[i])), lambda i: c[i]), ''), 1, 3), 3, '0') AS code
+ FROM (SELECT word, translate(word[2:], 'abcdefghijklmnopqrstuvwxyz', '01230120022455012623010202') AS c FROM {})"""
+NAMES = "n AS (SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{5,9}')) AS w FROM documents))"
+
+
+@query("phonetic_code", f"WITH {NAMES} {CODED.format('n')}")
 def phonetic_code(spark, sf):
     names = docs(spark, sf).select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{5,9})"), 1)).alias("word")).select(F.lower("word").alias("word")).distinct()
     return names.select("word", T.phonetic_code("word").alias("code"))
 
 
-@query("phonetic_match")
+@query("phonetic_match", f"WITH {NAMES}, {VOCAB}, a AS ({CODED.format('n')}), b AS ({CODED.format('v')}) SELECT word, other FROM (SELECT a.word, b.word AS other, row_number() OVER (PARTITION BY a.word ORDER BY abs(length(a.word) - length(b.word)), b.word) AS rn FROM a JOIN b USING (code) WHERE a.word <> b.word) WHERE rn = 1")
 def phonetic_match(spark, sf):
     """Of the dictionary's words with a word's code the one nearest in length, the first of equals."""
     known = vocabulary_of(spark, sf).select(F.col("word").alias("other"), T.phonetic_code("word").alias("code"))

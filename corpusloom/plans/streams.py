@@ -90,7 +90,9 @@ def ttl_sweep(spark, sf):
     return e.where(F.col("us") >= now - ttl).select("event_id")
 
 
-@query("dedupe_window")
+@query("dedupe_window", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+ f AS (SELECT user_id, event_id, k, s AS last, true AS hit FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN e.s - f.last >= 3600000000 THEN e.s ELSE f.last END, e.s - f.last >= 3600000000 FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+ SELECT user_id, event_id FROM f WHERE hit""")
 def dedupe_window(spark, sf):
     return E.accepted_after_gap(events(spark, sf), 3600.0)
 
