@@ -336,6 +336,19 @@ def spelling(words: DataFrame, dictionary: DataFrame, *, stop: tuple[str, ...] =
     return out.select("word", F.coalesce("near", sound, "word").alias("fixed"))
 
 
+def sound_alikes(words: DataFrame) -> DataFrame:
+    """(word, other): for words (word, code) the other word of their code that is nearest in length, the first of equals by alphabet.
+
+    Of the words of one code and length only the first two can be anybody's, so a word meets two
+    for every length of its code and never all that sound like it.
+    """
+    rows = words.select("word", "code", F.length("word").alias("n")).distinct()
+    few = rows.withColumn("_k", F.row_number().over(Window.partitionBy("code", "n").orderBy("word"))).where(F.col("_k") <= 2)
+    near = rows.join(few.select("code", F.col("n").alias("m"), F.col("word").alias("other")), "code").where("word <> other")
+    best = F.struct(F.abs(F.col("n") - F.col("m")).alias("d"), "other")
+    return near.groupBy("word").agg(F.min(best).alias("b")).select("word", F.col("b.other").alias("other"))
+
+
 def by_mode(queries: DataFrame, mode: str, *, keyword: Callable[[DataFrame], DataFrame], vector: Callable[[DataFrame], DataFrame], hybrid: Callable[[DataFrame], DataFrame], least: int = 2) -> tuple[DataFrame, DataFrame]:
     """Results (query, id, score, rank, mode) of queries (query, text, embedding), and errors (query, error).
 

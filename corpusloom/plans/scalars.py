@@ -281,12 +281,10 @@ def phonetic_code(spark, sf):
     return names.select("word", T.phonetic_code("word").alias("code"))
 
 
-@query("phonetic_match", f"WITH {NAMES}, {VOCAB}, a AS ({CODED.format('n')}), b AS ({CODED.format('v')}) SELECT word, other FROM (SELECT a.word, b.word AS other, row_number() OVER (PARTITION BY a.word ORDER BY abs(length(a.word) - length(b.word)), b.word) AS rn FROM a JOIN b USING (code) WHERE a.word <> b.word) WHERE rn = 1")
+@query("phonetic_match", f"WITH {NAMES}, a AS ({CODED.format('n')}) SELECT word, other FROM (SELECT a.word, b.word AS other, row_number() OVER (PARTITION BY a.word ORDER BY abs(length(a.word) - length(b.word)), b.word) AS rn FROM a JOIN a b USING (code) WHERE a.word <> b.word) WHERE rn = 1")
 def phonetic_match(spark, sf):
-    """Of the dictionary's words with a word's code the one nearest in length, the first of equals."""
-    known = vocabulary_of(spark, sf).select(F.col("word").alias("other"), T.phonetic_code("word").alias("code"))
-    w = W.partitionBy("word").orderBy(F.abs(F.length("word") - F.length("other")), "other")
-    return phonetic_code(spark, sf).join(known, "code").where("word <> other").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("word", "other")
+    """Of the words with the same code the one nearest in length, the first of equals."""
+    return S.sound_alikes(phonetic_code(spark, sf))
 
 
 @query("semantic_terms", "SELECT doc_id, list_distinct_sorted AS terms FROM (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 4 AND NOT regexp_full_match(w, '[0-9]+') AND NOT list_contains(['that', 'this', 'with', 'from'], w)))) AS list_distinct_sorted FROM documents)")
