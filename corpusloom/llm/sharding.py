@@ -10,8 +10,8 @@ enough.
 
 Defined results: a null text has no bytes and shares a group with empty texts. With fewer
 groups than shards some shards stay empty. A group larger than a shard's share has a shard
-to itself, and the others share the rest. Slots order the rows of a shard by bucket, id
-(nulls first) and hash; repeated rows get one slot each.
+to itself, and the others share the rest. Slots order the rows of a shard by part, id
+(nulls first) and hash; repeated rows get one slot each. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from corpusloom.session import cut_lineage
 
 PALLETS = 256  # of a shard's capacity
 BUCKET_GROUPS, PART_ROWS = 20_000, 2_000  # in one bucket of small groups, in one part of a shard's slots
+MAX_BUCKETS = 65_536  # buckets then grow instead, which tasks stream through; each may leave a pallet that is not full
 _NONE = None
 
 
@@ -162,11 +163,11 @@ def assign_shards(groups: DataFrame, n_shards: int) -> DataFrame:
     if not n:
         return groups.select("grp", F.lit(0).alias("shard")).limit(0)
     capacity = max(int(total) // n_shards // PALLETS, 1)
-    buckets = max(1, int(n) // BUCKET_GROUPS)
+    buckets = min(MAX_BUCKETS, max(1, int(n) // BUCKET_GROUPS))
     small = groups.where(F.col("size") < capacity).withColumn("bucket", F.pmod(F.xxhash64("grp"), F.lit(buckets)))
     dealt = small.select("bucket", "grp", "size").repartition("bucket").sortWithinPartitions("bucket", F.desc("size"), "grp")
     pallets = cut_lineage(dealt.mapInPandas(_fill_pallets(capacity), "bucket long, grp string, size long, pallet long"))
-    # At most n_shards * PALLETS large groups and about twice as many pallets, plus one a bucket.
+    # At most n_shards * PALLETS large groups and about twice as many pallets, plus MAX_BUCKETS: the driver's part never grows beyond.
     items = groups.where(F.col("size") >= capacity).select(F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("long").alias("pallet"), "grp", "size")
     items = items.unionByName(pallets.groupBy("bucket", "pallet").agg(F.lit(None).cast("string").alias("grp"), F.sum("size").alias("size")))
     rows = sorted(items.collect(), key=lambda r: (-r["size"], r["grp"] or "", r["bucket"] or 0, r["pallet"] or 0))
@@ -196,10 +197,11 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, *, id_col: str = "doc_i
     told = rows.join(is_hot, "grp", "left")
     of_hot = told.where("_hot").join(F.broadcast(shards.join(F.broadcast(large), "grp", "left_semi")), "grp")
     others = told.where("_hot IS NULL").join(shards, "grp")
-    placed = cut_lineage(of_hot.unionByName(others).select("_id", "size", "text_crc32", "grp", "shard"))
-    part = F.pmod(F.xxhash64("_id", "grp"), F.lit(max(1, placed.count() // n_shards // PART_ROWS)))
+    # A row repeated very often lies in many tasks, and their numbers deal it to as many parts.
+    placed = cut_lineage(of_hot.unionByName(others).select("_id", "size", "text_crc32", "grp", "shard", F.spark_partition_id().alias("task")))
+    part = F.pmod(F.xxhash64("_id", "grp", "task"), F.lit(max(1, placed.count() // n_shards // PART_ROWS)))
     counts = placed.groupBy("shard", part.alias("part")).agg(F.count("*").alias("n"))
     first = counts.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("first"))
     nth = F.row_number().over(Window.partitionBy("shard", "part").orderBy("_id", "grp", "size")) - 1
-    numbered = placed.withColumn("part", part).withColumn("nth", nth).join(F.broadcast(first), ["shard", "part"])
+    numbered = placed.withColumn("part", part).withColumn("nth", nth).join(first, ["shard", "part"])  # dealt by these already
     return numbered.select(F.col("_id").alias(id_col), "size", "text_crc32", "shard", (F.col("first") + F.col("nth")).cast("long").alias("slot"))

@@ -2,6 +2,7 @@ import random
 import zlib
 from collections import defaultdict
 
+from corpusloom.llm import sharding
 from corpusloom.llm.sharding import CapacityTree, best_fit_decreasing, shard_documents, smallest_capacity
 
 
@@ -69,3 +70,30 @@ def test_documents(spark):
     assert shard_documents(mixed.limit(0), 24).count() == 0
     few = shard_documents(mixed.limit(3), 24).collect()
     assert len(few) == 3
+
+
+def test_one_row_repeated_for_a_third_of_the_table(spark):
+    rows = [(n, f"text {n}", 1, "x") for n in range(4_000)] + [(7, "again", 2, "y")] * 2_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int, size string").repartition(12)
+    got = shard_documents(docs.withColumnRenamed("size", "slot"), 6)
+    assert got.columns == ["doc_id", "size", "text_crc32", "shard", "slot"]
+    by_shard = defaultdict(list)
+    for r in got.collect():
+        by_shard[r["shard"]].append(r["slot"])
+    assert sum(map(len, by_shard.values())) == 6_000
+    assert all(sorted(s) == list(range(len(s))) for s in by_shard.values())
+
+
+def test_many_buckets_reach_the_driver_as_a_bounded_number(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_GROUPS", 10)
+    docs = spark.range(3_000).selectExpr("id AS doc_id", "repeat(cast(id AS string), cast(1 + id % 40 AS int)) AS text")
+    sizes = []
+    for most in (65_536, 7):
+        monkeypatch.setattr(sharding, "MAX_BUCKETS", most)
+        rows = shard_documents(docs, 5).collect()
+        size = defaultdict(int)
+        for r in rows:
+            size[r["shard"]] += r["size"]
+        assert len(rows) == 3_000 and len(size) == 5
+        sizes.append(max(size.values()) - min(size.values()))
+        assert sizes[-1] < 0.02 * sum(size.values()) / 5
