@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from corpusloom.plans import content, graphs, history, recommend, scalars, search, stored, streams, vectors  # noqa: F401
+    from corpusloom.plans import content, files, graphs, history, recommend, scalars, search, stored, streams, vectors  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

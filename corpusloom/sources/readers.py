@@ -57,7 +57,7 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 def csv_text(spark: SparkSession, path: str, max_rows: int = 5_000, max_columns: int = 100) -> DataFrame:
     """(path, text): cells joined by blanks, rows by line feeds; the first rows and columns only, by design."""
     columns = [f"c{n}" for n in range(max_columns)]  # rows may differ in width, so no row says how many there are
-    rows = spark.read.csv(path, schema=", ".join(f"{c} string" for c in columns), header=False, mode="PERMISSIVE", multiLine=True)
+    rows = spark.read.csv(path, schema=", ".join(f"{c} string" for c in columns), header=False, mode="PERMISSIVE", multiLine=True, escape='"')  # a quote inside a cell is doubled
     cells = F.concat_ws(" ", *[F.trim(c) for c in columns])
     lines = rows.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("n"), cells.alias("line")).where("line <> ''")
     first = F.row_number().over(Window.partitionBy("path").orderBy("n"))
