@@ -91,19 +91,26 @@ def unique_names(df: DataFrame, *, dir_col: str, name_col: str, order_col: str)
 def moves(deleted: DataFrame, added: DataFrame, *, tolerance_s: float = 2.0) -> DataFrame:
     """(deleted, added): files that were moved, given as (id, path, size, s) with the time in seconds.
 
-    Size and extension (whatever its case) are equal and times at most ``tolerance_s`` apart.
-    An added file with several candidates takes the one with its own base name, if that is one
-    alone; else it is no move. Time is cut into tolerance-wide buckets, so the interval join is
-    an equi-join on three of them.
+    Size and extension (whatever its case) are equal and times at most ``tolerance_s`` apart, to
+    the millionth. An added file with several candidates takes the one with its own base name, if
+    that is one alone; else it is no move. Candidates are never listed: how many there are, and the
+    first, is what windows over the times around an added file say, of all and of its name's
+    deletes. Time is cut into stretches of the tolerance, so a size that has most files is many
+    windows. Rows without a size or a time are no candidates.
     """
     base = F.lower(F.element_at(F.split("path", "/"), -1))
     ext = F.regexp_extract(base, r".(\.[^.]*)$", 1)
-    bucket = F.floor(F.col("s") / tolerance_s)
-    d = deleted.select(F.col("id").alias("deleted"), base.alias("base1"), ext.alias("ext"), "size", F.col("s").alias("s1"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("b"))
-    a = added.select(F.col("id").alias("added"), base.alias("base2"), ext.alias("ext"), "size", F.col("s").alias("s2"), bucket.alias("b"))
-    p = d.join(a, ["size", "ext", "b"]).where(F.abs(F.col("s2") - F.col("s1")) <= tolerance_s).select("deleted", "added", (F.col("base1") == F.col("base2")).alias("named"))
-    found = p.groupBy("added").agg(F.count("*").alias("n"), F.min("deleted").alias("only"), F.count_if("named").alias("n_named"), F.min(F.when(F.col("named"), F.col("deleted"))).alias("namesake"))
-    return found.select(F.when(F.col("n") == 1, F.col("only")).when(F.col("n_named") == 1, F.col("namesake")).alias("deleted"), "added").where("deleted IS NOT NULL")
+    reach = max(1, round(tolerance_s * 1e6))
+    fine = F.round(F.col("s") * 1e6).cast("long")
+    at = F.floor(fine / reach)
+    row = lambda df, stretch: df.where("size IS NOT NULL AND s IS NOT NULL AND path IS NOT NULL").select(F.col("id"), base.alias("base"), ext.alias("ext"), "size", fine.alias("fine"), stretch.alias("b"))
+    d = row(deleted, F.explode(F.array(at - 1, at, at + 1))).withColumn("gone", F.col("id"))
+    rows = d.unionByName(row(added, at).withColumn("gone", F.lit(None).cast(d.schema["gone"].dataType)))
+    near = Window.partitionBy("size", "ext", "b").orderBy("fine").rangeBetween(-reach, reach)
+    named = Window.partitionBy("size", "ext", "b", "base").orderBy("fine").rangeBetween(-reach, reach)
+    told = rows.select("id", "gone", F.count("gone").over(near).alias("n"), F.min("gone").over(near).alias("only"), F.count("gone").over(named).alias("n_named"), F.min("gone").over(named).alias("namesake"))
+    one = F.when(F.col("n") == 1, F.col("only")).when(F.col("n_named") == 1, F.col("namesake"))
+    return told.where("gone IS NULL").select(one.alias("deleted"), F.col("id").alias("added")).where("deleted IS NOT NULL")
 
 
 def match_patterns(files: DataFrame, patterns: DataFrame, *, least: float = 0.5, most: int = 3) -> DataFrame:

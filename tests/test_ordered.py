@@ -177,3 +177,19 @@ def test_phrases_are_quoted_and_temporary_names_known(spark):
     got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "p string").select(T.temporary_file(F.col("p"))).collect()]
     assert got == [True] * 11 + [False] * 4
     assert math.isclose(sum(got), 11)
+
+
+def test_moves_of_one_size_without_pairs(spark):
+    rng = random.Random(9)
+    file = lambda k: (k, f"/{rng.choice('ab')}/{rng.choice(['x.TXT', 'y.txt', 'z.pdf'])}", rng.choice([5, 5, 5, 6, None]), rng.choice([round(rng.uniform(0, 200), 1), None] if k % 25 == 0 else [round(rng.uniform(0, 200), 1)]))
+    gone, new = [file(k) for k in range(120)], [file(1_000 + k) for k in range(150)]
+    base = lambda p: p.rsplit("/", 1)[1].lower()
+    want = set()
+    for i, p, size, s in new:
+        near = [g for g in gone if size is not None and s is not None and g[2] == size and g[3] is not None and base(g[1])[1:] == base(p)[1:] and abs(round(g[3] * 10) - round(s * 10)) <= 20]
+        named = [g for g in near if base(g[1]) == base(p)]
+        if len(near) == 1 or len(named) == 1:
+            want.add((near[0][0] if len(near) == 1 else named[0][0], i))
+    frame = lambda rows: spark.createDataFrame(rows, "id long, path string, size long, s double").repartition(3)
+    got = R.moves(frame(gone), frame(new), tolerance_s=2.0).collect()
+    assert {(r["deleted"], r["added"]) for r in got} == want and len(got) == len(want) > 10
