@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.operators import history as H
-from corpusloom.operators.ordered import append_in_order
+from corpusloom.operators.ordered import append_in_order, numbered_in_keys
 from corpusloom.plans.registry import query
 from corpusloom.session import table
 from corpusloom.streaming import events as E
@@ -142,8 +142,10 @@ def recent_page(spark, sf):
 
 @query("sort_entries", HIST + "SELECT doc_id, file_name, confidence, row_number() OVER (PARTITION BY category ORDER BY coalesce(confidence, 0) DESC, file_name, doc_id) AS pos FROM h")
 def sort_entries(spark, sf):
-    w = W.partitionBy("category").orderBy(F.coalesce("confidence", F.lit(0)).desc(), "file_name", "doc_id")
-    return H.history(spark, sf).select("doc_id", "file_name", "confidence", F.row_number().over(w).cast("long").alias("pos"))
+    """Places in each category, of which one may have most files: numbered by ranges and counts."""
+    h = H.history(spark, sf).select("doc_id", "file_name", "confidence", "category", (-F.coalesce("confidence", F.lit(0))).alias("falling"))
+    placed = numbered_in_keys(h, "category", ["falling", "file_name", "doc_id"], "before")
+    return placed.select("doc_id", "file_name", "confidence", (F.col("before") + 1).cast("long").alias("pos"))
 
 
 @query("ghost_filter", "SELECT d.doc_id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE source END AS source FROM documents d WHERE doc_id % 9 = 0 OR EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id)")
