@@ -64,3 +64,30 @@ def test_pairs_means_and_clusters_leave_odd_vectors_out(spark):
     assert V.kmeans(four.limit(0), 4).count() == 0
     with pytest.raises(ValueError):
         V.best_of_few(four, [(i, [0.0]) for i in range(V.MAX_QUERIES + 1)], 1)
+
+
+def test_bridges_look_at_all_members(spark):
+    """Sixty members lie at one centre and one, far out, lies next to the other centre: it is the bridge."""
+    rows = [(i, 0, [1.0, 0.001 * i]) for i in range(60)] + [(60, 0, [0.2, 1.0])] + [(100 + i, 1, [0.0, 1.0]) for i in range(3)]
+    files = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    centres = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "folder long, embedding array<double>")
+    found = [{r["vec_id"] for r in V.bridges(files, centres, threshold=0.3, least=0.1, **some).collect() if r["label"] == 0} for some in ({"members": None}, {})]
+    assert found == [{60}, set()]
+
+
+def test_bridge_files_ranks_every_member(spark):
+    from corpusloom.plans import vectors as plans
+
+    spec = plans.bridge_files(spark, "/root/testdata/sf0.1")
+    e = plans.vectors(spark, "/root/testdata/sf0.1").toPandas()
+    v = np.stack(e["embedding"].to_list()).astype(float)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    labels = e["label"].to_numpy()
+    want = set()
+    for other in set(labels):
+        c = v[labels == other].mean(axis=0)
+        score = (unit @ (c / np.linalg.norm(c))).round(2)
+        for label in set(labels) - {other}:
+            best = sorted((-s, i) for s, i in zip(score[labels == label], e["vec_id"][labels == label], strict=True))[:3]
+            want |= {(label, other, i) for s, i in best if -s >= 0.1}
+    assert {(r["label"], r["other"], r["vec_id"]) for r in spec.collect()} == want
