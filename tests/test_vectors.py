@@ -91,3 +91,28 @@ def test_bridge_files_ranks_every_member(spark):
             best = sorted((-s, i) for s, i in zip(score[labels == label], e["vec_id"][labels == label], strict=True))[:3]
             want |= {(label, other, i) for s, i in best if -s >= 0.1}
     assert {(r["label"], r["other"], r["vec_id"]) for r in spec.collect()} == want
+
+
+def test_products_stay_small_whatever_the_batch(monkeypatch):
+    """A whole batch against all queries is never one matrix, and blocks give the same k best."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    v, matrix = rng.normal(size=(10_000, 8)), rng.normal(size=(1_500, 8))
+    tracemalloc.start()
+    found = V.Running(np.arange(1_500), 5)
+    for part in V._best(np.arange(1_500), matrix, np.arange(10_000), v, 5, None, found.edge):
+        found.add(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6
+    kept = found.cut()
+    s = matrix @ v.T
+    assert kept["id"].to_numpy().reshape(1_500, 5).tolist() == np.argsort(-s, axis=1)[:, :5].tolist()
+
+
+def test_dealt_queries_send_on_k_rows_a_query(spark, monkeypatch):
+    monkeypatch.setattr(V, "ITEMS", 16)
+    df, _ = frame(spark)
+    queries = df.where("vec_id % 20 = 0 AND vec_id < 1000").select(F.col("vec_id").alias("query"), "embedding")
+    assert V.scores(df, queries, 3, max_queries=3).count() == 20 * 3
