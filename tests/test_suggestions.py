@@ -58,6 +58,15 @@ def test_capped_edges_against_greedy(spark):
     df = spark.createDataFrame([(a, b, 0.5) for a, b in edges] + [(1, 1, 0.9)], "a long, b long, score double")
     assert sorted((r["a"], r["b"]) for r in G.capped_edges(df).collect()) == want
     assert G.capped_edges(df.limit(0)).count() == 0
+    for nodes, nearest in ((5, 3), (100, 4), (4, 100)):  # blocks of few nodes, passes that end early
+        assert sorted((r["a"], r["b"]) for r in G.capped_edges(df, nodes=nodes, nearest=nearest).collect()) == want
+
+
+def test_capped_edges_of_a_long_chain_take_one_pass(spark):
+    """Every edge waits for the one before: in rounds, 150 of these, whose plans outgrow the driver."""
+    df = spark.range(300).selectExpr("id AS a", "id + 1 AS b", "0.5D AS score")
+    got = G.capped_edges(df, 1)
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == [(i, i + 1) for i in range(0, 300, 2)]
 
 
 def test_categories(spark):
