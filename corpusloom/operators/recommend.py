@@ -118,14 +118,16 @@ def match_patterns(files: DataFrame, patterns: DataFrame, *, least: float = 0.5,
 
     ``files``: (file, parts: list), ``patterns``: (pattern, parts, confidence). The similarity is
     the share of equal segments of the longer list, at least ``least``; the score, times the
-    pattern's confidence, ranks the first ``most``. Both sides meet on (place, segment).
+    pattern's confidence, ranks the first ``most``. Both sides meet on (place, segment), files
+    with equal parts once.
     """
-    f = files.select("file", F.size("parts").alias("n1"), F.posexplode("parts").alias("at", "segment"))
+    once = files.select("parts").distinct()
+    f = once.select("parts", F.size("parts").alias("n1"), F.posexplode("parts").alias("at", "segment"))
     p = patterns.select("pattern", "confidence", F.size("parts").alias("n2"), F.posexplode("parts").alias("at", "segment"))
-    s = f.join(p, ["at", "segment"]).groupBy("file", "pattern").agg((F.count("*") / F.max(F.greatest("n1", "n2"))).alias("similarity"), F.max("confidence").alias("confidence"))
+    s = f.join(p, ["at", "segment"]).groupBy("parts", "pattern").agg((F.count("*") / F.max(F.greatest("n1", "n2"))).alias("similarity"), F.max("confidence").alias("confidence"))
     s = s.where(F.col("similarity") >= least).withColumn("score", F.round(F.col("similarity") * F.col("confidence"), 9))
-    rank = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("score"), "pattern"))
-    return s.withColumn("rank", rank).where(F.col("rank") <= most).select("file", "pattern", "similarity", "score", "rank")
+    rank = F.row_number().over(Window.partitionBy("parts").orderBy(F.desc("score"), "pattern"))
+    return files.join(s.withColumn("rank", rank).where(F.col("rank") <= most), "parts").select("file", "pattern", "similarity", "score", "rank")
 
 
 def canonical(name: Column) -> Column:
@@ -229,19 +231,19 @@ def cluster_folders(clusters: DataFrame, folders: DataFrame) -> DataFrame:
 
     Equal or contained names score 0.85, a word overlap above 0.3 eight tenths of it, a new
     folder 0.6. Folders are compared by the pieces of their words, so only those that share
-    characters with a label meet it.
+    characters with a label meet it, and clusters of the same label meet them once.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(canonical(c), " "), lambda w: w != ""))
-    c = clusters.select("cluster", "label", canonical(F.col("label")).alias("x"), words(F.col("label")).alias("wx"))
+    c = clusters.select("label").distinct().select("label", canonical(F.col("label")).alias("x"), words(F.col("label")).alias("wx"))
     f = folders.select("folder").distinct().select("folder", canonical(F.col("folder")).alias("y"), words(F.col("folder")).alias("wy"))
     # A name that contains another one has its first three characters somewhere.
     grams = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(n) - 2, F.lit(1))), lambda i: F.col(n).substr(i, F.lit(3))))
     pairs = c.withColumn("g", F.explode(grams("x"))).join(f.withColumn("g", F.explode(grams("y"))), "g").drop("g").distinct()
     inside = (F.col("x") == F.col("y")) | ((F.length("x") > 0) & (F.length("y") > 0) & (F.contains("x", "y") | F.contains("y", "x")))
     near = T.overlap(F.col("wx"), F.col("wy"))
-    scored = pairs.select("cluster", "folder", F.when(inside, 0.85).when(near > 0.3, near * 0.8).alias("score")).where("score IS NOT NULL")
-    best = scored.groupBy("cluster").agg(F.min(F.struct((-F.col("score")).alias("cost"), "folder")).alias("m"))
-    j = c.join(best, "cluster", "left")
+    scored = pairs.select("label", "folder", F.when(inside, 0.85).when(near > 0.3, near * 0.8).alias("score")).where("score IS NOT NULL")
+    best = scored.groupBy("label").agg(F.min(F.struct((-F.col("score")).alias("cost"), "folder")).alias("m"))
+    j = clusters.select("cluster", "label").join(best, "label", "left")
     return j.select("cluster", F.coalesce("m.folder", "label").alias("folder"), F.coalesce(-F.col("m.cost"), F.lit(0.6)).alias("score"), F.col("m.folder").isNull().alias("new"))
 
 
@@ -282,7 +284,8 @@ def score_folders(files: DataFrame, folders: DataFrame, *, least: float = 5.0, s
     ``folders``: folder (its name), and as far as they are there description, tags, keywords, path,
     category, related and confidence (above ``sure``: points times ``bonus``). What of these stands
     in the file's name makes points, every word as often as it is named, and so does its extension
-    where they name it. Files without a folder of ``least`` points have no row.
+    where they name it. Files without a folder of ``least`` points have no row. Files of the same
+    name, whatever its case, are scored once.
     """
     have = {c.lower() for c in folders.columns}
     f = folders.select(F.col("folder"), *(F.col(c) for c in ("description", "tags", "keywords", "path", "category", "related", "confidence") if c in have))
@@ -298,27 +301,28 @@ def score_folders(files: DataFrame, folders: DataFrame, *, least: float = 5.0, s
     told = f.select("folder", F.explode(F.concat(*(F.transform(c, named(kind, FOLDER_POINTS[kind])) for kind, c in parts.items()))).alias("t")).select("folder", "t.*").where("term <> ''")
     terms = told.groupBy("folder", "term").agg(F.sum("points").alias("points"))
     low = files.select("file", F.lower("name").alias("name"))
-    names = low.select(F.col("name").alias("text_id"), F.col("name").alias("text")).distinct()
+    once = low.select("name").distinct()
+    names = once.select(F.col("name").alias("text_id"), F.col("name").alias("text"))
     hits = containing(names, terms.select(F.col("term").alias("term_id"), "term").distinct())
     by_name = hits.join(terms, hits["term_id"] == terms["term"]).groupBy("text_id", "folder").agg(F.sum("points").alias("points"))
-    points = low.join(by_name, low["name"] == by_name["text_id"]).select("file", "folder", "points")
-    ext = low.select("file", F.regexp_extract("name", r".\.([^.]*)$", 1).alias("ext")).where("ext <> ''")
+    points = by_name.select(F.col("text_id").alias("name"), "folder", "points")
+    ext = once.select("name", F.regexp_extract("name", r".\.([^.]*)$", 1).alias("ext")).where("ext <> ''")
     exts = ext.select("ext").distinct()
     marks = told.where(F.col("kind").isin("tag", "keyword")).select("folder", F.regexp_replace("term", r"^\.", "").alias("ext"), F.when(F.col("kind") == "tag", EXTENSION_POINTS["tag"]).otherwise(EXTENSION_POINTS["keyword"]).alias("points"))
     if "description" in have:
         in_text = containing(f.select(F.col("folder").alias("text_id"), text("description").alias("text")), exts.where(F.length("ext") > 1).select(F.col("ext").alias("term_id"), F.col("ext").alias("term")))
         marks = marks.unionByName(in_text.select(F.col("text_id").alias("folder"), F.col("term_id").alias("ext"), F.lit(EXTENSION_POINTS["description"]).alias("points")))
     by_ext = marks.groupBy("folder", "ext").agg(F.sum("points").alias("points"))
-    points = points.unionByName(ext.join(by_ext, "ext").select("file", "folder", "points"))
-    score = points.groupBy("file", "folder").agg(F.sum("points").cast("double").alias("score"))
+    points = points.unionByName(ext.join(by_ext, "ext").select("name", "folder", "points"))
+    score = points.groupBy("name", "folder").agg(F.sum("points").cast("double").alias("score"))
     if "confidence" in have:
         surer = f.select("folder", F.when(F.col("confidence") > sure, bonus).otherwise(1.0).alias("_times")).groupBy("folder").agg(F.max("_times").alias("_times"))
-        score = score.join(surer, "folder").select("file", "folder", (F.col("score") * F.col("_times")).alias("score"))
+        score = score.join(surer, "folder").select("name", "folder", (F.col("score") * F.col("_times")).alias("score"))
     score = score.where(F.col("score") >= least)
-    if all_scores:
-        return score
-    first = F.row_number().over(Window.partitionBy("file").orderBy(F.desc(F.round("score", 6)), "folder"))
-    return score.withColumn("_n", first).where("_n = 1").drop("_n")
+    if not all_scores:
+        first = F.row_number().over(Window.partitionBy("name").orderBy(F.desc(F.round("score", 6)), "folder"))
+        score = score.withColumn("_n", first).where("_n = 1")
+    return low.join(score, "name").select("file", "folder", "score")
 
 
 def rule_keywords(category: Column, name: Column, concepts: Column, most: int = 10) -> Column:

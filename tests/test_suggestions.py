@@ -126,3 +126,23 @@ def test_breaker_forgets_failures_when_idle(spark):
     df = spark.createDataFrame(kinds, "event_id long, t double, event_type string").withColumn("user_id", F.lit(1).cast("long")).withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long")))
     assert E.circuit_states(df).first()["state"] == "CLOSED"
     assert E.circuit_states(df, idle_s=1_000.0).first().asDict() == {"user_id": 1, "state": "OPEN", "opened": 1}
+
+
+def test_files_alike_are_matched_once(spark, capsys):
+    """Joins and ranks run over distinct parts, labels and names; files come back at the end."""
+    files = spark.createDataFrame([(i, ["a", "b"] if i % 2 else ["c"]) for i in range(6)] + [(9, None)], "file long, parts array<string>")
+    patterns = spark.createDataFrame([("a/b", ["a", "b"], 0.6), ("a/x", ["a", "x"], 0.9)], "pattern string, parts array<string>, confidence double")
+    got = R.match_patterns(files, patterns)
+    assert sorted((r["file"], r["pattern"], r["rank"]) for r in got.collect()) == sorted((i, p, k) for i in (1, 3, 5) for k, p in ((1, "a/b"), (2, "a/x")))
+    got.explain()
+    assert "windowspecdefinition(file" not in capsys.readouterr().out
+    clusters = spark.createDataFrame([(i, "Tax Bills" if i % 2 else None) for i in range(4)], "cluster long, label string")
+    got = R.cluster_folders(clusters, spark.createDataFrame([("tax",)], "folder string"))
+    assert sorted((r["cluster"], r["folder"], r["new"]) for r in got.collect()) == [(0, None, True), (1, "tax", False), (2, None, True), (3, "tax", False)]
+    got.explain()
+    assert "keys=[cluster" not in capsys.readouterr().out
+    named = spark.createDataFrame([(1, "Tax.PDF"), (2, "tax.pdf"), (3, None)], "file long, name string")
+    got = R.score_folders(named, spark.createDataFrame([("tax",)], "folder string"))
+    assert sorted((r["file"], r["folder"], r["score"]) for r in got.collect()) == [(1, "tax", 18.0), (2, "tax", 18.0)]
+    got.explain()
+    assert "windowspecdefinition(file" not in capsys.readouterr().out
