@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 from corpusloom.operators.vectors import doubles, well_formed, width
 from corpusloom.session import cut_lineage
 
-RESIDENTS = 4_096  # of a slice
+RESIDENTS, MOST_RESIDENTS, SLICES = 4_096, 16_384, 32  # of a slice: so many, or up to the second number where there are more slices than the third
 MAX_PIVOTS, SAMPLE = 1_024, 8_192
-TILE = 512
+TILE = 128
+PAIRS = 16_384  # compared in full at a time
+DEALT = 16_384  # rows that a task deals to slices at a time
 EPS = 1e-9
 
 
@@ -90,10 +92,10 @@ def _partners(left: np.ndarray, right: np.ndarray, basis: np.ndarray, threshold:
         x, y = np.nonzero(pl @ pr.T + np.outer(rest_l, rest_r) >= threshold - EPS)
         bounded.add(len(some) * len(right))
         compared.add(len(x))
-        for b in range(0, len(x), 65_536):
-            s = np.einsum("ij,ij->i", some[x[b : b + 65_536]], right[y[b : b + 65_536]])
+        for b in range(0, len(x), PAIRS):
+            s = np.einsum("ij,ij->i", some[x[b : b + PAIRS]], right[y[b : b + PAIRS]])
             keep = s >= threshold - 1e-12
-            yield a + x[b : b + 65_536][keep], y[b : b + 65_536][keep], s[keep]
+            yield a + x[b : b + PAIRS][keep], y[b : b + PAIRS][keep], s[keep]
 
 
 def distinct_vectors(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame | None]:
@@ -137,16 +139,17 @@ def _meet(basis: np.ndarray, threshold: float, counts: tuple[Accumulator, Accumu
     return meet
 
 
-def near_pairs(rows: DataFrame, threshold: float, *, residents: int = RESIDENTS, pivots: int = MAX_PIVOTS, report: JoinReport | None = None) -> DataFrame:
+def near_pairs(rows: DataFrame, threshold: float, *, residents: int | None = None, pivots: int = MAX_PIVOTS, report: JoinReport | None = None) -> DataFrame:
     """(a, b, score) with a < b of all pairs of (id, v) with a cosine of at least ``threshold``; vectors are not zero.
 
-    ``rows`` are read several times: a stored or checkpointed table. ``residents`` bounds what a task holds; pivots are one for so many rows, ``pivots`` at most.
+    ``rows`` are read several times: a stored or checkpointed table. ``residents`` bounds what a task holds (``RESIDENTS`` by default, up to ``MOST_RESIDENTS`` of very many vectors, which then visit fewer slices); pivots are one for so many rows, ``pivots`` at most.
     """
     spark = rows.sparkSession
     report = report or JoinReport.of(spark)
     schema = "a long, b long, score double"
     n = rows.count()
     report.vectors = n
+    residents = residents or min(MOST_RESIDENTS, max(RESIDENTS, -(-n // SLICES)))
     if n < 2:
         return rows.select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("score")).limit(0)
     share = min(1.0, SAMPLE / n)
@@ -183,9 +186,8 @@ def near_pairs(rows: DataFrame, threshold: float, *, residents: int = RESIDENTS,
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells = np.arange(len(size))
-        for batch in batches:
-            if not len(batch):
-                continue
+        some = max(1, DEALT // int(first[-1]))  # a vector visits every slice at most
+        for batch in (whole.iloc[a : a + some] for whole in batches for a in range(0, len(whole), some)):
             v, home, ids = _unit(batch["v"]), batch["home"].to_numpy(), batch["id"].to_numpy()
             own = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % slices[home]
             angle = _angles(v, sent.value)
@@ -207,13 +209,13 @@ def near_pairs(rows: DataFrame, threshold: float, *, residents: int = RESIDENTS,
     return dealt.mapInPandas(_meet(basis, threshold, (report.bounded, report.compared)), schema)
 
 
-def similar_groups(df: DataFrame, threshold: float, *, id_col: str = "vec_id", vec_col: str = "embedding", residents: int = RESIDENTS, report: JoinReport | None = None) -> tuple[DataFrame, DataFrame | None]:
+def similar_groups(df: DataFrame, threshold: float, *, id_col: str = "vec_id", vec_col: str = "embedding", residents: int | None = None, report: JoinReport | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Pairs (a, b, score) of different vectors by their smallest ids, and members (id, member) of equal ones, if any: whole, and never quadratic in copies."""
     once, members = distinct_vectors(df, id_col, vec_col)
     return near_pairs(once, threshold, residents=residents, report=report), members
 
 
-def similar_pairs(df: DataFrame, threshold: float, *, id_col: str = "vec_id", vec_col: str = "embedding", residents: int = RESIDENTS, report: JoinReport | None = None) -> DataFrame:
+def similar_pairs(df: DataFrame, threshold: float, *, id_col: str = "vec_id", vec_col: str = "embedding", residents: int | None = None, report: JoinReport | None = None) -> DataFrame:
     """(a, b, score) of all pairs a < b with a cosine of at least ``threshold``, copies written out.
 
     Zero, ragged and odd vectors have no pairs. A large group of equal vectors makes as many rows

@@ -74,3 +74,18 @@ def test_odd_vectors_have_no_pairs(spark):
     assert set(rows(similar_pairs(df, 0.9))) == {(6, 7)}
     assert similar_pairs(df.limit(0), 0.9).count() == 0
     assert similar_pairs(df.where("vec_id = 6"), 0.9).count() == 0
+
+
+def test_what_a_task_deals_is_bounded(spark):
+    """However many slices a vector visits, a batch is dealt in parts: no Arrow batch holds a whole batch's visits."""
+    import corpusloom.operators.near as near
+
+    assert near.PAIRS * 64 * 8 <= 16e6 and near.TILE * near.MOST_RESIDENTS * 8 <= 32e6 and near.DEALT * 64 * 8 <= 16e6
+    v = clustered(600, 6, 3, 0.5)
+    once = frame(spark, v).selectExpr("vec_id AS id", "embedding AS v").checkpoint()
+    small = near.DEALT
+    try:
+        near.DEALT = 50
+        assert rows(near_pairs(once, 0.8, residents=20)).keys() == brute(v, 0.8).keys()
+    finally:
+        near.DEALT = small
