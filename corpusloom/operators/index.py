@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.history import latest_per_key
 from corpusloom.operators.search import K1, B, _tokens, tokens
-from corpusloom.session import cut_lineage
+from corpusloom.session import cut_lineage, small_batches
 from corpusloom.sources.snapshots import SnapshotStore, Version
 
 RANGE = 512  # documents of a block, about
@@ -61,6 +61,7 @@ def _forward(docs: DataFrame, fields: list[str], key: str, cut: dict[str, int])
                 sizes = [None if text is None else len(w) for text, w in zip(batch[f"f{n}"], words, strict=True)]
                 yield pd.DataFrame({"key": batch["key"], "field": name, "size": pd.array(sizes, dtype="Int64"), "terms": [[t.decode() for t in c] for c in found], "tf": [list(c.values()) for c in found]})
 
+    small_batches(docs.sparkSession)
     text = lambda f: F.substring(F.col(f).cast("string"), 1, cut[f]) if f in cut else F.col(f).cast("string")
     rows = docs.select(F.col(key).alias("key"), *(text(f).alias(f"f{n}") for n, f in enumerate(fields)))
     return rows.mapInPandas(count, f"key {rows.schema['key'].dataType.simpleString()}, field string, size long, terms array<string>, tf array<int>")

@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import phonetic_code
 from corpusloom.operators.vectors import Running, top_k
-from corpusloom.session import cut_lineage
+from corpusloom.session import cut_lineage, small_batches
 
 K1, B = 1.2, 0.75
 RRF = 60
-SOME = 512  # documents scored at a time
+SOME = 512  # documents scored at a time, or fewer with so many
+POINTS = 500_000  # points of a document's term for a query
 
 
 def tokens(text: Column) -> Column:
@@ -67,6 +68,7 @@ def bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, float], *, id_co
 
 def _bm25_in_tasks(docs: DataFrame, known: list[tuple[int, bytes]], fields: dict[str, float], id_col: str, k: int) -> DataFrame:
     spark, names = docs.sparkSession, list(fields)
+    small_batches(spark)
     asked, terms = sorted({q for q, _ in known}), sorted({t for _, t in known})
     at, number = {q: n for n, q in enumerate(asked)}, {t: n for n, t in enumerate(terms)}
     listed: list[list[int]] = [[] for _ in terms]
@@ -112,17 +114,20 @@ def _bm25_in_tasks(docs: DataFrame, known: list[tuple[int, bytes]], fields: dict
                     continue
                 doc, term, points = np.concatenate(doc), np.concatenate(term), np.concatenate(points)
                 # One row for every query that has a term of a document, added up by query and document: no row for others.
-                times = lengths[term]
-                query = listed[np.repeat(first[term], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-                pair = query.astype(np.int64) * len(some) + np.repeat(doc, times)
-                order = np.argsort(pair, kind="stable")
-                pair, starts = np.unique(pair[order], return_index=True)
-                if not len(pair):
-                    continue
-                score = np.add.reduceat(np.repeat(points, times)[order], starts).round(9)
-                query, doc = pair // len(some), pair % len(some)
-                keep = (score > 0) & (score >= running.edge[query])  # all that tie with the k-th stay
-                running.add(pd.DataFrame({"query": names[query[keep]], "id": some["id"].to_numpy()[doc[keep]], "score": score[keep]}))
+                of_doc = np.cumsum(np.bincount(doc, lengths[term], minlength=len(some))) // POINTS  # documents stand in order
+                for part in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(of_doc[doc])) + 1):
+                    d, t, p = doc[part], term[part], points[part]
+                    times = lengths[t]
+                    query = listed[np.repeat(first[t], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+                    pair = query.astype(np.int64) * len(some) + np.repeat(d, times)
+                    order = np.argsort(pair, kind="stable")
+                    pair, starts = np.unique(pair[order], return_index=True)
+                    if not len(pair):
+                        continue
+                    score = np.add.reduceat(np.repeat(p, times)[order], starts).round(9)
+                    query, d = pair // len(some), pair % len(some)
+                    keep = (score > 0) & (score >= running.edge[query])  # all that tie with the k-th stay
+                    running.add(pd.DataFrame({"query": names[query[keep]], "id": some["id"].to_numpy()[d[keep]], "score": score[keep]}))
         if (kept := running.cut()) is not None:
             yield kept
 

@@ -146,3 +146,17 @@ def test_files_alike_are_matched_once(spark, capsys):
     assert sorted((r["file"], r["folder"], r["score"]) for r in got.collect()) == [(1, "tax", 18.0), (2, "tax", 18.0)]
     got.explain()
     assert "windowspecdefinition(file" not in capsys.readouterr().out
+
+
+def test_keyword_scores_in_small_parts(spark, monkeypatch):
+    """Points are added up for a few documents at a time, with the rows of all at once; Arrow batches are bounded by bytes."""
+    monkeypatch.setattr(S, "SOME", 512)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}x" for j in range(i % 7 + 1))) for i in range(60)], "doc_id long, text string").coalesce(1)
+    asked = spark.createDataFrame([(q, f"w{q}x w{q + 1}x w0x") for q in range(6)], "query long, text string")
+    found = []
+    for points in (500_000, 9):
+        monkeypatch.setattr(S, "POINTS", points)
+        found.append(sorted(map(tuple, S.bm25(docs, asked, {"text": 1.0}, k=4).collect())))
+    assert found[0] == found[1] and len(found[0]) == 24
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
