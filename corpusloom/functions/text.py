@@ -218,11 +218,11 @@ def as_list(text: Column) -> Column:
 
 
 def distinct_keywords(words: Column, most: int = 15) -> Column:
-    """Distinct whatever the case, in the form seen first."""
+    """Distinct whatever the case, in the form seen first. Words are made once, and not again for each that is kept."""
+    once = lambda value, f: F.transform(F.array(value), f)[0]
     w = F.filter(F.transform(words, lambda x: F.trim(x)), lambda x: x != "")
-    low = F.transform(w, lambda x: F.lower(x))
-    first = F.slice(F.array_distinct(low), 1, most)  # in the order of their first places
-    return F.transform(first, lambda x: F.element_at(w, F.array_position(low, x).cast("int")))
+    kept = lambda w, low: F.transform(F.slice(F.array_distinct(low), 1, most), lambda x: F.element_at(w, F.array_position(low, x).cast("int")))  # noqa: E731  # in the order of their first places
+    return once(w, lambda w: once(F.transform(w, lambda x: F.lower(x)), lambda low: kept(w, low)))
 
 
 def estimated_tokens(text: Column) -> Column:

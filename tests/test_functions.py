@@ -108,3 +108,18 @@ def test_analyser_seam(spark):
     got = df.withColumn("a", D.document_analyser(analyse)("text", "name"))
     rule = R.rule_category(F.col("name"), F.lit("pdf"), {"Tax": ["tax"]}, {"pdf": "Papers"})
     assert [tuple(r) for r in got.select(F.coalesce("a.category", rule), "a.keywords", "a.confidence").collect()] == [("tax", ["tax", "forms"], 0.9), ("Tax", None, None), ("Papers", None, None)]
+
+
+def test_keywords_make_their_words_once(spark, capsys):
+    from pyspark.sql import functions as F
+
+    from corpusloom.functions import text as T
+
+    df = spark.createDataFrame([("Tax a TAX b tax A c",), ("",), (None,)], "t string")
+    got = df.select(T.distinct_keywords(F.regexp_extract_all("t", F.lit("([A-Za-z]+)"), 1), 3).alias("k"))
+    assert [r["k"] for r in got.collect()] == [["Tax", "a", "b"], [], None]
+    df.createOrReplaceTempView("keyword_texts")
+    plan = spark.table("keyword_texts").where("t <> ''").select(T.distinct_keywords(F.regexp_extract_all("t", F.lit("([A-Za-z]+)"), 1), 3).alias("k"))
+    plan.explain(True)
+    analysed = capsys.readouterr().out.split("== Physical Plan ==")[1]
+    assert analysed.count("regexp_extract_all") == 1
