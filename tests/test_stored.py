@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.operators import index as stored_index
 from corpusloom.operators.aggregates import StoredAggregate
 from corpusloom.operators.index import StoredIndex
 from corpusloom.operators.search import bm25
@@ -165,6 +166,18 @@ def test_search_reads_the_buckets_of_its_terms_and_skips_blocks(spark, tmp_path)
     assert rows(index.search(asked, 5)) == want
 
 
+def test_a_search_shuffles_blocks_and_not_their_documents(spark, tmp_path, monkeypatch):
+    asked = spark.createDataFrame(ASKED, "query long, text string")
+    index = StoredIndex(spark, str(tmp_path))
+    index.build(spark.createDataFrame(DOCS, SCHEMA), FIELDS, ts="ts", buckets=2)
+    found = index.search(asked, 3)
+    assert "Generate" not in found._jdf.queryExecution().toString()
+    want = rows(found)
+    assert want and want == rows(bm25(spark.createDataFrame(list(newest(DOCS).values()), SCHEMA), asked, FIELDS, k=3))
+    monkeypatch.setattr(stored_index, "MAX_KNOWN", 4)  # queries are searched in parts
+    assert rows(index.search(asked, 3)) == want
+
+
 def aggregate(spark, at):
     return StoredAggregate(spark, str(at), {"tag": F.col("tags"), "kind": F.col("kind"), "ts": F.col("ts")}, {"size": F.col("size")}, most_segments=3)
 
