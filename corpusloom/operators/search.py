@@ -345,9 +345,10 @@ def sound_alikes(words: DataFrame) -> DataFrame:
     """(word, other): for words (word, code) the other word of their code that is nearest in length, the first of equals by alphabet.
 
     Of the words of one code and length only the first two can be anybody's, so a word meets two
-    for every length of its code and never all that sound like it.
+    for every length of its code and never all that sound like it. The words are kept first:
+    else Spark drops a distinct below this one, and codes every place of a word, twice.
     """
-    rows = words.select("word", "code", F.length("word").alias("n")).distinct()
+    rows = cut_lineage(words).select("word", "code", F.length("word").alias("n")).distinct()
     few = rows.withColumn("_k", F.row_number().over(Window.partitionBy("code", "n").orderBy("word"))).where(F.col("_k") <= 2)
     near = rows.join(few.select("code", F.col("n").alias("m"), F.col("word").alias("other")), "code").where("word <> other")
     best = F.struct(F.abs(F.col("n") - F.col("m")).alias("d"), "other")

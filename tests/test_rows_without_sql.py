@@ -5,9 +5,11 @@ from collections import defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from corpusloom.functions.text import phonetic
+from corpusloom.operators.search import sound_alikes
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,6 +53,19 @@ def test_phonetic_match(run):
     assert {r["word"]: r["other"] for r in run("phonetic_match")} == want
 
 
+def test_each_distinct_word_is_coded_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def code(words: pd.Series) -> pd.Series:
+        calls.add(len(words))
+        return words.map(phonetic)
+
+    names = spark.range(3_000).select(F.element_at(F.array(*map(F.lit, ("robert", "rupert", "tymczak"))), (F.col("id") % 3 + 1).cast("int")).alias("word")).distinct()
+    got = {tuple(r) for r in sound_alikes(names.select("word", code("word").alias("code"))).collect()}
+    assert got == {("robert", "rupert"), ("rupert", "robert")} and calls.value == 3
+
+
 def test_chunk_analysis(run):
     texts = read("documents").set_index("doc_id")["text"]
     got = {r["id"]: r["text"] for r in run("chunk_analysis")}
