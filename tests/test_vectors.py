@@ -116,3 +116,16 @@ def test_dealt_queries_send_on_k_rows_a_query(spark, monkeypatch):
     df, _ = frame(spark)
     queries = df.where("vec_id % 20 = 0 AND vec_id < 1000").select(F.col("vec_id").alias("query"), "embedding")
     assert V.scores(df, queries, 3, max_queries=3).count() == 20 * 3
+
+
+def test_dealt_queries_pass_by_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(V, "PART_ROWS", 200)
+    monkeypatch.setattr(V, "PASSING", 50)
+    df, vectors = frame(spark)
+    queries = df.where("vec_id < 400").select(F.col("vec_id").alias("query"), "embedding")
+    found = V.scores(df, queries, 6, max_queries=3)
+    assert found.rdd.getNumPartitions() == 2 * 8  # each a part of items and a slice of queries
+    got = {}
+    for r in V.top_k(df, queries, 6, max_queries=3).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append(r["vec_id"])
+    assert got == brute(vectors, range(400), 6)
