@@ -54,7 +54,7 @@ class JoinReport:
         return cls(*(spark.sparkContext.accumulator(0) for _ in range(3)))
 
 
-def _unit(v: pd.Series) -> np.ndarray:
+def unit(v: pd.Series) -> np.ndarray:
     m = np.stack(v.to_list()).astype(float)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
@@ -128,10 +128,10 @@ def _meet(basis: np.ndarray, threshold: float, counts: tuple[Accumulator, Accumu
                     now, ids, held = at, [], []
                 if kind == 0:
                     ids.append(some["id"].to_numpy())
-                    held.append(_unit(some["v"]))
+                    held.append(unit(some["v"]))
                     whole = False
                 elif held:
-                    for x, y, s in _partners(_unit(some["v"]), held[0], basis, threshold, counts):
+                    for x, y, s in _partners(unit(some["v"]), held[0], basis, threshold, counts):
                         yield pairs(some["id"].to_numpy()[x], ids[0][y], s)
         if not whole:
             yield from among(np.concatenate(ids), np.concatenate(held))
@@ -156,7 +156,7 @@ def near_pairs(rows: DataFrame, threshold: float, *, residents: int | None = Non
     picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy(F.xxhash64("id"), "id").limit(2 * SAMPLE).toPandas()
     if not len(picked):
         picked = rows.limit(1).toPandas()
-    sample = _unit(picked["v"])
+    sample = unit(picked["v"])
     middle = spread_pivots(sample, max(1, min(pivots, -(-n // residents))))
     width_ = sample.shape[1]
     basis = directions(sample, max(1, min(width_, math.ceil(width_ * (1.15 - threshold)))))
@@ -166,7 +166,7 @@ def near_pairs(rows: DataFrame, threshold: float, *, residents: int | None = Non
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                angle = _angles(_unit(batch["v"]), sent.value)
+                angle = _angles(unit(batch["v"]), sent.value)
                 home = angle.argmin(1)
                 yield pd.DataFrame({"id": batch["id"], "v": batch["v"], "home": home, "angle": angle[np.arange(len(batch)), home]})
 
@@ -188,7 +188,7 @@ def near_pairs(rows: DataFrame, threshold: float, *, residents: int | None = Non
         cells = np.arange(len(size))
         some = max(1, DEALT // int(first[-1]))  # a vector visits every slice at most
         for batch in (whole.iloc[a : a + some] for whole in batches for a in range(0, len(whole), some)):
-            v, home, ids = _unit(batch["v"]), batch["home"].to_numpy(), batch["id"].to_numpy()
+            v, home, ids = unit(batch["v"]), batch["home"].to_numpy(), batch["id"].to_numpy()
             own = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % slices[home]
             angle = _angles(v, sent.value)
             low, high = np.minimum(home[:, None], cells[None]), np.maximum(home[:, None], cells[None])

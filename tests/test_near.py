@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from corpusloom.operators.graph import capped_edges, capped_pairs
 from corpusloom.operators.near import JoinReport, near_pairs, similar_groups, similar_pairs
 from corpusloom.session import table
 
@@ -89,3 +90,22 @@ def test_what_a_task_deals_is_bounded(spark):
         assert rows(near_pairs(once, 0.8, residents=20)).keys() == brute(v, 0.8).keys()
     finally:
         near.DEALT = small
+
+
+@pytest.mark.parametrize(("threshold", "most_open"), [(0.3, 1_000), (0.9, 30)])
+def test_capped_pairs_are_those_of_all_pairs(spark, threshold, most_open):
+    v = np.concatenate([clustered(400, 16, 9, 0.4), np.full((25, 16), 0.3), clustered(200, 16, 3, 2.0, 3)])
+    df = frame(spark, v).unionByName(spark.createDataFrame([(None, [1.0] * 16), (9_000, None), (9_001, [0.0] * 16), (9_002, [1.0])], "vec_id long, embedding array<double>"))
+    for some in (df, df.unionByName(df.where("vec_id % 50 = 0").selectExpr("vec_id + 1 AS vec_id", "embedding"))):  # the second repeats ids
+        want = rows(capped_edges(similar_pairs(some, threshold)))
+        assert rows(capped_pairs(some, threshold, rows=100, most_open=most_open)) == want and want
+
+
+def test_capped_pairs_do_not_need_all_pairs(spark, monkeypatch):
+    """Where vectors find partners soon, pairs are not made, and a task gets a block and the open vectors."""
+    import corpusloom.operators.graph as graph
+
+    v = np.random.default_rng(2).normal(size=(3_000, 16))
+    assert capped_pairs(frame(spark, v).limit(0), 0.3).count() == 0
+    monkeypatch.setattr(graph, "similar_pairs", None)
+    assert len(rows(capped_pairs(frame(spark, v), 0.3, rows=500, most_open=300))) > 4_000
