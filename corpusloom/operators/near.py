@@ -7,7 +7,8 @@ within the cell's radius and the wanted angle, and exceeds the angle to its own
 more than twice the wanted angle: only these cells it visits. Of two cells one is visited by
 the other's vectors, so a pair meets once. Cells with many residents are divided into slices
 that all visitors see. In its slice, a pair is bounded by the part of both vectors that lies
-in the span of a few directions and the lengths of what is left (Cauchy and Schwarz); pairs
+in the span of a few directions and the lengths of what is left (Cauchy and Schwarz), or, where
+that takes over half of the directions, by a product in single precision and its error; pairs
 whose bound reaches the threshold are compared in full. Equal vectors take part once, with a
 list of members kept aside. Nothing is sampled or capped: no link is lost.
 
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 from corpusloom.operators.vectors import doubles, well_formed, width
 from corpusloom.session import cut_lineage
 
-RESIDENTS, MOST_RESIDENTS, SLICES = 4_096, 16_384, 32  # of a slice: so many, or up to the second number where there are more slices than the third
+RESIDENTS, MOST_RESIDENTS, SLICES = 4_096, 49_152, 32  # of a slice: so many, or up to the second number where there are more slices than the third
 MAX_PIVOTS, SAMPLE = 1_024, 8_192
-TILE = 128
+TILE = 64
 PAIRS = 16_384  # compared in full at a time
 DEALT = 16_384  # rows that a task deals to slices at a time
 EPS = 1e-9
@@ -83,13 +84,21 @@ def _angles(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 def _partners(left: np.ndarray, right: np.ndarray, basis: np.ndarray, threshold: float, report: tuple[Accumulator, Accumulator]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row of left, row of right, cosine) of pairs at the threshold or above."""
     bounded, compared = report
-    pr = right @ basis
-    rest_r = np.sqrt(np.maximum(0, 1 - (pr**2).sum(1)))
+    size = right.shape[1]
+    single = 2 * basis.shape[1] > size
+    if single:
+        pr, least = right.astype(np.float32).T.copy(), np.float32(threshold - 1e-6 - 1.2e-7 * size)  # products of units err by less
+    else:
+        pr = right @ basis
+        rest_r = np.sqrt(np.maximum(0, 1 - (pr**2).sum(1)))
     for a in range(0, len(left), TILE):
         some = left[a : a + TILE]
-        pl = some @ basis
-        rest_l = np.sqrt(np.maximum(0, 1 - (pl**2).sum(1)))
-        x, y = np.nonzero(pl @ pr.T + np.outer(rest_l, rest_r) >= threshold - EPS)
+        if single:
+            x, y = np.divmod(np.flatnonzero(some.astype(np.float32) @ pr >= least), len(right))
+        else:
+            pl = some @ basis
+            rest_l = np.sqrt(np.maximum(0, 1 - (pl**2).sum(1)))
+            x, y = np.nonzero(pl @ pr.T + np.outer(rest_l, rest_r) >= threshold - EPS)
         bounded.add(len(some) * len(right))
         compared.add(len(x))
         for b in range(0, len(x), PAIRS):
@@ -99,11 +108,11 @@ def _partners(left: np.ndarray, right: np.ndarray, basis: np.ndarray, threshold:
 
 
 def distinct_vectors(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame | None]:
-    """(id, v): one row for equal vectors, with their smallest id; and members (id, member) of those that are more than one, if any."""
+    """(id, v, n): one row for equal vectors, with their smallest id; and members (id, member) of those that are more than one, if any."""
     rows = well_formed(df, vec_col, width(df, vec_col)).select(F.col(id_col).cast("long").alias("member"), doubles(F.col(vec_col)).alias("v"))
     once = cut_lineage(rows.groupBy("v").agg(F.min("member").alias("id"), F.count("*").alias("n")))
     several = once.where("n > 1").select("v", "id")
-    return once.select("id", "v"), None if several.isEmpty() else cut_lineage(rows.join(several, "v").select("id", "member"))
+    return once.select("id", "v", "n"), None if several.isEmpty() else cut_lineage(rows.join(several, "v").select("id", "member"))
 
 
 def _meet(basis: np.ndarray, threshold: float, counts: tuple[Accumulator, Accumulator]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -139,19 +148,93 @@ def _meet(basis: np.ndarray, threshold: float, counts: tuple[Accumulator, Accumu
     return meet
 
 
-def near_pairs(rows: DataFrame, threshold: float, *, residents: int | None = None, pivots: int = MAX_PIVOTS, report: JoinReport | None = None) -> DataFrame:
+class _Fold:
+    """What a slice's pairs say of groups: links that connect as they do, and sums at one end of each pair."""
+
+    def __init__(self, ids: np.ndarray, copies: np.ndarray) -> None:
+        self.ids, self.copies = ids, copies
+        self.group = np.arange(len(ids))  # of each resident, the smallest place in it
+        self.sums, self.pairs = np.zeros((2, len(ids)))
+
+    def add(self, x: np.ndarray, y: np.ndarray, s: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of others x (by ``copies``) and residents y; returns each x once, and a resident that it meets."""
+        n = copies[x] * self.copies[y]
+        self.sums += np.bincount(y, n * s, minlength=len(self.ids))
+        self.pairs += np.bincount(y, n, minlength=len(self.ids))
+        one, at, where = np.unique(x, return_index=True, return_inverse=True)
+        self.link(y[at][where], y)
+        return one, y[at]
+
+    def link(self, x: np.ndarray, y: np.ndarray) -> None:
+        while len(differ := np.flatnonzero(self.group[x] != self.group[y])):
+            p, q = self.group[x[differ]], self.group[y[differ]]
+            np.minimum.at(self.group, np.maximum(p, q), np.minimum(p, q))
+            while (self.group[self.group] != self.group).any():
+                self.group = self.group[self.group]
+
+    def told(self) -> pd.DataFrame:
+        met = np.flatnonzero((self.pairs > 0) | (self.group != np.arange(len(self.ids))))
+        return pd.DataFrame({"a": self.ids[met], "b": self.ids[self.group[met]], "sum": self.sums[met], "pairs": self.pairs[met].astype(np.int64)})
+
+
+def _fold(basis: np.ndarray, threshold: float, counts: tuple[Accumulator, Accumulator]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows as for ``_meet``, with copies; gives (a, b, sum, pairs) of groups instead of pairs, a few rows for each vector of a slice."""
+
+    def start(parts: list[pd.DataFrame]) -> tuple[_Fold, np.ndarray]:
+        held, v = _Fold(*(np.concatenate([p[c].to_numpy() for p in parts]) for c in ("id", "n"))), np.concatenate([unit(p["v"]) for p in parts])
+        for x, y, s in _partners(v, v, basis, threshold, counts):
+            keep = x < y
+            if keep.any():
+                held.link(x[keep], y[keep])
+                held.add(x[keep], y[keep], s[keep], held.copies)
+        return held, v
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, parts, held, v = None, [], None, None
+        for batch in batches:
+            for (at, kind), some in batch.groupby(["slice", "kind"], sort=True):
+                if at != now:
+                    if parts:
+                        held, v = start(parts)
+                    if held is not None:
+                        yield held.told()
+                    now, parts, held, v = at, [], None, None
+                if kind == 0:
+                    parts.append(some)
+                    continue
+                if parts:
+                    held, v, parts = *start(parts), []
+                if held is None:
+                    continue
+                ids, copies = some["id"].to_numpy(), some["n"].to_numpy()
+                for x, y, s in _partners(unit(some["v"]), v, basis, threshold, counts):
+                    if len(x):
+                        one, met = held.add(x, y, s, copies)
+                        yield pd.DataFrame({"a": ids[one], "b": held.ids[met], "sum": 0.0, "pairs": 0})
+        if parts:
+            held, _ = start(parts)
+        if held is not None:
+            yield held.told()
+
+    return fold
+
+
+def near_pairs(rows: DataFrame, threshold: float, *, residents: int | None = None, pivots: int = MAX_PIVOTS, report: JoinReport | None = None, fold: bool = False) -> DataFrame:
     """(a, b, score) with a < b of all pairs of (id, v) with a cosine of at least ``threshold``; vectors are not zero.
 
     ``rows`` are read several times: a stored or checkpointed table. ``residents`` bounds what a task holds (``RESIDENTS`` by default, up to ``MOST_RESIDENTS`` of very many vectors, which then visit fewer slices); pivots are one for so many rows, ``pivots`` at most.
+    With ``fold``, of rows (id, v, n: its copies), links and sums in place of pairs: see ``group_sums``.
     """
     spark = rows.sparkSession
     report = report or JoinReport.of(spark)
-    schema = "a long, b long, score double"
+    schema = "a long, b long, sum double, pairs long" if fold else "a long, b long, score double"
+    extra, extra_type = (["n"], ", n long") if fold else ([], "")
+    meet = _fold if fold else _meet
     n = rows.count()
     report.vectors = n
     residents = residents or min(MOST_RESIDENTS, max(RESIDENTS, -(-n // SLICES)))
     if n < 2:
-        return rows.select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("score")).limit(0)
+        return rows.select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), *((F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("pairs")) if fold else (F.lit(0.0).alias("score"),))).limit(0)
     share = min(1.0, SAMPLE / n)
     picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy(F.xxhash64("id"), "id").limit(2 * SAMPLE).toPandas()
     if not len(picked):
@@ -168,13 +251,13 @@ def near_pairs(rows: DataFrame, threshold: float, *, residents: int | None = Non
             if len(batch):
                 angle = _angles(unit(batch["v"]), sent.value)
                 home = angle.argmin(1)
-                yield pd.DataFrame({"id": batch["id"], "v": batch["v"], "home": home, "angle": angle[np.arange(len(batch)), home]})
+                yield pd.DataFrame({"id": batch["id"], "v": batch["v"], **{c: batch[c] for c in extra}, "home": home, "angle": angle[np.arange(len(batch)), home]})
 
     if n <= residents:  # all vectors are one slice
         report.cells = report.slices = 1
-        one = rows.select(F.lit(0).cast("long").alias("slice"), F.lit(0).alias("kind"), "id", "v").coalesce(1)
-        return one.mapInPandas(_meet(basis, threshold, (report.bounded, report.compared)), schema)
-    homes = cut_lineage(rows.mapInPandas(settle, "id long, v array<double>, home int, angle double"))
+        one = rows.select(F.lit(0).cast("long").alias("slice"), F.lit(0).alias("kind"), "id", "v", *extra).coalesce(1)
+        return one.mapInPandas(meet(basis, threshold, (report.bounded, report.compared)), schema)
+    homes = cut_lineage(rows.mapInPandas(settle, f"id long, v array<double>{extra_type}, home int, angle double"))
     told = homes.groupBy("home").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()  # a row a pivot
     size, radius = np.zeros(len(middle), dtype=np.int64), np.full(len(middle), -np.inf)
     for r in told:
@@ -202,11 +285,11 @@ def near_pairs(rows: DataFrame, threshold: float, *, residents: int | None = Non
             to = np.concatenate([first[home] + own, inner, at]).astype(np.int64)
             who = np.concatenate([np.arange(len(v)), np.repeat(np.arange(len(v)), own), np.repeat(row, times)])
             seen.add(len(to) - len(v))
-            yield pd.DataFrame({"slice": to, "kind": (np.arange(len(to)) >= len(v)).astype(np.int32), "id": ids[who], "v": [batch["v"].iloc[k] for k in who]})
+            yield pd.DataFrame({"slice": to, "kind": (np.arange(len(to)) >= len(v)).astype(np.int32), "id": ids[who], "v": batch["v"].to_numpy()[who], **{c: batch[c].to_numpy()[who] for c in extra}})
 
-    dealt = homes.mapInPandas(deal, "slice long, kind int, id long, v array<double>")
+    dealt = homes.mapInPandas(deal, f"slice long, kind int, id long, v array<double>{extra_type}")
     dealt = dealt.repartition(int(min(max(first[-1], 1), 20_000)), "slice").sortWithinPartitions("slice", "kind")
-    return dealt.mapInPandas(_meet(basis, threshold, (report.bounded, report.compared)), schema)
+    return dealt.mapInPandas(meet(basis, threshold, (report.bounded, report.compared)), schema)
 
 
 def similar_groups(df: DataFrame, threshold: float, *, id_col: str = "vec_id", vec_col: str = "embedding", residents: int | None = None, report: JoinReport | None = None) -> tuple[DataFrame, DataFrame | None]:
@@ -232,3 +315,17 @@ def similar_pairs(df: DataFrame, threshold: float, *, id_col: str = "vec_id", ve
         return different
     m = members.select("id", F.col("member").alias("a")).join(members.select("id", F.col("member").alias("b")), "id").where("a < b")
     return different.unionByName(m.select("a", "b", F.lit(1.0).alias("score")))
+
+
+def group_sums(df: DataFrame, threshold: float, *, id_col: str = "vec_id", vec_col: str = "embedding", residents: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Groups of all pairs at the threshold, without a row for each pair: links (a, b, sum, pairs) and nodes (node, size).
+
+    The links connect what the pairs connect, by smallest ids of equal vectors; ``sum`` and ``pairs`` add up cosines and
+    numbers of pairs that belong to the group of a. ``size`` counts the copies of a node. Every pair is compared and
+    counted; what is sent on are a few rows for each vector and slice that it visits.
+    """
+    once, _ = distinct_vectors(df, id_col, vec_col)
+    links = near_pairs(once, threshold, residents=residents, fold=True)
+    n = F.col("n")
+    own = once.where(n > 1).select(F.col("id").alias("a"), F.col("id").alias("b"), (n * (n - 1) / 2).alias("sum"), (n * (n - 1) / 2).cast("long").alias("pairs"))
+    return links.unionByName(own) if threshold <= 1 else links, once.select(F.col("id").alias("node"), n.alias("size"))

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from corpusloom.operators.graph import capped_edges, capped_pairs
+from corpusloom.operators.graph import capped_edges, capped_pairs, pair_groups
 from corpusloom.operators.near import JoinReport, near_pairs, similar_groups, similar_pairs
 from corpusloom.session import table
 
@@ -109,3 +109,24 @@ def test_capped_pairs_do_not_need_all_pairs(spark, monkeypatch):
     assert capped_pairs(frame(spark, v).limit(0), 0.3).count() == 0
     monkeypatch.setattr(graph, "similar_pairs", None)
     assert len(rows(capped_pairs(frame(spark, v), 0.3, rows=500, most_open=300))) > 4_000
+
+
+@pytest.mark.parametrize(("threshold", "residents"), [(0.9, 40), (0.5, None)])
+def test_groups_of_pairs_without_the_pairs(spark, monkeypatch, threshold, residents):
+    import corpusloom.operators.graph as graph
+
+    v = np.concatenate([clustered(300, 16, 9, 0.3), np.full((25, 16), 0.3), clustered(300, 16, 9, 0.3)[:8], np.eye(16)[:1] - 9, np.eye(16)[:1] - 9])
+    label, pairs = list(range(len(v))), brute(v, threshold)
+    for a, b in [*pairs] * 8:
+        label[a] = label[b] = min(label[a], label[b])
+    want = {}
+    for (a, _), s in pairs.items():
+        assert label[a] == label[label[a]]
+        want.setdefault(label[a], []).append(s)
+    df = frame(spark, v).unionByName(spark.createDataFrame([(None, [0.3] * 16), (9_000, None), (9_001, [0.0] * 16)], "vec_id long, embedding array<double>"))
+    again = pair_groups(df.unionByName(df.where("vec_id = 300")), threshold, residents=residents).collect()  # an id that repeats is no pair with itself
+    monkeypatch.setattr(graph, "similar_pairs", None)
+    got = pair_groups(df, threshold, residents=residents).collect()
+    assert {r["component"]: (r["size"], r["mean"]) for r in got} == {k: (label.count(k), pytest.approx(np.mean(s), abs=0.00501)) for k, s in want.items()}
+    assert {(r["component"], r["size"]) for r in again} == {(r["component"], r["size"]) for r in got}
+    assert pair_groups(df.limit(0), threshold).count() == 0
